@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from millrace.llm.common import table
 from millrace.llm.mixing import mix_sources
 from millrace.llm.neardup import near_duplicates
+from millrace.llm.substring import substring_dedup
 
 
 def label_quality(labels: DataFrame) -> DataFrame:
@@ -20,12 +21,17 @@ def op1_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixed.select("doc_id", "size", "source_size", "target", "taken")
 
 
+def op2_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return substring_dedup(table(spark, sf_dir, "documents"), length=35).drop("kept_text")
+
+
 def op5_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(table(spark, sf_dir, "documents"), shingle=4, similarity=(80, 100))
 
 
 QUERIES = {
     "op1_mix_sources": op1_mix_sources,
+    "op2_substring_dedup": op2_substring_dedup,
     "op5_minhash_near_dedup": op5_minhash_near_dedup,
 }
 
