@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from millrace.llm.common import table
 from millrace.llm.mixing import mix_sources
 from millrace.llm.neardup import near_duplicates
+from millrace.llm.packing import pack_documents
 from millrace.llm.substring import substring_dedup
 
 
@@ -25,6 +26,10 @@ def op2_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return substring_dedup(table(spark, sf_dir, "documents"), length=35).drop("kept_text")
 
 
+def op3_pack_sequences(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pack_documents(table(spark, sf_dir, "documents"))
+
+
 def op5_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(table(spark, sf_dir, "documents"), shingle=4, similarity=(80, 100))
 
@@ -32,6 +37,7 @@ def op5_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES = {
     "op1_mix_sources": op1_mix_sources,
     "op2_substring_dedup": op2_substring_dedup,
+    "op3_pack_sequences": op3_pack_sequences,
     "op5_minhash_near_dedup": op5_minhash_near_dedup,
 }
 
