@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from millrace.llm.common import table
+from millrace.llm.langid import identify
 from millrace.llm.mixing import mix_sources
 from millrace.llm.neardup import near_duplicates
 from millrace.llm.packing import pack_documents
@@ -34,11 +35,16 @@ def op5_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(table(spark, sf_dir, "documents"), shingle=4, similarity=(80, 100))
 
 
+def op8_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return identify(table(spark, sf_dir, "documents")).drop("n_letters")
+
+
 QUERIES = {
     "op1_mix_sources": op1_mix_sources,
     "op2_substring_dedup": op2_substring_dedup,
     "op3_pack_sequences": op3_pack_sequences,
     "op5_minhash_near_dedup": op5_minhash_near_dedup,
+    "op8_language_id": op8_language_id,
 }
 
 OP1_SQL = r"""
