@@ -11,6 +11,8 @@ from millrace.llm.mixing import mix_sources
 from millrace.llm.neardup import near_duplicates
 from millrace.llm.packing import pack_documents
 from millrace.llm.substring import substring_dedup
+from millrace.llm.toxicity import fit as fit_toxicity
+from millrace.llm.toxicity import score as score_toxicity
 
 
 def label_quality(labels: DataFrame) -> DataFrame:
@@ -31,6 +33,11 @@ def op3_pack_sequences(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pack_documents(table(spark, sf_dir, "documents"))
 
 
+def op4_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    return score_toxicity(docs, fit_toxicity(docs, table(spark, sf_dir, "labels"))).drop("strongest")
+
+
 def op5_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(table(spark, sf_dir, "documents"), shingle=4, similarity=(80, 100))
 
@@ -43,6 +50,7 @@ QUERIES = {
     "op1_mix_sources": op1_mix_sources,
     "op2_substring_dedup": op2_substring_dedup,
     "op3_pack_sequences": op3_pack_sequences,
+    "op4_toxicity": op4_toxicity,
     "op5_minhash_near_dedup": op5_minhash_near_dedup,
     "op8_language_id": op8_language_id,
 }
