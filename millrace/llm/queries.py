@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from millrace.llm.common import table
+from millrace.llm.embeddings import near_duplicate_vectors
 from millrace.llm.langid import identify
 from millrace.llm.mixing import mix_sources
 from millrace.llm.neardup import near_duplicates
@@ -42,6 +43,10 @@ def op5_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(table(spark, sf_dir, "documents"), shingle=4, similarity=(80, 100))
 
 
+def op7_embedding_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return near_duplicate_vectors(table(spark, sf_dir, "embeddings"), cosine=0.98)
+
+
 def op8_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return identify(table(spark, sf_dir, "documents")).drop("n_letters")
 
@@ -52,6 +57,7 @@ QUERIES = {
     "op3_pack_sequences": op3_pack_sequences,
     "op4_toxicity": op4_toxicity,
     "op5_minhash_near_dedup": op5_minhash_near_dedup,
+    "op7_embedding_near_dedup": op7_embedding_near_dedup,
     "op8_language_id": op8_language_id,
 }
 
