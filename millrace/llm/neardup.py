@@ -6,10 +6,12 @@ of visit j + 1 are above all of visit j, so elements are taken visit by visit
 and a document stops as soon as every place holds a value of an earlier visit.
 
 Documents with equal shingle sets form a class first. Classes meet in band
-buckets; in a bucket each class is compared with the bucket's most connected
-class, not with all others. Buckets that still hold classes of several
-components go through further rounds with more leaders, until every pair of a
-bucket is either checked or already in one component. Checks are on full sets.
+buckets; each is compared with its buckets' most connected class, not with all
+others. Where classes that buckets join are not in one component after that,
+those outside the largest component are held against the rest, likeliest
+first by signature, in blocks of bounded size with a union-find in each block:
+pairs that are in one component by then need no check, all others with an
+estimate near the threshold get one. Checks are on full sets.
 """
 
 from __future__ import annotations
@@ -20,11 +22,15 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from millrace.llm.common import Staging, is_empty, mix64, window_hashes, word_hashes
+from millrace.llm.common import Staging, mix64, window_hashes, word_hashes
 from millrace.llm.components import connected_components
 
 #: 32 bands of 4: a pair at 0.8 is missed with probability (1 - 0.8**4)**32 < 1e-7.
 BANDS, ROWS = 32, 4
+#: Signatures that agree on a smaller share are over 5 standard deviations below 0.8.
+MARGIN = 0.18
+#: Shingles in one block of a mixed group; a task holds two blocks.
+GROUP_BLOCK = 250_000
 #: Shingles worked on at once (their permutation state takes 128 bytes each).
 BLOCK = 32_768
 
@@ -135,6 +141,59 @@ def _confirm(k: int, num: int, den: int):
     return run
 
 
+def _link_block(k: int, num: int, den: int, m: int):
+    """Classes of one or two blocks of a group -> links that join their components further.
+
+    Within a block the pairs are those inside it, between two blocks those across.
+    """
+
+    def run(table: pa.Table) -> pa.Table:
+        col = {c: table.column(c).to_pylist() for c in ("own", "fp", "root", "inside")}
+        order = sorted(range(len(col["fp"])), key=lambda i: col["fp"][i])
+        texts = table.column("text").cast(pa.binary())
+        sets = [shingle_set(texts[i].as_py(), k) for i in order]
+        own, inside = (np.array([col[c][i] for i in order]) for c in ("own", "inside"))
+        fps = [col["fp"][i] for i in order]
+        across = table.column("i")[0] != table.column("j")[0]
+        size = np.array([len(x) for x in sets])
+        sig, lo = [], 0
+        while lo < len(sets):  # signatures a few sets at a time
+            hi = lo + max(1, int(np.searchsorted(np.cumsum(size[lo:]), BLOCK)))
+            sig.append(super_minhash(sets[lo:hi], m).astype(np.uint16))  # 16 bits tell agreeing places apart well enough
+            lo = hi
+        sig = np.concatenate(sig)
+        _, at = np.unique(np.array([col["root"][i] for i in order], dtype=object), return_inverse=True)
+        parent = list(range(int(at.max()) + 1))
+
+        def find(x: int) -> int:
+            while parent[x] != x:
+                parent[x] = parent[parent[x]]
+                x = parent[x]
+            return x
+
+        a, b = [], []
+        for x in np.flatnonzero(~inside):
+            fits = (np.minimum(size, size[x]) * den >= np.maximum(size, size[x]) * num) & (at != at[x])
+            if across:
+                fits &= own != own[x]
+            ys = np.flatnonzero(fits)
+            share = (sig[ys] == sig[x]).mean(axis=1)
+            likely = share >= num / den - MARGIN
+            ys = ys[likely][np.argsort(-share[likely], kind="stable")]
+            for y in ys.tolist():
+                rx, ry = find(at[x]), find(at[y])
+                if rx == ry:
+                    continue
+                both = len(np.intersect1d(sets[x], sets[y], assume_unique=True))
+                if den * both >= num * (size[x] + size[y] - both):
+                    parent[max(rx, ry)] = min(rx, ry)
+                    a.append(fps[x])
+                    b.append(fps[y])
+        return pa.table({"a": pa.array(a, pa.binary()), "b": pa.array(b, pa.binary())})
+
+    return run
+
+
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 5, similarity: tuple[int, int] = (80, 100), bands: int = BANDS, rows: int = ROWS) -> DataFrame:
     """One row per input row: doc_id, n_shingles, component_id, kept.
 
@@ -166,58 +225,36 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     texts = docs.join(wanted, docs.doc_id.eqNullSafe(wanted.doc_id)).select("fp", "text")
     texts = st.put(texts.mapInArrow(_matching_text(shingle), "fp binary, text string").dropDuplicates(["fp"]), "texts")
 
-    links = roots = checked = None
-    active, leaders, retired = members.withColumn("root", F.col("fp")), 1, []
-    while True:
-        lead = _leaders(active, leaders)
-        pairs = active.alias("m").join(lead.alias("l"), "bucket").where("m.root <> l.root and m.fp <> l.fp")
-        # |A and B| is at most the smaller size: an exact bound on the sizes of linked sets
-        pairs = pairs.where(F.least("m.n", "l.n") * den >= F.greatest("m.n", "l.n") * num)
-        pairs = pairs.select(F.greatest("m.fp", "l.fp").alias("b"), F.least("m.fp", "l.fp").alias("a")).distinct()
-        if checked is not None:
-            pairs = pairs.join(checked, ["a", "b"], "left_anti")
-        lead, pairs = st.put(lead, "lead"), st.put(pairs, "pairs")
-        if not is_empty(pairs):
-            one, other = texts.toDF("a", "text_a"), texts.toDF("b", "text_b")
-            rows_ = pairs.join(other, "b").join(one, "a").select("a", "b", "text_a", "text_b")
-            found = st.put(rows_.mapInArrow(_confirm(shingle, num, den), "a binary, b binary"), "found")
-            links = found if links is None else links.union(found)
-            checked = pairs if checked is None else checked.union(pairs)
-            roots = connected_components(links, st)
-        retired.append(lead)
-        rest = active.drop("root").join(lead.select("bucket", "fp"), ["bucket", "fp"], "left_anti")
-        if roots is not None:
-            rest = rest.join(roots.withColumnRenamed("node", "fp"), "fp", "left").withColumn("root", F.coalesce("root", "fp"))
-        else:
-            rest = rest.withColumn("root", F.col("fp"))
-        mixed = rest.groupBy("bucket").agg(F.min("root").alias("x"), F.max("root").alias("y")).where("x <> y")
-        rest = st.put(rest.join(mixed.select("bucket"), "bucket", "left_semi").select(*active.columns), "active")
-        if is_empty(rest):
-            break
-        active, leaders = rest, leaders * 4
+    # each class against the most connected class of its buckets
+    lead = members.groupBy("bucket").agg(F.max(F.struct("degree", "fp", "n")).alias("s")).select("bucket", F.col("s.fp").alias("a"), F.col("s.n").alias("na"))
+    star = members.select("bucket", F.col("fp").alias("b"), F.col("n").alias("nb")).join(lead, "bucket").where("a <> b").select("a", "b", "na", "nb").distinct()
+    star = st.put(star, "star")
+    # |A and B| is at most the smaller size: an exact bound on the sizes of linked sets
+    near = star.where(F.least("na", "nb") * den >= F.greatest("na", "nb") * num).select("a", "b")
+    one, other = texts.toDF("a", "text_a"), texts.toDF("b", "text_b")
+    rows_ = near.join(other, "b").join(one, "a").select("a", "b", "text_a", "text_b")
+    links = st.put(rows_.mapInArrow(_confirm(shingle, num, den), "a binary, b binary"), "links")
+    roots = connected_components(links, st)
+
+    # groups that buckets join, where more than one component is left after that
+    group = connected_components(star, st).toDF("fp", "grp")
+    sizes = members.groupBy("fp").agg(F.first("n").alias("n"))
+    known = group.join(sizes, "fp").join(roots.withColumnRenamed("node", "fp"), "fp", "left").withColumn("root", F.coalesce("root", "fp"))
+    by_root = known.groupBy("grp", "root").agg(F.count("*").alias("k"), F.sum("n").alias("n"))
+    mixed = by_root.groupBy("grp").agg(F.sum("k").alias("size"), F.count("*").alias("roots"), F.max(F.struct("k", "root")).getField("root").alias("main"), F.sum("n").alias("n"))
+    mixed = mixed.where("roots > 1 and size > 2").select("grp", "main", F.ceil(F.col("n") / GROUP_BLOCK).cast("int").alias("blocks"))
+    known = known.select("fp", "grp", "root").join(mixed, "grp")
+    own = F.pmod(F.hash("fp"), F.col("blocks"))
+    known = known.select("grp", "fp", F.col("root").eqNullSafe(F.col("main")).alias("inside"), "root", own.alias("own"), F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("other"))
+    dealt = st.put(known.join(texts, "fp").select("grp", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), "own", "fp", "root", "inside", "text"), "dealt")
+    found = dealt.groupBy("grp", "i", "j").applyInArrow(_link_block(shingle, num, den, bands * rows), "a binary, b binary")
+    roots = connected_components(links.union(found), st)
 
     ids = thin.groupBy("fp").agg(F.min("doc_id").alias("least"))
-    if roots is not None:
-        joined = ids.join(roots.withColumnRenamed("node", "fp"), "fp")
-        named = joined.groupBy("root").agg(F.min("least").alias("component"))
-        linked = st.put(joined.join(named, "root").select("fp", "component"), "named")
-    else:
-        linked = ids.select("fp", F.col("least").alias("component")).limit(0)
+    joined = ids.join(roots.withColumnRenamed("node", "fp"), "fp")
+    named = joined.groupBy("root").agg(F.min("least").alias("component"))
+    linked = joined.join(named, "root").select("fp", "component")
     by_class = ids.join(linked, "fp", "left").select("fp", F.coalesce("component", "least").alias("component"))
     out = thin.join(by_class, "fp", "left")
     component = F.when(F.col("n_shingles") > 0, F.col("component")).otherwise(F.col("doc_id"))
     return out.select("doc_id", "n_shingles", component.alias("component_id"), F.col("doc_id").eqNullSafe(component).alias("kept"))
-
-
-def _leaders(active: DataFrame, k: int) -> DataFrame:
-    """The k most connected members of each bucket; a hot bucket is cut into salted parts first."""
-    first = F.struct("degree", "fp", "n", "root")
-    if k == 1:
-        return active.groupBy("bucket").agg(F.max(first).alias("s")).select("bucket", "s.fp", "s.n", "s.root")
-    from pyspark.sql import Window
-
-    order = [F.desc("degree"), F.desc("fp")]
-    part = active.withColumn("salt", F.pmod(F.hash("fp"), F.lit(64)))
-    part = part.withColumn("i", F.row_number().over(Window.partitionBy("bucket", "salt").orderBy(*order))).where(F.col("i") <= k)
-    part = part.withColumn("i", F.row_number().over(Window.partitionBy("bucket").orderBy(*order))).where(F.col("i") <= k)
-    return part.select("bucket", "fp", "n", "root")
