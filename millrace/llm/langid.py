@@ -13,8 +13,6 @@ per character place and language.
 
 from __future__ import annotations
 
-import functools
-
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window
@@ -30,7 +28,6 @@ LETTERS = 60
 PIECE = 2048
 
 
-@functools.lru_cache(maxsize=1)
 def letter_table() -> np.ndarray:
     """For every code point: its lower-case code point if it is a letter, else 0."""
     out = np.zeros(0x110000, np.uint32)
@@ -96,7 +93,7 @@ def learn(texts: dict[str, list[str]], sample_chars: int, letters: int) -> dict:
     points, counts = np.unique(np.concatenate([*joined.values(), np.zeros(1, np.uint32)]), return_counts=True)
     common = points[np.lexsort((points, -counts))]
     own = common[common != 0][:letters]
-    model = {"letters": own, "alphabet": len(own) + 2, "langs": list(joined), "steps": [], "scale": []}
+    model = {"table": table, "letters": own, "alphabet": len(own) + 2, "langs": list(joined), "steps": [], "scale": []}
     symbol = symbols(model)
     for x in joined.values():
         auto = suffix_automaton(symbol[x].tolist(), model["alphabet"])
@@ -153,8 +150,8 @@ def phrase_counts(pieces: list[np.ndarray], steps: np.ndarray) -> np.ndarray:
 
 def _predict(sent, piece: int):
     def run(batches):
-        model, table = sent.value, letter_table()
-        langs, symbol = model["langs"], symbols(model)
+        model = sent.value
+        langs, table, symbol = model["langs"], model["table"], symbols(model)
         for b in batches:
             seqs, owner, size = [], [], np.zeros(b.num_rows, np.int64)
             for i, t in enumerate(b.column(1)):

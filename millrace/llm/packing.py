@@ -10,7 +10,6 @@ capacity finds in O(log window) steps.
 from __future__ import annotations
 
 import base64
-import functools
 import zlib
 
 import numpy as np
@@ -26,7 +25,6 @@ GROUP = 100_000
 SPECIAL = "<|endoftext|>"
 
 
-@functools.lru_cache(maxsize=2)
 def _encoder(ranks_path: str, pattern: str):
     import tiktoken
 
