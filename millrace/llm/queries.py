@@ -11,6 +11,7 @@ from millrace.llm.langid import identify
 from millrace.llm.mixing import mix_sources
 from millrace.llm.neardup import near_duplicates
 from millrace.llm.packing import pack_documents
+from millrace.llm.quality import quality_rules
 from millrace.llm.substring import substring_dedup
 from millrace.llm.toxicity import fit as fit_toxicity
 from millrace.llm.toxicity import score as score_toxicity
@@ -51,6 +52,10 @@ def op8_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return identify(table(spark, sf_dir, "documents")).drop("n_letters")
 
 
+def op9_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality_rules(table(spark, sf_dir, "documents")).drop("lang", "low", "high")
+
+
 QUERIES = {
     "op1_mix_sources": op1_mix_sources,
     "op2_substring_dedup": op2_substring_dedup,
@@ -59,6 +64,7 @@ QUERIES = {
     "op5_minhash_near_dedup": op5_minhash_near_dedup,
     "op7_embedding_near_dedup": op7_embedding_near_dedup,
     "op8_language_id": op8_language_id,
+    "op9_quality_rules": op9_quality_rules,
 }
 
 OP1_SQL = r"""
