@@ -2,12 +2,13 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from millrace.llm.common import table
 from millrace.llm.embeddings import near_duplicate_vectors
 from millrace.llm.langid import identify
+from millrace.llm.licenses import TEMPLATES, scan_licenses
 from millrace.llm.mixing import mix_sources
 from millrace.llm.neardup import near_duplicates
 from millrace.llm.packing import pack_documents
@@ -15,6 +16,7 @@ from millrace.llm.quality import quality_rules
 from millrace.llm.substring import substring_dedup
 from millrace.llm.toxicity import fit as fit_toxicity
 from millrace.llm.toxicity import score as score_toxicity
+from millrace.llm.urls import filter_urls, host_of
 
 
 def label_quality(labels: DataFrame) -> DataFrame:
@@ -44,6 +46,38 @@ def op5_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(table(spark, sf_dir, "documents"), shingle=4, similarity=(80, 100))
 
 
+def _number(text: Column) -> Column:
+    return F.conv(F.substring(F.md5(text.cast("binary")), 1, 8), 16, 10).cast("long")
+
+
+def list_events(pages: DataFrame) -> DataFrame:
+    """A dated list over the hosts of pages, by rule: events(key, verdict, at).
+
+    By a hash of the host: some are blocked, taken off after 60 days and
+    blocked again 30 days later; some have their /en/ directory blocked; some
+    are allowed from day 100. Every other domain of two labels is blocked from
+    day 180.
+    """
+    hosts = pages.select(host_of(F.col("url")).alias("host")).where("host <> ''").distinct().withColumn("h", _number(F.col("host")))
+    domains = hosts.select(F.regexp_extract("host", r"([^.]+\.[^.]+)$", 1).alias("host")).where("host <> ''").distinct().withColumn("h", _number(F.col("host")))
+    key = lambda kind, tail="": F.concat(F.lit(kind), F.col("host"), F.lit(tail)).alias("key")
+    event = lambda df, k, verdict, day: df.select(k, F.lit(verdict).alias("verdict"), F.expr(f"timestamp_ntz '2024-01-01 00:00:00' + make_dt_interval(cast({day} as int))").alias("at"))
+    parts = [event(hosts.where("h % 5 = 0"), key("d:"), v, f"h % 200 + {d}") for v, d in (("block", 0), ("remove", 60), ("block", 90))]
+    parts += [event(hosts.where("h % 5 = 1"), key("p:", "/en/"), "block", "h % 300"), event(hosts.where("h % 5 = 2"), key("d:"), "allow", "100"), event(domains.where("h % 2 = 0"), key("d:"), "block", "180")]
+    out = parts[0]
+    for p in parts[1:]:
+        out = out.unionByName(p)
+    return out
+
+
+def op6_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Captures are pages, fetched on a day of 2024 by their id."""
+    pages = table(spark, sf_dir, "pages")
+    at = F.expr("timestamp_ntz '2024-01-01 00:00:00' + make_dt_interval(cast(page_id * 37 % 366 as int))")
+    captures = pages.select("page_id", "url", at.alias("fetched_at"))
+    return filter_urls(captures, list_events(pages)).select("page_id", "fetched_at", "entry", "verdict", "kept")
+
+
 def op7_embedding_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicate_vectors(table(spark, sf_dir, "embeddings"), cosine=0.98)
 
@@ -56,15 +90,25 @@ def op9_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_rules(table(spark, sf_dir, "documents")).drop("lang", "low", "high")
 
 
+def op10_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents lie in a tree by source and id; every eleventh is its directory's licence file."""
+    docs = table(spark, sf_dir, "documents")
+    name = F.when(F.col("doc_id") % 11 == 0, F.concat(F.lit("LICENSE."), F.col("doc_id"))).otherwise(F.concat(F.col("doc_id"), F.lit(".txt")))
+    path = F.concat_ws("/", F.col("source"), F.when(F.col("doc_id") % 11 != 0, (F.col("doc_id") % 7).cast("string")), F.when(F.col("doc_id") % 3 == 1, (F.col("doc_id") % 5).cast("string")), name)
+    return scan_licenses(docs.select("doc_id", path.alias("path"), "text")).select("doc_id", "path", "own_license", "cosine", "license", "inherited_from")
+
+
 QUERIES = {
     "op1_mix_sources": op1_mix_sources,
     "op2_substring_dedup": op2_substring_dedup,
     "op3_pack_sequences": op3_pack_sequences,
     "op4_toxicity": op4_toxicity,
     "op5_minhash_near_dedup": op5_minhash_near_dedup,
+    "op6_url_filter": op6_url_filter,
     "op7_embedding_near_dedup": op7_embedding_near_dedup,
     "op8_language_id": op8_language_id,
     "op9_quality_rules": op9_quality_rules,
+    "op10_license_scan": op10_license_scan,
 }
 
 OP1_SQL = r"""
@@ -103,4 +147,63 @@ SELECT doc_id, size, source_size, target,
 FROM p
 """
 
-ORACLE_SQL = {"op1_mix_sources": OP1_SQL}
+OP6_SQL = r"""
+WITH c AS (
+  SELECT page_id, url, TIMESTAMP '2024-01-01' + to_days((page_id * 37 % 366)::INT) AS fetched_at,
+         lower(regexp_extract(url, '^[A-Za-z][A-Za-z0-9+.\-]*://(?:[^/?#@]*@)?([^/:?#]+)', 1)) AS host,
+         regexp_extract(url, '^[A-Za-z][A-Za-z0-9+.\-]*://[^/?#]*([^?#]*)', 1) AS path FROM pages),
+hosts AS (SELECT DISTINCT host, ('0x' || substr(md5(host), 1, 8))::BIGINT AS h FROM c WHERE host <> ''),
+domains AS (SELECT DISTINCT d AS host, ('0x' || substr(md5(d), 1, 8))::BIGINT AS h FROM (SELECT regexp_extract(host, '([^.]+\.[^.]+)$', 1) AS d FROM hosts) WHERE d <> ''),
+e AS (
+  SELECT 'd:' || host AS key, v.verdict, h % 200 + v.day AS day FROM hosts, (VALUES ('block', 0), ('remove', 60), ('block', 90)) v(verdict, day) WHERE h % 5 = 0
+  UNION ALL SELECT 'p:' || host || '/en/', 'block', h % 300 FROM hosts WHERE h % 5 = 1
+  UNION ALL SELECT 'd:' || host, 'allow', 100 FROM hosts WHERE h % 5 = 2
+  UNION ALL SELECT 'd:' || host, 'block', 180 FROM domains WHERE h % 2 = 0),
+o AS (SELECT key, TIMESTAMP '2024-01-01' + to_days(day::INT) AS since, max(verdict) AS verdict FROM e GROUP BY ALL),
+iv AS (SELECT key, verdict, since AS start, lead(since) OVER (PARTITION BY key ORDER BY since) AS stop FROM o QUALIFY verdict <> 'remove'),
+asked AS (SELECT DISTINCT url, fetched_at, host, path FROM c WHERE url IS NOT NULL AND host <> ''),
+k AS (
+  SELECT url, fetched_at, 'd:' || array_to_string(string_split(host, '.')[i:], '.') AS key
+  FROM (SELECT *, unnest(range(1, greatest(1, len(string_split(host, '.')) - 1) + 1)) AS i FROM asked)
+  UNION ALL
+  SELECT url, fetched_at, 'p:' || host || array_to_string(string_split(path, '/')[:i], '/') || '/'
+  FROM (SELECT *, unnest(range(1, len(string_split(path, '/')))) AS i FROM asked WHERE contains(path, '/'))),
+best AS (
+  SELECT url, fetched_at, key AS entry, verdict FROM k JOIN iv USING (key) WHERE fetched_at >= start AND (stop IS NULL OR fetched_at < stop)
+  QUALIFY row_number() OVER (PARTITION BY url, fetched_at ORDER BY key[1] DESC, len(key) DESC, key DESC) = 1)
+SELECT c.page_id, c.fetched_at, entry, verdict, coalesce(verdict <> 'block', true) AS kept FROM c LEFT JOIN best USING (url, fetched_at)
+"""
+
+OP10_SQL = r"""
+WITH forms(t, license, wording) AS (VALUES %s),
+ft AS (SELECT t, license, term, count(*) AS tf FROM (SELECT t, license, unnest(regexp_extract_all(lower(wording), '[a-z0-9]+(?:[.\-][a-z0-9]+)*')) AS term FROM forms) GROUP BY ALL),
+voc AS (SELECT DISTINCT term FROM ft),
+d AS (
+  SELECT doc_id, concat_ws('/', source, CASE WHEN doc_id %% 11 <> 0 THEN (doc_id %% 7)::VARCHAR END, CASE WHEN doc_id %% 3 = 1 THEN (doc_id %% 5)::VARCHAR END,
+         CASE WHEN doc_id %% 11 = 0 THEN 'LICENSE.' || doc_id ELSE doc_id || '.txt' END) AS path, text FROM documents),
+l AS (SELECT doc_id, unnest(string_split(text, chr(10))) AS line FROM d WHERE text IS NOT NULL),
+tot AS (SELECT count(*)::DOUBLE AS total FROM l),
+df AS (SELECT term, count(*) AS df FROM (SELECT unnest(list_distinct(regexp_extract_all(lower(line), '[a-z0-9]+(?:[.\-][a-z0-9]+)*'))) AS term FROM l) JOIN voc USING (term) GROUP BY term),
+idf AS (SELECT term, ln((1 + total) / (1 + coalesce(df, 0))) + 1 AS idf FROM voc LEFT JOIN df USING (term), tot),
+m AS (SELECT DISTINCT doc_id, line FROM l WHERE regexp_matches(lower(line), 'licen[sc]e|copyright|spdx|public domain')),
+w AS (
+  SELECT doc_id, line, term, tf * coalesce(idf, ln((1 + total) / 2) + 1) AS w FROM (
+    SELECT doc_id, line, term, count(*) AS tf FROM (SELECT doc_id, line, unnest(regexp_extract_all(lower(line), '[a-z0-9]+(?:[.\-][a-z0-9]+)*')) AS term FROM m) GROUP BY ALL)
+  LEFT JOIN idf USING (term), tot),
+n AS (SELECT doc_id, line, sqrt(sum(w * w)) AS norm FROM w GROUP BY ALL),
+f AS (SELECT t, license, term, tf * idf AS v FROM ft JOIN idf USING (term)),
+fnorm AS (SELECT t, sqrt(sum(v * v)) AS form_norm FROM f GROUP BY t),
+c AS (
+  SELECT doc_id, license, round(dot / (norm * form_norm), 6) AS cosine
+  FROM (SELECT doc_id, line, t, license, sum(w * v) AS dot FROM w JOIN f USING (term) GROUP BY ALL) JOIN n USING (doc_id, line) JOIN fnorm USING (t)),
+own AS (SELECT doc_id, license AS own_license, cosine FROM c WHERE cosine >= 0.6 QUALIFY row_number() OVER (PARTITION BY doc_id ORDER BY cosine DESC, license) = 1),
+files AS (SELECT d.doc_id, d.path, own_license, cosine, regexp_extract(d.path, '^(.*)/[^/]*$', 1) AS home FROM d LEFT JOIN own USING (doc_id)),
+folders AS (SELECT home AS folder, own_license AS found FROM files WHERE own_license IS NOT NULL AND regexp_matches(regexp_extract(path, '([^/]*)$', 1), '(?i)^(licen[sc]e|copying)')
+            QUALIFY row_number() OVER (PARTITION BY home ORDER BY cosine DESC, own_license) = 1),
+up AS (SELECT home, i, array_to_string(string_split(home, '/')[:i], '/') AS folder FROM (SELECT home, unnest(range(0, len(string_split(home, '/')) + 1)) AS i FROM (SELECT DISTINCT home FROM files))),
+near AS (SELECT home, folder, found FROM up JOIN folders USING (folder) QUALIFY row_number() OVER (PARTITION BY home ORDER BY i DESC) = 1)
+SELECT doc_id, path, own_license, cosine, coalesce(own_license, found) AS license, CASE WHEN own_license IS NULL THEN near.folder END AS inherited_from
+FROM files LEFT JOIN near USING (home)
+""" % ", ".join(f"({i}, '{a}', '{b}')" for i, (a, b) in enumerate(TEMPLATES))
+
+ORACLE_SQL = {"op1_mix_sources": OP1_SQL, "op6_url_filter": OP6_SQL, "op10_license_scan": OP10_SQL}
