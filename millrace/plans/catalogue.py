@@ -1,21 +1,232 @@
-"""All queries over the driver's tables, with DuckDB SQL for the same rows."""
+"""All queries over the driver's tables, with DuckDB SQL for the same rows.
+
+events stands in for telemetry: user_id is the device, event_type the signal,
+value the reading in hundredths (kept whole, so that sums are exact).
+"""
 
 from __future__ import annotations
 
-FLAGSHIP = "daily_event_rollup"
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from millrace.functions.phasors import unbalance_percent
+from millrace.operators import intervals, series
+
+FLAGSHIP = "zone_segments"
+QUERIES: dict = {}
+ORACLE_SQL: dict[str, str] = {}
+
+#: Shared head of the SQL: events with the day and the reading in hundredths.
+_E = "WITH e AS (SELECT event_id, ts, date_trunc('day', ts)::TIMESTAMP AS day, user_id, event_type, value, round(value * 100)::BIGINT AS cents FROM events)"
+KEYS, ORDER = ["user_id"], ["ts", "event_id"]
+
+
+def query(sql: str):
+    def add(f):
+        QUERIES[f.__name__], ORACLE_SQL[f.__name__] = f, sql
+        return f
+
+    return add
 
 
+def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+
+
+def readings(spark: SparkSession, sf_dir: str) -> DataFrame:
+    e = table(spark, sf_dir, "events")
+    return e.select("event_id", "ts", F.date_trunc("day", "ts").cast("timestamp_ntz").alias("day"), "user_id", "event_type", "value", F.round(F.col("value") * 100).cast("long").alias("cents"))
+
+
+@query(f"""{_E} SELECT day, event_type, count(*) AS n, count(DISTINCT user_id) AS users, sum(cents)::BIGINT AS cents FROM e GROUP BY ALL""")
 def daily_event_rollup(spark, sf_dir):
-    from pyspark.sql import functions as F
+    e = readings(spark, sf_dir)
+    return e.groupBy("day", "event_type").agg(F.count("*").alias("n"), F.countDistinct("user_id").alias("users"), F.sum("cents").alias("cents"))
+
+
+@query(f"""{_E}, f AS (
+  SELECT *, last_value(CASE WHEN event_type = 'purchase' THEN ts END IGNORE NULLS) OVER w AS t,
+            last_value(CASE WHEN event_type = 'purchase' THEN cents END IGNORE NULLS) OVER w AS v FROM e
+  WINDOW w AS (PARTITION BY user_id ORDER BY ts, event_id ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW))
+SELECT event_id, user_id, CASE WHEN date_diff('microsecond', t, ts) <= 86400000000 THEN v END AS filled FROM f""")
+def forward_fill(spark, sf_dir):
+    e = readings(spark, sf_dir).withColumn("paid", F.when(F.col("event_type") == "purchase", F.col("cents")))
+    out = series.forward_fill(e, KEYS, "ts", ORDER, "day", "paid", max_age=86400.0)
+    return out.select("event_id", "user_id", "filled")
+
+
+@query(f"""{_E}, l AS (SELECT * FROM e WHERE event_type = 'error'), r AS (SELECT * FROM e WHERE event_type = 'view')
+SELECT l.event_id, l.user_id, l.ts, r.cents AS seen_cents FROM l ASOF LEFT JOIN r ON l.user_id = r.user_id AND l.ts >= r.ts""")
+def asof_join(spark, sf_dir):
+    e = readings(spark, sf_dir)
+    errors = e.where("event_type = 'error'").select("event_id", "user_id", "ts")
+    views = e.where("event_type = 'view'").select("event_id", "user_id", "ts", F.col("cents").alias("seen_cents"))
+    return series.asof_join(errors, views, KEYS, "ts", "event_id", F.date_trunc("day", "ts"), ["seen_cents"])
+
+
+_STATE = f"""{_E}, d AS (
+  SELECT *, coalesce(last_value(CASE WHEN value >= 80 THEN true WHEN value <= 20 THEN false END IGNORE NULLS)
+    OVER (PARTITION BY user_id ORDER BY ts, event_id ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW), false) AS "on" FROM e)"""
+
+
+@query(f"""{_STATE} SELECT event_id, user_id, "on" FROM d""")
+def hysteresis_state(spark, sf_dir):
+    return series.hysteresis(readings(spark, sf_dir), KEYS, ORDER, "day", "value", low=20.0, high=80.0).select("event_id", "user_id", "on")
+
+
+@query(f"""{_STATE}, b AS (SELECT *, CASE WHEN "on" IS DISTINCT FROM lag("on") OVER w OR row_number() OVER w = 1 THEN 1 ELSE 0 END AS new FROM d WINDOW w AS (PARTITION BY user_id ORDER BY ts, event_id)),
+r AS (SELECT *, sum(new) OVER (PARTITION BY user_id ORDER BY ts, event_id ROWS UNBOUNDED PRECEDING) AS run FROM b),
+n AS (SELECT *, row_number() OVER (PARTITION BY user_id, run ORDER BY ts, event_id) AS nth FROM r)
+SELECT event_id, user_id, last_value(CASE WHEN nth >= 3 THEN CASE WHEN "on" THEN 'on' ELSE 'off' END END IGNORE NULLS) OVER (PARTITION BY user_id ORDER BY ts, event_id ROWS UNBOUNDED PRECEDING) AS stable FROM n""")
+def debounced_state(spark, sf_dir):
+    on = series.hysteresis(readings(spark, sf_dir), KEYS, ORDER, "day", "value", low=20.0, high=80.0)
+    on = on.withColumn("state", F.when(F.col("on"), "on").otherwise("off"))
+    return series.debounce(on, KEYS, ORDER, "day", "state", 3).select("event_id", "user_id", "stable")
+
+
+@query(f"""{_STATE}, b AS (SELECT *, CASE WHEN "on" IS DISTINCT FROM lag("on") OVER w OR row_number() OVER w = 1 THEN 1 ELSE 0 END AS new FROM d WINDOW w AS (PARTITION BY user_id ORDER BY ts, event_id)),
+r AS (SELECT *, sum(new) OVER (PARTITION BY user_id ORDER BY ts, event_id ROWS UNBOUNDED PRECEDING)::BIGINT AS run FROM b)
+SELECT user_id, run, any_value("on") AS "on", min(ts) AS start, max(ts) AS last_seen, count(*) AS n, median(cents)::DOUBLE AS median, min(cents) AS least, max(cents) AS greatest FROM r GROUP BY user_id, run""")
+def zone_segments(spark, sf_dir):
+    on = series.hysteresis(readings(spark, sf_dir), KEYS, ORDER, "day", "value", low=20.0, high=80.0)
+    out = series.runs(on, KEYS, ORDER, "day", "on")
+    return out.groupBy("user_id", "run").agg(F.first("on").alias("on"), F.min("ts").alias("start"), F.max("ts").alias("last_seen"), F.count("*").alias("n"), F.median("cents").alias("median"), F.min("cents").alias("least"), F.max("cents").alias("greatest"))
+
+
+@query(f"""{_E}, x AS (SELECT * FROM e WHERE event_type = 'error'),
+b AS (SELECT *, CASE WHEN lag(ts) OVER w IS NULL OR date_diff('microsecond', lag(ts) OVER w, ts) > 43200000000 THEN 1 ELSE 0 END AS new FROM x WINDOW w AS (PARTITION BY user_id ORDER BY ts, event_id)),
+g AS (SELECT *, sum(new) OVER (PARTITION BY user_id ORDER BY ts, event_id ROWS UNBOUNDED PRECEDING)::BIGINT AS episode FROM b)
+SELECT user_id, episode, min(ts) AS started, max(ts) AS ended, count(*) AS n FROM g GROUP BY user_id, episode""")
+def error_episodes(spark, sf_dir):
+    errors = readings(spark, sf_dir).where("event_type = 'error'")
+    return series.episodes(errors, KEYS, "ts", ORDER, "day", max_gap=43200.0)
+
+
+@query(f"""{_E}, r AS (SELECT *, sum((event_type = 'signup')::INT) OVER (PARTITION BY user_id ORDER BY ts, event_id ROWS UNBOUNDED PRECEDING) AS era FROM e)
+SELECT event_id, user_id, sum(cents) OVER (PARTITION BY user_id, era ORDER BY ts, event_id ROWS UNBOUNDED PRECEDING)::BIGINT AS total FROM r""")
+def resettable_total(spark, sf_dir):
+    out = series.resettable_sum(readings(spark, sf_dir), KEYS, ORDER, "day", F.col("cents"), F.col("event_type") == "signup")
+    return out.select("event_id", "user_id", "total")
+
+
+@query(f"""{_E}, s AS (SELECT *, sum(CASE WHEN event_type = 'error' THEN cents ELSE -2000 END) OVER (PARTITION BY user_id ORDER BY ts, event_id ROWS UNBOUNDED PRECEDING) AS c FROM e)
+SELECT event_id, user_id, (c - least(0, min(c) OVER (PARTITION BY user_id ORDER BY ts, event_id ROWS UNBOUNDED PRECEDING)))::BIGINT AS level FROM s""")
+def clipped_decay_level(spark, sf_dir):
+    error = F.col("event_type") == "error"
+    gain, loss = F.when(error, F.col("cents")).otherwise(F.lit(0)), F.when(error, F.lit(0)).otherwise(F.lit(2000))
+    out = series.clipped_decay(readings(spark, sf_dir), KEYS, ORDER, "day", gain, loss)
+    return out.select("event_id", "user_id", "level")
+
+
+@query(f"""{_E}, m AS (SELECT user_id, event_type, median(cents)::DOUBLE AS median FROM e GROUP BY ALL)
+SELECT user_id, event_type, count(*) AS n, min(cents) AS least, max(cents) AS greatest, arg_min(cents, (ts, event_id)) AS first_value, arg_max(cents, (ts, event_id)) AS last_value,
+       any_value(m.median) AS median, median(abs(cents - m.median))::DOUBLE AS mad FROM e JOIN m USING (user_id, event_type) GROUP BY ALL""")
+def robust_summary(spark, sf_dir):
+    return series.robust_summary(readings(spark, sf_dir), ["user_id", "event_type"], "ts", "event_id", "cents").drop("slope_per_hour")
+
+
+@query(f"""{_E} SELECT event_type, round(regr_slope(cents, (epoch_us(ts) - epoch_us(TIMESTAMP '2024-01-01')) / 3.6e9), 4) AS slope FROM e GROUP BY event_type""")
+def signal_slope(spark, sf_dir):
+    out = series.robust_summary(readings(spark, sf_dir), ["event_type"], "ts", "event_id", "cents")
+    return out.select("event_type", F.round("slope_per_hour", 4).alias("slope"))
+
+
+@query(f"""{_E}, s AS (SELECT *, last_value(CASE WHEN event_type = 'view' THEN ts END IGNORE NULLS) OVER (PARTITION BY user_id ORDER BY ts, event_id ROWS UNBOUNDED PRECEDING) AS since FROM e)
+SELECT event_id, user_id, ts, since FROM s WHERE event_type = 'purchase' AND date_diff('microsecond', since, ts) <= 21600000000""")
+def view_then_purchase(spark, sf_dir):
+    e = readings(spark, sf_dir)
+    out = series.followed_by(e, KEYS, "ts", ORDER, "day", F.col("event_type") == "view", F.col("event_type") == "purchase", 21600.0)
+    return out.select("event_id", "user_id", "ts", "since")
+
+
+def _sessions(spark, sf_dir, kind: str, hours: int) -> DataFrame:
+    e = readings(spark, sf_dir).where(F.col("event_type") == kind)
+    return e.select("user_id", F.col("ts").alias("start"), (F.col("ts") + F.expr(f"interval {hours} hours")).alias("stop"))
+
+
+_MERGED = """{name} AS (
+  SELECT user_id, min(start) AS start, max(stop) AS stop FROM (
+    SELECT *, sum(new) OVER (PARTITION BY user_id ORDER BY start, stop ROWS UNBOUNDED PRECEDING) AS g FROM (
+      SELECT *, CASE WHEN start <= max(stop) OVER (PARTITION BY user_id ORDER BY start, stop ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) THEN 0 ELSE 1 END AS new
+      FROM (SELECT user_id, ts AS start, ts + INTERVAL {hours} HOUR AS stop FROM events WHERE event_type = '{kind}'))) GROUP BY user_id, g)"""
+
+
+@query("WITH " + _MERGED.format(name="a", hours=24, kind="view") + " SELECT * FROM a")
+def merged_intervals(spark, sf_dir):
+    return intervals.merge(_sessions(spark, sf_dir, "view", 24), KEYS)
+
+
+@query("WITH " + _MERGED.format(name="a", hours=24, kind="view") + ", " + _MERGED.format(name="h", hours=6, kind="error") + """,
+c AS (SELECT user_id, start AS s, stop AS e FROM a),
+p AS (SELECT user_id, s AS t FROM c UNION SELECT h.user_id, h.stop FROM h JOIN c ON h.user_id = c.user_id AND h.stop > c.s AND h.stop < c.e),
+q AS (SELECT p.user_id, p.t AS start, (SELECT min(x) FROM (SELECT c.e AS x FROM c WHERE c.user_id = p.user_id AND c.s <= p.t AND p.t < c.e UNION ALL SELECT h.start FROM h WHERE h.user_id = p.user_id AND h.start >= p.t)) AS stop,
+      EXISTS (SELECT 1 FROM h WHERE h.user_id = p.user_id AND h.start <= p.t AND p.t < h.stop) AS covered FROM p)
+SELECT user_id, start, stop FROM q WHERE NOT covered""")
+def uncovered_intervals(spark, sf_dir):
+    return intervals.subtract(_sessions(spark, sf_dir, "view", 24), _sessions(spark, sf_dir, "error", 6), KEYS)
+
+
+@query("""WITH a AS (SELECT user_id, ts AS s, ts + INTERVAL 24 HOUR AS e FROM events WHERE event_type = 'view'), b AS (SELECT user_id, ts AS s, ts + INTERVAL 6 HOUR AS e FROM events WHERE event_type = 'error')
+SELECT a.user_id, greatest(a.s, b.s) AS start, least(a.e, b.e) AS stop FROM a JOIN b ON a.user_id = b.user_id AND a.s < b.e AND b.s < a.e""")
+def interval_overlaps(spark, sf_dir):
+    return intervals.intersect(_sessions(spark, sf_dir, "view", 24), _sessions(spark, sf_dir, "error", 6), KEYS)
+
+
+@query("WITH " + _MERGED.format(name="a", hours=24, kind="view") + """, d AS (SELECT user_id, start, stop, unnest(generate_series(date_trunc('day', start)::TIMESTAMP, date_trunc('day', stop - INTERVAL 1 MICROSECOND)::TIMESTAMP, INTERVAL 1 DAY)) AS day FROM a)
+SELECT day, count(DISTINCT user_id) AS users, sum(date_diff('microsecond', greatest(start, day), least(stop, day + INTERVAL 1 DAY)))::BIGINT AS micros FROM d GROUP BY day""")
+def busy_time_by_day(spark, sf_dir):
+    days = intervals.cut_at_days(intervals.merge(_sessions(spark, sf_dir, "view", 24), KEYS))
+    micros = F.unix_micros(F.col("stop").cast("timestamp")) - F.unix_micros(F.col("start").cast("timestamp"))
+    return days.groupBy("day").agg(F.countDistinct("user_id").alias("users"), F.sum(micros).alias("micros"))
+
+
+@query("""WITH p AS (SELECT date_trunc('hour', ts)::TIMESTAMP AS hour, sum(CASE event_type WHEN 'view' THEN round(value * 100) END) AS a, sum(CASE event_type WHEN 'click' THEN round(value * 100) END) AS b, sum(CASE event_type WHEN 'error' THEN round(value * 100) END) AS c FROM events GROUP BY 1),
+q AS (SELECT hour, a, b, c, sqrt(greatest(0, a*a + b*b + c*c - a*b - b*c - a*c)) / 3 AS neg, (a + b + c) / 3 AS pos FROM p WHERE a IS NOT NULL AND b IS NOT NULL AND c IS NOT NULL)
+SELECT hour, round(100 * neg / pos, 4) AS unbalance FROM q WHERE pos > 0""")
+def phase_unbalance(spark, sf_dir):
+    """Three signals of an hour as the magnitudes of three phases a third of a turn apart."""
+    e = readings(spark, sf_dir)
+    total = lambda kind: F.sum(F.when(F.col("event_type") == kind, F.col("cents"))).cast("double")
+    hours = e.groupBy(F.date_trunc("hour", "ts").cast("timestamp_ntz").alias("hour")).agg(total("view").alias("a"), total("click").alias("b"), total("error").alias("c")).dropna(subset=["a", "b", "c"])
+    out = hours.select("hour", F.round(unbalance_percent(F.col("a"), F.col("b"), F.col("c")), 4).alias("unbalance"))
+    return out.where("unbalance is not null")
+
+
+@query(f"""{_E} SELECT user_id, day, count(*) AS n, CASE max(CASE event_type WHEN 'error' THEN 3 WHEN 'purchase' THEN 2 WHEN 'signup' THEN 1 ELSE 0 END) WHEN 3 THEN 'error' WHEN 2 THEN 'purchase' WHEN 1 THEN 'signup' ELSE 'info' END AS worst FROM e GROUP BY user_id, day""")
+def worst_by_day(spark, sf_dir):
+    """Severity roll-up: the worst level of a device's day."""
+    order = ["info", "signup", "purchase", "error"]
+    rank = F.array_position(F.array(*map(F.lit, order)), F.col("event_type"))
+    out = readings(spark, sf_dir).groupBy("user_id", "day").agg(F.count("*").alias("n"), F.max(rank).alias("r"))
+    return out.select("user_id", "day", "n", F.element_at(F.array(*map(F.lit, order)), F.greatest(F.lit(1), F.col("r")).cast("int")).alias("worst"))
+
+
+@query(f"""{_E}, d AS (SELECT user_id, day, count(*) FILTER (event_type = 'error') AS n FROM e GROUP BY ALL)
+SELECT user_id, day, sum(n) OVER (PARTITION BY user_id ORDER BY day RANGE BETWEEN INTERVAL 6 DAY PRECEDING AND CURRENT ROW)::BIGINT AS errors_7d FROM d""")
+def trailing_errors(spark, sf_dir):
+    """Errors of the seven days up to each day on which a device reported."""
+    from pyspark.sql import Window
+
+    days = readings(spark, sf_dir).groupBy("user_id", "day").agg(F.count_if(F.col("event_type") == "error").alias("n"))
+    number = F.datediff("day", F.lit("2024-01-01"))
+    w = Window.partitionBy("user_id").orderBy(number).rangeBetween(-6, 0)
+    return days.select("user_id", "day", F.sum("n").over(w).alias("errors_7d"))
+
 
-    events = spark.read.parquet(f"{sf_dir}/events.parquet")
-    day = F.date_trunc("day", "ts").alias("day")
-    return events.groupBy(day, "event_type").agg(F.count("*").alias("n"), F.countDistinct("user_id").alias("users"))
+@query("""SELECT user_id, sum(1) AS n, round(quantile_cont(value, 0.95), 6) AS p95 FROM events GROUP BY user_id ORDER BY n DESC, user_id LIMIT 10""")
+def busiest_devices(spark, sf_dir):
+    """A top-k report: the ten devices with the most readings."""
+    e = table(spark, sf_dir, "events")
+    return e.groupBy("user_id").agg(F.count("*").alias("n"), F.round(F.percentile("value", 0.95), 6).alias("p95")).orderBy(F.desc("n"), "user_id").limit(10)
 
 
-QUERIES = {"daily_event_rollup": daily_event_rollup}
-ORACLE_SQL = {
-    "daily_event_rollup": """
-        SELECT date_trunc('day', ts) AS day, event_type, count(*) AS n, count(DISTINCT user_id) AS users
-        FROM events GROUP BY ALL""",
-}
+@query("""SELECT n_name, o_orderpriority, count(*) AS orders, sum(round(l_extendedprice * 100) * (100 - round(l_discount * 100)))::BIGINT AS revenue
+FROM lineitem JOIN orders ON l_orderkey = o_orderkey JOIN customer ON o_custkey = c_custkey JOIN nation ON c_nationkey = n_nationkey
+WHERE l_returnflag = 'R' GROUP BY ALL""")
+def returned_revenue(spark, sf_dir):
+    """A star join: the dimension tables are joined by size, filters reach the scan."""
+    t = lambda name: table(spark, sf_dir, name)
+    cents = F.round(F.col("l_extendedprice") * 100).cast("long") * (100 - F.round(F.col("l_discount") * 100).cast("long"))
+    out = t("lineitem").where("l_returnflag = 'R'").join(t("orders"), F.col("l_orderkey") == F.col("o_orderkey"))
+    out = out.join(t("customer"), F.col("o_custkey") == F.col("c_custkey")).join(t("nation"), F.col("c_nationkey") == F.col("n_nationkey"))
+    return out.groupBy("n_name", "o_orderpriority").agg(F.count("*").alias("orders"), F.sum(cents).alias("revenue"))
