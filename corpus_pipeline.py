@@ -15,7 +15,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from millrace.llm.common import DOCUMENT_COLUMNS, Staging, table
+from millrace.llm.common import DOCUMENT_COLUMNS, WORD, Staging, table
 from millrace.llm.langid import identify
 from millrace.llm.mixing import mixed_rows
 from millrace.llm.neardup import near_duplicates
@@ -25,41 +25,44 @@ from millrace.llm.substring import substring_dedup
 
 
 def _with(docs: DataFrame, verdicts: DataFrame) -> DataFrame:
-    """Rows of docs beside their verdicts(doc_id, ...), one per id (null is an id); _id is the id as text."""
-    key = F.coalesce(F.col("doc_id").cast("string"), F.lit("null")).alias("_id")
-    return docs.select("*", key).join(verdicts.select(key, *[c for c in verdicts.columns if c != "doc_id"]), "_id")
+    """Rows of docs as d beside their verdicts(doc_id, ...), one per id (null is an id); id is the id as text."""
+    key = F.coalesce(F.col("doc_id").cast("string"), F.lit("null")).alias("id")
+    rows = docs.select(F.struct(*DOCUMENT_COLUMNS).alias("d"), key)
+    return rows.join(verdicts.select(key, *[c for c in verdicts.columns if c != "doc_id"]), "id")
 
 
-def _retold(docs: DataFrame, text: Column) -> DataFrame:
-    """docs with another text, and n_chars to match."""
-    out = docs.withColumn("_text", text)
-    return out.withColumn("n_chars", F.when(F.col("_text").eqNullSafe(F.col("text")), F.col("n_chars")).otherwise(F.length("_text").cast("long"))).withColumn("text", F.col("_text")).select(*DOCUMENT_COLUMNS)
+def _retold(text: Column) -> list[Column]:
+    """documents' columns of d with another text, and n_chars to match."""
+    n = F.when(text.eqNullSafe(F.col("d.text")), F.col("d.n_chars")).otherwise(F.length(text).cast("long"))
+    return [{"text": text.alias("text"), "n_chars": n.alias("n_chars")}.get(c, F.col(f"d.{c}")) for c in DOCUMENT_COLUMNS]
 
 
 def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Keeps the documents that get a language; ids that repeat are judged by all their rows."""
-    said = identify(docs).groupBy("doc_id").agg(F.max(F.col("lang_pred") != "und").alias("_keep"))
-    return _with(docs, said.where("_keep")).select(*DOCUMENT_COLUMNS)
+    said = identify(docs).groupBy("doc_id").agg(F.max(F.col("lang_pred") != "und").alias("keep"))
+    return _with(docs, said.where("keep")).select("d.*")
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Keeps the document with the least id of each group; rows with one id are one document (its greatest text)."""
     kept = near_duplicates(docs).where("kept").select("doc_id").distinct()
     rest = [c for c in DOCUMENT_COLUMNS if c != "text"]
-    one = _with(docs, kept).groupBy("_id").agg(F.max(F.struct("text", *rest)).alias("r"))  # dealt by _id already
+    one = _with(docs, kept).select("id", "d.*").groupBy("id").agg(F.max(F.struct("text", *rest)).alias("r"))  # dealt by id already
     return one.select("r.*").select(*DOCUMENT_COLUMNS)
 
 
 def substring_dedup_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Cuts repeated passages out of the texts; a document that loses every word goes."""
-    cut = substring_dedup(docs).where("n_words = 0 or n_removed < n_words").select("doc_id", F.col("kept_text").alias("_kept"))
-    return _retold(_with(docs, cut), F.coalesce("_kept", "text"))
+    cut = substring_dedup(docs).where("n_words = 0 or n_removed < n_words").select("doc_id", "words_sha256", "kept_text")
+    words = F.array_join(F.regexp_extract_all(F.coalesce("d.text", F.lit("")), F.lit(WORD), F.lit(0)), " ")
+    rows = _with(docs, cut.dropDuplicates(["doc_id", "words_sha256"])).where(F.sha2(words.cast("binary"), 256) == F.col("words_sha256"))
+    return rows.select(*_retold(F.coalesce("kept_text", "d.text")))
 
 
 def mixing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Repeats and samples documents to the sources' target weights."""
-    mixed = mixed_rows(docs.withColumnRenamed("text", "_old").withColumn("text", F.col("_old")), label_quality(table(spark, sf_dir, "labels")))
-    return _retold(mixed.withColumnRenamed("text", "_new").withColumnRenamed("_old", "text"), F.col("_new"))
+    mixed = mixed_rows(docs.select(*DOCUMENT_COLUMNS, F.col("text").alias("before")), label_quality(table(spark, sf_dir, "labels")))
+    return mixed.select(F.struct(F.col("before").alias("text"), *[c for c in DOCUMENT_COLUMNS if c != "text"]).alias("d"), "text").select(*_retold(F.col("text")))
 
 
 def packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

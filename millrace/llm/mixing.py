@@ -111,11 +111,12 @@ def mixed_rows(docs: DataFrame, quality: DataFrame | None = None, **options) ->
 
     Rows that share an id take what the operator gives to any one of them.
     """
-    plan = mix_sources(docs, quality, **options).groupBy("doc_id").agg(F.max("size").alias("_size"), F.max("taken").alias("_taken"))
-    plan = plan.withColumnRenamed("doc_id", "_id").where("_taken > 0")
-    out = docs.join(plan, F.col("doc_id").cast("long").eqNullSafe(F.col("_id")))
-    full, rest = F.floor(F.col("_taken") / F.col("_size")), F.col("_taken") % F.col("_size")
+    plan = mix_sources(docs, quality, **options).groupBy("doc_id").agg(F.max("size").alias("size"), F.max("taken").alias("taken"))
+    plan = plan.withColumnRenamed("doc_id", "id").where("taken > 0")
+    packed = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("d"))  # docs may have columns of any name
+    out = packed.join(plan, F.col("d.doc_id").cast("long").eqNullSafe(F.col("id")))
+    full, rest = F.floor(F.col("taken") / F.col("size")), F.col("taken") % F.col("size")
     copies = F.concat(F.array_repeat(F.lit(-1).cast("long"), full.cast("int")), F.when(rest > 0, F.array(rest)).otherwise(F.array().cast("array<long>")))
-    out = out.withColumn("_cut", F.explode(copies))
-    out = out.withColumn("text", F.when(F.col("_cut") < 0, F.col("text")).otherwise(first_words(F.col("text"), F.col("_cut"))))
-    return out.drop("_id", "_size", "_taken", "_cut")
+    out = out.select("d", F.explode(copies).alias("cut"))
+    text = F.when(F.col("cut") < 0, F.col("d.text")).otherwise(first_words(F.col("d.text"), F.col("cut")))
+    return out.select(*[text.alias("text") if c == "text" else F.col(f"d.`{c}`") for c in docs.columns])

@@ -30,7 +30,7 @@ def op1_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op2_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return substring_dedup(table(spark, sf_dir, "documents"), length=35).drop("kept_text")
+    return substring_dedup(table(spark, sf_dir, "documents"), length=35).drop("kept_text", "words_sha256")
 
 
 def op3_pack_sequences(spark: SparkSession, sf_dir: str) -> DataFrame:
