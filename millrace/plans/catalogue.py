@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 
 from millrace.functions.phasors import unbalance_percent
 from millrace.operators import intervals, series
+from millrace.streaming import flows
 
 FLAGSHIP = "zone_segments"
 QUERIES: dict = {}
@@ -230,3 +231,44 @@ def returned_revenue(spark, sf_dir):
     out = t("lineitem").where("l_returnflag = 'R'").join(t("orders"), F.col("l_orderkey") == F.col("o_orderkey"))
     out = out.join(t("customer"), F.col("o_custkey") == F.col("c_custkey")).join(t("nation"), F.col("c_nationkey") == F.col("n_nationkey"))
     return out.groupBy("n_name", "o_orderpriority").agg(F.count("*").alias("orders"), F.sum(cents).alias("revenue"))
+
+
+def _shared(spark: SparkSession, tag: str) -> str:
+    """A new folder in the place that driver and executors share."""
+    import tempfile
+    import uuid
+
+    base = spark.conf.get("spark.checkpoint.dir", None)
+    if not base:
+        base = "file://" + tempfile.mkdtemp(prefix="millrace-")
+        spark.conf.set("spark.checkpoint.dir", base)
+    return f"{base}/{tag}-{uuid.uuid4().hex}"
+
+
+def _drain(stream_writer) -> None:
+    running = stream_writer.trigger(availableNow=True).start()
+    running.awaitTermination()
+    if running.exception():
+        raise running.exception()
+
+
+@query("""SELECT user_id, arg_max(event_id, (ts, event_id)) AS event_id, max(ts) AS ts, arg_max(event_type, (ts, event_id)) AS event_type FROM events GROUP BY user_id""")
+def streamed_last_reading(spark, sf_dir):
+    """events as a stream, merged batch by batch into a snapshot of each device's last reading."""
+    home = _shared(spark, "snapshot")
+    stream = flows.read_readings(spark, f"{sf_dir}/events.parquet*").withColumn("at", F.struct("ts", "event_id"))
+    latest = lambda batch, n: flows.snapshot_writer(f"{home}/rows", ["user_id"], "at")(batch.groupBy("user_id").agg(F.max_by(F.struct("event_type"), "at").alias("r"), F.max("at").alias("at")), n)
+    _drain(stream.writeStream.foreachBatch(latest).option("checkpointLocation", f"{home}/log"))
+    rows = spark.read.parquet(f"{home}/rows/0")
+    return rows.select("user_id", F.col("at.event_id").alias("event_id"), F.col("at.ts").cast("timestamp_ntz").alias("ts"), F.col("r.event_type").alias("event_type"))
+
+
+@query("""WITH h AS (SELECT date_trunc('hour', ts)::TIMESTAMP AS start, event_type, count(*) AS n, sum(round(value * 100)::BIGINT)::BIGINT AS cents, max(value) AS greatest FROM events GROUP BY ALL)
+SELECT start, event_type, n, cents, greatest FROM h WHERE start + INTERVAL 70 MINUTE <= (SELECT max(ts) FROM events)""")
+def streamed_hourly_windows(spark, sf_dir):
+    """Hourly windows of the stream that the watermark (10 minutes behind the last reading) has closed."""
+    home = _shared(spark, "windows")
+    out = flows.windowed_counts(flows.read_readings(spark, f"{sf_dir}/events.parquet*"))
+    _drain(out.writeStream.outputMode("append").format("parquet").option("path", f"{home}/rows").option("checkpointLocation", f"{home}/log"))
+    rows = spark.read.parquet(f"{home}/rows")
+    return rows.select(F.col("start").cast("timestamp_ntz").alias("start"), "event_type", "n", "cents", "greatest")
