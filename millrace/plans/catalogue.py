@@ -9,8 +9,10 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from millrace.functions import power, thermal
 from millrace.functions.phasors import unbalance_percent
-from millrace.operators import intervals, series
+from millrace.operators import intervals, series, transients
+from millrace.plans import config
 from millrace.streaming import flows
 
 FLAGSHIP = "zone_segments"
@@ -272,3 +274,53 @@ def streamed_hourly_windows(spark, sf_dir):
     _drain(out.writeStream.outputMode("append").format("parquet").option("path", f"{home}/rows").option("checkpointLocation", f"{home}/log"))
     rows = spark.read.parquet(f"{home}/rows")
     return rows.select(F.col("start").cast("timestamp_ntz").alias("start"), "event_type", "n", "cents", "greatest")
+
+
+@query("""WITH s AS (SELECT event_id AS step_id, user_id, ts FROM events WHERE event_type = 'purchase' AND value >= 80),
+r AS (SELECT user_id, ts, 100.0::DOUBLE * (value - 50) / 50 AS d FROM events WHERE event_type = 'view'),
+m AS (SELECT step_id, d, date_diff('microsecond', s.ts, r.ts) / 1e6 AS age FROM s JOIN r ON s.user_id = r.user_id AND r.ts > s.ts AND r.ts <= s.ts + INTERVAL 172800 SECOND),
+o AS (SELECT *, coalesce(max(CASE WHEN abs(d) > 60 THEN age END) OVER (PARTITION BY step_id), 0) AS last_out FROM m),
+f AS (SELECT step_id, count(*) AS n, round(greatest(0, -min(d)), 6) AS dip_percent, round(greatest(0, max(d)), 6) AS rise_percent, min(CASE WHEN age > last_out THEN age END) AS recovery_seconds FROM o GROUP BY step_id)
+SELECT s.step_id, s.user_id, coalesce(n, 0)::BIGINT AS n, dip_percent, rise_percent, round(recovery_seconds, 6) AS recovery_seconds FROM s LEFT JOIN f USING (step_id)""")
+def step_responses(spark, sf_dir):
+    """How the viewing values of a device deviate from 50 in the two days after a large purchase."""
+    e = table(spark, sf_dir, "events")
+    steps = e.where("event_type = 'purchase' and value >= 80").select(F.col("event_id").alias("step_id"), "user_id", "ts")
+    out = transients.step_response(steps, e.where("event_type = 'view'"), KEYS, "ts", "value", nominal=50.0, horizon=172800.0, band=60.0)
+    return out.select("step_id", "user_id", "n", *[F.round(c, 6).alias(c) for c in ("dip_percent", "rise_percent", "recovery_seconds")])
+
+
+BANDS = [{"name": "low", "low": 0.0, "high": 25.0}, {"name": "normal", "low": 25.0, "high": 75.0}, {"name": "elevated", "low": 75.0, "high": 150.0}]
+
+
+@query(f"""{_E}, z AS (SELECT user_id, CASE WHEN value < 25 THEN 'low' WHEN value < 75 THEN 'normal' WHEN value < 150 THEN 'elevated' ELSE 'beyond' END AS zone, ts,
+  date_diff('microsecond', ts, lead(ts) OVER (PARTITION BY user_id ORDER BY ts, event_id)) AS micros FROM e)
+SELECT user_id, zone, count(*) AS n, sum(micros)::BIGINT AS micros FROM z GROUP BY user_id, zone""")
+def time_in_zone(spark, sf_dir):
+    """How long each device's last reading lay in each band; a reading holds until the next."""
+    config.check_bands(BANDS)
+    e = readings(spark, sf_dir)
+    zone = F.coalesce(power.band_of(F.col("value"), BANDS), F.lit("beyond"))
+    here = F.struct(zone.alias("zone"), F.col("ts").alias("t"))
+    out = series.previous(e, KEYS, "day", ORDER, here, "before")
+    held = out.where("before is not null").select("user_id", F.col("before.zone").alias("zone"), (F.unix_micros(F.col("ts").cast("timestamp")) - F.unix_micros(F.col("before.t").cast("timestamp"))).alias("micros"))
+    times = held.groupBy("user_id", "zone").agg(F.sum("micros").alias("micros"))
+    counts = e.groupBy("user_id", zone.alias("zone")).agg(F.count("*").alias("n"))
+    return counts.join(times, ["user_id", "zone"], "left")
+
+
+@query(f"""{_E}, h AS (SELECT user_id, day, avg(cents) AS y FROM e GROUP BY ALL),
+w AS (SELECT user_id, day, y AS c, lag(y) OVER k AS b, lag(y, 2) OVER k AS a, lag(day, 2) OVER k AS d2 FROM h WINDOW k AS (PARTITION BY user_id ORDER BY day)),
+r AS (SELECT *, CASE WHEN b <> a THEN (c - b) / (b - a) END AS r FROM w WHERE d2 = day - INTERVAL 2 DAY)
+SELECT user_id, day, round(CASE WHEN r > 0 AND r < 0.95 THEN c + (c - b) * r / (1 - r) END, 2) AS asymptote FROM r WHERE r > 0 AND r < 0.95""")
+def daily_asymptotes(spark, sf_dir):
+    """Where a device's daily mean heads, if its steps over three days in a row shrink by at least a twentieth."""
+    from pyspark.sql import Window
+
+    days = readings(spark, sf_dir).groupBy("user_id", "day").agg(F.avg("cents").alias("c"))
+    k = Window.partitionBy("user_id").orderBy("day")
+    three = days.select("user_id", "day", "c", F.lag("c").over(k).alias("b"), F.lag("c", 2).over(k).alias("a"), F.lag("day", 2).over(k).alias("first"))
+    three = three.where(F.col("first") == F.col("day") - F.expr("interval 2 days"))
+    steady = (F.col("c") - F.col("b")) / (F.col("b") - F.col("a"))
+    out = three.where(F.col("b") != F.col("a")).where((steady > 0) & (steady < 0.95))
+    return out.select("user_id", "day", F.round(thermal.asymptote(F.col("a"), F.col("b"), F.col("c")), 2).alias("asymptote"))
