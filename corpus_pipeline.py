@@ -15,7 +15,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from millrace.llm.common import DOCUMENT_COLUMNS, WORD, Staging, table
+from millrace.llm.common import DOCUMENT_COLUMNS, WORD, Staging, staged_here, table
 from millrace.llm.langid import identify
 from millrace.llm.mixing import mixed_rows
 from millrace.llm.neardup import near_duplicates
@@ -82,7 +82,8 @@ STAGES = [
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     staging, docs = Staging(spark, "pipeline"), table(spark, sf_dir, "documents")
     for name, stage in STAGES:
-        docs = staging.put(stage(spark, docs, sf_dir), name)
+        with staged_here():
+            docs = staging.put(stage(spark, docs, sf_dir), name)
     return docs
 
 

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import contextlib
 import tempfile
 import uuid
 
@@ -48,13 +49,19 @@ class Staging:
     """Intermediate tables in the shared folder.
 
     A staged table cuts lineage: after the loss of an executor, work starts
-    again from files that all executors can read.
+    again from files that all executors can read. Operators drop what they no
+    longer read; the tables under a result stay, as the result is lazy. A
+    caller that has written the result may let staged_here() delete them.
     """
 
+    opened: list[list[Staging]] = []
+
     def __init__(self, spark: SparkSession, tag: str) -> None:
         self.spark = spark
         self.base = f"{shared_dir(spark)}/{tag}-{uuid.uuid4().hex}"
         self.count = 0
+        for scope in self.opened:
+            scope.append(self)
 
     def put(self, df: DataFrame, name: str = "t") -> DataFrame:
         self.count += 1
@@ -66,10 +73,23 @@ class Staging:
 
     def drop(self, *frames: DataFrame) -> None:
         """Deletes staged tables that nothing reads any longer."""
-        jvm = self.spark._jvm
         for df in frames:
-            path = jvm.org.apache.hadoop.fs.Path(df._staged_path)
-            path.getFileSystem(self.spark._jsc.hadoopConfiguration()).delete(path, True)
+            self._delete(df._staged_path)
+
+    def _delete(self, path: str) -> None:
+        path = self.spark._jvm.org.apache.hadoop.fs.Path(path)
+        path.getFileSystem(self.spark._jsc.hadoopConfiguration()).delete(path, True)
+
+
+@contextlib.contextmanager
+def staged_here():
+    """Deletes, at its end, the tables that operators staged inside; write their results before."""
+    Staging.opened.append([])
+    try:
+        yield
+    finally:
+        for staging in Staging.opened.pop():
+            staging._delete(staging.base)
 
 
 def is_empty(df: DataFrame) -> bool:

@@ -54,8 +54,11 @@ def connected_components(links: DataFrame, staging: Staging, local_links: int =
     cur = staging.put(clean, "links")
     n = cur.count()
     if n <= local_links:
-        return staging.put(cur.coalesce(1).mapInArrow(_forest, shape), "components")
-    cur = staging.put(cur.mapInArrow(_forest, shape).where("node <> root"), "forest")
+        out = staging.put(cur.coalesce(1).mapInArrow(_forest, shape), "components")
+        staging.drop(cur)
+        return out
+    whole, cur = cur, staging.put(cur.mapInArrow(_forest, shape).where("node <> root"), "forest")
+    staging.drop(whole)
     seen = None
     while True:
         both = cur.select(F.col("node").alias("u"), F.col("root").alias("v")).union(cur.select("root", "node"))
