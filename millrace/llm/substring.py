@@ -28,7 +28,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from millrace.llm.common import Staging, is_empty, window_hashes, word_hashes
+from millrace.llm.common import Staging, is_empty, mix64, window_hashes, word_hashes
 
 
 def _levels(length: int) -> tuple[int, int]:
@@ -103,7 +103,12 @@ SEND = 100_000
 
 
 def _wholes(length: int):
-    """Rows (fp, text, repeated halves) -> (fp, whole_1, whole_2, place) of the full windows round those halves."""
+    """Rows (fp, text, repeated halves) -> (fp, whole_1, whole_2, place, sure) of the full windows round those halves.
+
+    Windows that repeat within a batch are sure already: they get keys of
+    their own, and one row stands for all of them under the common key, so the
+    exchange has a hot window once a batch.
+    """
     quarter, half = _levels(length)
 
     def run(batches):
@@ -111,11 +116,23 @@ def _wholes(length: int):
             fps, counts, cols = [], [], ([], [], [])
 
             def send():
-                owner = pa.array(np.repeat(np.arange(len(fps)), counts))
-                out = [pa.array(fps, pa.binary()).take(owner), *(pa.array(np.concatenate(c)) for c in cols)]
+                one, two, place = (np.concatenate(c) for c in cols)
+                owner = np.repeat(np.arange(len(fps)), counts)
+                order = np.lexsort((two, one))
+                same = (one[order][1:] == one[order][:-1]) & (two[order][1:] == two[order][:-1])
+                sure, follows = np.zeros((2, len(one)), bool)
+                sure[order[1:][same]] = True
+                sure[order[:-1][same]] = True
+                follows[order[1:][same]] = True
+                speaks = np.flatnonzero(sure & ~follows)
+                spread = mix64(one.view(np.uint64) ^ mix64((owner * (1 << 32) + place).astype(np.uint64) ^ np.uint64(xxhash.xxh3_64_intdigest(b"".join(fps))))).view(np.int64)
+                at = np.concatenate([np.arange(len(one)), speaks])
+                one = np.concatenate([np.where(sure, spread, one), one[speaks]])
+                names = pa.array(fps, pa.binary()).take(pa.array(owner[at]))
+                flag = np.concatenate([sure, np.zeros(len(speaks), bool)])
                 for x in (fps, counts, *cols):
                     x.clear()
-                return pa.RecordBatch.from_arrays(out, names=["fp", "whole_1", "whole_2", "place"])
+                return pa.RecordBatch.from_arrays([names, pa.array(one), pa.array(two[at]), pa.array(place[at]), pa.array(flag)], names=["fp", "whole_1", "whole_2", "place", "sure"])
 
             for fp, t, known in zip(b.column(0).to_pylist(), b.column(1).cast(pa.binary()), b.column(2)):
                 h = word_hashes(t.as_py() or b"")
@@ -147,7 +164,7 @@ def _repeated(batches):
         same = np.zeros(b.num_rows + 1, bool)
         same[1:-1] = (keys[:, 1:] == keys[:, :-1]).all(axis=0)
         same[0] = last is not None and bool((keys[:, 0] == last).all())
-        hit = same[:-1] | same[1:]
+        hit = same[:-1] | same[1:] | b.column(4).to_numpy(zero_copy_only=False)
         if same[0] and pending is not None:
             yield pending
         out = b.select([0, 3])
@@ -204,6 +221,8 @@ def substring_dedup(docs: DataFrame, length: int = 35, id_col: str = "doc_id", t
         # one text of each class that has candidates, found by the words themselves
         texts = docs.where(F.col("text").isNotNull()).mapInArrow(_by_words, "fp binary, text string")
         texts = st.put(texts.join(known, "fp").dropDuplicates(["fp"]).select("fp", "text", "known"), "texts")
+        st.drop(known)
+        staged = texts
         # level 2: halves that repeat
         halves = texts.mapInArrow(_halves(length), "fp binary, halves array<long>")
         known = _survivors(st, halves.select("fp", F.explode("halves").alias("h")))
@@ -211,11 +230,12 @@ def substring_dedup(docs: DataFrame, length: int = 35, id_col: str = "doc_id", t
             # the last level: whole windows that repeat; only texts that lose some, but not all, are cut
             once = classes.where("copies = 1").select("fp")
             texts = texts.select("fp", "text")
-            rows = texts.join(known, "fp").mapInArrow(_wholes(length), "fp binary, whole_1 long, whole_2 long, place int")
+            rows = texts.join(known, "fp").mapInArrow(_wholes(length), "fp binary, whole_1 long, whole_2 long, place int, sure boolean")
             rows = rows.repartition(F.col("whole_1")).sortWithinPartitions("whole_1", "whole_2")
             hits = rows.mapInArrow(_repeated, "fp binary, place int").groupBy("fp").agg(F.collect_list("place").alias("places"))
             hits = texts.join(hits.join(once, "fp", "left_semi"), "fp").select("fp", "text", "places")
             cut = st.put(hits.mapInArrow(_cut(length), "fp binary, n_removed long, kept_sha256 string, kept_text string"), "cut")
+            st.drop(staged, known)
 
     out = scanned.select("doc_id", "fp", "n_words", "sha256").join(classes.where("copies > 1").select("fp", F.lit(True).alias("copied")), "fp", "left")
     copied = F.coalesce(F.col("copied"), F.lit(False))
@@ -230,8 +250,11 @@ def substring_dedup(docs: DataFrame, length: int = 35, id_col: str = "doc_id", t
 
 def _survivors(st: Staging, hashes: DataFrame) -> DataFrame:
     """(fp, h) -> (fp, known): of each text the hashes that occur at two places or more in all."""
-    often = hashes.groupBy("h").agg(F.count("*").alias("n")).where("n > 1").select("h")
-    return st.put(hashes.join(often, "h", "left_semi").groupBy("fp").agg(F.collect_set("h").alias("known")), "known")
+    # staged, so that the join has a plain exchange on either side and Spark can split a hot hash
+    often = st.put(hashes.groupBy("h").agg(F.count("*").alias("n")).where("n > 1").select("h"), "often")
+    known = st.put(hashes.join(often, "h", "left_semi").groupBy("fp").agg(F.collect_set("h").alias("known")), "known")
+    st.drop(often)
+    return known
 
 
 def _by_words(batches):
