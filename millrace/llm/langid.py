@@ -116,11 +116,16 @@ def fit(docs: DataFrame, sample_docs: int = SAMPLE_DOCS, sample_chars: int = SAM
 
     Bounded sample, the same in every run: per language the sample_docs
     documents with the least hash of the id, then sample_chars characters of
-    their letters, a bounded piece of each.
+    their letters, a bounded piece of each. Languages are counted first, so
+    that only rows with a hash in the lowest share, a few times as many as
+    wanted, are ever sorted.
     """
-    known = docs.where((fold(F.col("doc_id")) != 0) & F.col("lang").isNotNull() & (F.length("text") > 0))
-    order = Window.partitionBy("lang").orderBy(F.xxhash64("doc_id"), "doc_id", F.xxhash64("text"))
-    picked = known.select("doc_id", "lang", "text").withColumn("i", F.row_number().over(order)).where(F.col("i") <= sample_docs)
+    known = docs.where((fold(F.col("doc_id")) != 0) & F.col("lang").isNotNull()).withColumn("h", F.xxhash64("doc_id"))
+    # one row a language, as in the model itself
+    share = known.groupBy("lang").agg((4.0 * sample_docs / F.count("*")).alias("share"))
+    low = known.join(F.broadcast(share), "lang").where((F.pmod("h", F.lit(2**32)) < F.col("share") * 2**32) & (F.length("text") > 0))
+    order = Window.partitionBy("lang").orderBy(F.pmod("h", F.lit(2**32)), "doc_id", F.xxhash64("text"))
+    picked = low.select("doc_id", "h", "lang", "text").withColumn("i", F.row_number().over(order)).where(F.col("i") <= sample_docs)
     rows = picked.select("lang", "i", F.substring("text", 1, max(200, 8 * sample_chars // sample_docs)).alias("text")).collect()
     texts: dict[str, list[str]] = {}
     for r in sorted(rows, key=lambda r: (r.lang, r.i)):
