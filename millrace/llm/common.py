@@ -92,6 +92,22 @@ def staged_here():
             staging._delete(staging.base)
 
 
+def keyed_texts(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
+    """doc_id, text, key: a hash of the text, so that id and key find a text even where ids are null or repeat."""
+    text = F.col(text_col).cast("string")
+    return docs.select(F.col(id_col).cast("long").alias("doc_id"), text.alias("text"), F.xxhash64(text).alias("key"))
+
+
+def text_of_classes(docs: DataFrame, members: DataFrame) -> DataFrame:
+    """One text (fp, text) of each class in members(fp, doc_id, key), looked up in keyed_texts.
+
+    One member is chosen before texts move, so a large class of copies moves
+    one text. Hashes may collide: check fp against the text, and drop repeats.
+    """
+    chosen = members.groupBy("fp").agg(F.min(F.struct("doc_id", "key")).alias("m")).select("fp", F.col("m.doc_id").alias("id"), F.col("m.key").alias("k"))
+    return docs.join(chosen, docs.doc_id.eqNullSafe(chosen.id) & (docs.key == chosen.k)).select("fp", "text")
+
+
 def is_empty(df: DataFrame) -> bool:
     return not df.limit(1).count()
 

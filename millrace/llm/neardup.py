@@ -22,7 +22,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from millrace.llm.common import Staging, mix64, window_hashes, word_hashes
+from millrace.llm.common import Staging, keyed_texts, mix64, text_of_classes, window_hashes, word_hashes
 from millrace.llm.components import connected_components
 
 #: 32 bands of 4: a pair at 0.8 is missed with probability (1 - 0.8**4)**32 < 1e-7.
@@ -97,7 +97,7 @@ def _sign(k: int, bands: int, rows: int):
                         flush()
                         held = 0
             flush()
-            yield pa.RecordBatch.from_arrays([ids, pa.array(fps, pa.binary()), pa.array(sizes, pa.int64()), pa.array(codes, pa.list_(pa.int64()))], names=["doc_id", "fp", "n_shingles", "codes"])
+            yield pa.RecordBatch.from_arrays([ids, batch.column(2), pa.array(fps, pa.binary()), pa.array(sizes, pa.int64()), pa.array(codes, pa.list_(pa.int64()))], names=["doc_id", "key", "fp", "n_shingles", "codes"])
 
     return run
 
@@ -209,20 +209,19 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     spark = docs.sparkSession
     num, den = similarity
     st = Staging(spark, "neardup")
-    docs = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
-    signed = st.put(docs.mapInArrow(_sign(shingle, bands, rows), "doc_id long, fp binary, n_shingles long, codes array<long>"), "signed")
+    docs = keyed_texts(docs, id_col, text_col)
+    signed = st.put(docs.mapInArrow(_sign(shingle, bands, rows), "doc_id long, key long, fp binary, n_shingles long, codes array<long>"), "signed")
     thin = signed.select("doc_id", "fp", "n_shingles")
 
     codes = signed.where("n_shingles > 0").groupBy("fp").agg(F.first("codes").alias("codes"), F.first("n_shingles").alias("n"))
     entries = st.put(codes.select("fp", "n", F.explode("codes").alias("bucket")), "entries")
-    full = entries.groupBy("bucket").agg(F.count("*").alias("size")).where("size > 1")
+    full = st.put(entries.groupBy("bucket").agg(F.count("*").alias("size")).where("size > 1"), "full")  # staged: Spark can then split a hot bucket's join
     members = entries.join(full, "bucket")
     degree = members.groupBy("fp").agg(F.sum(F.col("size") - 1).alias("degree"))
     members = st.put(members.select("bucket", "fp", "n").join(degree, "fp"), "members")
-    st.drop(entries)
+    st.drop(entries, full)
 
-    wanted = thin.join(members.select("fp").distinct(), "fp", "left_semi").groupBy("fp").agg(F.min("doc_id").alias("doc_id"))
-    texts = docs.join(wanted, docs.doc_id.eqNullSafe(wanted.doc_id)).select("fp", "text")
+    texts = text_of_classes(docs, signed.select("fp", "doc_id", "key").join(members.select("fp").distinct(), "fp", "left_semi"))
     texts = st.put(texts.mapInArrow(_matching_text(shingle), "fp binary, text string").dropDuplicates(["fp"]), "texts")
 
     # each class against the most connected class of its buckets
@@ -249,6 +248,7 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     dealt = st.put(known.join(texts, "fp").select("grp", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), "own", "fp", "root", "inside", "text"), "dealt")
     found = dealt.groupBy("grp", "i", "j").applyInArrow(_link_block(shingle, num, den, bands * rows), "a binary, b binary")
     roots = connected_components(links.union(found), st)
+    st.drop(members, texts, star, links, dealt)
 
     ids = thin.groupBy("fp").agg(F.min("doc_id").alias("least"))
     joined = ids.join(roots.withColumnRenamed("node", "fp"), "fp")

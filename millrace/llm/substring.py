@@ -28,7 +28,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from millrace.llm.common import Staging, is_empty, mix64, window_hashes, word_hashes
+from millrace.llm.common import Staging, is_empty, keyed_texts, mix64, text_of_classes, window_hashes, word_hashes
 
 
 def _levels(length: int) -> tuple[int, int]:
@@ -68,7 +68,7 @@ def _scan(length: int):
                 h = word_hashes(joined)
                 places = np.unique(anchors(h, length, quarter))
                 hashes.append(window_hashes(h, quarter)[places].view(np.int64) if len(places) else [])
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(fps, pa.binary()), pa.array(sizes, pa.int64()), pa.array(shas, pa.string()), pa.array(hashes, pa.list_(pa.int64()))], names=["doc_id", "fp", "n_words", "sha256", "anchors"])
+            yield pa.RecordBatch.from_arrays([b.column(0), b.column(2), pa.array(fps, pa.binary()), pa.array(sizes, pa.int64()), pa.array(shas, pa.string()), pa.array(hashes, pa.list_(pa.int64()))], names=["doc_id", "key", "fp", "n_words", "sha256", "anchors"])
 
     return run
 
@@ -208,9 +208,9 @@ def substring_dedup(docs: DataFrame, length: int = 35, id_col: str = "doc_id", t
     """
     spark = docs.sparkSession
     st = Staging(spark, "substring")
-    docs = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
+    docs = keyed_texts(docs, id_col, text_col)
     empty = F.lit(hashlib.sha256(b"").hexdigest())
-    scanned = st.put(docs.mapInArrow(_scan(length), "doc_id long, fp binary, n_words long, sha256 string, anchors array<long>"), "scanned")
+    scanned = st.put(docs.mapInArrow(_scan(length), "doc_id long, key long, fp binary, n_words long, sha256 string, anchors array<long>"), "scanned")
     classes = scanned.where(F.col("n_words") >= length).groupBy("fp").agg(F.count("*").alias("copies"), F.first("anchors").alias("anchors"))
     classes = st.put(classes, "classes")
 
@@ -218,9 +218,10 @@ def substring_dedup(docs: DataFrame, length: int = 35, id_col: str = "doc_id", t
     known = _survivors(st, classes.select("fp", F.explode("anchors").alias("h")))
     cut = None
     if not is_empty(known):
-        # one text of each class that has candidates, found by the words themselves
-        texts = docs.where(F.col("text").isNotNull()).mapInArrow(_by_words, "fp binary, text string")
-        texts = st.put(texts.join(known, "fp").dropDuplicates(["fp"]).select("fp", "text", "known"), "texts")
+        # one text of each class that has candidates
+        texts = text_of_classes(docs, scanned.join(known.select("fp"), "fp", "left_semi"))
+        texts = texts.mapInArrow(_same_words, "fp binary, text string").dropDuplicates(["fp"])
+        texts = st.put(texts.join(known, "fp").select("fp", "text", "known"), "texts")
         st.drop(known)
         staged = texts
         # level 2: halves that repeat
@@ -257,7 +258,8 @@ def _survivors(st: Staging, hashes: DataFrame) -> DataFrame:
     return known
 
 
-def _by_words(batches):
+def _same_words(batches):
+    """Keeps the rows (fp, text) whose words have that fingerprint."""
     for b in batches:
-        fps = [xxhash.xxh3_128_digest(b" ".join((t.as_py() or b"").split())) for t in b.column(1).cast(pa.binary())]
-        yield pa.RecordBatch.from_arrays([pa.array(fps, pa.binary()), b.column(1)], names=["fp", "text"])
+        ok = [xxhash.xxh3_128_digest(b" ".join((t.as_py() or b"").split())) == f for f, t in zip(b.column(0).to_pylist(), b.column(1).cast(pa.binary()))]
+        yield b.filter(pa.array(ok, pa.bool_()))
