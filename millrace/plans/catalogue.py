@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 from millrace.functions import power, thermal
 from millrace.functions.phasors import unbalance_percent
-from millrace.operators import intervals, series, transients
+from millrace.operators import intervals, series, summaries, transients
 from millrace.plans import config
 from millrace.streaming import flows
 
@@ -324,3 +324,52 @@ def daily_asymptotes(spark, sf_dir):
     steady = (F.col("c") - F.col("b")) / (F.col("b") - F.col("a"))
     out = three.where(F.col("b") != F.col("a")).where((steady > 0) & (steady < 0.95))
     return out.select("user_id", "day", F.round(thermal.asymptote(F.col("a"), F.col("b"), F.col("c")), 2).alias("asymptote"))
+
+
+@query(f"""{_E}, g AS (SELECT user_id, unnest(generate_series(date_trunc('hour', min(ts)) + INTERVAL 6 HOUR, max(ts), INTERVAL 6 HOUR))::TIMESTAMP AS ts FROM e GROUP BY user_id)
+SELECT g.user_id, g.ts, e.cents FROM g ASOF JOIN e ON g.user_id = e.user_id AND g.ts >= e.ts""")
+def six_hour_grid(spark, sf_dir):
+    return summaries.resample(readings(spark, sf_dir), KEYS, "ts", "event_id", "6 hours", "cents")
+
+
+@query(f"""{_E}, p AS (SELECT user_id, cents, date_diff('microsecond', ts, lead(ts) OVER (PARTITION BY user_id ORDER BY ts, event_id)) / 1e6 AS s FROM e)
+SELECT user_id, round(sum(s), 4) AS seconds, round(sum(cents * s) / sum(s), 4) AS mean FROM p WHERE s IS NOT NULL GROUP BY user_id""")
+def time_weighted_mean(spark, sf_dir):
+    out = summaries.time_weighted_mean(readings(spark, sf_dir), KEYS, "ts", ORDER, "day", "cents")
+    return out.select("user_id", F.round("seconds", 4).alias("seconds"), F.round("mean", 4).alias("mean"))
+
+
+_COVER = "WITH " + _MERGED.format(name="a", hours=24, kind="view") + ", " + _MERGED.format(name="h", hours=6, kind="error")
+
+
+@query(_COVER + """, t AS (SELECT user_id, sum(date_diff('microsecond', start, stop)) AS all_us FROM a GROUP BY user_id),
+c AS (SELECT a.user_id, sum(date_diff('microsecond', greatest(a.start, h.start), least(a.stop, h.stop))) AS lost_us FROM a JOIN h ON a.user_id = h.user_id AND a.start < h.stop AND h.start < a.stop GROUP BY a.user_id)
+SELECT user_id, round(all_us / 1e6, 4) AS seconds, round(1 - coalesce(lost_us, 0) / all_us, 6) AS share FROM t LEFT JOIN c USING (user_id)""")
+def coverage_share(spark, sf_dir):
+    out = summaries.coverage(_sessions(spark, sf_dir, "view", 24), _sessions(spark, sf_dir, "error", 6), KEYS)
+    return out.select("user_id", F.round("seconds", 4).alias("seconds"), F.round("share", 6).alias("share"))
+
+
+@query("""WITH d AS (SELECT user_id, event_type, count(*) AS n, max(date_trunc('day', ts)) FILTER (ts < TIMESTAMP '2024-01-15') AS o, count(*) FILTER (ts < TIMESTAMP '2024-01-08') AS a, count(*) FILTER (ts >= TIMESTAMP '2024-01-08' AND ts < TIMESTAMP '2024-01-15') AS b FROM events GROUP BY ALL)
+SELECT user_id, event_type, CASE WHEN a = 0 THEN 'opened' WHEN b = 0 THEN 'closed' ELSE 'updated' END AS change, CASE WHEN b > 0 THEN b END AS n, CASE WHEN a > 0 THEN a END AS old_n FROM d WHERE a <> b""")
+def weekly_changes(spark, sf_dir):
+    """How the counts by device and signal differ between the first two weeks."""
+    e = table(spark, sf_dir, "events")
+    week = lambda a, b: e.where((F.col("ts") >= F.lit(a).cast("timestamp_ntz")) & (F.col("ts") < F.lit(b).cast("timestamp_ntz"))).groupBy("user_id", "event_type").agg(F.count("*").alias("n"))
+    return summaries.snapshot_diff(week("2000-01-01", "2024-01-08"), week("2024-01-08", "2024-01-15"), ["user_id", "event_type"], ["n"])
+
+
+@query("""WITH p AS (SELECT user_id, ts AS start, ts + INTERVAL 2 HOUR AS stop FROM events WHERE event_type = 'error'),
+g AS (SELECT *, sum(new) OVER (PARTITION BY user_id ORDER BY start ROWS UNBOUNDED PRECEDING) AS g FROM (
+  SELECT *, CASE WHEN start <= max(stop) OVER (PARTITION BY user_id ORDER BY start ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) + INTERVAL 12 HOUR THEN 0 ELSE 1 END AS new FROM p))
+SELECT user_id, min(start) AS start, max(stop) AS stop FROM g GROUP BY user_id, g HAVING max(stop) - min(start) >= INTERVAL 6 HOUR""")
+def alarm_episodes(spark, sf_dir):
+    """An error raises an alarm for two hours; pauses of up to 12 hours join; 6 hours at least."""
+    return summaries.alarm_episodes(_sessions(spark, sf_dir, "error", 2), KEYS, "start", "stop", off_delay=43200.0, on_delay=21600.0)
+
+
+@query(f"""{_E} SELECT event_type, user_id, event_id, cents, row_number() OVER (PARTITION BY event_type ORDER BY cents DESC, event_id) AS rank FROM e QUALIFY rank <= 5""")
+def top_readings(spark, sf_dir):
+    """A top-k report: the five greatest readings of each signal."""
+    out = summaries.top_rows(readings(spark, sf_dir), ["event_type"], [F.desc("cents"), F.asc("event_id")], 5)
+    return out.select("event_type", "user_id", "event_id", "cents", "rank")
