@@ -84,7 +84,7 @@ def robust_summary(df: DataFrame, keys: list[str], time: str, tie: str, value: s
     Medians are exact; the slope is null for fewer than two moments.
     """
     at = F.struct(time, tie)
-    hours = (F.unix_micros(F.col(time).cast("timestamp")) - F.unix_micros(F.lit("2024-01-01").cast("timestamp"))) / 3.6e9
+    hours = seconds_between(F.lit("2024-01-01").cast("timestamp_ntz"), F.col(time)) / 3600
     base = df.where(F.col(value).isNotNull())
     first = base.groupBy(*keys).agg(F.count("*").alias("n"), F.min(value).alias("least"), F.max(value).alias("greatest"), F.min_by(value, at).alias("first_value"), F.max_by(value, at).alias("last_value"), F.median(value).alias("median"), F.regr_slope(F.col(value), hours).alias("slope_per_hour"))
     gaps = beside(base.select(*keys, value), first.select(*keys, F.col("median").alias("_m")), keys, "inner")

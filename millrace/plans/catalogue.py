@@ -6,10 +6,15 @@ value the reading in hundredths (kept whole, so that sums are exact).
 
 from __future__ import annotations
 
+import functools
+import tempfile
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from millrace.functions import power, thermal
+from millrace.functions.intervals import micros
 from millrace.functions.phasors import unbalance_percent
 from millrace.operators import intervals, series, summaries, transients
 from millrace.plans import config
@@ -179,8 +184,8 @@ def interval_overlaps(spark, sf_dir):
 SELECT day, count(DISTINCT user_id) AS users, sum(date_diff('microsecond', greatest(start, day), least(stop, day + INTERVAL 1 DAY)))::BIGINT AS micros FROM d GROUP BY day""")
 def busy_time_by_day(spark, sf_dir):
     days = intervals.cut_at_days(intervals.merge(_sessions(spark, sf_dir, "view", 24), KEYS))
-    micros = F.unix_micros(F.col("stop").cast("timestamp")) - F.unix_micros(F.col("start").cast("timestamp"))
-    return days.groupBy("day").agg(F.countDistinct("user_id").alias("users"), F.sum(micros).alias("micros"))
+    length = micros(F.col("stop")) - micros(F.col("start"))
+    return days.groupBy("day").agg(F.countDistinct("user_id").alias("users"), F.sum(length).alias("micros"))
 
 
 @query("""WITH p AS (SELECT date_trunc('hour', ts)::TIMESTAMP AS hour, sum(CASE event_type WHEN 'view' THEN round(value * 100) END) AS a, sum(CASE event_type WHEN 'click' THEN round(value * 100) END) AS b, sum(CASE event_type WHEN 'error' THEN round(value * 100) END) AS c FROM events GROUP BY 1),
@@ -237,14 +242,13 @@ def returned_revenue(spark, sf_dir):
 
 def _shared(spark: SparkSession, tag: str) -> str:
     """A new folder in the place that driver and executors share."""
-    import tempfile
-    import uuid
+    return f"{spark.conf.get('spark.checkpoint.dir', None) or _own_folder()}/{tag}-{uuid.uuid4().hex}"
+
 
-    base = spark.conf.get("spark.checkpoint.dir", None)
-    if not base:
-        base = "file://" + tempfile.mkdtemp(prefix="millrace-")
-        spark.conf.set("spark.checkpoint.dir", base)
-    return f"{base}/{tag}-{uuid.uuid4().hex}"
+@functools.lru_cache(maxsize=1)
+def _own_folder() -> str:
+    """For a session without spark.checkpoint.dir, as in a local test."""
+    return "file://" + tempfile.mkdtemp(prefix="millrace-")
 
 
 def _drain(stream_writer) -> None:
@@ -303,7 +307,7 @@ def time_in_zone(spark, sf_dir):
     zone = F.coalesce(power.band_of(F.col("value"), BANDS), F.lit("beyond"))
     here = F.struct(zone.alias("zone"), F.col("ts").alias("t"))
     out = series.previous(e, KEYS, "day", ORDER, here, "before")
-    held = out.where("before is not null").select("user_id", F.col("before.zone").alias("zone"), (F.unix_micros(F.col("ts").cast("timestamp")) - F.unix_micros(F.col("before.t").cast("timestamp"))).alias("micros"))
+    held = out.where("before is not null").select("user_id", F.col("before.zone").alias("zone"), (micros(F.col("ts")) - micros(F.col("before.t"))).alias("micros"))
     times = held.groupBy("user_id", "zone").agg(F.sum("micros").alias("micros"))
     counts = e.groupBy("user_id", zone.alias("zone")).agg(F.count("*").alias("n"))
     return counts.join(times, ["user_id", "zone"], "left")
