@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import contextlib
+import functools
 import tempfile
 import uuid
 
@@ -38,11 +39,12 @@ def shared_dir(spark: SparkSession) -> str:
 
     Only a session without that setting (a local test) gets a folder of its own.
     """
-    base = spark.conf.get("spark.checkpoint.dir", None)
-    if not base:
-        base = "file://" + tempfile.mkdtemp(prefix="millrace-")
-        spark.conf.set("spark.checkpoint.dir", base)
-    return base
+    return spark.conf.get("spark.checkpoint.dir", None) or _own_folder()
+
+
+@functools.lru_cache(maxsize=1)
+def _own_folder() -> str:
+    return "file://" + tempfile.mkdtemp(prefix="millrace-")
 
 
 class Staging:
