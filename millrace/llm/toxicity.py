@@ -26,6 +26,8 @@ from millrace.llm.common import fold, held_out
 
 #: Labelled rows of each class that the classifier is fitted on.
 SAMPLE = 4_000
+#: Features that a task counts up before it sends them on.
+SEND = 2_000_000
 #: Weights kept, at most (the strongest).
 WEIGHTS = 20_000
 #: Beginnings of a word that count as features, in letters; the whole word is one more. Each is
@@ -182,17 +184,26 @@ def _document_features(sent):
 
     def run(batches):
         reader = _Reader(sent.value)
-        for b in batches:
-            found = {0: [], 1: []}
-            for y, t in zip(b.column(0).to_pylist(), b.column(1)):
-                seen = _seen(set(words_of(t.as_py() or "")), reader.features)
-                got = [f + i for f, n in seen.items() for i in range(min(n, TIMES))]
-                found[y].append(np.fromiter(got, np.int64, len(got)))
+        found, held = {0: [], 1: []}, 0
+
+        def send():
             for y, parts in found.items():
                 if parts:
                     f, n = np.unique(np.concatenate(parts), return_counts=True)
+                    parts.clear()
                     yield pa.RecordBatch.from_arrays([pa.array(f), pa.array(np.full(len(f), y)), pa.array(n.astype(np.int64))], names=["feature", "toxic", "n"])
 
+        for b in batches:
+            for y, t in zip(b.column(0).to_pylist(), b.column(1)):
+                seen = _seen(set(words_of(t.as_py() or "")), reader.features)
+                got = [f + i for f, n in seen.items() for i in range(min(n, TIMES))]
+                found[y].append(np.array(got, np.int64))
+                held += len(got)
+                if held >= SEND:
+                    yield from send()
+                    held = 0
+        yield from send()
+
     return run
 
 
