@@ -255,6 +255,7 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     named = joined.groupBy("root").agg(F.min("least").alias("component"))
     linked = joined.join(named, "root").select("fp", "component")
     by_class = ids.join(linked, "fp", "left").select("fp", F.coalesce("component", "least").alias("component"))
+    by_class = st.put(by_class, "classes")  # staged: Spark can then split the join of a class of very many copies
     out = thin.join(by_class, "fp", "left")
     component = F.when(F.col("n_shingles") > 0, F.col("component")).otherwise(F.col("doc_id"))
     return out.select("doc_id", "n_shingles", component.alias("component_id"), F.col("doc_id").eqNullSafe(component).alias("kept"))
