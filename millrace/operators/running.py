@@ -30,11 +30,10 @@ def last_known(df: DataFrame, keys: list[str], bucket: str, order: list[str], va
     """
     df = df.withColumn("_v", value)
     inside = Window.partitionBy(*keys, bucket).orderBy(*order)
-    at = F.struct(*order)
-    last = df.where("_v is not null").groupBy(*keys, bucket).agg(F.max_by("_v", at).alias("_last"))
-    every = df.select(*keys, bucket).distinct()
+    at = F.when(F.col("_v").isNotNull(), F.struct(*order))  # rows without an order don't count
     before = Window.partitionBy(*keys).orderBy(bucket).rowsBetween(Window.unboundedPreceding, -1)
-    carry = _carried(every, keys, bucket, last).withColumn("_from", F.last("_last", ignorenulls=True).over(before)).drop("_last")
+    carry = df.groupBy(*keys, bucket).agg(F.max_by("_v", at).alias("_last"))
+    carry = carry.withColumn("_from", F.last("_last", ignorenulls=True).over(before)).drop("_last")
     own = F.last("_v", ignorenulls=True).over(inside.rowsBetween(Window.unboundedPreceding, 0))
     return _carried(df.withColumn("_own", own), keys, bucket, carry).withColumn(name, F.coalesce("_own", "_from")).drop("_v", "_own", "_from")
 
