@@ -265,7 +265,8 @@ def streamed_last_reading(spark, sf_dir):
     stream = flows.read_readings(spark, f"{sf_dir}/events.parquet*").withColumn("at", F.struct("ts", "event_id"))
     latest = lambda batch, n: flows.snapshot_writer(f"{home}/rows", ["user_id"], "at")(batch.groupBy("user_id").agg(F.max_by(F.struct("event_type"), "at").alias("r"), F.max("at").alias("at")), n)
     _drain(stream.writeStream.foreachBatch(latest).option("checkpointLocation", f"{home}/log"))
-    rows = spark.read.parquet(f"{home}/rows/0")
+    last = flows.last_snapshot(spark, f"{home}/rows")
+    rows = spark.read.parquet(last) if last else spark.createDataFrame([], "user_id long, r struct<event_type: string>, at struct<ts: timestamp, event_id: long>")
     return rows.select("user_id", F.col("at.event_id").alias("event_id"), F.col("at.ts").cast("timestamp_ntz").alias("ts"), F.col("r.event_type").alias("event_type"))
 
 

@@ -13,9 +13,13 @@ from millrace.sources.tables import merge_snapshot
 READINGS = "event_id long, ts timestamp_ntz, user_id long, event_type string, value double, props string"
 
 
-def read_readings(spark: SparkSession, path: str, files_per_batch: int = 8) -> DataFrame:
-    """A folder of parquet files as a stream; event times become timestamps, which watermarks need."""
-    raw = spark.readStream.schema(READINGS).option("maxFilesPerTrigger", files_per_batch).parquet(path)
+def read_readings(spark: SparkSession, path: str, files_per_batch: int | None = 8) -> DataFrame:
+    """A folder of parquet files as a stream; event times become timestamps, which watermarks need.
+
+    files_per_batch None: all files that are there when a bounded run starts are one batch.
+    """
+    reader = spark.readStream.schema(READINGS)
+    raw = (reader if files_per_batch is None else reader.option("maxFilesPerTrigger", files_per_batch)).parquet(path)
     return raw.withColumn("ts", F.col("ts").cast("timestamp"))
 
 
@@ -84,3 +88,12 @@ def snapshot_writer(path: str, keys: list[str], version: str):
         merged.write.mode("overwrite").parquet(f"{path}/{number}")
 
     return write
+
+
+def last_snapshot(spark: SparkSession, path: str) -> str | None:
+    """The folder of the highest batch that snapshot_writer has completed under path; None if there is none."""
+    home = spark._jvm.org.apache.hadoop.fs.Path(path)
+    fs = home.getFileSystem(spark._jsc.hadoopConfiguration())
+    names = [f.getPath().getName() for f in fs.listStatus(home)] if fs.exists(home) else []
+    done = [int(n) for n in names if n.isdigit() and fs.exists(spark._jvm.org.apache.hadoop.fs.Path(f"{path}/{n}/_SUCCESS"))]
+    return f"{path}/{max(done)}" if done else None
