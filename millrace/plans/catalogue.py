@@ -273,9 +273,12 @@ def streamed_last_reading(spark, sf_dir):
 @query("""WITH h AS (SELECT date_trunc('hour', ts)::TIMESTAMP AS start, event_type, count(*) AS n, sum(round(value * 100)::BIGINT)::BIGINT AS cents, max(value) AS greatest FROM events GROUP BY ALL)
 SELECT start, event_type, n, cents, greatest FROM h WHERE start + INTERVAL 70 MINUTE <= (SELECT max(ts) FROM events)""")
 def streamed_hourly_windows(spark, sf_dir):
-    """Hourly windows of the stream that the watermark (10 minutes behind the last reading) has closed."""
+    """Hourly windows of the stream that the watermark (10 minutes behind the last reading) has closed.
+
+    The replay is bounded and its files need not be in order of time: they are one batch, so that nothing is late.
+    """
     home = _shared(spark, "windows")
-    out = flows.windowed_counts(flows.read_readings(spark, f"{sf_dir}/events.parquet*"))
+    out = flows.windowed_counts(flows.read_readings(spark, f"{sf_dir}/events.parquet*", None))
     _drain(out.writeStream.outputMode("append").format("parquet").option("path", f"{home}/rows").option("checkpointLocation", f"{home}/log"))
     rows = spark.read.parquet(f"{home}/rows")
     return rows.select(F.col("start").cast("timestamp_ntz").alias("start"), "event_type", "n", "cents", "greatest")

@@ -34,3 +34,7 @@ def test_last_reading_of_no_events(spark, many, tmp_path):
     (tmp_path / "none" / "events.parquet").mkdir(parents=True)
     none = catalogue.streamed_last_reading(spark, f"{tmp_path}/none")
     assert none.count() == 0 and none.dtypes == got.dtypes
+
+
+def test_hourly_windows_of_shuffled_files(spark, many):
+    same_as_sql(spark, many, "streamed_hourly_windows")
