@@ -42,12 +42,16 @@ SIGNS = {"0": "o", "1": "il", "2": "z", "3": "e", "4": "a", "5": "s", "6": "gb",
 FILLERS = ".-_*~'·​"
 #: Log-probabilities of the channel: a sign for a letter, a filler or a repeated letter dropped.
 SIGN_COST, DROP_COST = -1.0, -0.7
+#: A word of letters that only doubles some is taken as disguised if without them it is likelier by so many nats a letter.
+DOUBLED_GAIN = 0.2
 A = 28  # symbols of the character model: between words, a-z, any other letter
 
-_spaced = re.compile(r"(?<!\w)\w(?:[ .\-_*~​]\w){2,}(?!\w)")
+_sign = re.escape("".join(SIGNS))
+_spaced = re.compile(rf"(?<!\w)[\w{_sign}](?:[ .\-_*~​][\w{_sign}]){{2,}}(?!\w)")
 _edges = re.compile(r"^[^\w@$!|(€£¡+]+|[^\w@$|€£+]+$")
-_odd = re.compile(rf"[{re.escape(''.join(SIGNS) + FILLERS)}]|(.)\1\1")
-_letter = re.compile(r"[^\W\d_]")
+_odd = re.compile(rf"[{_sign}{re.escape(FILLERS)}]|(.)\1")
+_meant = re.compile(rf"[^\W\d_]|[{_sign}]")
+_doubled, _tripled = re.compile(r"(.)\1"), re.compile(r"(.)\1\1")
 _plain = re.compile(r"^[\W_]+|[\W_]+$")
 
 
@@ -86,11 +90,11 @@ def character_model(docs: DataFrame) -> np.ndarray:
     return np.log((n + 5 * two[None]) / (n.sum(2)[:, :, None] + 5))
 
 
-def restore(word: str, model: list) -> str:
+def restore(word: str, model: list, single: bool = True) -> str:
     """The likeliest letters behind a lower-case word: Viterbi over its lattice, by the last two letters.
 
     Each place offers letters for its sign, or nothing for a filler; of a run
-    of one letter, all but the first may be dropped.
+    of one letter or sign, all but the first may be dropped if single.
     """
     states = {(0, 0): (0.0, None)}  # last two symbols -> score, letters as a chain
     before = ""
@@ -109,7 +113,7 @@ def restore(word: str, model: list) -> str:
                 now = score + cost + row[s]
                 if (b, s) not in nxt or now > nxt[b, s][0]:
                     nxt[b, s] = (now, (chain, c))
-            if not choices or ch == before:
+            if not choices or single and ch == before:
                 now = score + DROP_COST
                 if (a, b) not in nxt or now > nxt[a, b][0]:
                     nxt[a, b] = (now, chain)
@@ -122,16 +126,30 @@ def restore(word: str, model: list) -> str:
     return "".join(reversed(out))
 
 
+def _per_letter(word: str, model: list) -> float:
+    """Log-probability of a word as it stands, by letter and its end."""
+    a = b = 0
+    total = 0.0
+    for s in [*map(_symbol, word), 0]:
+        total += model[a][b][s]
+        a, b = b, s
+    return total / (len(word) + 1)
+
+
 def _forms(word: str, model: list) -> list[str]:
     """A lower-case word without what stands round it, and restored where it looks disguised."""
     plain = _plain.sub("", word)
     out = [plain] if plain else []
-    if _odd.search(word) and _letter.search(word):
+    if _odd.search(word) and _meant.search(word):
         core = _edges.sub("", word)
-        if core and (not core.isalpha() or re.search(r"(.)\1\1", core)):
-            back = restore(core, model)
-            if back and back != plain:
-                out.append(back)
+        if core and (not core.isalpha() or _doubled.search(core)):
+            backs = [restore(core, model)]
+            if core.isalpha() and not _tripled.search(core):
+                if _per_letter(backs[0], model) < _per_letter(core, model) + DOUBLED_GAIN:
+                    backs = []
+            elif _doubled.search(core) and not core.isalpha():  # 4$$: two signs may be two letters
+                backs.append(restore(core, model, single=False))
+            out += [b for b in dict.fromkeys(backs) if b and b != plain]
     return out
 
 

@@ -204,6 +204,17 @@ def test_restored_words(spark):
     assert "loser" in [f for w in toxicity.words_of("such a l o s e r") for f in toxicity._forms(w, model)]
 
 
+def test_restored_doubled_and_all_sign_words(spark):
+    text = "the loser was an idiot and stupid people are worthless trash moron clown said an ass " * 20
+    model = toxicity.character_model(frame(spark, [(1, text, "en", "a")])).tolist()
+    for written, meant in [("iiddiioott", "idiot"), ("sttuuppid", "stupid"), ("llooserr", "loser"), ("4$$", "ass"), ("@$5!", "ass"), ("455", "ass")]:
+        assert meant in toxicity._forms(written, model), written
+    for written, meant in [("so $ t u p i d", "stupid"), ("an @ s s!", "ass"), ("4 $ $", "ass"), ("a (l 0 $ e r!", "loser"), ("1-d-!-0-+", "idiot")]:
+        assert meant in [f for w in toxicity.words_of(written) for f in toxicity._forms(w, model)], written
+    for plain in ("***", "--", "..."):
+        assert toxicity._forms(plain, model) == []
+
+
 def test_op4_held_out(spark):
     sf = "/root/testdata/sf0.01"
     got = queries.op4_toxicity(spark, sf).toPandas()
