@@ -18,7 +18,7 @@ from pyspark.sql import functions as F
 from millrace.llm.common import DOCUMENT_COLUMNS, WORD, Staging, staged_here, table
 from millrace.llm.langid import identify
 from millrace.llm.mixing import mixed_rows
-from millrace.llm.neardup import near_duplicates
+from millrace.llm.neardup import near_duplicate_groups
 from millrace.llm.packing import pack_documents
 from millrace.llm.queries import label_quality
 from millrace.llm.substring import substring_dedup
@@ -44,10 +44,19 @@ def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Keeps the document with the least id of each group; rows with one id are one document (its greatest text)."""
-    kept = near_duplicates(docs).where("kept").select("doc_id").distinct()
+    """Keeps one row of each group, that with the least id; rows are found by id and text, and a null id is no identity.
+
+    Rows of one text and id are one document. Rows with a repeated id that is
+    not null also are (the greatest text that its groups keep).
+    """
+    rows = near_duplicate_groups(docs)
+    place = F.struct(F.col("doc_id").isNull().alias("no_id"), "doc_id", "key")  # a null id comes last
+    first = rows.where("root is not null").groupBy("root").agg(F.min(place).alias("p")).select("p.doc_id", "p.key")
+    kept = first.union(rows.where("root is null").select("doc_id", "key")).distinct().toDF("_id", "_key")
+    keyed = docs.select(*DOCUMENT_COLUMNS, F.xxhash64(F.col("text").cast("string")).alias("key"))
+    left = keyed.join(kept, F.col("doc_id").cast("long").eqNullSafe(F.col("_id")) & (F.col("key") == F.col("_key")))
     rest = [c for c in DOCUMENT_COLUMNS if c != "text"]
-    one = _with(docs, kept).select("id", "d.*").groupBy("id").agg(F.max(F.struct("text", *rest)).alias("r"))  # dealt by id already
+    one = left.groupBy("_id", F.when(F.col("_id").isNull(), F.col("key")).alias("k")).agg(F.max(F.struct("text", *rest)).alias("r"))
     return one.select("r.*").select(*DOCUMENT_COLUMNS)
 
 

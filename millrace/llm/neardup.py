@@ -206,12 +206,22 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     take part; they get the smallest id of their component, or null if it has
     none. Other columns of docs are ignored; an empty table gives an empty one.
     """
+    groups = near_duplicate_groups(docs, id_col, text_col, shingle, similarity, bands, rows)
+    return groups.select("doc_id", "n_shingles", "component_id", F.col("doc_id").eqNullSafe(F.col("component_id")).alias("kept"))
+
+
+def near_duplicate_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 5, similarity: tuple[int, int] = (80, 100), bands: int = BANDS, rows: int = ROWS) -> DataFrame:
+    """As near_duplicates, but with key and root in the place of kept.
+
+    key is xxhash64 of the text; id and key tell rows apart where ids are null
+    or repeat. root is the component itself, null for an empty set.
+    """
     spark = docs.sparkSession
     num, den = similarity
     st = Staging(spark, "neardup")
     docs = keyed_texts(docs, id_col, text_col)
     signed = st.put(docs.mapInArrow(_sign(shingle, bands, rows), "doc_id long, key long, fp binary, n_shingles long, codes array<long>"), "signed")
-    thin = signed.select("doc_id", "fp", "n_shingles")
+    thin = signed.select("doc_id", "key", "fp", "n_shingles")
 
     codes = signed.where("n_shingles > 0").groupBy("fp").agg(F.first("codes").alias("codes"), F.first("n_shingles").alias("n"))
     entries = st.put(codes.select("fp", "n", F.explode("codes").alias("bucket")), "entries")
@@ -253,9 +263,9 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     ids = thin.groupBy("fp").agg(F.min("doc_id").alias("least"))
     joined = ids.join(roots.withColumnRenamed("node", "fp"), "fp")
     named = joined.groupBy("root").agg(F.min("least").alias("component"))
-    linked = joined.join(named, "root").select("fp", "component")
-    by_class = ids.join(linked, "fp", "left").select("fp", F.coalesce("component", "least").alias("component"))
+    linked = joined.join(named, "root").select("fp", "root", "component")
+    by_class = ids.join(linked, "fp", "left").select("fp", F.coalesce("component", "least").alias("component"), F.coalesce("root", "fp").alias("root"))
     by_class = st.put(by_class, "classes")  # staged: Spark can then split the join of a class of very many copies
     out = thin.join(by_class, "fp", "left")
     component = F.when(F.col("n_shingles") > 0, F.col("component")).otherwise(F.col("doc_id"))
-    return out.select("doc_id", "n_shingles", component.alias("component_id"), F.col("doc_id").eqNullSafe(component).alias("kept"))
+    return out.select("doc_id", "key", "n_shingles", component.alias("component_id"), F.when(F.col("n_shingles") > 0, F.col("root")).alias("root"))

@@ -4,6 +4,7 @@ import zlib
 
 import numpy as np
 import pytest
+from conftest_llm import frame
 from test_results import brute_components, brute_cut
 
 import corpus_pipeline as pipeline
@@ -37,6 +38,13 @@ def test_stages_decide(spark, odd):
     assert {i for i, _ in cut} == {None, 1, 3, 4, 5, 7, 9, 10} and (7, "tail") in cut and (None, "end") in cut
 
 
+def test_near_dedup_keeps_every_document_without_id(spark):
+    text = lambda tag, n=60: " ".join(f"{tag}{i}" for i in range(n))
+    rows = [(1, text("a")), (None, text("a", 61)), (None, text("b")), (None, text("b", 61)), (None, text("c")), (None, text("c")), (None, text("z")), (2, text("d")), (3, text("d"))]
+    got = sorted((r.doc_id or 0, r.text[0]) for r in stage("near_dedup")(spark, frame(spark, [(i, t, "en", "a") for i, t in rows]), SF).collect())
+    assert got == [(0, "b"), (0, "c"), (0, "z"), (1, "a"), (2, "d")]
+
+
 def test_run_by_brute_force(spark):
     docs = spark.read.parquet(f"{SF}/documents.parquet")
     rows = {r.doc_id: r for r in docs.collect()}
