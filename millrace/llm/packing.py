@@ -128,6 +128,14 @@ def _pack(window: int):
     return run
 
 
+def _numbered(pieces: DataFrame, block: int = 10_000) -> DataFrame:
+    """Equal pieces numbered by copy, so that rows that share an id are dealt apart; no task holds or sorts them."""
+    n = pieces.groupBy(*pieces.columns).agg(F.count("*").alias("n"))
+    blocks = n.withColumn("b", F.explode(F.sequence(F.lit(0).cast("long"), F.floor((F.col("n") - 1) / block))))
+    copies = F.explode(F.sequence(F.col("b") * block, F.least(F.col("n"), (F.col("b") + 1) * block) - 1))
+    return blocks.select(*pieces.columns, copies.alias("copy"))
+
+
 def pack_documents(docs: DataFrame, window: int = WINDOW, end_id: int = 1, files: tuple[str, str] | None = None, group: int = GROUP, staging: Staging | None = None) -> DataFrame:
     """One row per piece: doc_id, start, length, ids_crc32, doc_tokens, sequence_id, offset.
 
@@ -147,7 +155,7 @@ def pack_documents(docs: DataFrame, window: int = WINDOW, end_id: int = 1, files
     shape = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long"
     pieces = st.put(docs.mapInArrow(_pieces(files, window, end_id, False), shape), "pieces")
     groups = max(1, -(-pieces.count() // group))
-    dealt = pieces.withColumn("group", F.pmod(F.xxhash64("doc_id", "start"), F.lit(groups)))
+    dealt = _numbered(pieces).withColumn("group", F.pmod(F.xxhash64("doc_id", "start", "length", "ids_crc32", "copy"), F.lit(groups))).drop("copy")
     return dealt.groupBy("group").applyInArrow(_pack(window), f"{shape}, sequence_id long, offset long")
 
 

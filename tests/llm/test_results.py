@@ -182,6 +182,14 @@ def test_same_ids_as_tokenizers(spark):
         assert [x for part in got[i] for x in part] == [*tokenizer.encode(t, add_special_tokens=False).ids, 1]
 
 
+def test_pieces_of_one_id_are_dealt_apart(spark):
+    docs = frame(spark, [(None, f"text {i % 40}", "en", "a") for i in range(400)] + [(7, "same", "en", "a")] * 400)
+    got = packing.pack_documents(docs, group=50).toPandas()
+    per_group = got.groupby(got.sequence_id // 2**32).size()
+    assert len(got) == 800 and len(per_group) == 16 and per_group.max() < 100
+    assert (got.doc_id == 7).sum() == 400
+
+
 def test_best_fit_decreasing_by_brute_force():
     rng = np.random.default_rng(2)
     lengths = np.sort(rng.integers(1, 101, 500))[::-1]
