@@ -1,6 +1,10 @@
 """Every query of the library against its SQL."""
 
 import os
+import pathlib
+import shutil
+import subprocess
+import sys
 
 import duckdb
 import numpy as np
@@ -39,3 +43,22 @@ def test_entry_point(spark):
     assert __spark_entry__.entry(spark).count() > 0
     assert set(catalogue.QUERIES) <= set(__spark_entry__.queries())
     assert set(__spark_entry__.oracle_sql()) <= set(__spark_entry__.queries())
+
+
+@pytest.mark.parametrize("gone", [["millrace/llm"], ["corpus_pipeline.py"], ["millrace/llm", "corpus_pipeline.py"]])
+def test_entry_point_without_the_training_data_part(tmp_path, gone):
+    root = pathlib.Path(__file__).resolve().parent.parent
+    copy = tmp_path / "copy"
+    shutil.copytree(root / "millrace", copy / "millrace", ignore=shutil.ignore_patterns("__pycache__"))
+    for f in ("__spark_entry__.py", "corpus_pipeline.py"):
+        if (root / f).exists():
+            shutil.copy(root / f, copy / f)
+    for g in gone:
+        shutil.rmtree(copy / g, ignore_errors=True)
+        (copy / g).unlink(missing_ok=True)
+    code = "import __spark_entry__ as e; print(len(e.queries()), len(e.oracle_sql()), any(q.startswith('op1_') for q in e.queries()), 'pipeline' in e.queries())"
+    out = subprocess.run([sys.executable, "-c", code], cwd=copy, capture_output=True, text=True, timeout=120)
+    assert out.returncode == 0, out.stderr
+    n, sql, numbered, pipeline = out.stdout.split()
+    assert int(n) >= len(catalogue.QUERIES) and int(sql) >= len(catalogue.ORACLE_SQL)
+    assert pipeline == "False" and numbered == str((copy / "millrace" / "llm").exists())
