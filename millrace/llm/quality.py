@@ -1,172 +1,228 @@
 """Quality rules: base counts of a text, and bands of its n-gram perplexity.
 
-A modified Kneser-Ney model of character 4-grams per language is counted by
-Spark over all texts. Characters fall into a fixed alphabet of A symbols, which
-bounds the model at A ** 4 entries a language whatever the corpus. It is kept
-as sorted arrays of n-gram codes beside log-probabilities and back-off weights
-and is looked up by binary search. The logarithm of a text's perplexity is held
-against a band round its language's median; texts far below (repetition) or far
-above it (noise) are rejected. Median and spread cover all texts that pass the
-base rules.
+The model is a modified Kneser-Ney model (Chen and Goodman) of character
+5-grams over all code points, one for each language and half of the texts,
+counted by Spark over every text. It is kept as sorted arrays of 64-bit n-gram
+hashes beside discounted probabilities and back-off weights, cut into shards
+of bounded size, and looked up by binary search. A text is judged by the model
+of the half that it is not in (halves go by a hash of the text, so copies
+never judge themselves), and the logarithm of its perplexity by word is held
+against its language's band; texts far below (lists, boilerplate) or far above
+it (noise) are rejected. The mean over n words of a text varies by 1 / sqrt(n),
+so the band of a language is the wider, the shorter the text.
+
+The model grows with the corpus. Up to SEND_BYTES it is sent to the tasks
+whole; beyond that, texts form batches in the shared folder, each batch asks
+for the distinct n-grams it has, and joins bring it those alone. Both ways
+give the same results.
 """
 
 from __future__ import annotations
 
+import uuid
+
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from millrace.llm.common import Staging, window_hashes, word_hashes
 
-#: 0 blank; 1-26 a-z; 27-42 other letters by code point; digit, full stop, comma, other ASCII, any other.
-A = 48
-ORDER = 4
-#: Characters worked on at once.
-CHUNK = 500_000
-#: Half widths of the band, in robust standard deviations below and above the median.
-BELOW, ABOVE = 7.0, 40.0
-#: The spread counts as at least this, in nats: narrow languages don't lose texts by it.
-LEAST_SPREAD = 0.02
-
-
-def symbol_table() -> np.ndarray:
-    out = np.full(0x110000, 47, np.uint8)
-    for c in range(128):
-        ch = chr(c)
-        out[c] = 43 if ch.isdigit() else 44 if ch == "." else 45 if ch == "," else 46
-    for c in range(0x30000):
-        ch = chr(c)
-        if ch.isalpha():
-            low = ch.lower()[0]
-            out[c] = ord(low) - 96 if "a" <= low <= "z" else 27 + ord(low) % 16
-        elif ch.isspace():
-            out[c] = 0
-    return out
-
-
-def symbols_of(text: str, table: np.ndarray) -> np.ndarray:
-    """Symbols with single blanks, behind three blanks as a start."""
-    x = table[np.frombuffer(text.encode("utf-32-le", "surrogatepass"), np.uint32)]
-    keep = x != 0
-    keep[1:] |= x[:-1] != 0
-    return np.concatenate([np.zeros(ORDER - 1, np.uint8), x[keep]])
-
-
-def codes_of(x: np.ndarray) -> np.ndarray:
-    """Code of the n-gram that ends at each symbol from the fourth on."""
-    x = x.astype(np.int64)
-    out = x[: len(x) - ORDER + 1]
-    for i in range(1, ORDER):
-        out = out * A + x[i : len(x) - ORDER + 1 + i]
-    return out
+ORDER = 5
+#: Stands before each text; no text has it, as runs of blanks become one space.
+START = "\n" * (ORDER - 1)
+#: Characters worked on at once, and n-grams that a counting task holds before it merges them.
+CHUNK, HELD = 1_000_000, 1_000_000
+#: Entries in a shard of the model; bytes of a model that tasks get whole; bytes of text in a batch.
+SHARD, SEND_BYTES, BATCH = 2**18, 256 * 2**20, 64 * 2**20
+#: Slots of the model: 0 the uniform share, k the k-grams, BACK + k their contexts' back-off weights.
+BACK = 10
+#: Half widths of the band, in standard deviations below and above the median: about 1 in 1000 clean texts is lost.
+BELOW, ABOVE = 3.5, 7.0
+#: Long texts count as varying by this share of the median at least.
+LEAST_SPREAD = 0.01
+MULT = 0x9E3779B97F4A7C15
+
+
+def pieces_of(texts):
+    """Texts -> (number of the text, characters with ORDER - 1 of context before them), CHUNK characters at most."""
+    for i, t in enumerate(texts):
+        s = " ".join((t.as_py() or "").split())
+        for lo in range(0, len(s), CHUNK):
+            yield i, (s[lo - ORDER + 1 : lo] if lo else START) + s[lo : lo + CHUNK]
 
 
-def _chunks(texts, table):
-    """(numbers of the texts, their codes) of about CHUNK characters at a time."""
+def _chunks(texts):
+    """Pieces, about CHUNK characters at a time: (numbers of the texts, code points + 1, ends of n-grams, n-grams a piece)."""
     rows, parts, size = [], [], 0
-    for i, t in enumerate(texts):
-        t = t.as_py()
-        if not t:
-            continue
-        c = codes_of(symbols_of(t, table))
-        if len(c):
-            rows.append(i)
-            parts.append(c)
-            size += len(c)
+    for i, s in pieces_of(texts):
+        rows.append(i)
+        parts.append(s)
+        size += len(s)
         if size >= CHUNK:
-            yield rows, parts
+            yield _windows(rows, parts)
             rows, parts, size = [], [], 0
     if rows:
-        yield rows, parts
-
-
-def _count(sent):
-    """Texts (lang, text) -> (lang, code, n), summed by task in one dense array for each of a few languages."""
-
-    def out(lang, n):
-        seen = np.flatnonzero(n)
-        for lo in range(0, len(seen), 50_000):
-            part = seen[lo : lo + 50_000]
-            yield pa.RecordBatch.from_arrays([pa.array([lang] * len(part), pa.string()), pa.array(part.astype(np.int32)), pa.array(n[part].astype(np.int64))], names=["lang", "code", "n"])
-
-    def run(batches):
-        held: dict[str, np.ndarray] = {}
-        for b in batches:
-            langs = np.array(b.column(0).to_pylist(), dtype=object)
-            for lang in dict.fromkeys(langs.tolist()):
-                if lang not in held:
-                    if len(held) >= 6:
-                        first = next(iter(held))
-                        yield from out(first, held.pop(first))
-                    held[lang] = np.zeros(A**ORDER, np.int32)
-                for _, parts in _chunks(b.column(1).filter(pa.array(langs == lang)), sent.value):
-                    code, n = np.unique(np.concatenate(parts), return_counts=True)
-                    held[lang][code] += n.astype(np.int32)
-        for lang, n in held.items():
-            yield from out(lang, n)
-
-    return run
-
-
-def kneser_ney(codes: np.ndarray, counts: np.ndarray) -> list[tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]]:
-    """From 4-gram counts: for orders 1 to 4 sorted n-gram codes, their log-probabilities, sorted contexts, back-off logs.
-
-    Modified Kneser-Ney (Chen and Goodman): discounts for counts of one, two,
-    and three or more; lower orders count the different symbols to the left.
+        yield _windows(rows, parts)
+
+
+def _windows(rows, parts):
+    x = np.frombuffer("".join(parts).encode("utf-32-le", "surrogatepass"), np.uint32) + np.uint32(1)
+    size = np.array([len(p) for p in parts])
+    inside = np.ones(len(x), bool)
+    inside[((np.cumsum(size) - size)[:, None] + np.arange(ORDER - 1)).ravel()] = False
+    return np.array(rows), x, np.flatnonzero(inside), size - (ORDER - 1)
+
+
+def hash_of(columns: list[np.ndarray], n: int) -> np.ndarray:
+    """Hash of n n-grams whose characters, last first, are the columns: the sum of characters by powers, modulo 2**64."""
+    h, power = np.zeros(n, np.uint64), 1
+    for c in columns:
+        h += c.astype(np.uint64) * np.uint64(power)
+        power = power * MULT % 2**64
+    return h.view(np.int64)
+
+
+def _distinct(x: np.ndarray, ends: np.ndarray):
+    """(which distinct n-gram stands at each end, the code points of each distinct one, last first)."""
+    which, seen = pd.factorize(hash_of([x[ends - j] for j in range(ORDER)], len(ends)))
+    at = np.empty(len(seen), np.int64)
+    at[which] = ends
+    return which, [x[at - j] for j in range(ORDER)]
+
+
+def _count(batches):
+    """Texts (lang, half, text) -> (lang, half, gram, n), merged by task."""
+    held: dict[tuple, list] = {}
+    size = 0
+
+    def merged(key):
+        parts = held.pop(key)
+        grams = np.concatenate([g for g, _ in parts])
+        which, seen = pd.factorize(hash_of(list(grams.T), len(grams)))
+        n = np.bincount(which, np.concatenate([c for _, c in parts])).astype(np.int64)
+        at = np.empty(len(seen), np.int64)
+        at[which] = np.arange(len(which))
+        return grams[at], n
+
+    def out():
+        for key in list(held):
+            grams, n = merged(key)
+            text = (grams[:, ::-1] - np.uint32(1)).astype("<u4").tobytes().decode("utf-32-le", "surrogatepass")
+            words = [text[i : i + ORDER] for i in range(0, len(text), ORDER)]
+            for lo in range(0, len(words), 50_000):
+                part = slice(lo, lo + 50_000)
+                k = len(words[part])
+                yield pa.RecordBatch.from_arrays([pa.array([key[0]] * k, pa.string()), pa.array([key[1]] * k, pa.int32()), pa.array(words[part], pa.string()), pa.array(n[part])], names=["lang", "half", "gram", "n"])
+
+    for b in batches:
+        for key, rows in _groups(b.column(0), b.column(1)):
+            for _, x, ends, _ in _chunks(b.column(2).take(rows)):
+                which, chars = _distinct(x, ends)
+                held.setdefault(key, []).append((np.stack(chars, axis=1), np.bincount(which).astype(np.int64)))
+                size += len(chars[0])
+        if size >= HELD:
+            for key in list(held):
+                held[key] = [merged(key)]
+            size = sum(len(g) for parts in held.values() for g, _ in parts)
+            if size >= HELD:
+                yield from out()
+                size = 0
+    yield from out()
+
+
+def _groups(*columns):
+    """Rows of equal values in all columns, with those values."""
+    rows: dict[tuple, list[int]] = {}
+    for i, key in enumerate(zip(*(c.to_pylist() for c in columns))):
+        rows.setdefault(key, []).append(i)
+    return [(key, pa.array(r)) for key, r in rows.items()]
+
+
+def kneser_ney(grams: DataFrame, staging: Staging) -> DataFrame:
+    """Counted n-grams (lang, half, gram, n) -> entries (lang, half, slot, gram, value) of the model.
+
+    P(c after h) of order k is value(k, hc) + value(BACK + k, h) * P of order
+    k - 1, where n-grams that are not there count 0 and contexts that are not
+    there pass on all weight; order 0 is uniform. Discounts are those for
+    counts of one, two, and three or more; lower orders count the different
+    characters to the left.
     """
-    levels = [(codes, counts)]
-    for k in range(ORDER - 1, 0, -1):
-        codes, counts = np.unique(levels[0][0] % A**k, return_counts=True)
-        levels.insert(0, (codes, counts))
-    out, lower = [], None
-    for code, c in levels:
-        c = c.astype(np.float64)
-        n1, n2, n3, n4 = (float((c == i).sum()) for i in (1, 2, 3, 4))
-        y = n1 / (n1 + 2 * n2) if n1 else 0.0
-        cut = [0.0, *(min(max(d, 0.1), i - 0.1) for i, d in ((1, 1 - 2 * y * n2 / max(n1, 1)), (2, 2 - 3 * y * n3 / max(n2, 1)), (3, 3 - 4 * y * n4 / max(n3, 1))))]
-        d = np.array(cut)[np.minimum(c, 3).astype(int)]
-        ctx, at = np.unique(code // A, return_inverse=True)
-        total = np.bincount(at, c)
-        back = np.bincount(at, d) / total
-        p = (c - d) / total[at]
-        if lower is None:
-            p += back[at] / A
-        else:
-            p += back[at] * np.exp(lookup(lower, code % A ** len(out), len(out)))
-        out.append((code, np.log(p), ctx, np.log(back)))
-        lower = out
-    return out
-
-
-def lookup(model: list, code: np.ndarray, order: int) -> np.ndarray:
-    """Log-probability of each n-gram code of that order: found, or backed off to the next shorter one."""
-    if order == 0:
-        return np.full(len(code), -np.log(A))
-    known, logp, ctx, back = model[order - 1]
-    at = np.minimum(np.searchsorted(known, code), len(known) - 1)
-    hit = known[at] == code
-    out = logp[at].astype(np.float64)
-    miss = np.flatnonzero(~hit)
-    if len(miss):
-        c = code[miss] // A
-        i = np.minimum(np.searchsorted(ctx, c), len(ctx) - 1)
-        weight = np.where(ctx[i] == c, back[i], 0.0)
-        out[miss] = weight + lookup(model, code[miss] % A ** (order - 1), order - 1)
-    return out
-
-
-def perplexity_model(docs: DataFrame) -> dict[str, list]:
-    """Per language (null: '') the model of all texts of docs(lang, text)."""
-    rows = docs.select(F.coalesce(F.col("lang").cast("string"), F.lit("")).alias("lang"), F.col("text").cast("string").alias("text"))
-    counted = rows.mapInArrow(_count(docs.sparkSession.sparkContext.broadcast(symbol_table())), "lang string, code int, n long").groupBy("lang", "code").agg(F.sum("n").alias("n"))
-    got = counted.toPandas()  # at most A ** 4 rows a language
-    out = {}
-    for lang, part in got.groupby("lang"):
-        part = part.sort_values("code")
-        levels = kneser_ney(part.code.to_numpy(np.int64), part.n.to_numpy())
-        out[lang] = [(k.astype(np.int32), p.astype(np.float32), c.astype(np.int32), b.astype(np.float32)) for k, p, c, b in levels]
-    return out
+    key = ["lang", "half", "k"]
+    longest = staging.put(grams.groupBy("lang", "half", "gram").agg(F.sum("n").alias("c")), "longest")
+    suffixes = F.array(*[F.struct(F.lit(k).alias("k"), F.substring("gram", ORDER - k, k + 1).alias("gram")) for k in range(1, ORDER)])
+    left = longest.select("lang", "half", F.explode(suffixes).alias("s")).select("lang", "half", "s.k", "s.gram").distinct()
+    lower = left.groupBy(*key, F.expr("substring(gram, 2)").alias("gram")).agg(F.count("*").alias("c"))
+    counted = staging.put(lower.unionByName(longest.select("lang", "half", F.lit(ORDER).alias("k"), "gram", "c")), "counted")
+
+    n = [F.count(F.when(F.col("c") == i, 1)).cast("double").alias(f"n{i}") for i in (1, 2, 3, 4)]
+    many = counted.groupBy(*key).agg(*n, F.count("*").alias("types"))
+    y = F.when(F.col("n1") > 0, F.col("n1") / (F.col("n1") + 2 * F.col("n2"))).otherwise(0.0)
+    best = [i - (i + 1) * y * F.col(f"n{i + 1}") / F.greatest(F.col(f"n{i}"), F.lit(1.0)) for i in (1, 2, 3)]
+    discounts = many.select(*key, "types", *[F.least(F.greatest(d, F.lit(0.1)), F.lit(i - 0.1)).alias(f"d{i}") for i, d in zip((1, 2, 3), best)])
+
+    cut = F.when(F.col("c") == 1, F.col("d1")).when(F.col("c") == 2, F.col("d2")).otherwise(F.col("d3"))
+    counted = counted.join(discounts, key).select(*key, "gram", F.expr("substring(gram, 1, k - 1)").alias("before"), "c", cut.alias("cut"))
+    contexts = counted.groupBy(*key, "before").agg(F.sum("c").alias("total"), F.sum("cut").alias("lost"))
+    own = counted.join(contexts, [*key, "before"])
+    own = own.select("lang", "half", F.col("k").alias("slot"), "gram", ((F.col("c") - F.col("cut")) / F.col("total")).alias("value"))
+    back = contexts.select("lang", "half", (F.col("k") + BACK).alias("slot"), F.col("before").alias("gram"), (F.col("lost") / F.col("total")).alias("value"))
+    uniform = discounts.where("k = 1").select("lang", "half", F.lit(0).alias("slot"), F.lit("").alias("gram"), (1 / (F.col("types") + 1)).alias("value"))
+    return own.unionByName(back).unionByName(uniform)
+
+
+def _hashed(batches):
+    """Entries (lang, half, slot, gram, value) -> the same with the hash of the gram."""
+    for b in batches:
+        slots, out = b.column(2).to_numpy(), np.zeros(b.num_rows, np.int64)
+        for slot in np.unique(slots):
+            rows = np.flatnonzero(slots == slot)
+            size = int(slot) if slot < BACK else int(slot) - BACK - 1
+            if size:
+                text = "".join(b.column(3).take(pa.array(rows)).to_pylist())
+                chars = np.frombuffer(text.encode("utf-32-le", "surrogatepass"), np.uint32).reshape(len(rows), size) + np.uint32(1)
+                out[rows] = hash_of(list(chars.T[::-1]), len(rows))
+        yield pa.RecordBatch.from_arrays([*b.columns[:3], pa.array(out), b.column(4)], names=["lang", "half", "slot", "key", "value"])
+
+
+def _sorted(table: pa.Table) -> pa.Table:
+    """A shard's entries as one row of sorted arrays."""
+    keys, values = table.column("key").to_numpy(), table.column("value").to_numpy()
+    order = np.argsort(keys, kind="stable")
+    first = {c: table.column(c)[:1] for c in ("lang", "half", "slot", "shard")}
+    return pa.table({**first, "keys": pa.array([keys[order].tobytes()], pa.binary()), "vals": pa.array([values[order].astype(np.float32).tobytes()], pa.binary())})
+
+
+def perplexity_model(docs: DataFrame, staging: Staging) -> DataFrame:
+    """Staged entries (lang, half, slot, key, value) of the models of all texts of docs(lang, half, text)."""
+    counted = docs.select("lang", "half", "text").mapInArrow(_count, "lang string, half int, gram string, n long")
+    return staging.put(kneser_ney(counted, staging).mapInArrow(_hashed, "lang string, half int, slot int, key long, value double"), "entries")
+
+
+def sorted_shards(entries: DataFrame, staging: Staging) -> DataFrame:
+    """Entries as sorted arrays (lang, half, slot, shard, keys, vals); shards are ranges of the hash of at most about SHARD entries."""
+    bits = max(0, int(np.ceil(np.log2(max(1, entries.count()) / SHARD))))
+    shard = F.expr(f"shiftright(key, {64 - bits})") if bits else F.lit(0).cast("long")
+    groups = entries.withColumn("shard", shard).groupBy("lang", "half", "slot", "shard")
+    return staging.put(groups.applyInArrow(_sorted, "lang string, half int, slot int, shard long, keys binary, vals binary"), "shards")
+
+
+def _found(tables: dict, slot: int, keys: np.ndarray, default: float) -> np.ndarray:
+    if slot not in tables:
+        return np.full(len(keys), default)
+    known, values = tables[slot]
+    at = np.minimum(np.searchsorted(known, keys), len(known) - 1)
+    return np.where(known[at] == keys, values[at].astype(np.float64), default)
+
+
+def log_probabilities(chars: list[np.ndarray], tables: dict) -> np.ndarray:
+    """Of each n-gram's last character after the others; tables: slot -> (sorted hashes, values)."""
+    n = len(chars[0])
+    p = _found(tables, 0, np.zeros(n, np.int64), 1.0)
+    for k in range(1, ORDER + 1):
+        p = _found(tables, k, hash_of(chars[:k], n), 0.0) + _found(tables, BACK + k, hash_of(chars[1:k], n), 1.0) * p
+    return np.log(p)
 
 
 _BLANK, _SYMBOL, _STARTS = 1, 2, 4
@@ -207,51 +263,130 @@ def byte_kinds() -> np.ndarray:
     return out
 
 
-def _score(sent, sent_table):
+COUNTS = ["n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words"]
+SCORED = "doc_id long, lang string, " + ", ".join(f"{c} long" for c in COUNTS) + ", log_perplexity double"
+
+
+def _scored(b: pa.RecordBatch | pa.Table, tables_of) -> list:
+    """Columns SCORED of rows (doc_id, lang, half, text); tables_of(lang, half) has the model to judge by, or nothing."""
+    kinds = byte_kinds()
+    counts = [base_counts(t.as_py() or b"", kinds) for t in b.column(3).cast(pa.binary())]
+    total, known = np.zeros(b.num_rows), np.zeros(b.num_rows, bool)
+    for (lang, half), rows in _groups(b.column(1), b.column(2)):
+        tables, own = tables_of(lang, half), rows.to_numpy()
+        if not tables:
+            continue
+        for of, x, ends, n in _chunks(b.column(3).take(rows)):
+            which, chars = _distinct(x, ends)
+            logp = log_probabilities(chars, tables)[which]
+            np.add.at(total, own[of], np.add.reduceat(logp, np.cumsum(n) - n))
+            known[own[of]] = True
+    words = np.array([c[0] for c in counts], np.int64)
+    ppl = pa.array(-total / np.maximum(words, 1), mask=~(known & (words > 0)))
+    return [b.column(0), b.column(1), *[pa.array(c, pa.int64()) for c in zip(*counts)], ppl]
+
+
+def _score_by(sent):
+    """Judges texts by the whole model: (lang, half) -> slot -> (bytes of hashes, bytes of values)."""
+
     def run(batches):
-        model, kinds = sent.value, byte_kinds()
+        model = {key: {slot: (np.frombuffer(k, np.int64), np.frombuffer(v, np.float32)) for slot, (k, v) in slots.items()} for key, slots in sent.value.items()}
         for b in batches:
-            counts = [base_counts(t.as_py() or b"", kinds) for t in b.column(2).cast(pa.binary())]
-            log_ppl = np.full(b.num_rows, np.nan)
-            langs = np.array(b.column(1).to_pylist(), dtype=object)
-            for lang in dict.fromkeys(langs.tolist()):
-                if lang not in model:
-                    continue
-                own = np.flatnonzero(langs == lang)
-                for rows, parts in _chunks(b.column(2).take(pa.array(own)), sent_table.value):
-                    code, at = np.unique(np.concatenate(parts), return_inverse=True)
-                    logp = lookup(model[lang], code, ORDER)[at]
-                    size = np.array([len(p) for p in parts])
-                    log_ppl[own[rows]] = -np.add.reduceat(logp, np.concatenate([[0], np.cumsum(size)[:-1]])) / size
-            cols = [pa.array(c, pa.int64()) for c in zip(*counts)]
-            names = ["n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words"]
-            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), *cols, pa.array(log_ppl, from_pandas=True)], names=["doc_id", "lang", *names, "log_perplexity"])
+            yield pa.RecordBatch.from_arrays(_scored(b, lambda lang, half: model.get((lang, 1 - half))), names=["doc_id", "lang", *COUNTS, "log_perplexity"])
 
     return run
 
 
+def _dealt(batch_bytes: int):
+    """Adds a batch to rows (doc_id, lang, half, text): about so many bytes of text in the order of the task."""
+
+    def run(batches):
+        name, size = uuid.uuid4().int >> 65, 0
+        for b in batches:
+            names = []
+            for t in b.column(3).cast(pa.binary()):
+                if size > batch_bytes:
+                    name, size = uuid.uuid4().int >> 65, 0
+                names.append(name)
+                size += len(t.as_py() or b"")
+            yield pa.RecordBatch.from_arrays([*b.columns, pa.array(names, pa.int64())], names=[*b.schema.names, "batch"])
+
+    return run
+
+
+def _asked(batches):
+    """Rows of _dealt -> the distinct entries (batch, lang, half, slot, key) that they need."""
+    for b in batches:
+        for (batch, lang, half), rows in _groups(b.column(4), b.column(1), b.column(2)):
+            for _, x, ends, _ in _chunks(b.column(3).take(rows)):
+                _, chars = _distinct(x, ends)
+                n = len(chars[0])
+                wanted = [(0, np.zeros(1, np.int64))]
+                for k in range(1, ORDER + 1):
+                    wanted += [(k, np.unique(hash_of(chars[:k], n))), (BACK + k, np.unique(hash_of(chars[1:k], n)))]
+                for slot, keys in wanted:
+                    m = len(keys)
+                    yield pa.RecordBatch.from_arrays([pa.array(np.full(m, batch)), pa.array([lang] * m, pa.string()), pa.array(np.full(m, 1 - half, np.int32)), pa.array(np.full(m, slot, np.int32)), pa.array(keys)], names=["batch", "lang", "half", "slot", "key"])
+
+
+def _score_batch(docs: pa.Table, answers: pa.Table) -> pa.Table:
+    model: dict[tuple, dict] = {}
+    for key, rows in _groups(answers.column("lang"), answers.column("half"), answers.column("slot")):
+        part = answers.take(rows)
+        keys, values = part.column("key").to_numpy(), part.column("value").to_numpy().astype(np.float32)
+        order = np.argsort(keys)
+        model.setdefault(key[:2], {})[key[2]] = (keys[order], values[order])
+    cols = _scored(docs.select(["doc_id", "lang", "half", "text"]), lambda lang, half: model.get((lang, 1 - half)))
+    return pa.table(cols, names=["doc_id", "lang", *COUNTS, "log_perplexity"])
+
+
+def scored_texts(docs: DataFrame, staging: Staging, send_bytes: int = SEND_BYTES, batch_bytes: int = BATCH) -> DataFrame:
+    """Staged columns SCORED of all rows of docs(doc_id, lang, half, text)."""
+    entries = perplexity_model(docs, staging)
+    shards = sorted_shards(entries, staging)
+    size = shards.agg(F.sum(F.length("keys") + F.length("vals"))).first()[0] or 0
+    if size <= send_bytes:
+        parts: dict[tuple, dict[int, list]] = {}
+        for r in shards.orderBy("lang", "half", "slot", "shard").collect():
+            parts.setdefault((r.lang, r.half), {}).setdefault(r.slot, []).append((r.keys, r.vals))
+        model = {key: {slot: tuple(b"".join(c) for c in zip(*rows)) for slot, rows in slots.items()} for key, slots in parts.items()}
+        sent = docs.sparkSession.sparkContext.broadcast(model)  # send_bytes at most
+        return staging.put(docs.mapInArrow(_score_by(sent), SCORED), "scored")
+    dealt = staging.put(docs.mapInArrow(_dealt(batch_bytes), "doc_id long, lang string, half int, text string, batch long"), "batches")
+    asked = dealt.mapInArrow(_asked, "batch long, lang string, half int, slot int, key long").distinct()
+    answers = asked.join(entries, ["lang", "half", "slot", "key"]).select("batch", "lang", "half", "slot", "key", "value")
+    return staging.put(dealt.groupBy("batch").cogroup(answers.groupBy("batch")).applyInArrow(_score_batch, SCORED), "scored")
+
+
 def base_failed() -> Column:
     return (F.col("n_words") < 50) | (100 * F.col("n_repeat_words") > 50 * F.col("n_words"))
 
 
-def quality_rules(docs: DataFrame, below: float = BELOW, above: float = ABOVE, least_spread: float = LEAST_SPREAD) -> DataFrame:
+def quality_rules(docs: DataFrame, below: float = BELOW, above: float = ABOVE, least_spread: float = LEAST_SPREAD, send_bytes: int = SEND_BYTES) -> DataFrame:
     """One row per row of docs(doc_id, text, lang): the base counts, base_failed, log_perplexity, low, high, kept.
 
+    log_perplexity is in nats a word; low and high are its language's band for
+    a text of so many words. Median and spread cover all texts that pass the
+    base rules.
+
     Null, empty and blank texts have counts of 0 and fail the base rules. A
-    null lang is a language of its own. A language whose texts all fail has no
-    band, which matters to none of them. Repeated rows count as often as they
-    occur and get equal results; ids are carried along only. Other columns are
-    ignored; an empty table gives an empty one.
+    null lang is a language of its own. A text that passes the base rules and
+    has no log_perplexity (the other half has no text in its language) or no
+    band is kept. Repeated rows count as often as they occur and get equal
+    results; ids are carried along only. Other columns are ignored; an empty
+    table gives an empty one.
     """
-    spark = docs.sparkSession
+    staging = Staging(docs.sparkSession, "quality")
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col("lang").cast("string"), F.lit("")).alias("lang"), F.col("text").cast("string").alias("text"))
-    sent = spark.sparkContext.broadcast(perplexity_model(rows))
-    shape = "doc_id long, lang string, n_words long, word_chars long, n_symbols long, n_dup_lines long, n_repeat_words long, log_perplexity double"
-    scored = Staging(spark, "quality").put(rows.mapInArrow(_score(sent, spark.sparkContext.broadcast(symbol_table())), shape).withColumn("base_failed", base_failed()), "scored")
+    rows = rows.select("doc_id", "lang", F.pmod(F.xxhash64("text"), F.lit(2)).cast("int").alias("half"), "text")
+    scored = scored_texts(rows, staging, send_bytes).withColumn("base_failed", base_failed())
     good = scored.where(~F.col("base_failed") & F.col("log_perplexity").isNotNull())
-    middle = good.groupBy("lang").agg(F.percentile_approx("log_perplexity", [0.25, 0.5, 0.75], 10_000).alias("q"))
-    spread = F.greatest(F.lit(least_spread), (F.col("q")[2] - F.col("q")[0]) / 1.349)
-    bands = middle.select("lang", (F.col("q")[1] - below * spread).alias("low"), (F.col("q")[1] + above * spread).alias("high"))
-    out = scored.join(F.broadcast(bands), "lang", "left")  # one row a language, as in the model itself
-    inside = F.coalesce(F.col("log_perplexity").between(F.col("low"), F.col("high")), F.lit(False))
-    return out.withColumn("kept", ~F.col("base_failed") & inside)
+    # one row a language; staged, so that Spark knows their size and how to join them
+    middle = staging.put(good.groupBy("lang").agg(F.percentile_approx("log_perplexity", 0.5, 10_000).alias("median")), "middle")
+    off = good.join(middle, "lang").select("lang", "median", ((F.col("log_perplexity") - F.col("median")) * F.sqrt("n_words")).alias("t"))
+    quartile = off.groupBy("lang").agg(F.first("median").alias("median"), F.percentile_approx("t", [0.25, 0.75], 10_000).alias("q"))
+    bands = staging.put(quartile.select("lang", "median", ((F.col("q")[1] - F.col("q")[0]) / 1.349).alias("spread")), "bands")
+    width = F.sqrt(F.col("spread") * F.col("spread") / F.greatest(F.col("n_words"), F.lit(1)) + F.pow(least_spread * F.col("median"), 2))
+    out = scored.join(bands, "lang", "left").withColumn("low", F.col("median") - below * width).withColumn("high", F.col("median") + above * width)
+    inside = F.coalesce(F.col("log_perplexity").between(F.col("low"), F.col("high")), F.lit(True))
+    return out.drop("median", "spread").withColumn("kept", ~F.col("base_failed") & inside)

@@ -303,23 +303,109 @@ def test_op9_base_counts(spark, documents):
     assert got[~got.base_failed].kept.mean() > 0.95
 
 
-def test_kneser_ney_sums_to_one():
-    rng = np.random.default_rng(5)
-    x = np.concatenate([np.zeros(3, np.uint8), rng.choice(6, 3000, p=[0.4, 0.3, 0.15, 0.1, 0.04, 0.01]).astype(np.uint8)])
-    code, n = np.unique(quality.codes_of(x), return_counts=True)
-    model = quality.kneser_ney(code, n)
-    for ctx in [0, *(code[rng.integers(0, len(code), 20)] // quality.A).tolist(), 47 * quality.A**2]:
-        p = np.exp(quality.lookup(model, ctx * quality.A + np.arange(quality.A), 4))
-        assert abs(p.sum() - 1) < 1e-6
-
-
-def test_noise_leaves_the_band(spark):
+class PlainKneserNey:
+    """Modified Kneser-Ney over the texts, by dictionaries."""
+
+    def __init__(self, texts, order=5):
+        counts = Counter()
+        for s in texts:
+            s = "\n" * (order - 1) + s
+            counts.update(s[i : i + order] for i in range(len(s) - order + 1))
+        self.levels = [counts]
+        while len(self.levels) < order:
+            self.levels.insert(0, Counter(g[1:] for g in self.levels[0]))
+        self.cuts, self.totals, self.lost = [], [], []
+        for c in self.levels:
+            n1, n2, n3, n4 = (sum(v == i for v in c.values()) for i in (1, 2, 3, 4))
+            y = n1 / (n1 + 2 * n2) if n1 else 0
+            d = [1 - 2 * y * n2 / max(n1, 1), 2 - 3 * y * n3 / max(n2, 1), 3 - 4 * y * n4 / max(n3, 1)]
+            d = [min(max(x, 0.1), i + 0.9) for i, x in enumerate(d)]
+            total, lost = Counter(), Counter()
+            for g, v in c.items():
+                total[g[:-1]] += v
+                lost[g[:-1]] += d[min(v, 3) - 1]
+            self.cuts.append(d)
+            self.totals.append(total)
+            self.lost.append(lost)
+
+    def p(self, gram):
+        p = 1 / (len(self.levels[0]) + 1)
+        for k, c in enumerate(self.levels):
+            g = gram[len(gram) - k - 1 :]
+            if self.totals[k][g[:-1]]:
+                p = (max(0, c[g] - self.cuts[k][min(c[g], 3) - 1]) if c[g] else 0) / self.totals[k][g[:-1]] + self.lost[k][g[:-1]] / self.totals[k][g[:-1]] * p
+        return p
+
+    def nats(self, s):
+        s = "\n" * 4 + s
+        return -sum(np.log(self.p(s[i : i + 5])) for i in range(len(s) - 4))
+
+
+def test_op9_by_brute_force(spark, documents):
+    """Perplexities, bands and verdicts of every document against a plain model; both ways to bring the model give them."""
+    docs = spark.read.parquet(f"{SF}/documents.parquet")
+    half = {r.doc_id: r.half for r in docs.selectExpr("doc_id", "pmod(xxhash64(text), 2) half").collect()}
+    squeezed = {i: " ".join((t or "").split()) for i, t in zip(documents.doc_id, documents.text)}
+    lang = dict(zip(documents.doc_id, documents.lang))
+    models = {(g, h): PlainKneserNey([s for i, s in squeezed.items() if s and lang[i] == g and half[i] == h]) for g in set(lang.values()) for h in (0, 1)}
+    got = quality.quality_rules(docs).toPandas().set_index("doc_id")
+    other = quality.quality_rules(docs, send_bytes=-1).toPandas().set_index("doc_id")
+    assert (got.kept == other.kept).all() and np.allclose(got.log_perplexity, other.log_perplexity, equal_nan=True, rtol=1e-6)
+    nats = {i: models[lang[i], 1 - half[i]].nats(s) / got.n_words[i] for i, s in squeezed.items() if got.n_words[i]}
+    assert all(abs(got.log_perplexity[i] - x) < 1e-5 for i, x in nats.items())
+    good = got[~got.base_failed]
+    for g, part in good.groupby("lang"):
+        x = np.array([nats[i] for i in part.index])
+        middle = np.sort(x)[(len(x) - 1) // 2]
+        assert abs(np.sort(x)[len(x) // 2] - middle) < 0.5 and got.low[part.index].max() < middle < got.high[part.index].min()
+        t = np.sort((x - middle) * np.sqrt(part.n_words))
+        spread = (t[-(-3 * len(t) // 4) - 1] - t[-(-len(t) // 4) - 1]) / 1.349
+        width = np.sqrt(spread**2 / part.n_words + (0.01 * middle) ** 2)
+        assert np.allclose(part.low, middle - 3.5 * width, atol=1e-4) and np.allclose(part.high, middle + 7 * width, atol=1e-4)
+        assert (part.kept == ((x >= part.low) & (x <= part.high))).all()
+
+
+def test_long_texts_and_rare_letters_share_the_model(spark, monkeypatch):
+    rng = random.Random(12)
+    letters = [chr(c) for c in range(0x4E00, 0x4E00 + 9000)]
+    texts = ["".join(rng.choice(letters) + (" " if j % 7 == 0 else "") for j in range(900)) for _ in range(40)]
+    docs = frame(spark, [(i, t, "zh", "a") for i, t in enumerate(texts)])
+    whole = quality.quality_rules(docs).toPandas().set_index("doc_id").log_perplexity
+    monkeypatch.setattr(quality, "CHUNK", 100)
+    monkeypatch.setattr(quality, "HELD", 500)
+    cut = spark.createDataFrame(docs.toPandas())  # workers see the small bounds: checked in this process
+    rows = [(r.doc_id, r.lang, i % 2, r.text) for i, r in enumerate(cut.collect())]
+    import pyarrow as pa
+
+    batch = pa.RecordBatch.from_arrays([pa.array([r[1] for r in rows]), pa.array([r[2] for r in rows]), pa.array([r[3] for r in rows])], names=["lang", "half", "text"])
+    counted = Counter()
+    for b in quality._count([batch]):
+        counted.update({(h, g): n for h, g, n in zip(b.column(1).to_pylist(), b.column(2).to_pylist(), b.column(3).to_pylist())})
+    want = Counter()
+    for _, _, h, t in rows:
+        s = "\n" * 4 + " ".join(t.split())
+        want.update((h, s[i : i + 5]) for i in range(len(s) - 4))
+    assert len(whole) == 40 and sum(counted.values()) == sum(want.values()) and set(counted) == set(want)
+
+
+def test_noise_and_lists_leave_the_band(spark):
     rng = random.Random(9)
     common = [f"{a}{b}" for a in ("ka", "to", "mi", "re", "su") for b in ("na", "lo", "ri")]
     rows = [(i, " ".join(rng.choice(common) for _ in range(80)), "en", "a") for i in range(150)]
-    rows.append((999, " ".join("".join(rng.choice("qxzjvwk0987#") for _ in range(6)) for _ in range(80)), "en", "a"))
-    got = {r.doc_id: r.kept for r in quality.quality_rules(frame(spark, rows)).collect()}
-    assert not got.pop(999) and all(got.values())
+    noise = lambda: " ".join("".join(rng.choice("qxzjvwk0987#") for _ in range(6)) for _ in range(80))
+    rows += [(1000 + i, noise(), "en", "a") for i in range(2)]
+    rows += [(2000 + i, " ".join(rng.choice("ab") for _ in range(400)), "en", "a") for i in range(2)]
+    got = {r.doc_id: r for r in quality.quality_rules(frame(spark, rows)).collect()}
+    assert not any(r.kept for i, r in got.items() if i >= 1000) and all(r.kept for i, r in got.items() if i < 1000)
+    assert all(r.log_perplexity > r.high for i, r in got.items() if 1000 <= i < 2000)
+
+
+def test_clean_texts_stay_and_strewn_symbols_go(spark):
+    sf = "/root/testdata/sf0.01"
+    got = queries.op9_quality_rules(spark, sf).toPandas().merge(pd.read_parquet(f"{sf}/documents.parquet"), on="doc_id").merge(pd.read_parquet(f"{sf}/labels.parquet"), on="doc_id", how="left")
+    got = got[~got.base_failed]
+    strewn = got.text.str.count(r"[#$%&*]{3}") > 20
+    assert got[got.quality == 1].kept.mean() > 0.96 and got[~strewn].kept.mean() > 0.96 and got[strewn].kept.mean() < 0.2
 
 
 @pytest.mark.parametrize("name", sorted(queries.ORACLE_SQL))
