@@ -5,10 +5,10 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from millrace.llm import licenses
 from millrace.llm.common import table
 from millrace.llm.embeddings import near_duplicate_vectors
 from millrace.llm.langid import identify
-from millrace.llm.licenses import TEMPLATES, scan_licenses
 from millrace.llm.mixing import mix_sources
 from millrace.llm.neardup import near_duplicates
 from millrace.llm.packing import pack_documents
@@ -95,7 +95,7 @@ def op10_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     name = F.when(F.col("doc_id") % 11 == 0, F.concat(F.lit("LICENSE."), F.col("doc_id"))).otherwise(F.concat(F.col("doc_id"), F.lit(".txt")))
     path = F.concat_ws("/", F.col("source"), F.when(F.col("doc_id") % 11 != 0, (F.col("doc_id") % 7).cast("string")), F.when(F.col("doc_id") % 3 == 1, (F.col("doc_id") % 5).cast("string")), name)
-    return scan_licenses(docs.select("doc_id", path.alias("path"), "text")).select("doc_id", "path", "own_license", "cosine", "license", "inherited_from")
+    return licenses.scan_licenses(docs.select("doc_id", path.alias("path"), "text")).select("doc_id", "path", "own_license", "cosine", "license", "inherited_from")
 
 
 QUERIES = {
@@ -175,35 +175,47 @@ SELECT c.page_id, c.fetched_at, entry, verdict, coalesce(verdict <> 'block', tru
 """
 
 OP10_SQL = r"""
-WITH forms(t, license, wording) AS (VALUES %s),
-ft AS (SELECT t, license, term, count(*) AS tf FROM (SELECT t, license, unnest(regexp_extract_all(lower(wording), '[a-z0-9]+(?:[.\-][a-z0-9]+)*')) AS term FROM forms) GROUP BY ALL),
+WITH forms(t, license, wording) AS (VALUES {forms}),
+ft AS (SELECT t, license, term, count(*) AS tf FROM (SELECT t, license, unnest(regexp_extract_all(lower(wording), '{term}')) AS term FROM forms) GROUP BY ALL),
 voc AS (SELECT DISTINCT term FROM ft),
 d AS (
-  SELECT doc_id, concat_ws('/', source, CASE WHEN doc_id %% 11 <> 0 THEN (doc_id %% 7)::VARCHAR END, CASE WHEN doc_id %% 3 = 1 THEN (doc_id %% 5)::VARCHAR END,
-         CASE WHEN doc_id %% 11 = 0 THEN 'LICENSE.' || doc_id ELSE doc_id || '.txt' END) AS path, text FROM documents),
-l AS (SELECT doc_id, unnest(string_split(text, chr(10))) AS line FROM d WHERE text IS NOT NULL),
-tot AS (SELECT count(*)::DOUBLE AS total FROM l),
-df AS (SELECT term, count(*) AS df FROM (SELECT unnest(list_distinct(regexp_extract_all(lower(line), '[a-z0-9]+(?:[.\-][a-z0-9]+)*'))) AS term FROM l) JOIN voc USING (term) GROUP BY term),
+  SELECT doc_id, concat_ws('/', source, CASE WHEN doc_id % 11 <> 0 THEN (doc_id % 7)::VARCHAR END, CASE WHEN doc_id % 3 = 1 THEN (doc_id % 5)::VARCHAR END,
+         CASE WHEN doc_id % 11 = 0 THEN 'LICENSE.' || doc_id ELSE doc_id || '.txt' END) AS path, text FROM documents),
+tot AS (SELECT count(text)::DOUBLE AS total FROM d),
+df AS (SELECT term, count(*) AS df FROM (SELECT unnest(list_distinct(regexp_extract_all(lower(text), '{term}'))) AS term FROM d) JOIN voc USING (term) GROUP BY term),
 idf AS (SELECT term, ln((1 + total) / (1 + coalesce(df, 0))) + 1 AS idf FROM voc LEFT JOIN df USING (term), tot),
-m AS (SELECT DISTINCT doc_id, line FROM l WHERE regexp_matches(lower(line), 'licen[sc]e|copyright|spdx|public domain')),
+l AS (
+  SELECT doc_id, path, i, regexp_extract_all(lower(line), '{term}') AS own, regexp_matches(line, '{no_text}') AS blank, regexp_matches(line, '{comment}') AS comment
+  FROM (SELECT doc_id, path, unnest(string_split(text, chr(10))) AS line, generate_subscripts(string_split(text, chr(10)), 1) AS i FROM d WHERE text IS NOT NULL)),
+l2 AS (SELECT *, sum(blank::INT) OVER (PARTITION BY doc_id ORDER BY i) AS paragraph, coalesce(min(CASE WHEN NOT comment THEN i END) OVER (PARTITION BY doc_id), 1000000000) AS top FROM l),
+-- the distinct parts: lines, paragraphs, the comment at the top, and the whole of licence files
+p AS (
+  SELECT doc_id, own AS part FROM l
+  UNION SELECT doc_id, flatten(list(own ORDER BY i)) FROM l2 WHERE NOT blank GROUP BY doc_id, paragraph
+  UNION SELECT doc_id, flatten(list(own ORDER BY i)) FROM l2 WHERE i < top GROUP BY doc_id
+  UNION SELECT doc_id, flatten(list(own ORDER BY i)) FROM l2 WHERE regexp_matches(regexp_extract(path, '([^/]*)$', 1), '{licence_file}') GROUP BY doc_id),
 w AS (
-  SELECT doc_id, line, term, tf * coalesce(idf, ln((1 + total) / 2) + 1) AS w FROM (
-    SELECT doc_id, line, term, count(*) AS tf FROM (SELECT doc_id, line, unnest(regexp_extract_all(lower(line), '[a-z0-9]+(?:[.\-][a-z0-9]+)*')) AS term FROM m) GROUP BY ALL)
+  SELECT doc_id, part, term, tf * coalesce(idf, ln((1 + total) / 2) + 1) AS w FROM (
+    SELECT doc_id, part, term, count(*) AS tf FROM (SELECT doc_id, row_number() OVER () AS part, part AS words FROM p) x, unnest(x.words) AS u(term) GROUP BY ALL)
   LEFT JOIN idf USING (term), tot),
-n AS (SELECT doc_id, line, sqrt(sum(w * w)) AS norm FROM w GROUP BY ALL),
+n AS (SELECT part, sqrt(sum(w * w)) AS norm FROM w GROUP BY part),
 f AS (SELECT t, license, term, tf * idf AS v FROM ft JOIN idf USING (term)),
 fnorm AS (SELECT t, sqrt(sum(v * v)) AS form_norm FROM f GROUP BY t),
 c AS (
   SELECT doc_id, license, round(dot / (norm * form_norm), 6) AS cosine
-  FROM (SELECT doc_id, line, t, license, sum(w * v) AS dot FROM w JOIN f USING (term) GROUP BY ALL) JOIN n USING (doc_id, line) JOIN fnorm USING (t)),
+  FROM (SELECT doc_id, part, t, license, sum(w * v) AS dot FROM w JOIN f USING (term) GROUP BY ALL) JOIN n USING (part) JOIN fnorm USING (t)),
 own AS (SELECT doc_id, license AS own_license, cosine FROM c WHERE cosine >= 0.6 QUALIFY row_number() OVER (PARTITION BY doc_id ORDER BY cosine DESC, license) = 1),
 files AS (SELECT d.doc_id, d.path, own_license, cosine, regexp_extract(d.path, '^(.*)/[^/]*$', 1) AS home FROM d LEFT JOIN own USING (doc_id)),
-folders AS (SELECT home AS folder, own_license AS found FROM files WHERE own_license IS NOT NULL AND regexp_matches(regexp_extract(path, '([^/]*)$', 1), '(?i)^(licen[sc]e|copying)')
+folders AS (SELECT home AS folder, own_license AS found FROM files WHERE own_license IS NOT NULL AND regexp_matches(regexp_extract(path, '([^/]*)$', 1), '{licence_file}')
             QUALIFY row_number() OVER (PARTITION BY home ORDER BY cosine DESC, own_license) = 1),
 up AS (SELECT home, i, array_to_string(string_split(home, '/')[:i], '/') AS folder FROM (SELECT home, unnest(range(0, len(string_split(home, '/')) + 1)) AS i FROM (SELECT DISTINCT home FROM files))),
 near AS (SELECT home, folder, found FROM up JOIN folders USING (folder) QUALIFY row_number() OVER (PARTITION BY home ORDER BY i DESC) = 1)
 SELECT doc_id, path, own_license, cosine, coalesce(own_license, found) AS license, CASE WHEN own_license IS NULL THEN near.folder END AS inherited_from
 FROM files LEFT JOIN near USING (home)
-""" % ", ".join(f"({i}, '{a}', '{b}')" for i, (a, b) in enumerate(TEMPLATES))
+"""
+_quoted = lambda text: "'" + text.replace("'", "''") + "'"
+_forms = ", ".join(f"({i}, {_quoted(a)}, {_quoted(b)})" for i, (a, b) in enumerate(licenses.TEMPLATES))
+for _name, _text in (("term", licenses.TERM), ("no_text", licenses.NO_TEXT), ("comment", licenses.COMMENT), ("licence_file", licenses.LICENCE_FILE), ("forms", _forms)):
+    OP10_SQL = OP10_SQL.replace("{" + _name + "}", _text)
 
 ORACLE_SQL = {"op1_mix_sources": OP1_SQL, "op6_url_filter": OP6_SQL, "op10_license_scan": OP10_SQL}

@@ -12,7 +12,7 @@ import pandas as pd
 import pytest
 from conftest_llm import frame, words
 
-from millrace.llm import components, embeddings, langid, mixing, neardup, packing, quality, queries, substring, toxicity
+from millrace.llm import components, embeddings, langid, licenses, mixing, neardup, packing, quality, queries, substring, toxicity
 from millrace.llm.common import Staging, window_hashes, word_hashes
 
 SF = "/root/testdata/sf0.001"
@@ -450,3 +450,104 @@ def test_high_quality_comes_first(spark):
     taken = mixing.mix_sources(docs, q, weights=(1, 3)).where("source = 'a'").collect()
     good, rest = sum(r.taken for r in taken if r.doc_id % 2), sum(r.taken for r in taken if not r.doc_id % 2)
     assert good > 1.3 * rest
+
+
+#: Notices as they stand in files: commented, wrapped, with names and years.
+NOTICES = {
+    "MIT": """MIT License
+
+Copyright (c) 2021 Jane Roe
+
+Permission is hereby granted, free of charge, to any person obtaining a copy
+of this software and associated documentation files (the "Software"), to deal
+in the Software without restriction, including without limitation the rights
+to use, copy, modify, merge, publish, distribute, sublicense, and/or sell
+copies of the Software, and to permit persons to whom the Software is
+furnished to do so, subject to the following conditions:
+
+The above copyright notice and this permission notice shall be included in all
+copies or substantial portions of the Software.
+""",
+    "BSD-3-Clause": """Copyright 2019 The Example Authors. All rights reserved.
+
+Redistribution and use in source and binary forms, with or without
+modification, are permitted provided that the following conditions are met:
+
+* Redistributions of source code must retain the above copyright notice, this
+  list of conditions and the following disclaimer.
+* Redistributions in binary form must reproduce the above copyright notice,
+  this list of conditions and the following disclaimer in the documentation
+  and/or other materials provided with the distribution.
+* Neither the name of Example nor the names of its contributors may be used to
+  endorse or promote products derived from this software without specific
+  prior written permission.
+""",
+    "GPL-3.0": """/* frob.c -- frobnicate
+ * Copyright (C) 2008 Jane Roe
+ *
+ * This program is free software: you can redistribute it and/or modify
+ * it under the terms of the GNU General Public License as published by
+ * the Free Software Foundation, either version 3 of the License, or
+ * (at your option) any later version.
+ *
+ * This program is distributed in the hope that it will be useful,
+ * but WITHOUT ANY WARRANTY; without even the implied warranty of
+ * MERCHANTABILITY or FITNESS FOR A PARTICULAR PURPOSE.  See the
+ * GNU General Public License for more details.
+ */
+int main(void) { return 0; }
+""",
+    "LGPL-2.1": """                  GNU LESSER GENERAL PUBLIC LICENSE
+                       Version 2.1, February 1999
+
+ Copyright (C) 1991, 1999 Free Software Foundation, Inc.
+""",
+    "Apache-2.0": """#!/usr/bin/env python
+# Copyright 2020 The Example Authors
+#
+# Licensed under the Apache License, Version 2.0 (the "License");
+# you may not use this file except in compliance with the License.
+# You may obtain a copy of the License at
+#
+#      http://www.apache.org/licenses/LICENSE-2.0
+#
+import os
+""",
+    "ISC": """// Permission to use, copy, modify, and/or distribute this software for any
+// purpose with or without fee is hereby granted, provided that the above
+// copyright notice and this permission notice appear in all copies.
+""",
+    "MPL-2.0": """/* This Source Code Form is subject to the terms of the Mozilla Public
+ * License, v. 2.0. If a copy of the MPL was not distributed with this
+ * file, You can obtain one at https://mozilla.org/MPL/2.0/. */
+""",
+}
+
+
+def test_notices_as_they_stand_in_files_are_found(spark):
+    sf = spark.read.parquet("/root/testdata/sf0.01/documents.parquet").selectExpr("doc_id + 1000 doc_id", "concat('corpus/', doc_id) path", "text")
+    rng = random.Random(4)
+    rows = []
+    for i, (name, text) in enumerate(NOTICES.items()):
+        code = "\n".join(words(rng, 8) for _ in range(200))
+        rows += [(2 * i, f"{name}/LICENSE.txt", text), (2 * i + 1, f"{name}/src/a/file", text + "\n" + code), (500 + i, f"{name}/src/b/c/other", code)]
+    docs = spark.createDataFrame(rows, "doc_id long, path string, text string").union(sf)
+    got = {r.path: r for r in licenses.scan_licenses(docs).where("doc_id < 1000").collect()}
+    for name in NOTICES:
+        assert got[f"{name}/LICENSE.txt"].own_license == name and got[f"{name}/src/a/file"].own_license == name, name
+        r = got[f"{name}/src/b/c/other"]
+        assert (r.own_license, r.license, r.inherited_from) == (None, name, name)
+
+
+def test_the_bound_on_parts_loses_nothing():
+    rng = random.Random(8)
+    vocabulary = [w for _, t in licenses.TEMPLATES for w in licenses.terms(t)]
+    idf = {t: 1 + rng.random() * 6 for t in vocabulary}
+    for _ in range(300):
+        part = Counter(rng.choice(vocabulary) if rng.random() < 0.6 else f"x{rng.randrange(99)}" for _ in range(rng.randrange(1, 30)))
+        w = {t: n * idf.get(t, 8.0) for t, n in part.items()}
+        on, all_ = sum(x * x for t, x in w.items() if t in idf), sum(x * x for x in w.values())
+        for _, wording in licenses.TEMPLATES:
+            v = {t: n * idf[t] for t, n in Counter(licenses.terms(wording)).items()}
+            cosine = sum(x * v.get(t, 0) for t, x in w.items()) / np.sqrt(all_ * sum(x * x for x in v.values()))
+            assert cosine <= np.sqrt(on / all_) + 1e-9
