@@ -36,6 +36,8 @@ START = "\n" * (ORDER - 1)
 CHUNK, HELD = 1_000_000, 1_000_000
 #: Entries in a shard of the model; bytes of a model that tasks get whole; bytes of text in a batch.
 SHARD, SEND_BYTES, BATCH = 2**18, 256 * 2**20, 64 * 2**20
+#: A hash and a value.
+ENTRY_BYTES = 12
 #: Slots of the model: 0 the uniform share, k the k-grams, BACK + k their contexts' back-off weights.
 BACK = 10
 #: Half widths of the band, in standard deviations below and above the median: about 1 in 1000 clean texts is lost.
@@ -140,22 +142,31 @@ def _groups(*columns):
     return [(key, pa.array(r)) for key, r in rows.items()]
 
 
-def kneser_ney(grams: DataFrame, staging: Staging) -> DataFrame:
-    """Counted n-grams (lang, half, gram, n) -> entries (lang, half, slot, gram, value) of the model.
+def counted_grams(grams: DataFrame, staging: Staging) -> DataFrame:
+    """N-grams (lang, half, gram, n) -> staged (lang, half, k, gram, c), k from 1 to ORDER.
+
+    The longest ones count as they occur; shorter ones count the different
+    characters to their left.
+    """
+    key = ["lang", "half", "k"]
+    longest = grams.groupBy("lang", "half", "gram").agg(F.sum("n").alias("c"))
+    # each n-gram and its suffixes; for k below ORDER the suffix of k + 1 characters, which counts once for its last k
+    ends = [F.struct(F.lit(k).alias("k"), F.substring("gram", ORDER - k, k + 1).alias("gram"), F.lit(1).cast("long").alias("c")) for k in range(1, ORDER)]
+    ends.append(F.struct(F.lit(ORDER).alias("k"), F.col("gram"), F.col("c")))
+    once = longest.select("lang", "half", F.explode(F.array(*ends)).alias("s")).groupBy("lang", "half", "s.k", "s.gram").agg(F.max("s.c").alias("c"))
+    counted = once.groupBy(*key, F.expr(f"if(k < {ORDER}, substring(gram, 2), gram)").alias("gram")).agg(F.sum("c").alias("c"))
+    return staging.put(counted, "counted")
+
+
+def model_entries(counted: DataFrame) -> DataFrame:
+    """counted_grams() -> entries (lang, half, slot, gram, value) of the model.
 
     P(c after h) of order k is value(k, hc) + value(BACK + k, h) * P of order
     k - 1, where n-grams that are not there count 0 and contexts that are not
     there pass on all weight; order 0 is uniform. Discounts are those for
-    counts of one, two, and three or more; lower orders count the different
-    characters to the left.
+    counts of one, two, and three or more.
     """
     key = ["lang", "half", "k"]
-    longest = staging.put(grams.groupBy("lang", "half", "gram").agg(F.sum("n").alias("c")), "longest")
-    suffixes = F.array(*[F.struct(F.lit(k).alias("k"), F.substring("gram", ORDER - k, k + 1).alias("gram")) for k in range(1, ORDER)])
-    left = longest.select("lang", "half", F.explode(suffixes).alias("s")).select("lang", "half", "s.k", "s.gram").distinct()
-    lower = left.groupBy(*key, F.expr("substring(gram, 2)").alias("gram")).agg(F.count("*").alias("c"))
-    counted = staging.put(lower.unionByName(longest.select("lang", "half", F.lit(ORDER).alias("k"), "gram", "c")), "counted")
-
     n = [F.count(F.when(F.col("c") == i, 1)).cast("double").alias(f"n{i}") for i in (1, 2, 3, 4)]
     many = counted.groupBy(*key).agg(*n, F.count("*").alias("types"))
     y = F.when(F.col("n1") > 0, F.col("n1") / (F.col("n1") + 2 * F.col("n2"))).otherwise(0.0)
@@ -194,18 +205,12 @@ def _sorted(table: pa.Table) -> pa.Table:
     return pa.table({**first, "keys": pa.array([keys[order].tobytes()], pa.binary()), "vals": pa.array([values[order].astype(np.float32).tobytes()], pa.binary())})
 
 
-def perplexity_model(docs: DataFrame, staging: Staging) -> DataFrame:
-    """Staged entries (lang, half, slot, key, value) of the models of all texts of docs(lang, half, text)."""
-    counted = docs.select("lang", "half", "text").mapInArrow(_count, "lang string, half int, gram string, n long")
-    return staging.put(kneser_ney(counted, staging).mapInArrow(_hashed, "lang string, half int, slot int, key long, value double"), "entries")
-
-
-def sorted_shards(entries: DataFrame, staging: Staging) -> DataFrame:
-    """Entries as sorted arrays (lang, half, slot, shard, keys, vals); shards are ranges of the hash of at most about SHARD entries."""
-    bits = max(0, int(np.ceil(np.log2(max(1, entries.count()) / SHARD))))
+def sorted_shards(entries: DataFrame, n: int) -> DataFrame:
+    """Entries (at most n) as sorted arrays (lang, half, slot, shard, keys, vals); shards are ranges of the hash of at most about SHARD entries."""
+    bits = max(0, int(np.ceil(np.log2(max(1, n) / SHARD))))
     shard = F.expr(f"shiftright(key, {64 - bits})") if bits else F.lit(0).cast("long")
     groups = entries.withColumn("shard", shard).groupBy("lang", "half", "slot", "shard")
-    return staging.put(groups.applyInArrow(_sorted, "lang string, half int, slot int, shard long, keys binary, vals binary"), "shards")
+    return groups.applyInArrow(_sorted, "lang string, half int, slot int, shard long, keys binary, vals binary")
 
 
 def _found(tables: dict, slot: int, keys: np.ndarray, default: float) -> np.ndarray:
@@ -342,16 +347,17 @@ def _score_batch(docs: pa.Table, answers: pa.Table) -> pa.Table:
 
 def scored_texts(docs: DataFrame, staging: Staging, send_bytes: int = SEND_BYTES, batch_bytes: int = BATCH) -> DataFrame:
     """Staged columns SCORED of all rows of docs(doc_id, lang, half, text)."""
-    entries = perplexity_model(docs, staging)
-    shards = sorted_shards(entries, staging)
-    size = shards.agg(F.sum(F.length("keys") + F.length("vals"))).first()[0] or 0
-    if size <= send_bytes:
+    counted = counted_grams(docs.select("lang", "half", "text").mapInArrow(_count, "lang string, half int, gram string, n long"), staging)
+    entries = model_entries(counted).mapInArrow(_hashed, "lang string, half int, slot int, key long, value double")
+    n = 2 * counted.count()  # contexts are no more than n-grams
+    if n * ENTRY_BYTES <= send_bytes:
         parts: dict[tuple, dict[int, list]] = {}
-        for r in shards.orderBy("lang", "half", "slot", "shard").collect():
+        for r in sorted(sorted_shards(entries, n).collect(), key=lambda r: r.shard):
             parts.setdefault((r.lang, r.half), {}).setdefault(r.slot, []).append((r.keys, r.vals))
         model = {key: {slot: tuple(b"".join(c) for c in zip(*rows)) for slot, rows in slots.items()} for key, slots in parts.items()}
         sent = docs.sparkSession.sparkContext.broadcast(model)  # send_bytes at most
         return staging.put(docs.mapInArrow(_score_by(sent), SCORED), "scored")
+    entries = staging.put(entries, "entries")
     dealt = staging.put(docs.mapInArrow(_dealt(batch_bytes), "doc_id long, lang string, half int, text string, batch long"), "batches")
     asked = dealt.mapInArrow(_asked, "batch long, lang string, half int, slot int, key long").distinct()
     answers = asked.join(entries, ["lang", "half", "slot", "key"]).select("batch", "lang", "half", "slot", "key", "value")
