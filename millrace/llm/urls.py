@@ -1,14 +1,16 @@
 """URL filters by a temporal list join.
 
 A list is a log of dated events: a pattern is set to block or allow, or taken
-off. Each pattern's events become validity intervals; a capture is judged by
-the entries that were active when it was fetched. Patterns are domains (they
-cover their subdomains) or host directories; of the active entries the most
-specific one decides.
-
-The join is on equal pattern keys, and each key's intervals do not overlap, so
-a capture gets at most one row for each of its few keys, however many captures
-a hot host has. Captures that agree in URL and time are judged once.
+off. Each pattern's events become validity intervals; an as-of join judges a
+capture by the entries that were active when it was fetched. Patterns are
+domains (they cover their subdomains) or host directories; of the active
+entries the most specific one decides.
+
+The as-of join carries the state of each pattern into the days on which it was
+asked for, so that captures meet only the intervals of their key and day, and
+need no order among themselves: a hot host is joined like any other, and a
+pattern with a long history costs its captures nothing. Captures that agree in
+URL and time are judged once.
 """
 
 from __future__ import annotations
@@ -16,6 +18,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from millrace.llm.common import Staging
+
 HOST = r"^[A-Za-z][A-Za-z0-9+.\-]*://(?:[^/?#@]*@)?([^/:?#]+)"
 PATH = r"^[A-Za-z][A-Za-z0-9+.\-]*://[^/?#]*([^?#]*)"
 
@@ -34,17 +38,26 @@ def pattern_keys(url: Column) -> Column:
     return F.when(host == "", none).otherwise(F.concat(domains, F.when(F.size(parts) > 1, folders).otherwise(none)))
 
 
-def validity(events: DataFrame) -> DataFrame:
-    """events(key, verdict, at) -> (key, verdict, start, stop): each state of a key until its next event.
+def clean_events(events: DataFrame) -> DataFrame:
+    """events(key, verdict, at) without nulls and unknown verdicts; of events at one time the last by name holds."""
+    known = events.select("key", "verdict", "at").where("key is not null and at is not null and verdict in ('block', 'allow', 'remove')")
+    return known.groupBy("key", "at").agg(F.max("verdict").alias("verdict"))
+
+
+def validity(events: DataFrame, days: DataFrame) -> DataFrame:
+    """Validity intervals (key, day, start, stop, verdict) of clean_events, for the days(key, day) that are asked for.
 
-    verdict: block, allow or remove. Of events at one time the last by name
-    holds; equal events in a row merge into none of their own. Events with a
-    null in any column are ignored.
+    Each begins at an event, or at the start of a day with the state carried
+    into it; it holds up to, not including, its stop. Intervals without a
+    state, or after a removal, are left out.
     """
-    clean = events.select("key", "verdict", "at").where("key is not null and at is not null and verdict in ('block', 'allow', 'remove')")
-    one = clean.groupBy("key", "at").agg(F.max("verdict").alias("verdict"))
-    stop = F.lead("at").over(Window.partitionBy("key").orderBy("at"))
-    return one.select("key", "verdict", F.col("at").alias("start"), stop.alias("stop")).where("verdict <> 'remove'")
+    kind = events.schema["at"].dataType
+    marks = days.select("key", F.col("day").cast(kind).alias("at"), F.lit(None).cast("string").alias("verdict"))
+    both = events.select("key", "at", "verdict").unionByName(marks).groupBy("key", "at").agg(F.max("verdict").alias("verdict"))
+    w = Window.partitionBy("key").orderBy("at")  # the events of one pattern, and a row a day: no captures
+    held = F.last("verdict", ignorenulls=True).over(w)
+    rows = both.select("key", F.to_date("at").alias("day"), F.col("at").alias("start"), F.lead("at").over(w).alias("stop"), held.alias("verdict"))
+    return rows.where("verdict <> 'remove'")
 
 
 def filter_urls(captures: DataFrame, events: DataFrame, url_col: str = "url", time_col: str = "fetched_at") -> DataFrame:
@@ -52,15 +65,21 @@ def filter_urls(captures: DataFrame, events: DataFrame, url_col: str = "url", ti
 
     entry: the most specific key active at the fetch, directories before
     domains and longer before shorter; verdict: its block or allow; kept: not
-    blocked. A null or hostless URL, or a null time, meets no entry and is
-    kept. An interval holds from its start up to, not including, its stop.
-    Repeated captures get equal verdicts; an empty list keeps everything.
+    blocked. verdict of events: block, allow or remove; events with a null in
+    any column are ignored. A null or hostless URL, or a null time, meets no
+    entry and is kept. Repeated captures get equal verdicts; other columns may
+    have any names; an empty list keeps everything.
     """
+    st = Staging(captures.sparkSession, "urls")
     captures = captures.drop("entry", "verdict", "kept")
-    asked = captures.select(F.col(url_col).alias("_url"), F.col(time_col).alias("_at")).where("_url is not null and _at is not null").distinct()
-    asked = asked.select("_url", "_at", F.explode(pattern_keys(F.col("_url"))).alias("key"))
-    met = asked.join(validity(events), "key").where((F.col("_at") >= F.col("start")) & (F.col("stop").isNull() | (F.col("_at") < F.col("stop"))))
+    captures = captures.select(F.struct(*captures.columns).alias("row"), F.col(url_col).alias("url"), F.col(time_col).alias("at"))
+    events = clean_events(events)
+    asked = captures.where("url is not null and at is not null").groupBy("url", "at").agg(F.lit(1).alias("n"))
+    asked = asked.select("url", "at", F.to_date("at").alias("day"), F.explode(pattern_keys(F.col("url"))).alias("key"))
+    asked = st.put(asked.join(events.select("key").distinct(), "key", "left_semi"), "asked")
+    met = asked.join(validity(events, asked.select("key", "day").distinct()), ["key", "day"])
+    met = met.where((F.col("at") >= F.col("start")) & (F.col("stop").isNull() | (F.col("at") < F.col("stop"))))
     rank = F.struct(F.substring("key", 1, 1).alias("kind"), F.length("key").alias("n"), "key", "verdict")
-    best = met.groupBy("_url", "_at").agg(F.max(rank).alias("r")).select("_url", "_at", F.col("r.key").alias("entry"), F.col("r.verdict").alias("verdict"))
-    out = captures.join(best, (F.col(url_col) == F.col("_url")) & (F.col(time_col) == F.col("_at")), "left").drop("_url", "_at")
-    return out.withColumn("kept", F.coalesce(F.col("verdict") != "block", F.lit(True)))
+    best = met.groupBy("url", "at").agg(F.max(rank).alias("r")).select("url", "at", F.col("r.key").alias("entry"), F.col("r.verdict").alias("verdict"))
+    out = captures.join(st.put(best, "best"), ["url", "at"], "left")
+    return out.select("row.*", "entry", "verdict", F.coalesce(F.col("verdict") != "block", F.lit(True)).alias("kept"))

@@ -61,7 +61,10 @@ def test_urls(spark):
     rows = [(1, "http://a.b.example.com/x/y.html", "2024-02-01"), (1, "http://a.b.example.com/x/y.html", "2024-02-01"), (2, None, "2024-02-01"), (3, "no url", "2024-02-01"), (4, "http://A.b.example.com", None), (None, "http://u:p@example.com:80/x/?q", "2024-02-01")]
     captures = spark.createDataFrame(rows, "page_id long, url string, d string").withColumn("fetched_at", F.col("d").cast("timestamp_ntz")).withColumn("kept", F.lit("x"))
     log = spark.createDataFrame([("d:example.com", "block", "2024-01-01"), ("d:example.com", "block", "2024-01-01"), ("p:a.b.example.com/x/", "allow", "2024-02-01"), (None, "block", "2024-01-01"), ("d:example.com", None, "2024-01-05")], "key string, verdict string, d string").withColumn("at", F.col("d").cast("timestamp_ntz"))
+    for name in ("key", "at", "day", "start", "stop", "entry", "verdict", "row", "n", "kind", "_url", "_at"):
+        captures = captures.withColumn(name, F.lit("x"))
     out = urls.filter_urls(captures, log).collect()
+    assert {r.key for r in out} == {"x"}
     assert len(out) == 6
     assert [r.verdict for r in out if r.page_id == 1] == ["allow", "allow"]
     assert [r.kept for r in out if r.page_id in (2, 3, 4)] == [True, True, True]

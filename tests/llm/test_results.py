@@ -551,3 +551,28 @@ def test_the_bound_on_parts_loses_nothing():
             v = {t: n * idf[t] for t, n in Counter(licenses.terms(wording)).items()}
             cosine = sum(x * v.get(t, 0) for t, x in w.items()) / np.sqrt(all_ * sum(x * x for x in v.values()))
             assert cosine <= np.sqrt(on / all_) + 1e-9
+
+
+def test_url_filter_by_brute_force(spark):
+    """Many events of few patterns, captures at and between them, in any order."""
+    import datetime as dt
+
+    from millrace.llm import urls
+
+    rng = random.Random(6)
+    start = dt.datetime(2024, 1, 1)
+    moment = lambda: start + dt.timedelta(hours=rng.randrange(24 * 20), minutes=rng.choice((0, 30)))
+    keys = ["d:example.com", "d:a.example.com", "p:a.example.com/x/", "d:other.org"]
+    events = [(rng.choice(keys), rng.choice(("block", "allow", "remove")), moment()) for _ in range(120)]
+    sites = ["http://a.example.com/x/y", "http://a.example.com/z", "http://b.example.com/", "https://other.org/x/", "http://none.net/"]
+    captures = [(i, rng.choice(sites), moment()) for i in range(600)]
+    got = urls.filter_urls(spark.createDataFrame(captures, "page_id long, url string, fetched_at timestamp_ntz"), spark.createDataFrame(events, "key string, verdict string, at timestamp_ntz")).collect()
+    covers = {sites[0]: [2, 1, 0], sites[1]: [1, 0], sites[2]: [0], sites[3]: [3], sites[4]: []}
+    for r in got:
+        want = (None, None)
+        for k in covers[r.url]:
+            past = [(at, v) for key, v, at in events if key == keys[k] and at <= r.fetched_at]
+            if past and max(past)[1] != "remove":
+                want = (keys[k], max(past)[1])
+                break
+        assert (r.entry, r.verdict) == want and r.kept == (want[1] != "block")
