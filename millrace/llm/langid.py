@@ -6,9 +6,10 @@ that automaton plus the character that ends it; the fewer phrases, the better
 the language explains the text (Ziv and Merhav's cross-parsing). Phrase counts
 are normalised by log2 of the labelled text's length over the text's length.
 
-The automata come from a bounded sample (a fitted classifier); everything else
-covers whole texts. Inside a task many texts advance together: one numpy lookup
-per character place and language.
+The automata come from a bounded sample (a fitted classifier), each in a task
+of its own and packed into one array; everything else covers whole texts.
+Inside a task many texts advance together: one numpy lookup per character place
+and language.
 """
 
 from __future__ import annotations
@@ -24,6 +25,8 @@ from millrace.llm.common import fold, held_out
 SAMPLE_DOCS, SAMPLE_CHARS = 400, 60_000
 #: Letters that get a symbol of their own; the rest share one.
 LETTERS = 60
+#: Marks an empty place of a packed automaton; symbols are below it.
+NO_SYMBOL = 255
 #: Texts are parsed in pieces of so many characters, each from a fresh phrase.
 PIECE = 2048
 
@@ -51,8 +54,8 @@ def squeezed(points: np.ndarray, table: np.ndarray) -> np.ndarray:
     return x[keep]
 
 
-def suffix_automaton(symbols: list[int], alphabet: int) -> np.ndarray:
-    """Transitions (states, alphabet) of the suffix automaton; -1 where there is none (Blumer et al.)."""
+def suffix_automaton(symbols: list[int]) -> list[dict[int, int]]:
+    """Transitions of the suffix automaton by state; state 0 is the start (Blumer et al.)."""
     nxt: list[dict[int, int]] = [{}]
     link, size = [-1], [0]
     last = 0
@@ -79,103 +82,158 @@ def suffix_automaton(symbols: list[int], alphabet: int) -> np.ndarray:
                     p = link[p]
                 link[q] = link[cur] = clone
         last = cur
-    out = np.full((len(nxt), alphabet), -1, np.int32)
-    for s, t in enumerate(nxt):
-        if t:
-            out[s, list(t)] = list(t.values())
+    return nxt
+
+
+def packed(nxt: list[dict[int, int]]) -> np.ndarray:
+    """An automaton as one array by row displacement; its first entry is the place of state 0.
+
+    A state is its place, its step by symbol c stands at place + c, as the
+    place of the next state times 256, plus c. Places differ, so another
+    state's step, or none, never looks like one's own: its symbol is another.
+    """
+    steps = sum(map(len, nxt))
+    room = int(1.3 * steps) + 2 * NO_SYMBOL
+    while True:
+        used, place, taken = bytearray(room + NO_SYMBOL), [-1] * len(nxt), set()
+        seed = 1
+        for s in sorted(range(len(nxt)), key=lambda s: -len(nxt[s])):
+            if len(nxt[s]) < 2:
+                break
+            for _ in range(10_000):
+                seed = seed * 1103515245 + 12345 & 0x7FFFFFFF
+                at = 1 + seed % (room - 1)
+                if at not in taken and not any(used[at + c] for c in nxt[s]):
+                    break
+            else:
+                break
+            place[s] = at
+            taken.add(at)
+            for c in nxt[s]:
+                used[at + c] = 1
+        left: dict = {}  # by symbol: no place before this one will do
+        for s in range(len(nxt)):  # states of one step or none take what is free, from the left
+            if place[s] < 0 and len(nxt[s]) < 2:
+                c = next(iter(nxt[s]), None)
+                at = left.get(c, 1)
+                while at < room and (at in taken or c is not None and used[at + c]):
+                    at += 1
+                left[c] = at
+                if at == room:
+                    break
+                place[s] = at
+                taken.add(at)
+                if c is not None:
+                    used[at + c] = 1
+        if min(place) > 0:
+            break
+        room *= 2
+    out = np.full(room + NO_SYMBOL, NO_SYMBOL, np.int32)
+    out[0] = place[0]
+    for s, to in enumerate(nxt):
+        for c, t in to.items():
+            out[place[s] + c] = place[t] * 256 + c
     return out
 
 
-def learn(texts: dict[str, list[str]], sample_chars: int, letters: int) -> dict:
-    """The model as plain arrays: letters, alphabet, and per language a table of steps and its scale."""
-    table = letter_table()
-    joined = {lang: np.concatenate([squeezed(code_points(t), table) for t in parts])[:sample_chars] for lang, parts in sorted(texts.items())}
-    points, counts = np.unique(np.concatenate([*joined.values(), np.zeros(1, np.uint32)]), return_counts=True)
-    common = points[np.lexsort((points, -counts))]
-    own = common[common != 0][:letters]
-    model = {"table": table, "letters": own, "alphabet": len(own) + 2, "langs": list(joined), "steps": [], "scale": []}
-    symbol = symbols(model)
-    for x in joined.values():
-        auto = suffix_automaton(symbol[x].tolist(), model["alphabet"])
-        # a missing step ends the phrase: it leads to the start and counts one (the low bit)
-        model["steps"].append(np.where(auto < 0, np.int32(1), auto * np.int32(2)))
-        model["scale"].append(float(np.log2(max(2, len(x)))))
-    return model
-
-
-def symbols(model: dict) -> np.ndarray:
-    """By lower-case code point. 0: between words; the last symbol: a letter without one of its own."""
-    out = np.full(0x110000, model["alphabet"] - 1, np.uint8)
+def _learned(letters: int):
+    """The sampled texts of one language -> its letters, automaton and scale."""
+
+    def run(table: pa.Table) -> pa.Table:
+        lookup = letter_table()
+        x = np.concatenate([squeezed(code_points(t), lookup) for t in sorted(table.column("text").to_pylist())])
+        points, counts = np.unique(x[x != 0], return_counts=True)
+        own = points[np.lexsort((points, -counts))][:letters].astype(np.uint32)
+        auto = packed(suffix_automaton(symbols(own)[x].tolist()))
+        return pa.table({"lang": table.column("lang")[:1], "letters": [own.tobytes()], "steps": [auto.tobytes()], "scale": [float(np.log2(max(2, len(x))))]})
+
+    return run
+
+
+def symbols(letters: np.ndarray) -> np.ndarray:
+    """By lower-case code point. 0: between words; 1 to n: the letters; n + 1: a letter without a symbol of its own."""
+    out = np.full(0x110000, len(letters) + 1, np.uint8)
     out[0] = 0
-    out[model["letters"]] = np.arange(1, len(model["letters"]) + 1)
+    out[letters] = np.arange(1, len(letters) + 1)
     return out
 
 
-def fit(docs: DataFrame, sample_docs: int = SAMPLE_DOCS, sample_chars: int = SAMPLE_CHARS, letters: int = LETTERS) -> dict:
-    """Fits on docs(doc_id, text, lang) with fold not 0 and a non-null lang.
+def sample(docs: DataFrame, sample_docs: int = SAMPLE_DOCS, sample_chars: int = SAMPLE_CHARS) -> DataFrame:
+    """docs(doc_id, text, lang) -> (lang, text): stretches of labelled texts, fold not 0, about sample_chars a language.
 
-    Bounded sample, the same in every run: per language the sample_docs
-    documents with the least hash of the id, then sample_chars characters of
-    their letters, a bounded piece of each. Languages are counted first, so
-    that only rows with a hash in the lowest share, a few times as many as
-    wanted, are ever sorted.
+    The same in every run: per language the sample_docs documents with the
+    least hash of the id, and of each as long a stretch as makes sample_chars
+    of all, from a place that a hash of the id picks. Languages are counted
+    first, so that only rows with a hash in the lowest share, a few times as
+    many as wanted, are ever sorted.
     """
-    known = docs.where((fold(F.col("doc_id")) != 0) & F.col("lang").isNotNull()).withColumn("h", F.xxhash64("doc_id"))
+    known = docs.select("doc_id", F.col("text").cast("string").alias("text"), F.col("lang").cast("string").alias("lang"))
+    known = known.where((fold(F.col("doc_id")) != 0) & F.col("lang").isNotNull() & (F.length("text") > 0)).withColumn("h", F.pmod(F.xxhash64("doc_id"), F.lit(2**32)))
     # one row a language, as in the model itself
-    share = known.groupBy("lang").agg((4.0 * sample_docs / F.count("*")).alias("share"))
-    low = known.join(F.broadcast(share), "lang").where((F.pmod("h", F.lit(2**32)) < F.col("share") * 2**32) & (F.length("text") > 0))
-    order = Window.partitionBy("lang").orderBy(F.pmod("h", F.lit(2**32)), "doc_id", F.xxhash64("text"))
-    picked = low.select("doc_id", "h", "lang", "text").withColumn("i", F.row_number().over(order)).where(F.col("i") <= sample_docs)
-    rows = picked.select("lang", "i", F.substring("text", 1, max(200, 8 * sample_chars // sample_docs)).alias("text")).collect()
-    texts: dict[str, list[str]] = {}
-    for r in sorted(rows, key=lambda r: (r.lang, r.i)):
-        texts.setdefault(r.lang, []).append(r.text)
-    return learn(texts, sample_chars, letters)
-
-
-def phrase_counts(pieces: list[np.ndarray], steps: np.ndarray) -> np.ndarray:
-    """Phrases of each symbol sequence; sequences must fall in length."""
-    lengths = np.array([len(p) for p in pieces])
-    width = int(lengths[0])
-    grid = np.zeros((width, len(pieces)), np.uint8)
-    for i, p in enumerate(pieces):
-        grid[: len(p), i] = p
-    alphabet = steps.shape[1]
-    flat = steps.ravel()
-    state = np.zeros(len(pieces), np.int64)
-    ended = np.zeros(len(pieces), np.int64)
-    live = np.searchsorted(-lengths, -np.arange(1, width + 1), "right")  # sequences that reach each place
-    for t in range(width):
+    share = known.groupBy("lang").agg((4.0 * sample_docs / F.count("*")).alias("share"), F.ceil(sample_chars / F.least(F.count("*"), F.lit(sample_docs))).alias("size"))
+    low = known.join(F.broadcast(share), "lang").where(F.col("h") < F.col("share") * 2**32)
+    order = Window.partitionBy("lang").orderBy("h", "doc_id", F.xxhash64("text"))
+    picked = low.withColumn("i", F.row_number().over(order)).where(F.col("i") <= sample_docs)
+    begin = F.pmod(F.xxhash64("doc_id", F.lit("stretch")), F.greatest(F.length("text") - F.col("size"), F.lit(0)) + 1)
+    return picked.select("lang", F.substring("text", (begin + 1).cast("int"), F.col("size").cast("int")).alias("text"))
+
+
+def fit(docs: DataFrame, sample_docs: int = SAMPLE_DOCS, sample_chars: int = SAMPLE_CHARS, letters: int = LETTERS) -> list:
+    """Rows (lang, letters, steps, scale) of the model, by language; each is learned in a task of its own.
+
+    A language takes about 6 bytes a transition, of which there are at most 3 * sample_chars.
+    """
+    learned = sample(docs, sample_docs, sample_chars).groupBy("lang").applyInArrow(_learned(letters), "lang string, letters binary, steps binary, scale double")
+    return sorted(learned.collect(), key=lambda r: r.lang)  # a bounded model a language
+
+
+def phrase_counts(grid: np.ndarray, lengths: np.ndarray, steps: np.ndarray) -> np.ndarray:
+    """Phrases of each sequence, a column of symbols in grid; sequences must fall in length."""
+    root = steps[0]
+    state = np.full(len(lengths), root, np.int32)
+    ended = np.zeros(len(lengths), np.int64)
+    live = np.searchsorted(-lengths, -np.arange(1, len(grid) + 1), "right")  # sequences that reach each place
+    for t in range(len(grid)):
         n = live[t]
-        to = flat[state[:n] * alphabet + grid[t, :n]]
-        ended[:n] += to & 1
-        state[:n] = to >> 1
-    return ended + (state > 0)
+        to = steps[state[:n] + grid[t, :n]]
+        miss = (to & 255) != grid[t, :n]  # no such step: it ends the phrase and leads to the start
+        ended[:n] += miss
+        state[:n] = np.where(miss, root, to >> 8)
+    return ended + (state != root)
+
+
+def _grids(seqs: list[np.ndarray], width: int):
+    """Sequences that fall in length, side by side as columns, `width` at a time."""
+    for lo in range(0, len(seqs), width):
+        part = seqs[lo : lo + width]
+        grid = np.zeros((len(part[0]), len(part)), np.uint32)
+        for i, p in enumerate(part):
+            grid[: len(p), i] = p
+        yield lo, grid, np.array([len(p) for p in part])
 
 
 def _predict(sent, piece: int):
     def run(batches):
-        model = sent.value
-        langs, table, symbol = model["langs"], model["table"], symbols(model)
+        table = letter_table()
+        langs = [r.lang for r in sent.value]
+        models = [(symbols(np.frombuffer(r.letters, np.uint32)), np.frombuffer(r.steps, np.int32), r.scale) for r in sent.value]
         for b in batches:
             seqs, owner, size = [], [], np.zeros(b.num_rows, np.int64)
             for i, t in enumerate(b.column(1)):
                 x = squeezed(code_points(t.as_py() or ""), table)
                 size[i] = int((x != 0).sum())
                 if size[i]:
-                    x = symbol[x]
                     for j in range(0, len(x), piece):
                         seqs.append(x[j : j + piece])
                         owner.append(i)
             cost = np.zeros((b.num_rows, len(langs)))
-            if seqs and langs:
-                order = np.argsort([-len(s) for s in seqs], kind="stable")
-                seqs, owner = [seqs[i] for i in order], np.array(owner)[order]
-                for k, steps in enumerate(model["steps"]):
-                    for lo in range(0, len(seqs), 4096):
-                        counts = phrase_counts(seqs[lo : lo + 4096], steps)
-                        cost[:, k] += np.bincount(owner[lo : lo + 4096], counts, minlength=b.num_rows)
-                    cost[:, k] *= model["scale"][k] / np.maximum(size, 1)
+            order = np.argsort([-len(s) for s in seqs], kind="stable")
+            seqs, owner = [seqs[i] for i in order], np.array(owner, np.int64)[order]
+            for lo, grid, lengths in _grids(seqs, 4096) if langs else ():
+                for k, (symbol, steps, scale) in enumerate(models):
+                    counts = phrase_counts(symbol[grid], lengths, steps)
+                    cost[:, k] += scale * np.bincount(owner[lo : lo + len(lengths)], counts, minlength=b.num_rows)
+            cost /= np.maximum(size, 1)[:, None]
             lang, score = [], np.zeros(b.num_rows)
             for i in range(b.num_rows):
                 if not size[i] or not langs:
@@ -190,7 +248,7 @@ def _predict(sent, piece: int):
     return run
 
 
-def predict(docs: DataFrame, model: dict, piece: int = PIECE) -> DataFrame:
+def predict(docs: DataFrame, model: list, piece: int = PIECE) -> DataFrame:
     """One row per row of docs(doc_id, text): doc_id, held_out, lang_pred, score, n_letters.
 
     score: how far the best language's cost lies below the second's, 0 to 1.
@@ -200,7 +258,7 @@ def predict(docs: DataFrame, model: dict, piece: int = PIECE) -> DataFrame:
     are ignored; an empty table gives an empty one.
     """
     spark = docs.sparkSession
-    sent = spark.sparkContext.broadcast(model)  # bounded by languages * sample_chars * letters
+    sent = spark.sparkContext.broadcast(model)  # a bounded model a language
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"), held_out(F.col("doc_id")).alias("held_out"))
     return rows.mapInArrow(_predict(sent, piece), "doc_id long, held_out boolean, lang_pred string, score double, n_letters long")
 

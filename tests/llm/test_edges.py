@@ -84,6 +84,8 @@ def test_vectors(spark):
 
 
 def test_language(odd, empty, odd_rows):
+    for name in ("share", "h", "i", "size", "held_out", "letters"):
+        odd = odd.withColumn(name, F.lit("x"))
     out = langid.identify(odd).collect()
     assert len(out) == len(odd_rows) and all(0 <= r.score <= 1 for r in out)
     assert {r.lang_pred for r in out if r.doc_id in (3, 4, 5, 10)} == {"und"}

@@ -270,8 +270,7 @@ def test_op8_held_out(spark):
 
 def test_suffix_automaton_parse():
     text = [1, 2, 1, 3, 1, 2, 1, 1, 2]
-    auto = langid.suffix_automaton(text, 5)
-    steps = np.where(auto < 0, np.int32(1), auto * np.int32(2))
+    steps = langid.packed(langid.suffix_automaton(text))
 
     def brute(x):
         n, i = 0, 0
@@ -284,7 +283,74 @@ def test_suffix_automaton_parse():
 
     rng = random.Random(1)
     seqs = sorted([[rng.randrange(5) for _ in range(rng.randrange(1, 30))] for _ in range(50)], key=len, reverse=True)
-    assert langid.phrase_counts([np.array(s, np.uint8) for s in seqs], steps).tolist() == [brute(s) for s in seqs]
+    _, grid, lengths = next(langid._grids([np.array(s, np.uint32) for s in seqs], 50))
+    assert langid.phrase_counts(grid.astype(np.uint8), lengths, steps).tolist() == [brute(s) for s in seqs]
+
+
+def test_packed_automaton_has_the_same_steps():
+    rng = random.Random(11)
+    for alphabet in (2, 9, 61):
+        nxt = langid.suffix_automaton([rng.randrange(alphabet) for _ in range(3000)])
+        steps = langid.packed(nxt)
+        assert len(steps) < 3 * sum(map(len, nxt)) + 1500
+        todo, place = [0], {0: int(steps[0])}
+        while todo:
+            s = todo.pop()
+            for c in range(alphabet):
+                v = int(steps[place[s] + c])
+                assert (v & 255 == c) == (c in nxt[s])
+                if c in nxt[s] and nxt[s][c] not in place:
+                    place[nxt[s][c]] = v >> 8
+                    todo.append(nxt[s][c])
+                assert c not in nxt[s] or place[nxt[s][c]] == v >> 8
+        assert len(place) == len(nxt) == len(set(place.values()))
+
+
+def test_op8_by_brute_force(spark, documents):
+    """Phrases by the longest match in plain strings of the sampled stretches, for every document of the table."""
+    docs = spark.read.parquet(f"{SF}/documents.parquet")
+    got = {r.doc_id: r for r in queries.op8_language_id(spark, SF).collect()}
+    parts: dict = {}
+    for r in langid.sample(docs).collect():
+        parts.setdefault(r.lang, []).append(r.text)
+
+    def letters(t):
+        out = " "
+        for ch in t:
+            low = ch.lower() if len(ch.lower()) == 1 else ch
+            if ch.isalpha():
+                out += low
+            elif out[-1] != " ":
+                out += " "
+        return out
+
+    known = {}
+    for lang, texts in parts.items():
+        x = "".join(letters(t) for t in sorted(texts))
+        own = {c for c, _ in sorted(Counter(x.replace(" ", "")).items(), key=lambda cn: (-cn[1], cn[0]))[: langid.LETTERS]}
+        known[lang] = ("".join(c if c == " " or c in own else "\0" for c in x), own, np.log2(len(x)))
+    wrong = 0
+    for i, t in zip(documents.doc_id, documents.text):
+        x = letters(t or "")
+        n = len(x.replace(" ", ""))
+        if not n:
+            assert got[i].lang_pred == "und" and got[i].score == 0
+            continue
+        if n > 6000:
+            continue
+        cost = {}
+        for lang, (text, own, scale) in known.items():
+            y, phrases = "".join(c if c == " " or c in own else "\0" for c in x), 0
+            for lo in range(0, len(y), langid.PIECE):
+                z, at = y[lo : lo + langid.PIECE], 0
+                while at < len(z):
+                    k = 1
+                    while at + k <= len(z) and z[at : at + k] in text:
+                        k += 1
+                    phrases, at = phrases + 1, at + k
+            cost[lang] = phrases * scale / n
+        best = sorted((c, lang) for lang, c in cost.items())
+        assert got[i].lang_pred == best[0][1] and abs(got[i].score - (1 - best[0][0] / best[1][0])) < 1e-9
 
 
 def test_op9_base_counts(spark, documents):
