@@ -34,7 +34,7 @@ PIECE = 2048
 def letter_table() -> np.ndarray:
     """For every code point: its lower-case code point if it is a letter, else 0."""
     out = np.zeros(0x110000, np.uint32)
-    for c in range(0x110000):
+    for c in range(0x34000):  # Unicode has no letter beyond
         ch = chr(c)
         if ch.isalpha():
             low = ch.lower()

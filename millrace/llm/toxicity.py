@@ -19,17 +19,20 @@ import re
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from millrace.llm.common import fold, held_out
+from millrace.llm.common import Staging, fold, held_out
+from millrace.llm.langid import code_points, letter_table
 
 #: Labelled rows of each class that the classifier is fitted on.
 SAMPLE = 4_000
 #: Features that a task counts up before it sends them on.
 SEND = 2_000_000
-#: Weights kept, at most (the strongest).
-WEIGHTS = 20_000
+#: Characters counted at once.
+CHUNK = 1_000_000
+#: Letters that have a symbol of their own in the character model, the most frequent ones; all others share one.
+ALPHABET = 126
 #: Beginnings of a word that count as features, in letters; the whole word is one more. Each is
 #: seen up to three times: in one, two, or three and more distinct words of a text.
 BEGINNINGS = (4, 5, 6, 8)
@@ -37,14 +40,13 @@ BEGINNINGS = (4, 5, 6, 8)
 #: short beginnings occur, so fewer reach a given surprise by chance.
 UNLIKELY = (6.5, 7.5, 8.5, 9.5, 9.5)
 #: Letters that a written sign may stand for.
-SIGNS = {"0": "o", "1": "il", "2": "z", "3": "e", "4": "a", "5": "s", "6": "gb", "7": "t", "8": "b", "9": "g", "@": "a", "$": "s", "!": "il", "|": "il", "+": "t", "(": "c", "€": "e", "£": "l", "¡": "i"}
+SIGNS = {"0": "oо", "1": "il", "2": "z", "3": "eз", "4": "aч", "5": "s", "6": "gbб", "7": "t", "8": "bв", "9": "g", "@": "aа", "$": "s", "!": "il", "|": "il", "+": "t", "(": "c", "€": "e", "£": "l", "¡": "i"}
 #: Signs that may stand between the letters of a word and mean nothing.
 FILLERS = ".-_*~'·​"
 #: Log-probabilities of the channel: a sign for a letter, a filler or a repeated letter dropped.
 SIGN_COST, DROP_COST = -1.0, -0.7
 #: A word of letters that only doubles some is taken as disguised if without them it is likelier by so many nats a letter.
 DOUBLED_GAIN = 0.2
-A = 28  # symbols of the character model: between words, a-z, any other letter
 
 _sign = re.escape("".join(SIGNS))
 _spaced = re.compile(rf"(?<!\w)[\w{_sign}](?:[ .\-_*~​][\w{_sign}]){{2,}}(?!\w)")
@@ -55,42 +57,71 @@ _doubled, _tripled = re.compile(r"(.)\1"), re.compile(r"(.)\1\1")
 _plain = re.compile(r"^[\W_]+|[\W_]+$")
 
 
-def _symbol(ch: str) -> int:
-    return ord(ch) - 96 if len(ch) == 1 and "a" <= ch <= "z" else A - 1
-
-
 def _count_characters(batches):
-    """Character trigrams of the task's texts, as (code, n)."""
-    total = np.zeros(A**3, np.int64)
-    low = np.zeros(0x110000, np.uint8)  # by code point: symbol
-    for c in range(0x250):
-        if chr(c).isalpha():
-            low[c] = _symbol(chr(c).lower())
-    low[0x250:] = 0
+    """Character trigrams of the task's texts, as (code, n); a code has 21 bits for each lower-case letter, 0 between words."""
+    table = letter_table().astype(np.int64)
     for b in batches:
         texts = [t for t in b.column(0).to_pylist() if t]
-        if not texts:
-            continue
-        x = low[np.frombuffer(" \n".join(texts).encode("utf-32-le", "surrogatepass"), np.uint32)].astype(np.int64)
-        x = np.concatenate([np.zeros(2, np.int64), x, np.zeros(1, np.int64)])
-        total += np.bincount((x[:-2] * A + x[1:-1]) * A + x[2:], minlength=A**3)
-    seen = np.flatnonzero(total)
-    yield pa.RecordBatch.from_arrays([pa.array(seen), pa.array(total[seen])], names=["code", "n"])
-
-
-def character_model(docs: DataFrame) -> np.ndarray:
-    """Log-probabilities (A, A, A) of a letter after two, from trigrams of all documents."""
+        parts, size = [], 0
+        for i, t in enumerate(texts):
+            parts.append(t)
+            size += len(t)
+            if size < CHUNK and i < len(texts) - 1:
+                continue
+            x = table[code_points(" \n".join(parts))]
+            x = np.concatenate([np.zeros(2, np.int64), x, np.zeros(1, np.int64)])
+            code, n = np.unique(x[:-2] << 42 | x[1:-1] << 21 | x[2:], return_counts=True)
+            yield pa.RecordBatch.from_arrays([pa.array(code), pa.array(n)], names=["code", "n"])
+            parts, size = [], 0
+
+
+def character_model(docs: DataFrame, alphabet: int = ALPHABET) -> tuple[str, np.ndarray]:
+    """The letters with symbols of their own, and log-probabilities of a symbol after two, from trigrams of all docs(text).
+
+    Symbols: 0 between words, 1 to n the letters, n + 1 any other letter.
+    """
     counted = docs.select(F.col("text").cast("string")).mapInArrow(_count_characters, "code long, n long")
-    n = np.zeros(A**3)
-    for code, k in counted.groupBy("code").agg(F.sum("n")).collect():  # at most A ** 3 rows
-        n[code] = k
-    n = n.reshape(A, A, A)
-    one = (n.sum((0, 1)) + 1) / (n.sum() + A)
+    grams = Staging(docs.sparkSession, "toxicity").put(counted.groupBy("code").agg(F.sum("n").alias("n")), "grams")
+    last = F.col("code").bitwiseAND(2**21 - 1)
+    common = grams.groupBy(last.alias("c")).agg(F.sum("n").alias("n")).where("c > 0").orderBy(F.desc("n"), "c").limit(alphabet)
+    letters = "".join(chr(r.c) for r in common.collect())
+    size = len(letters) + 2
+    places = F.array(*[F.lit(ord(c)) for c in letters]) if letters else F.array().cast("array<int>")
+
+    def symbol(bits: int) -> Column:
+        c = F.shiftright("code", bits).bitwiseAND(2**21 - 1).cast("int")
+        at = F.array_position(places, c)
+        return F.when(c == 0, 0).when(at > 0, at).otherwise(size - 1)
+
+    n = np.zeros((size, size, size))
+    folded = grams.groupBy(symbol(42).alias("a"), symbol(21).alias("b"), symbol(0).alias("c")).agg(F.sum("n").alias("n"))
+    for r in folded.collect():  # at most size ** 3 rows
+        n[r.a, r.b, r.c] = r.n
+    one = (n.sum((0, 1)) + 1) / (n.sum() + size)
     two = (n.sum(0) + 5 * one) / (n.sum((0, 2))[:, None] + 5)
-    return np.log((n + 5 * two[None]) / (n.sum(2)[:, :, None] + 5))
+    return letters, np.log((n + 5 * two[None]) / (n.sum(2)[:, :, None] + 5)).astype(np.float32)
+
+
+class Characters:
+    """A character model as tasks use it: rows of log-probabilities as lists."""
+
+    def __init__(self, letters: str, logp: np.ndarray) -> None:
+        self.known = {c: i + 1 for i, c in enumerate(letters)}
+        self.other = len(letters) + 1
+        self.logp = logp
+        self.rows: dict[tuple[int, int], list[float]] = {}
+
+    def symbol(self, ch: str) -> int:
+        return self.known.get(ch, self.other)
+
+    def row(self, a: int, b: int) -> list[float]:
+        got = self.rows.get((a, b))
+        if got is None:
+            got = self.rows[a, b] = self.logp[a, b].tolist()
+        return got
 
 
-def restore(word: str, model: list, single: bool = True) -> str:
+def restore(word: str, model: Characters, single: bool = True) -> str:
     """The likeliest letters behind a lower-case word: Viterbi over its lattice, by the last two letters.
 
     Each place offers letters for its sign, or nothing for a filler; of a run
@@ -107,9 +138,9 @@ def restore(word: str, model: list, single: bool = True) -> str:
             choices = []
         nxt: dict = {}
         for (a, b), (score, chain) in states.items():
-            row = model[a][b]
+            row = model.row(a, b)
             for c, cost in choices:
-                s = _symbol(c)
+                s = model.symbol(c)
                 now = score + cost + row[s]
                 if (b, s) not in nxt or now > nxt[b, s][0]:
                     nxt[b, s] = (now, (chain, c))
@@ -118,7 +149,7 @@ def restore(word: str, model: list, single: bool = True) -> str:
                 if (a, b) not in nxt or now > nxt[a, b][0]:
                     nxt[a, b] = (now, chain)
         states, before = nxt, ch
-    best, chain = max(((score + model[a][b][0], chain) for (a, b), (score, chain) in states.items()), key=lambda x: x[0])
+    best, chain = max(((score + model.row(a, b)[0], chain) for (a, b), (score, chain) in states.items()), key=lambda x: x[0])
     out = []
     while chain:
         chain, c = chain
@@ -126,17 +157,17 @@ def restore(word: str, model: list, single: bool = True) -> str:
     return "".join(reversed(out))
 
 
-def _per_letter(word: str, model: list) -> float:
+def _per_letter(word: str, model: Characters) -> float:
     """Log-probability of a word as it stands, by letter and its end."""
     a = b = 0
     total = 0.0
-    for s in [*map(_symbol, word), 0]:
-        total += model[a][b][s]
+    for s in [*map(model.symbol, word), 0]:
+        total += model.row(a, b)[s]
         a, b = b, s
     return total / (len(word) + 1)
 
 
-def _forms(word: str, model: list) -> list[str]:
+def _forms(word: str, model: Characters) -> list[str]:
     """A lower-case word without what stands round it, and restored where it looks disguised."""
     plain = _plain.sub("", word)
     out = [plain] if plain else []
@@ -182,8 +213,8 @@ def _seen(words, of) -> dict[int, int]:
 class _Reader:
     """From words to features (of those wanted), with a bounded memory of words seen."""
 
-    def __init__(self, model: np.ndarray, wanted: set[int] | None = None) -> None:
-        self.model = model.tolist()
+    def __init__(self, model: tuple[str, np.ndarray], wanted: set[int] | None = None) -> None:
+        self.model = Characters(*model)
         self.wanted = wanted
         self.known: dict[str, tuple] = {}
 
@@ -292,7 +323,7 @@ def fit(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> dict:
     kind = F.floor(F.col("feature").bitwiseAND(15) / TIMES)
     enough = F.element_at(F.array(*map(F.lit, UNLIKELY)), (kind + 1).cast("int"))
     strong = pivot.where("n1 > 0").where(g >= enough).select("feature", sure.alias("w")).where("w > 0")
-    out["weights"] = dict(strong.orderBy(F.desc("w"), "feature").limit(WEIGHTS).collect())
+    out["weights"] = dict(strong.collect())  # no more than the sample has
     weights = spark.sparkContext.broadcast(out["weights"])
     seen = rows.mapInArrow(_evidence(sent, weights), "toxic int, most double, total double").toPandas()
     if seen.toxic.nunique() == 2:

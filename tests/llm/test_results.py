@@ -205,16 +205,55 @@ def test_best_fit_decreasing_by_brute_force():
 
 def test_restored_words(spark):
     text = "the loser was an idiot and stupid people are worthless trash moron clown " * 20
-    model = toxicity.character_model(frame(spark, [(1, text, "en", "a")])).tolist()
+    model = toxicity.Characters(*toxicity.character_model(frame(spark, [(1, text, "en", "a")])))
     for written, meant in [("l0ser", "loser"), ("1d1ot", "idiot"), ("stuuuupid", "stupid"), ("m.o.r.o.n", "moron"), ("tr@$h", "trash"), ("cl0wn", "clown")]:
         assert meant in toxicity._forms(written, model)
     assert toxicity._forms("hello,", model) == ["hello"]
     assert "loser" in [f for w in toxicity.words_of("such a l o s e r") for f in toxicity._forms(w, model)]
 
 
+def test_restored_words_of_another_script(spark):
+    text = "погода была хорошая и дорога шла вдоль реки а кабан спал под дубом зной загар " * 20
+    model = toxicity.Characters(*toxicity.character_model(frame(spark, [(1, text, "ru", "a"), (2, "the road was long and the dog slept " * 20, "en", "a")])))
+    for written, meant in [("д0р0га", "дорога"), ("к@бан", "кабан"), ("к.а.б.а.н", "кабан"), ("р0ad", "рoad"), ("r0ad", "road"), ("3ной", "зной")]:
+        assert meant in toxicity._forms(written, model), written
+    odd = toxicity.character_model(frame(spark, [(1, text, "ru", "a")]), alphabet=4)
+    assert len(odd[0]) == 4 and odd[1].shape == (6, 6, 6)
+    total = np.exp(model.logp.astype(float)).sum(axis=2)
+    assert np.allclose(total, 1, atol=1e-4)
+    assert model.row(model.symbol("д"), model.symbol("о"))[model.symbol("р")] > model.row(model.symbol("д"), model.symbol("о"))[model.symbol("o")] + 1
+
+
+def test_restore_by_brute_force(spark):
+    """The Viterbi search against every path through the lattice."""
+    import itertools
+
+    text = "the loser was an idiot and stupid people are worthless trash moron clown said an ass дорога была длинной " * 20
+    model = toxicity.Characters(*toxicity.character_model(frame(spark, [(1, text, "en", "a")])))
+    rng = random.Random(3)
+
+    def paths(word):
+        choices = []
+        for i, ch in enumerate(word):
+            own = [(ch, 0.0)] if ch.isalpha() else [(c, toxicity.SIGN_COST) for c in toxicity.SIGNS.get(ch, "")]
+            choices.append(own + ([("", toxicity.DROP_COST)] if not own or i and word[i - 1] == ch else []))
+        for path in itertools.product(*choices):
+            out = "".join(c for c, _ in path)
+            score, a, b = sum(x for _, x in path), 0, 0
+            for s in [*map(model.symbol, out), 0]:
+                score, a, b = score + model.row(a, b)[s], b, s
+            yield score, out
+
+    for _ in range(150):
+        word = "".join(rng.choice("loser1d10t@$$4ssдо0.-ee") for _ in range(rng.randrange(1, 8)))
+        got = toxicity.restore(word, model)
+        best = max(x for x, _ in paths(word))
+        assert max(x for x, w in paths(word) if w == got) >= best - 1e-9, word
+
+
 def test_restored_doubled_and_all_sign_words(spark):
     text = "the loser was an idiot and stupid people are worthless trash moron clown said an ass " * 20
-    model = toxicity.character_model(frame(spark, [(1, text, "en", "a")])).tolist()
+    model = toxicity.Characters(*toxicity.character_model(frame(spark, [(1, text, "en", "a")])))
     for written, meant in [("iiddiioott", "idiot"), ("sttuuppid", "stupid"), ("llooserr", "loser"), ("4$$", "ass"), ("@$5!", "ass"), ("455", "ass")]:
         assert meant in toxicity._forms(written, model), written
     for written, meant in [("so $ t u p i d", "stupid"), ("an @ s s!", "ass"), ("4 $ $", "ass"), ("a (l 0 $ e r!", "loser"), ("1-d-!-0-+", "idiot")]:
