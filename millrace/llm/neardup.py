@@ -6,12 +6,14 @@ of visit j + 1 are above all of visit j, so elements are taken visit by visit
 and a document stops as soon as every place holds a value of an earlier visit.
 
 Documents with equal shingle sets form a class first. Classes meet in band
-buckets; each is compared with its buckets' most connected class, not with all
-others. Where classes that buckets join are not in one component after that,
-those outside the largest component are held against the rest, likeliest
-first by signature, in blocks of bounded size with a union-find in each block:
-pairs that are in one component by then need no check, all others with an
-estimate near the threshold get one. Checks are on full sets.
+buckets, where their signatures alone are compared, in blocks of bounded size:
+each bucket gives a spanning forest of the pairs whose estimate is near the
+threshold or above, likeliest links first, never the pairs. Texts move for the
+links of these forests only, which are checked on full sets. Where classes
+that forests join are not in one component after that, those outside the
+largest component are held against the rest, likeliest first, in blocks with a
+union-find in each: pairs that are in one component by then need no check, all
+others with an estimate near the threshold get one.
 """
 
 from __future__ import annotations
@@ -29,6 +31,8 @@ from millrace.llm.components import connected_components
 BANDS, ROWS = 32, 4
 #: Signatures that agree on a smaller share are over 5 standard deviations below 0.8.
 MARGIN = 0.18
+#: Classes in one block of a bucket; a comparison holds two blocks of signatures.
+BUCKET_BLOCK = 1024
 #: Shingles in one block of a mixed group; a task holds two blocks.
 GROUP_BLOCK = 250_000
 #: Shingles worked on at once (their permutation state takes 128 bytes each).
@@ -72,7 +76,7 @@ def _sign(k: int, bands: int, rows: int):
     def run(batches):
         for batch in batches:
             ids, texts = batch.column(0), batch.column(1).cast(pa.binary())
-            fps, sizes, codes = [], [], [None] * len(texts)
+            fps, sizes, codes, sigs = [], [], [None] * len(texts), [None] * len(texts)
             block: list[tuple[int, np.ndarray]] = []
 
             def flush():
@@ -81,8 +85,9 @@ def _sign(k: int, bands: int, rows: int):
                     h = np.broadcast_to(salt, v.shape[:2]).copy()
                     for i in range(rows):
                         h = mix64(h * np.uint64(0x9E3779B97F4A7C15) + v[:, :, i])
-                    for (i, _), c in zip(block, h.view(np.int64)):
-                        codes[i] = c
+                    low = (v & np.uint64(255)).astype(np.uint8).reshape(len(block), m)
+                    for (i, _), c, x in zip(block, h.view(np.int64), low):
+                        codes[i], sigs[i] = c, x.tobytes()
                     block.clear()
 
             held = 0
@@ -97,7 +102,63 @@ def _sign(k: int, bands: int, rows: int):
                         flush()
                         held = 0
             flush()
-            yield pa.RecordBatch.from_arrays([ids, batch.column(2), pa.array(fps, pa.binary()), pa.array(sizes, pa.int64()), pa.array(codes, pa.list_(pa.int64()))], names=["doc_id", "key", "fp", "n_shingles", "codes"])
+            yield pa.RecordBatch.from_arrays([ids, batch.column(2), pa.array(fps, pa.binary()), pa.array(sizes, pa.int64()), pa.array(codes, pa.list_(pa.int64())), pa.array(sigs, pa.binary())], names=["doc_id", "key", "fp", "n_shingles", "codes", "sig"])
+
+    return run
+
+
+def likely_forest(sig: np.ndarray, size: np.ndarray, num: int, den: int) -> tuple[list[int], list[int]]:
+    """Links of a spanning forest over the sets whose signatures (rows of bytes) agree well enough, likeliest first (Prim).
+
+    Sizes bound the similarity of two sets exactly; signatures estimate it.
+    """
+    n = len(sig)
+    best, by = np.full(n, -1.0), np.zeros(n, np.int64)
+    todo = np.ones(n, bool)
+    a, b, at = [], [], 0
+    for _ in range(n - 1):
+        todo[at] = False
+        rest = np.flatnonzero(todo)
+        share = (sig[rest] == sig[at]).mean(axis=1)
+        share[np.minimum(size[rest], size[at]) * den < np.maximum(size[rest], size[at]) * num] = -1
+        better = share > best[rest]
+        best[rest[better]], by[rest[better]] = share[better], at
+        at = rest[best[rest].argmax()]
+        if best[at] >= num / den - MARGIN:
+            a.append(int(by[at]))
+            b.append(int(at))
+    return a, b
+
+
+def _forests(num: int, den: int):
+    """Rows (place, fp, n, sig) in order of place, a comparison's number -> links (a, b) of each place's forest."""
+
+    def links(t: pa.Table):
+        place = t.column("place").to_numpy()
+        cuts = np.flatnonzero(np.diff(place)) + 1
+        fp, size = t.column("fp").to_pylist(), t.column("n").to_numpy()
+        sig = np.frombuffer(b"".join(t.column("sig").to_pylist()), np.uint8).reshape(len(fp), -1)
+        a, b = [], []
+        for lo, hi in zip([0, *cuts], [*cuts, len(fp)]):
+            x, y = likely_forest(sig[lo:hi], size[lo:hi], num, den)
+            a += [fp[lo + i] for i in x]
+            b += [fp[lo + i] for i in y]
+        return pa.RecordBatch.from_arrays([pa.array(a, pa.binary()), pa.array(b, pa.binary())], names=["a", "b"])
+
+    def run(batches):
+        held: list[pa.RecordBatch] = []
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            place = batch.column(0).to_numpy()
+            last = int((place == place[-1]).argmax())  # the place that the next batch may go on with begins here
+            if held and place[0] != held[-1].column(0)[-1].as_py() or last:
+                done = pa.Table.from_batches([*held, batch.slice(0, last)])
+                held = []
+                yield links(done)
+            held.append(batch.slice(last))
+        if held:
+            yield links(pa.Table.from_batches(held))
 
     return run
 
@@ -220,35 +281,34 @@ def near_duplicate_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str
     num, den = similarity
     st = Staging(spark, "neardup")
     docs = keyed_texts(docs, id_col, text_col)
-    signed = st.put(docs.mapInArrow(_sign(shingle, bands, rows), "doc_id long, key long, fp binary, n_shingles long, codes array<long>"), "signed")
+    signed = st.put(docs.mapInArrow(_sign(shingle, bands, rows), "doc_id long, key long, fp binary, n_shingles long, codes array<long>, sig binary"), "signed")
     thin = signed.select("doc_id", "key", "fp", "n_shingles")
 
-    codes = signed.where("n_shingles > 0").groupBy("fp").agg(F.first("codes").alias("codes"), F.first("n_shingles").alias("n"))
-    entries = st.put(codes.select("fp", "n", F.explode("codes").alias("bucket")), "entries")
-    full = st.put(entries.groupBy("bucket").agg(F.count("*").alias("size")).where("size > 1"), "full")  # staged: Spark can then split a hot bucket's join
-    members = entries.join(full, "bucket")
-    degree = members.groupBy("fp").agg(F.sum(F.col("size") - 1).alias("degree"))
-    members = st.put(members.select("bucket", "fp", "n").join(degree, "fp"), "members")
-    st.drop(entries, full)
-
-    texts = text_of_classes(docs, signed.select("fp", "doc_id", "key").join(members.select("fp").distinct(), "fp", "left_semi"))
+    codes = signed.where("n_shingles > 0").groupBy("fp").agg(*(F.first(c).alias(c) for c in ("codes", "n_shingles", "sig")))
+    classes = st.put(codes.withColumnRenamed("n_shingles", "n"), "classes")
+    entries = classes.select("fp", F.explode("codes").alias("bucket"))
+    # of buckets with the same classes one will do
+    full = entries.groupBy("bucket").agg(F.count("*").alias("size"), F.bit_xor(F.xxhash64("fp")).alias("x"), F.bit_xor(F.xxhash64("fp", F.lit(1))).alias("y")).where("size > 1")
+    full = full.groupBy("size", "x", "y").agg(F.min("bucket").alias("bucket")).select("bucket", F.ceil(F.col("size") / BUCKET_BLOCK).cast("int").alias("blocks"))
+    full = st.put(full, "full")  # staged: Spark can then split a hot bucket's join
+    members = entries.join(full, "bucket").withColumn("own", F.pmod(F.hash("fp"), F.col("blocks")))
+    members = members.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+    place = F.xxhash64("bucket", F.least("own", "other"), F.greatest("own", "other")).alias("place")
+    members = members.select("fp", place).join(classes.select("fp", "n", "sig"), "fp").select("place", "fp", "n", "sig")
+    forest = members.repartition("place").sortWithinPartitions("place", "fp").mapInArrow(_forests(num, den), "a binary, b binary")
+    forest = st.put(forest.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct(), "forest")
+
+    linked = forest.select(F.col("a").alias("fp")).union(forest.select("b")).distinct()
+    texts = text_of_classes(docs, signed.select("fp", "doc_id", "key").join(linked, "fp", "left_semi"))
     texts = st.put(texts.mapInArrow(_matching_text(shingle), "fp binary, text string").dropDuplicates(["fp"]), "texts")
-
-    # each class against the most connected class of its buckets
-    lead = members.groupBy("bucket").agg(F.max(F.struct("degree", "fp", "n")).alias("s")).select("bucket", F.col("s.fp").alias("a"), F.col("s.n").alias("na"))
-    star = members.select("bucket", F.col("fp").alias("b"), F.col("n").alias("nb")).join(lead, "bucket").where("a <> b").select("a", "b", "na", "nb").distinct()
-    star = st.put(star, "star")
-    # |A and B| is at most the smaller size: an exact bound on the sizes of linked sets
-    near = star.where(F.least("na", "nb") * den >= F.greatest("na", "nb") * num).select("a", "b")
     one, other = texts.toDF("a", "text_a"), texts.toDF("b", "text_b")
-    rows_ = near.join(other, "b").join(one, "a").select("a", "b", "text_a", "text_b")
-    links = st.put(rows_.mapInArrow(_confirm(shingle, num, den), "a binary, b binary"), "links")
+    pairs = forest.join(other, "b").join(one, "a").select("a", "b", "text_a", "text_b")
+    links = st.put(pairs.mapInArrow(_confirm(shingle, num, den), "a binary, b binary"), "links")
     roots = connected_components(links, st)
 
-    # groups that buckets join, where more than one component is left after that
-    group = connected_components(star, st).toDF("fp", "grp")
-    sizes = members.groupBy("fp").agg(F.first("n").alias("n"))
-    known = group.join(sizes, "fp").join(roots.withColumnRenamed("node", "fp"), "fp", "left").withColumn("root", F.coalesce("root", "fp"))
+    # groups that forests join, where more than one component is left after that
+    group = connected_components(forest, st).toDF("fp", "grp")
+    known = group.join(classes.select("fp", "n"), "fp").join(roots.withColumnRenamed("node", "fp"), "fp", "left").withColumn("root", F.coalesce("root", "fp"))
     by_root = known.groupBy("grp", "root").agg(F.count("*").alias("k"), F.sum("n").alias("n"))
     mixed = by_root.groupBy("grp").agg(F.sum("k").alias("size"), F.count("*").alias("roots"), F.max(F.struct("k", "root")).getField("root").alias("main"), F.sum("n").alias("n"))
     mixed = mixed.where("roots > 1 and size > 2").select("grp", "main", F.ceil(F.col("n") / GROUP_BLOCK).cast("int").alias("blocks"))
@@ -258,7 +318,7 @@ def near_duplicate_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str
     dealt = st.put(known.join(texts, "fp").select("grp", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), "own", "fp", "root", "inside", "text"), "dealt")
     found = dealt.groupBy("grp", "i", "j").applyInArrow(_link_block(shingle, num, den, bands * rows), "a binary, b binary")
     roots = connected_components(links.union(found), st)
-    st.drop(members, texts, star, links, dealt)
+    st.drop(classes, full, forest, texts, links, dealt)
 
     ids = thin.groupBy("fp").agg(F.min("doc_id").alias("least"))
     joined = ids.join(roots.withColumnRenamed("node", "fp"), "fp")

@@ -67,9 +67,10 @@ def chain_of_copies(rng, n):
     return [" ".join(w) for w in rows]
 
 
-@pytest.mark.parametrize("block", [250_000, 600])
-def test_near_duplicates_by_brute_force(spark, monkeypatch, block):
+@pytest.mark.parametrize("block, bucket", [(250_000, 1024), (600, 7)])
+def test_near_duplicates_by_brute_force(spark, monkeypatch, block, bucket):
     monkeypatch.setattr(neardup, "GROUP_BLOCK", block)
+    monkeypatch.setattr(neardup, "BUCKET_BLOCK", bucket)
     rng = random.Random(3)
     texts = dict(enumerate(chain_of_copies(rng, 90) + [words(rng, rng.randrange(1, 90)) for _ in range(40)] + ["", None]))
     got = {r.doc_id: r for r in neardup.near_duplicates(frame(spark, [(i, t, "en", "a") for i, t in texts.items()]), shingle=4).collect()}
@@ -84,6 +85,27 @@ def test_op5_by_brute_force(spark, documents):
     assert {i: r.component_id for i, r in got.items()} == want
 
 
+def test_forests_span_what_signatures_join():
+    import pyarrow as pa
+
+    rng = np.random.default_rng(9)
+    base = rng.integers(0, 256, (6, 128)).astype(np.uint8)
+    rows = []
+    for place in (3, 5, 8):
+        for k in range(40):
+            x = base[rng.integers(0, 6)].copy()
+            x[rng.random(128) < rng.choice([0.02, 0.1, 0.3])] = 7
+            rows.append((place, b"%d-%02d" % (place, k), int(rng.integers(90, 130)), x.tobytes()))
+    table = pa.table(dict(zip(("place", "fp", "n", "sig"), map(list, zip(*rows)))))
+    found = []
+    for size in (1, 7, 1000):
+        found.append(sorted((a, b) for x in neardup._forests(80, 100)(iter(table.to_batches(size))) for a, b in zip(x.column(0).to_pylist(), x.column(1).to_pylist())))
+    assert found[0] == found[1] == found[2]
+    near = lambda p, q: p[0] == q[0] and min(p[2], q[2]) * 100 >= 80 * max(p[2], q[2]) and (np.frombuffer(p[3], np.uint8) == np.frombuffer(q[3], np.uint8)).mean() >= 0.8 - neardup.MARGIN
+    want = roots([r[1] for r in rows], [(p[1], q[1]) for i, p in enumerate(rows) for q in rows[i + 1 :] if near(p, q)])
+    assert roots([r[1] for r in rows], found[0]) == want and len(found[0]) == len(rows) - len(set(want.values()))
+
+
 def test_super_minhash_estimates_jaccard():
     rng = np.random.default_rng(1)
     pool = rng.integers(0, 2**63, 3000).astype(np.uint64)
