@@ -18,6 +18,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import DoubleType, LongType, StringType, StructType
 
 from millrace.llm.common import fold, held_out
 
@@ -29,6 +30,7 @@ LETTERS = 60
 NO_SYMBOL = 255
 #: Texts are parsed in pieces of so many characters, each from a fresh phrase.
 PIECE = 2048
+_said = StructType().add("lang_pred", StringType()).add("score", DoubleType()).add("n_letters", LongType())
 
 
 def letter_table() -> np.ndarray:
@@ -213,13 +215,15 @@ def _grids(seqs: list[np.ndarray], width: int):
 
 
 def _predict(sent, piece: int):
+    """Adds lang_pred, score and n_letters to rows whose first column is the text."""
+
     def run(batches):
         table = letter_table()
         langs = [r.lang for r in sent.value]
         models = [(symbols(np.frombuffer(r.letters, np.uint32)), np.frombuffer(r.steps, np.int32), r.scale) for r in sent.value]
         for b in batches:
             seqs, owner, size = [], [], np.zeros(b.num_rows, np.int64)
-            for i, t in enumerate(b.column(1)):
+            for i, t in enumerate(b.column(0)):
                 x = squeezed(code_points(t.as_py() or ""), table)
                 size[i] = int((x != 0).sum())
                 if size[i]:
@@ -243,26 +247,29 @@ def _predict(sent, piece: int):
                 lang.append(langs[best])
                 others = np.delete(cost[i], best)
                 score[i] = 1.0 if not len(others) else 1.0 - cost[i, best] / max(others.min(), 1e-12)
-            yield pa.RecordBatch.from_arrays([b.column(0), b.column(2), pa.array(lang, pa.string()), pa.array(np.clip(score, 0, 1)), pa.array(size)], names=["doc_id", "held_out", "lang_pred", "score", "n_letters"])
+            yield pa.RecordBatch.from_arrays([*b.columns[1:], pa.array(lang, pa.string()), pa.array(np.clip(score, 0, 1)), pa.array(size)], names=[*b.schema.names[1:], "lang_pred", "score", "n_letters"])
 
     return run
 
 
-def predict(docs: DataFrame, model: list, piece: int = PIECE) -> DataFrame:
+def predict(docs: DataFrame, model: list, piece: int = PIECE, carry: tuple[str, ...] = ()) -> DataFrame:
     """One row per row of docs(doc_id, text): doc_id, held_out, lang_pred, score, n_letters.
 
     score: how far the best language's cost lies below the second's, 0 to 1.
     Null texts, and texts without a letter, are `und` with score 0; so is every
     text if no language was learned. Ties go to the language first by name.
-    Repeated rows get equal results; null ids are not held out. Other columns
-    are ignored; an empty table gives an empty one.
+    Repeated rows get equal results; null ids are not held out. Columns of docs
+    named in carry stand, as one struct `row`, in the place of doc_id and
+    held_out; others are ignored. An empty table gives an empty one.
     """
     spark = docs.sparkSession
     sent = spark.sparkContext.broadcast(model)  # a bounded model a language
-    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"), held_out(F.col("doc_id")).alias("held_out"))
-    return rows.mapInArrow(_predict(sent, piece), "doc_id long, held_out boolean, lang_pred string, score double, n_letters long")
+    own = [F.struct(*carry).alias("row")] if carry else [F.col("doc_id").cast("long").alias("doc_id"), held_out(F.col("doc_id")).alias("held_out")]
+    rows = docs.select(F.col("text").cast("string").alias("text"), *own)
+    shape = StructType([*rows.schema.fields[1:], *_said.fields])
+    return rows.mapInArrow(_predict(sent, piece), shape)
 
 
-def identify(docs: DataFrame, **options) -> DataFrame:
+def identify(docs: DataFrame, carry: tuple[str, ...] = (), **options) -> DataFrame:
     """fit() on the labelled rows of docs, then predict() for all of them."""
-    return predict(docs, fit(docs, **options))
+    return predict(docs, fit(docs, **options), carry=carry)

@@ -66,18 +66,19 @@ def mix_sources(docs: DataFrame, quality: DataFrame | None = None, weights: tupl
     """
     spark = docs.sparkSession
     st = staging or Staging(spark, "mixing")
-    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("source").cast("string").alias("source"), n_words(F.col("text")).alias("size"))
+    text = F.col("text").cast("string")
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64(text).alias("text_key"), F.coalesce(F.col("doc_id").cast("long").cast("string"), F.concat(F.lit("text|"), F.md5(F.coalesce(text, F.lit("")).cast("binary")))).alias("told"), F.col("source").cast("string").alias("source"), n_words(text).alias("size"))
     if quality is not None:
         q = quality.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("quality").cast("double").alias("quality"))
         rows = rows.join(q.where("quality > 0 and quality < double('inf')").groupBy("doc_id").agg(F.max("quality").alias("quality")), "doc_id", "left")
     else:
         rows = rows.withColumn("quality", F.lit(1.0))
     q = F.coalesce(F.col("quality"), F.lit(1.0))
-    u = uniform(F.lit(seed), F.coalesce(F.col("doc_id").cast("string"), F.lit("null")))
+    u = uniform(F.lit(seed), F.col("told"))
     # -ln(u) / quality rises as u ** (1 / quality) falls, and 1 - that lies in (0, 1): its slices are the ranges
     slice_ = F.least(F.lit(ranges - 1), F.floor((1 - F.pow(u, 1 / q)) * ranges))
     name = F.coalesce(F.concat(F.lit("s"), F.col("source")), F.lit("null"))
-    rows = st.put(rows.select("doc_id", "source", "size", name.alias("name"), (-F.log(u) / q).alias("key"), slice_.cast("int").alias("slice")), "sizes")
+    rows = st.put(rows.select("doc_id", "text_key", "source", "size", name.alias("name"), (-F.log(u) / q).alias("key"), slice_.cast("int").alias("slice")), "sizes")
 
     slices = rows.groupBy("name", "slice").agg(F.sum("size").alias("slice_size"), F.first("source").alias("source"))
     slices = slices.withColumn("before", F.coalesce(F.sum("slice_size").over(Window.partitionBy("name").orderBy("slice").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)))
@@ -91,14 +92,17 @@ def mix_sources(docs: DataFrame, quality: DataFrame | None = None, weights: tupl
     out = rows.join(slices, ["name", "slice"])
     whole, none = F.col("before") + F.col("slice_size") <= F.col("rest"), F.col("before") >= F.col("rest")
     edge = out.where(~whole & ~none)
-    order = Window.partitionBy("name", "slice").orderBy("key", "doc_id", "size").rowsBetween(Window.unboundedPreceding, -1)
+    order = Window.partitionBy("name", "slice").orderBy("key", "doc_id", "size", "text_key").rowsBetween(Window.unboundedPreceding, -1)
     edge = edge.withColumn("before", F.col("before") + F.coalesce(F.sum("size").over(order), F.lit(0)))
     part = F.greatest(F.lit(0), F.least(F.col("size"), F.col("rest") - F.col("before")))
-    shape = ["doc_id", "source", "size", "source_size", "weight", "target", "epochs"]
+    shape = ["doc_id", "text_key", "source", "size", "source_size", "weight", "target", "epochs"]
     taken = lambda extra: (F.col("epochs") * F.col("size") + extra).cast("long").alias("taken")
     return out.where(whole | none).select(*shape, taken(F.when(whole, F.col("size")).otherwise(F.lit(0)))).unionByName(edge.select(*shape, taken(part)))
 
 
+_ORDERED = ("bigint", "int", "smallint", "tinyint", "string", "double", "float", "date", "timestamp", "timestamp_ntz", "boolean")
+
+
 def first_words(text: Column, k: Column) -> Column:
     """The text up to its k-th word, with the blanks between as they are."""
     blank = r"[\x20\x09-\x0D]"
@@ -109,14 +113,24 @@ def first_words(text: Column, k: Column) -> Column:
 def mixed_rows(docs: DataFrame, quality: DataFrame | None = None, **options) -> DataFrame:
     """The mix itself: rows of docs, each as often as taken; the partial one cut to its words.
 
-    Rows that share an id take what the operator gives to any one of them.
+    Rows with the same id, text and source are one document, whose takings are
+    summed up: nulls and ids that repeat with other texts make no difference.
+    Null and blank texts are not in the mix. docs may have other columns of any
+    name;
     """
-    plan = mix_sources(docs, quality, **options).groupBy("doc_id").agg(F.max("size").alias("size"), F.max("taken").alias("taken"))
-    plan = plan.withColumnRenamed("doc_id", "id").where("taken > 0")
-    packed = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("d"))  # docs may have columns of any name
-    out = packed.join(plan, F.col("d.doc_id").cast("long").eqNullSafe(F.col("id")))
+    same = ["id", "text_key", "name"]
+    keys = lambda at: [F.coalesce(F.col(at + "doc_id").cast("long").cast("string"), F.lit("null")).alias("id"), F.coalesce(F.concat(F.lit("s"), F.col(at + "source").cast("string")), F.lit("null")).alias("name")]
+    plan = mix_sources(docs, quality, **options).where("taken > 0").select(*keys(""), "text_key", "size", "taken")
+    plan = plan.groupBy(*same).agg(F.max("size").alias("size"), F.sum("taken").alias("taken"), F.count("*").alias("rows"))
+    row = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("d"))
+    row = row.select("d", *keys("d."), F.xxhash64(F.col("d.text").cast("string")).alias("text_key"))
+    out = row.join(plan, same)
+    # where plan has one row for several of docs, the n-th of them takes its part
+    nth = F.row_number().over(Window.partitionBy(*same).orderBy(*[F.col(f"d.`{c}`") for c in docs.columns if c != "text" and docs.schema[c].dataType.simpleString() in _ORDERED]))
     full, rest = F.floor(F.col("taken") / F.col("size")), F.col("taken") % F.col("size")
-    copies = F.concat(F.array_repeat(F.lit(-1).cast("long"), full.cast("int")), F.when(rest > 0, F.array(rest)).otherwise(F.array().cast("array<long>")))
+    own = F.floor(full / F.col("rows")) + F.when(nth <= full % F.col("rows"), 1).otherwise(0)
+    out = out.select("d", own.cast("int").alias("own"), F.when(nth == 1, rest).otherwise(0).alias("rest"))
+    copies = F.concat(F.array_repeat(F.lit(-1).cast("long"), F.col("own")), F.when(F.col("rest") > 0, F.array("rest")).otherwise(F.array().cast("array<long>")))
     out = out.select("d", F.explode(copies).alias("cut"))
     text = F.when(F.col("cut") < 0, F.col("d.text")).otherwise(first_words(F.col("d.text"), F.col("cut")))
     return out.select(*[text.alias("text") if c == "text" else F.col(f"d.`{c}`") for c in docs.columns])

@@ -30,7 +30,7 @@ def op1_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op2_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return substring_dedup(table(spark, sf_dir, "documents"), length=35).drop("kept_text", "words_sha256")
+    return substring_dedup(table(spark, sf_dir, "documents"), length=35).drop("kept_text", "key")
 
 
 def op3_pack_sequences(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -116,7 +116,7 @@ WITH RECURSIVE q AS (
   SELECT doc_id, max(CASE quality WHEN 1 THEN 2.0::DOUBLE WHEN 0 THEN 0.5::DOUBLE END) AS quality FROM labels GROUP BY doc_id),
 d AS (
   SELECT d.doc_id, d.source, coalesce(len(regexp_extract_all(d.text, '[^\x20\x09-\x0D]+')), 0)::BIGINT AS size, coalesce(q.quality, 1.0::DOUBLE) AS q,
-         (('0x' || substr(md5('mix|' || coalesce(d.doc_id::VARCHAR, 'null')), 1, 13))::BIGINT::DOUBLE + 0.5) / 4503599627370496.0::DOUBLE AS u
+         (('0x' || substr(md5('mix|' || coalesce(d.doc_id::VARCHAR, 'text|' || md5(coalesce(d.text, '')))), 1, 13))::BIGINT::DOUBLE + 0.5) / 4503599627370496.0::DOUBLE AS u
   FROM documents d LEFT JOIN q USING (doc_id)),
 s AS (
   SELECT source, sum(size)::BIGINT AS source_size,

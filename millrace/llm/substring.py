@@ -194,12 +194,12 @@ def _cut(length: int):
 
 
 def substring_dedup(docs: DataFrame, length: int = 35, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """One row per input row: doc_id, n_words, n_removed, kept_sha256, kept_text, words_sha256.
+    """One row per input row: doc_id, n_words, n_removed, kept_sha256, kept_text, key.
 
     kept_text: the words left, joined by one space, where some but not all are
     removed; null where the text stays as it is or loses every word (see
-    n_removed). kept_sha256 is always that of the words left, words_sha256 that
-    of all words, which tells texts under one id apart.
+    n_removed). kept_sha256 is always that of the words left; key is xxhash64 of
+    the text, which tells texts under one id apart.
 
     Null, empty and blank texts have no words; texts shorter than the window
     lose nothing. Repeated rows are separate texts, so they lose every window.
@@ -238,7 +238,7 @@ def substring_dedup(docs: DataFrame, length: int = 35, id_col: str = "doc_id", t
             cut = st.put(hits.mapInArrow(_cut(length), "fp binary, n_removed long, kept_sha256 string, kept_text string"), "cut")
             st.drop(staged, known)
 
-    out = scanned.select("doc_id", "fp", "n_words", "sha256").join(classes.where("copies > 1").select("fp", F.lit(True).alias("copied")), "fp", "left")
+    out = scanned.select("doc_id", "key", "fp", "n_words", "sha256").join(classes.where("copies > 1").select("fp", F.lit(True).alias("copied")), "fp", "left")
     copied = F.coalesce(F.col("copied"), F.lit(False))
     if cut is None:
         out = out.select("*", *(F.lit(None).cast(t).alias(c) for c, t in (("n_removed", "long"), ("kept_sha256", "string"), ("kept_text", "string"))))
@@ -246,7 +246,7 @@ def substring_dedup(docs: DataFrame, length: int = 35, id_col: str = "doc_id", t
         out = out.join(cut, "fp", "left")
     removed = F.when(copied, F.col("n_words")).otherwise(F.coalesce("n_removed", F.lit(0)))
     sha = F.when(copied, empty).otherwise(F.coalesce("kept_sha256", "sha256"))
-    return out.select("doc_id", "n_words", removed.cast("long").alias("n_removed"), sha.alias("kept_sha256"), "kept_text", F.col("sha256").alias("words_sha256"))
+    return out.select("doc_id", "n_words", removed.cast("long").alias("n_removed"), sha.alias("kept_sha256"), "kept_text", "key")
 
 
 def _survivors(st: Staging, hashes: DataFrame) -> DataFrame:

@@ -30,10 +30,10 @@ def test_stage_takes_odd_and_empty_tables(spark, odd, empty, name):
 
 def test_stages_decide(spark, odd):
     left = [r.doc_id for r in stage("language_id")(spark, odd, SF).collect()]
-    assert not {3, 4, 5, 10} & set(left) and left.count(1) == 3  # rows with one id are judged together
-    kept = stage("near_dedup")(spark, odd, SF).collect()
-    ids = [r.doc_id for r in kept]
-    assert len(ids) == len(set(ids)) and 2 not in ids and 7 not in ids
+    assert not {3, 4, 5, 10} & set(left) and left.count(1) == 3
+    kept = [(r.doc_id, (r.text or "")[:20]) for r in stage("near_dedup")(spark, odd, SF).collect()]
+    assert len([i for i, _ in kept if i == 1]) == 2 and (1, "another text under a") in kept  # two texts under one id
+    assert not {2, 7} & {i for i, _ in kept} and len(kept) == len(set(kept))
     cut = {(r.doc_id, r.text) for r in stage("substring_dedup")(spark, odd, SF).collect()}
     assert {i for i, _ in cut} == {None, 1, 3, 4, 5, 7, 9, 10} and (7, "tail") in cut and (None, "end") in cut
 
@@ -79,3 +79,29 @@ def test_run_by_brute_force(spark):
             assert {(p.start, p.ids_crc32) for p in pieces[pieces.doc_id == i].itertuples()} == want
     used = pieces.groupby("sequence_id").length.sum()
     assert used.max() <= 2048 and pieces.groupby("sequence_id").offset.min().max() == 0
+
+
+def test_every_stage_keeps_all_documents_under_null_and_repeated_ids(spark):
+    """30 texts without id and 30 under one id, of two sources: each stage keeps what brute force keeps."""
+    text = lambda tag, n=60: " ".join(f"{tag}word{i}" for i in range(n))
+    rows = [(None if i % 2 else 7, text(f"t{chr(97 + i % 26)}{chr(97 + i // 26)}"), None if i % 3 else "en", f"s{i % 2}") for i in range(60)]
+    rows += [rows[0], rows[1], (None, None, "en", "s0"), (7, "", "en", "s0")]
+    docs = frame(spark, [(i, t, g, s) for i, t, g, s in rows])
+    labelled = docs.union(frame(spark, [(100 + i, text("english", 80), "en", "s0") for i in range(20)]))
+    said = stage("language_id")(spark, labelled, SF).where("doc_id is null or doc_id = 7").collect()
+    assert len(said) == 62 and {r.lang for r in said} == {"en"}
+    kept = stage("near_dedup")(spark, docs, SF)
+    assert kept.count() == 62
+    words_only = kept.where("text <> ''")
+    assert words_only.count() == 60 and words_only.select("text").distinct().count() == 60
+    cut = stage("substring_dedup")(spark, docs.where("text <> ''"), SF).collect()
+    assert len(cut) == 58 and {r.text for r in cut} == {t for _, t, _, _ in rows[2:60]}
+    mixed = stage("mixing")(spark, words_only, SF).collect()
+    total = {s: sum(len(r.text.split()) for r in mixed if r.source == s) for s in ("s0", "s1")}
+    assert abs(total["s0"] - 3600 * 5 / 7) <= 1 and abs(total["s1"] - 3600 * 2 / 7) <= 1
+    per_text = {}
+    for r in mixed:
+        per_text.setdefault(r.text.split()[0], []).append(len(r.text.split()))
+    assert all(sum(v) <= 180 for v in per_text.values()) and len([k for k in per_text if k[0] == "t"]) >= 40
+    packed = stage("packing")(spark, words_only, SF)
+    assert packed.count() == 60
