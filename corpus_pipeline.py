@@ -1,6 +1,6 @@
 """From raw documents to packed sequences, in five stages.
 
-language_id      documents without a language (no text, no letter) go
+language_id      documents without a language (no text, no letter) go; a null lang becomes the one predicted
 near_dedup       one document of each near-duplicate group stays
 substring_dedup  passages of 35 words and more that also stand elsewhere go; documents left without words go
 mixing           sources are repeated and sampled to their target weights
@@ -8,14 +8,19 @@ packing          the mix is tokenised and packed; returns pieces
 
 Each stage reads the rows its predecessor wrote, takes (spark, docs, sf_dir),
 and returns documents' columns; the last returns one row per packed piece.
+
+A row is known by its id and a hash of its text: null ids and ids that repeat
+with other texts are documents of their own in every stage. Any column may be
+null, texts may be empty or very long, columns that documents does not have are
+left out whatever their names, and an empty table gives an empty one.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from millrace.llm.common import DOCUMENT_COLUMNS, WORD, Staging, staged_here, table
+from millrace.llm.common import DOCUMENT_COLUMNS, Staging, staged_here, table
 from millrace.llm.langid import identify
 from millrace.llm.mixing import mixed_rows
 from millrace.llm.neardup import near_duplicate_groups
@@ -24,11 +29,13 @@ from millrace.llm.queries import label_quality
 from millrace.llm.substring import substring_dedup
 
 
-def _with(docs: DataFrame, verdicts: DataFrame) -> DataFrame:
-    """Rows of docs as d beside their verdicts(doc_id, ...), one per id (null is an id); id is the id as text."""
-    key = F.coalesce(F.col("doc_id").cast("string"), F.lit("null")).alias("id")
-    rows = docs.select(F.struct(*DOCUMENT_COLUMNS).alias("d"), key)
-    return rows.join(verdicts.select(key, *[c for c in verdicts.columns if c != "doc_id"]), "id")
+def _id(doc_id: Column) -> Column:
+    return F.coalesce(doc_id.cast("long").cast("string"), F.lit("null"))
+
+
+def _keyed(docs: DataFrame) -> DataFrame:
+    """Rows of docs as d, beside their id as text (null is one) and the hash of their text."""
+    return docs.select(F.struct(*DOCUMENT_COLUMNS).alias("d"), _id(F.col("doc_id")).alias("id"), F.xxhash64(F.col("text").cast("string")).alias("key"))
 
 
 def _retold(text: Column) -> list[Column]:
@@ -38,44 +45,43 @@ def _retold(text: Column) -> list[Column]:
 
 
 def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Keeps the documents that get a language; ids that repeat are judged by all their rows."""
-    said = identify(docs).groupBy("doc_id").agg(F.max(F.col("lang_pred") != "und").alias("keep"))
-    return _with(docs, said.where("keep")).select("d.*")
+    """Keeps the rows that get a language, and gives it to those without one; null, empty and letterless texts go. Repeated rows stay."""
+    said = identify(docs, carry=DOCUMENT_COLUMNS).where("lang_pred <> 'und'")
+    return said.select(*[F.coalesce("row.lang", "lang_pred").alias(c) if c == "lang" else F.col(f"row.{c}") for c in DOCUMENT_COLUMNS])
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Keeps one row of each group, that with the least id; rows are found by id and text, and a null id is no identity.
+    """Keeps one row of each group: that with the least id, then the least hash of the text; null ids come last.
 
-    Rows of one text and id are one document. Rows with a repeated id that is
-    not null also are (the greatest text that its groups keep).
+    Rows that repeat a text are one group, whatever their ids. Of rows that are
+    equal in id and text, that with the least other columns stays. Rows without
+    words are in no group and stay.
     """
     rows = near_duplicate_groups(docs)
-    place = F.struct(F.col("doc_id").isNull().alias("no_id"), "doc_id", "key")  # a null id comes last
-    first = rows.where("root is not null").groupBy("root").agg(F.min(place).alias("p")).select("p.doc_id", "p.key")
-    kept = first.union(rows.where("root is null").select("doc_id", "key")).distinct().toDF("_id", "_key")
-    keyed = docs.select(*DOCUMENT_COLUMNS, F.xxhash64(F.col("text").cast("string")).alias("key"))
-    left = keyed.join(kept, F.col("doc_id").cast("long").eqNullSafe(F.col("_id")) & (F.col("key") == F.col("_key")))
-    rest = [c for c in DOCUMENT_COLUMNS if c != "text"]
-    one = left.groupBy("_id", F.when(F.col("_id").isNull(), F.col("key")).alias("k")).agg(F.max(F.struct("text", *rest)).alias("r"))
-    return one.select("r.*").select(*DOCUMENT_COLUMNS)
+    place = F.struct(F.col("doc_id").isNull().alias("no_id"), "doc_id", "key")
+    first = rows.where("root is not null").groupBy("root").agg(F.min(place).alias("p")).select(_id(F.col("p.doc_id")).alias("id"), F.col("p.key").alias("key"), F.lit(True).alias("one"))
+    wordless = rows.where("root is null").select(_id(F.col("doc_id")).alias("id"), "key", F.lit(False).alias("one")).distinct()
+    left = _keyed(docs).join(first.union(wordless), ["id", "key"])
+    # dealt by id and text already
+    nth = F.row_number().over(Window.partitionBy("id", "key").orderBy(*[F.col(f"d.{c}") for c in DOCUMENT_COLUMNS if c != "text"]))
+    return left.withColumn("nth", nth).where("not one or nth = 1").select("d.*")
 
 
 def substring_dedup_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Cuts repeated passages out of the texts; a document that loses every word goes."""
-    cut = substring_dedup(docs).where("n_words = 0 or n_removed < n_words").select("doc_id", "words_sha256", "kept_text")
-    words = F.array_join(F.regexp_extract_all(F.coalesce("d.text", F.lit("")), F.lit(WORD), F.lit(0)), " ")
-    rows = _with(docs, cut.dropDuplicates(["doc_id", "words_sha256"])).where(F.sha2(words.cast("binary"), 256) == F.col("words_sha256"))
-    return rows.select(*_retold(F.coalesce("kept_text", "d.text")))
+    """Cuts repeated passages out of the texts; a document that loses every word goes, as do repeated rows (all their words repeat)."""
+    cut = substring_dedup(docs).where("n_removed > 0").select(_id(F.col("doc_id")).alias("id"), "key", "kept_text", (F.col("n_removed") == F.col("n_words")).alias("gone")).dropDuplicates(["id", "key"])
+    rows = _keyed(docs).join(cut, ["id", "key"], "left")
+    return rows.where("gone is null or not gone").select(*_retold(F.coalesce("kept_text", "d.text")))
 
 
 def mixing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Repeats and samples documents to the sources' target weights."""
+    """Repeats and samples documents to the sources' target weights; null and blank texts, which weigh nothing, go."""
     mixed = mixed_rows(docs.select(*DOCUMENT_COLUMNS, F.col("text").alias("before")), label_quality(table(spark, sf_dir, "labels")))
     return mixed.select(F.struct(F.col("before").alias("text"), *[c for c in DOCUMENT_COLUMNS if c != "text"]).alias("d"), "text").select(*_retold(F.col("text")))
 
 
 def packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Packs the mix; copies of a document are packed one by one."""
+    """Packs the mix; copies of a document are packed one by one, a null text as an empty one."""
     return pack_documents(docs)
 
 
