@@ -8,6 +8,7 @@ import tempfile
 import uuid
 
 import numpy as np
+import pyarrow as pa
 import xxhash
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -114,6 +115,30 @@ def is_empty(df: DataFrame) -> bool:
     return not df.limit(1).count()
 
 
+def whole_groups(batches):
+    """Batches in order of their first column -> tables with all rows of each of its values that they have."""
+    held: list[pa.RecordBatch] = []
+    for batch in batches:
+        if not batch.num_rows:
+            continue
+        first = batch.column(0).to_numpy()
+        last = int((first == first[-1]).argmax())  # the value that the next batch may go on with begins here
+        if held and (last or first[0] != held[-1].column(0)[-1].as_py()):
+            yield pa.Table.from_batches([*held, batch.slice(0, last)])
+            held = []
+        elif last:
+            yield pa.Table.from_batches([batch.slice(0, last)])
+        held.append(batch.slice(last))
+    if held:
+        yield pa.Table.from_batches(held)
+
+
+def group_bounds(column: np.ndarray) -> list[tuple[int, int]]:
+    """Where each run of equal values begins and ends."""
+    cuts = (np.flatnonzero(np.diff(column)) + 1).tolist()
+    return list(zip([0, *cuts], [*cuts, len(column)]))
+
+
 def word_hashes(text: bytes) -> np.ndarray:
     """64-bit hash of every word; bytes.split() cuts at the same six blanks as WORD."""
     words = text.split()

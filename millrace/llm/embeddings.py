@@ -19,11 +19,12 @@ import itertools
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from millrace.llm.common import Staging, mix64
+from millrace.llm.common import Staging, group_bounds, mix64, whole_groups
 from millrace.llm.components import connected_components
 
 #: At cosine 0.98 a pair meets in one table with probability 0.76 (simulated): 1e-5 are missed by all 8.
@@ -93,81 +94,111 @@ def lattice_cells(units: np.ndarray, salt: np.ndarray, tables: int, probes: int,
     return own, near
 
 
+def _by_length(column) -> list[tuple[np.ndarray, np.ndarray]]:
+    """Vectors (rows, values) of each length; null entries become NaN, null and empty vectors are left out."""
+    column = column.combine_chunks() if isinstance(column, pa.ChunkedArray) else column
+    size = np.nan_to_num(pc.list_value_length(column).to_numpy(zero_copy_only=False)).astype(np.int64)
+    flat = column.flatten().to_numpy(zero_copy_only=False).astype(np.float64)
+    ends = np.cumsum(size)
+    out = []
+    for n in np.unique(size[size > 0]):
+        rows = np.flatnonzero(size == n)
+        out.append((rows, flat[(ends[rows] - n)[:, None] + np.arange(n)]))
+    return out
+
+
 def _hash(tables: int, probes: int, scale: float):
     def run(batches):
         for b in batches:
-            ids, labels = b.column(0), b.column(2).to_pylist()
-            by_dim: dict[int, list[int]] = {}
-            vectors: list = [None] * b.num_rows
-            for i, v in enumerate(b.column(1)):
-                if labels[i] is None or not v.is_valid:
-                    continue
-                x = np.array(v.as_py(), dtype=np.float64)  # null entries become NaN
-                if len(x) and np.isfinite(x).all() and x.any():
-                    vectors[i] = x
-                    by_dim.setdefault(len(x), []).append(i)
+            labels = b.column(2).to_pylist()
+            named = np.array([x is not None for x in labels], bool)
             fps, units, owns, nears = ([None] * b.num_rows for _ in range(4))
-            for dim, rows in by_dim.items():
-                x = np.stack([vectors[i] for i in rows])
-                x = x / np.abs(x).max(axis=1)[:, None]  # so that squares neither overflow nor vanish
-                u = x / np.sqrt((x * x).sum(axis=1))[:, None]
-                salt = np.array([xxhash.xxh3_64_intdigest(f"{dim}:{labels[i]}") for i in rows], np.uint64)
-                own, near = lattice_cells(u, salt, tables, probes, scale)
-                for k, i in enumerate(rows):
-                    fps[i] = xxhash.xxh3_128_digest(f"{dim}:{labels[i]}:".encode() + vectors[i].tobytes())
-                    units[i] = u[k].tobytes()
-                    owns[i], nears[i] = own[k].view(np.int64), near[k].ravel().view(np.int64)
-            cells = pa.list_(pa.int64())
-            yield pa.RecordBatch.from_arrays([ids, b.column(2), pa.array(fps, pa.binary()), pa.array(units, pa.binary()), pa.array(owns, cells), pa.array(nears, cells)], names=["vec_id", "label", "fp", "unit", "own", "near"])
+            for rows, x in _by_length(b.column(1)):
+                fit = named[rows] & np.isfinite(x).all(axis=1) & x.any(axis=1)
+                rows, x = rows[fit], x[fit]
+                if not len(rows):
+                    continue
+                dim = x.shape[1]
+                u = x / np.abs(x).max(axis=1)[:, None]  # so that squares neither overflow nor vanish
+                u = u / np.sqrt((u * u).sum(axis=1))[:, None]
+                salts = {v: xxhash.xxh3_64_intdigest(f"{dim}:{v}") for v in {labels[i] for i in rows}}
+                own, near = lattice_cells(u, np.array([salts[labels[i]] for i in rows], np.uint64), tables, probes, scale)
+                own, near = own.view(np.int64), near.reshape(len(rows), -1).view(np.int64)
+                for k, i in enumerate(rows.tolist()):
+                    fps[i] = xxhash.xxh3_128_digest(f"{dim}:{labels[i]}:".encode() + x[k].tobytes())
+                    units[i], owns[i], nears[i] = u[k].tobytes(), own[k].tobytes(), near[k].tobytes()
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(fps, pa.binary()), *(pa.array(c, pa.binary()) for c in (units, owns, nears))], names=["vec_id", "fp", "unit", "own", "near"])
+
+    return run
+
+
+def _cells(probes: int):
+    """Classes (fp, own, near) -> their entries (fp, t, cell, home), home in their own cells and not in those they look into."""
+
+    def run(batches):
+        for b in batches:
+            own, near = (np.frombuffer(b"".join(b.column(i).to_pylist()), np.int64).reshape(b.num_rows, -1) for i in (1, 2))
+            tables = own.shape[1] if b.num_rows else 0
+            width = tables * (1 + probes)
+            cell = np.concatenate([own, near], axis=1).ravel()
+            t = np.tile(np.concatenate([np.arange(tables), np.repeat(np.arange(tables), probes)]), b.num_rows)
+            home = np.tile(np.arange(width) < tables, b.num_rows)
+            for lo in range(0, len(cell), 50_000):
+                part = slice(lo, lo + 50_000)
+                at = np.arange(lo, min(lo + 50_000, len(cell))) // width
+                yield pa.RecordBatch.from_arrays([b.column(0).take(pa.array(at)), pa.array(t[part].astype(np.int32)), pa.array(cell[part]), pa.array(home[part])], names=["fp", "t", "cell", "home"])
 
     return run
 
 
+def _links_of(least: float, v: np.ndarray, own: np.ndarray, near: np.ndarray, mult: np.ndarray, block: np.ndarray, home: np.ndarray, t: int, across: bool):
+    """Of one or two blocks of a cell in table t: link counts, and for each class the least one that links reach."""
+    size = len(v)
+    hit = (v @ v.T >= least) & (home[:, None] | home[None, :])
+    if across:
+        hit &= block[:, None] != block[None, :]
+    a, b = np.nonzero(np.triu(hit, 1))
+    for s in range(t):  # pairs that an earlier table has
+        met = (own[a, s] == own[b, s]) | (near[a, s] == own[b, s][:, None]).any(axis=1) | (near[b, s] == own[a, s][:, None]).any(axis=1)
+        a, b = a[~met], b[~met]
+    h, o = np.where(home[a], a, b), np.where(home[a], b, a)  # where each looks into the other's cell, one cell has the pair
+    both = ~home[o] & (near[h, t] == own[o, t][:, None]).any(axis=1) & (own[h, t] > own[o, t])
+    a, b = a[~both], b[~both]
+    count = np.bincount(a, mult[b], size) + np.bincount(b, mult[a], size)
+    root = np.arange(size)
+    while len(a):  # the least class that links reach, all at once
+        low = root.copy()
+        np.minimum.at(low, a, root[b])
+        np.minimum.at(low, b, root[a])
+        low = low[low]
+        if (low == root).all():
+            break
+        root = low
+    return count, root
+
+
 def _compare(least: float, tables: int, probes: int):
-    """Classes of one or two blocks of a cell -> (a, n, b): link counts (b null) and spanning links (n = 0)."""
-
-    def run(table: pa.Table) -> pa.Table:
-        order = np.argsort(np.array(table.column("fp").to_pylist(), dtype=object), kind="stable")
-        table = table.take(pa.array(order))
-        get = lambda c: table.column(c).to_numpy()
-        size, t = table.num_rows, int(table.column("t")[0].as_py())
-        units = [np.frombuffer(u, np.float64) for u in table.column("unit").to_pylist()]
-        width = max(map(len, units))
-        same = np.array([len(u) for u in units])
-        v = np.zeros((size, width))
-        for i, u in enumerate(units):
-            v[i, : len(u)] = u
-        own = np.stack(table.column("own").to_pylist())
-        near = np.stack(table.column("near").to_pylist()).reshape(size, tables, probes)
-        labels, mult, block, home = get("label"), get("mult"), get("block"), get("home")
-        hit = (v @ v.T >= least) & (home[:, None] | home[None, :])
-        hit &= (labels[:, None] == labels[None, :]) & (same[:, None] == same[None, :])
-        if get("i")[0] != get("j")[0]:
-            hit &= block[:, None] != block[None, :]
-        a, b = np.nonzero(np.triu(hit, 1))
-        for s in range(t):  # pairs that an earlier table has
-            met = (own[a, s] == own[b, s]) | (near[a, s] == own[b, s][:, None]).any(axis=1) | (near[b, s] == own[a, s][:, None]).any(axis=1)
-            a, b = a[~met], b[~met]
-        h, o = np.where(home[a], a, b), np.where(home[a], b, a)  # where each looks into the other's cell, one cell has the pair
-        both = ~home[o] & (near[h, t] == own[o, t][:, None]).any(axis=1) & (own[h, t] > own[o, t])
-        a, b = a[~both], b[~both]
-        count = np.bincount(a, mult[b], size) + np.bincount(b, mult[a], size)
-        some = np.flatnonzero(count)
-        root = np.arange(size)
-        while len(a):  # the least class that links reach, all at once
-            low = root.copy()
-            np.minimum.at(low, a, root[b])
-            np.minimum.at(low, b, root[a])
-            low = low[low]
-            if (low == root).all():
-                break
-            root = low
-        linked = np.flatnonzero(root != np.arange(size))
-        fp = table.column("fp").combine_chunks()
-        first = pa.concat_arrays([fp.take(pa.array(some)), fp.take(pa.array(linked))])
-        n = pa.array(np.concatenate([count[some], np.zeros(len(linked))]).astype(np.int64))
-        second = pa.concat_arrays([pa.nulls(len(some), pa.binary()), fp.take(pa.array(root[linked]))])
-        return pa.table({"a": first, "n": n, "b": second})
+    """Rows in order of place, one or two blocks of a cell -> (a, n, b): link counts (b null) and spanning links (n = 0)."""
+
+    def run(batches):
+        for table in whole_groups(batches):
+            get = lambda c: table.column(c).to_numpy()
+            fp, unit = table.column("fp").to_pylist(), table.column("unit").to_pylist()
+            own = np.frombuffer(b"".join(table.column("own").to_pylist()), np.int64).reshape(len(fp), tables)
+            near = np.frombuffer(b"".join(table.column("near").to_pylist()), np.int64).reshape(len(fp), tables, probes)
+            mult, block, home, t, across = map(get, ("mult", "block", "home", "t", "across"))
+            first, n, second = [], [], []
+            for lo, hi in group_bounds(get("place")):
+                # a cell's name is salted with label and length; lengths could differ only if names collided
+                width = max(map(len, unit[lo:hi]))
+                v = np.frombuffer(b"".join(u.ljust(width, b"\0") for u in unit[lo:hi]), np.float64).reshape(hi - lo, -1)
+                part = slice(lo, hi)
+                count, root = _links_of(least, v, own[part], near[part], mult[part], block[part], home[part], int(t[lo]), bool(across[lo]))
+                some, linked = np.flatnonzero(count), np.flatnonzero(root != np.arange(hi - lo))
+                first += [fp[lo + i] for i in [*some, *linked]]
+                n += [*count[some].astype(np.int64), *[0] * len(linked)]
+                second += [*[None] * len(some), *[fp[lo + i] for i in root[linked]]]
+            yield pa.RecordBatch.from_arrays([pa.array(first, pa.binary()), pa.array(n, pa.int64()), pa.array(second, pa.binary())], names=["a", "n", "b"])
 
     return run
 
@@ -187,20 +218,24 @@ def near_duplicate_vectors(vectors: DataFrame, cosine: float = 0.98, id_col: str
     """
     st = Staging(vectors.sparkSession, "vectors")
     rows = vectors.select(F.col(id_col).cast("long").alias("vec_id"), F.col(vector_col).cast("array<double>").alias("v"), F.col(label_col).cast("string").alias("label"))
-    shape = "vec_id long, label string, fp binary, unit binary, own array<long>, near array<long>"
-    hashed = st.put(rows.mapInArrow(_hash(tables, probes, scale), shape), "hashed")
+    hashed = st.put(rows.mapInArrow(_hash(tables, probes, scale), "vec_id long, fp binary, unit binary, own binary, near binary"), "hashed")
     ids = hashed.select("vec_id", "fp")
-    classes = hashed.where("fp is not null").groupBy("fp").agg(F.count("*").alias("mult"), F.min("vec_id").alias("least"), *(F.first(c).alias(c) for c in ("label", "unit", "own", "near")))
+    classes = hashed.where("fp is not null").groupBy("fp").agg(F.count("*").alias("mult"), F.min("vec_id").alias("least"), *(F.first(c).alias(c) for c in ("unit", "own", "near")))
     classes = st.put(classes, "classes")
 
-    homes = classes.select("fp", F.posexplode("own").alias("t", "cell"), F.lit(True).alias("home"))
-    looks = classes.select("fp", F.posexplode("near").alias("p", "cell")).select("fp", F.floor(F.col("p") / probes).cast("int").alias("t"), "cell", F.lit(False).alias("home"))
-    entries = homes.unionByName(looks)
-    shared = entries.groupBy("cell").agg(F.count("*").alias("k"), F.max("home").alias("any")).where("k > 1 and any").select("cell", F.ceil(F.col("k") / CELL_BLOCK).cast("int").alias("blocks"))
+    entries = classes.select("fp", "own", "near").mapInArrow(_cells(probes), "fp binary, t int, cell long, home boolean")
+    mark = lambda seed: F.bit_xor(F.xxhash64("fp", "home", F.lit(seed)))
+    shared = entries.groupBy("cell").agg(F.count("*").alias("k"), F.max("home").alias("any"), F.min("t").alias("t"), mark(0).alias("x"), mark(1).alias("y")).where("k > 1 and any")
+    # of cells with the same classes, those of the first table will do
+    first = shared.groupBy("k", "x", "y").agg(F.min("t").alias("first"), F.collect_list(F.struct("t", "cell")).alias("cells"))
+    shared = first.select("k", "first", F.explode("cells").alias("c")).where("c.t = first").select("c.cell", F.ceil(F.col("k") / CELL_BLOCK).cast("int").alias("blocks"))
+    shared = st.put(shared, "shared")  # staged: Spark can then split a hot cell's join
     dealt = entries.join(shared, "cell").withColumn("block", F.pmod(F.hash("fp"), F.col("blocks"))).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
-    dealt = dealt.select("cell", "t", "fp", "home", "block", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"))
-    met = dealt.join(classes.drop("least"), "fp")
-    out = st.put(met.groupBy("cell", "i", "j").applyInArrow(_compare(cosine, tables, probes), "a binary, n long, b binary"), "links")
+    place = F.xxhash64("cell", F.least("block", "other"), F.greatest("block", "other")).alias("place")
+    dealt = dealt.select(place, "t", "fp", "home", "block", (F.col("block") != F.col("other")).alias("across"))
+    met = dealt.join(classes.select("fp", "unit", "own", "near", "mult"), "fp").select("place", "fp", "t", "home", "block", "across", "unit", "own", "near", "mult")
+    met = met.repartition("place").sortWithinPartitions("place", "fp")
+    out = st.put(met.mapInArrow(_compare(cosine, tables, probes), "a binary, n long, b binary"), "links")
 
     counts = out.groupBy(F.col("a").alias("fp")).agg(F.sum("n").alias("others"))
     roots = connected_components(out.where("b is not null").select("a", "b"), st).toDF("fp", "root")

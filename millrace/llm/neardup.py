@@ -24,7 +24,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from millrace.llm.common import Staging, keyed_texts, mix64, text_of_classes, window_hashes, word_hashes
+from millrace.llm.common import Staging, group_bounds, keyed_texts, mix64, text_of_classes, whole_groups, window_hashes, word_hashes
 from millrace.llm.components import connected_components
 
 #: 32 bands of 4: a pair at 0.8 is missed with probability (1 - 0.8**4)**32 < 1e-7.
@@ -133,32 +133,16 @@ def likely_forest(sig: np.ndarray, size: np.ndarray, num: int, den: int) -> tupl
 def _forests(num: int, den: int):
     """Rows (place, fp, n, sig) in order of place, a comparison's number -> links (a, b) of each place's forest."""
 
-    def links(t: pa.Table):
-        place = t.column("place").to_numpy()
-        cuts = np.flatnonzero(np.diff(place)) + 1
-        fp, size = t.column("fp").to_pylist(), t.column("n").to_numpy()
-        sig = np.frombuffer(b"".join(t.column("sig").to_pylist()), np.uint8).reshape(len(fp), -1)
-        a, b = [], []
-        for lo, hi in zip([0, *cuts], [*cuts, len(fp)]):
-            x, y = likely_forest(sig[lo:hi], size[lo:hi], num, den)
-            a += [fp[lo + i] for i in x]
-            b += [fp[lo + i] for i in y]
-        return pa.RecordBatch.from_arrays([pa.array(a, pa.binary()), pa.array(b, pa.binary())], names=["a", "b"])
-
     def run(batches):
-        held: list[pa.RecordBatch] = []
-        for batch in batches:
-            if not batch.num_rows:
-                continue
-            place = batch.column(0).to_numpy()
-            last = int((place == place[-1]).argmax())  # the place that the next batch may go on with begins here
-            if held and place[0] != held[-1].column(0)[-1].as_py() or last:
-                done = pa.Table.from_batches([*held, batch.slice(0, last)])
-                held = []
-                yield links(done)
-            held.append(batch.slice(last))
-        if held:
-            yield links(pa.Table.from_batches(held))
+        for t in whole_groups(batches):
+            fp, size = t.column("fp").to_pylist(), t.column("n").to_numpy()
+            sig = np.frombuffer(b"".join(t.column("sig").to_pylist()), np.uint8).reshape(len(fp), -1)
+            a, b = [], []
+            for lo, hi in group_bounds(t.column("place").to_numpy()):
+                x, y = likely_forest(sig[lo:hi], size[lo:hi], num, den)
+                a += [fp[lo + i] for i in x]
+                b += [fp[lo + i] for i in y]
+            yield pa.RecordBatch.from_arrays([pa.array(a, pa.binary()), pa.array(b, pa.binary())], names=["a", "b"])
 
     return run
 
