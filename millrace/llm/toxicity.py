@@ -120,6 +120,17 @@ class Characters:
             got = self.rows[a, b] = self.logp[a, b].tolist()
         return got
 
+    def score(self, word: str) -> float:
+        """Log-probability of a word as it stands, its end included."""
+        rows, known, other = self.rows, self.known, self.other
+        a = b = 0
+        total = 0.0
+        for ch in word:
+            s = known.get(ch, other)
+            total += (rows.get((a, b)) or self.row(a, b))[s]
+            a, b = b, s
+        return total + self.row(a, b)[0]
+
 
 def restore(word: str, model: Characters, single: bool = True) -> str:
     """The likeliest letters behind a lower-case word: Viterbi over its lattice, by the last two letters.
@@ -127,20 +138,18 @@ def restore(word: str, model: Characters, single: bool = True) -> str:
     Each place offers letters for its sign, or nothing for a filler; of a run
     of one letter or sign, all but the first may be dropped if single.
     """
+    rows, known, other = model.rows, model.known, model.other
     states = {(0, 0): (0.0, None)}  # last two symbols -> score, letters as a chain
     before = ""
     for ch in word:
         if ch.isalpha():
-            choices = [(ch, 0.0)]
-        elif ch in SIGNS:
-            choices = [(c, SIGN_COST) for c in SIGNS[ch]]
+            choices = [(ch, 0.0, known.get(ch, other))]
         else:
-            choices = []
+            choices = [(c, SIGN_COST, known.get(c, other)) for c in SIGNS.get(ch, "")]
         nxt: dict = {}
         for (a, b), (score, chain) in states.items():
-            row = model.row(a, b)
-            for c, cost in choices:
-                s = model.symbol(c)
+            row = rows.get((a, b)) or model.row(a, b)
+            for c, cost, s in choices:
                 now = score + cost + row[s]
                 if (b, s) not in nxt or now > nxt[b, s][0]:
                     nxt[b, s] = (now, (chain, c))
@@ -157,14 +166,26 @@ def restore(word: str, model: Characters, single: bool = True) -> str:
     return "".join(reversed(out))
 
 
-def _per_letter(word: str, model: Characters) -> float:
-    """Log-probability of a word as it stands, by letter and its end."""
-    a = b = 0
-    total = 0.0
-    for s in [*map(model.symbol, word), 0]:
-        total += model.row(a, b)[s]
-        a, b = b, s
-    return total / (len(word) + 1)
+def _undoubled(word: str, model: Characters) -> str | None:
+    """A word of letters, some of them doubled, as restore() takes it, if it is likelier by DOUBLED_GAIN a letter.
+
+    With few doubled letters it is quicker to score the words that dropping them gives.
+    """
+    at = [m.start() for m in _doubled.finditer(word)]
+    if len(at) <= 2 and not _tripled.search(word):
+        own = best = model.score(word)
+        back = word
+        for drop in [at[:1], at[1:], at][: 2 * len(at) - 1]:
+            w = "".join(c for i, c in enumerate(word) if i not in drop)
+            now = model.score(w)
+            if now + DROP_COST * len(drop) > best:
+                best, back, score = now + DROP_COST * len(drop), w, now
+        if back == word:
+            return None
+    else:
+        back = restore(word, model)
+        own, score = model.score(word), model.score(back)
+    return back if score / (len(back) + 1) >= own / (len(word) + 1) + DOUBLED_GAIN else None
 
 
 def _forms(word: str, model: Characters) -> list[str]:
@@ -174,12 +195,12 @@ def _forms(word: str, model: Characters) -> list[str]:
     if _odd.search(word) and _meant.search(word):
         core = _edges.sub("", word)
         if core and (not core.isalpha() or _doubled.search(core)):
-            backs = [restore(core, model)]
             if core.isalpha() and not _tripled.search(core):
-                if _per_letter(backs[0], model) < _per_letter(core, model) + DOUBLED_GAIN:
-                    backs = []
-            elif _doubled.search(core) and not core.isalpha():  # 4$$: two signs may be two letters
-                backs.append(restore(core, model, single=False))
+                backs = [_undoubled(core, model)]
+            else:
+                backs = [restore(core, model)]
+                if _doubled.search(core) and not core.isalpha():  # 4$$: two signs may be two letters
+                    backs.append(restore(core, model, single=False))
             out += [b for b in dict.fromkeys(backs) if b and b != plain]
     return out
 

@@ -271,6 +271,13 @@ def test_restore_by_brute_force(spark):
         got = toxicity.restore(word, model)
         best = max(x for x, _ in paths(word))
         assert max(x for x, w in paths(word) if w == got) >= best - 1e-9, word
+    for _ in range(300):  # words of letters: as the search has it, where that gains enough
+        word = "".join(c * rng.choice((1, 1, 1, 2)) for c in (rng.choice("loseridatumп") for _ in range(rng.randrange(2, 8))))
+        if toxicity._tripled.search(word) or not toxicity._doubled.search(word):
+            continue
+        back = toxicity.restore(word, model)
+        gain = model.score(back) / (len(back) + 1) >= model.score(word) / (len(word) + 1) + toxicity.DOUBLED_GAIN
+        assert toxicity._undoubled(word, model) == (back if gain and back != word else None), word
 
 
 def test_restored_doubled_and_all_sign_words(spark):
