@@ -2,42 +2,47 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from millrace.functions.intervals import overlaps
+from millrace.operators.running import following, running_sum
 
 
-def merge(df: DataFrame, keys: list[str], start: str = "start", stop: str = "stop") -> DataFrame:
+def _edges(df: DataFrame, keys: list[str], start: str, stop: str, name: str) -> DataFrame:
+    """How many intervals begin (1) or end (-1) at each moment; equal bounds come down to one row before any window."""
+    live = df.where(F.col(start) < F.col(stop))
+    ends = F.array(F.struct(F.col(start).alias("t"), F.lit(1).alias(name)), F.struct(F.col(stop).alias("t"), F.lit(-1).alias(name)))
+    both = live.select(*keys, F.explode(ends).alias("_e")).select(*keys, "_e.*")
+    return both.groupBy(*keys, "t").agg(F.sum(name).alias(name))
+
+
+def _dealt(edges: DataFrame, cell: str | None) -> tuple[DataFrame, str | None]:
+    return (edges, None) if cell is None else (edges.withColumn("_cell", F.date_trunc(cell, "t")), "_cell")
+
+
+def merge(df: DataFrame, keys: list[str], start: str = "start", stop: str = "stop", cell: str | None = None) -> DataFrame:
     """The fewest intervals of each group that cover the same moments; touching ones join.
 
-    Intervals of no length are left out. Counts what begins and ends by moment
-    first, so equal bounds of a hot group come down to one row each.
+    Intervals of no length are left out. cell (such as 'day') spreads a hot
+    group over its time cells.
     """
-    live = df.where(F.col(start) < F.col(stop))
-    edges = live.select(*keys, F.col(start).alias("t"), F.lit(1).alias("d")).union(live.select(*keys, F.col(stop).alias("t"), F.lit(-1).alias("d")))
-    edges = edges.groupBy(*keys, "t").agg(F.sum("d").alias("d"))
-    w = Window.partitionBy(*keys).orderBy("t")
-    edges = edges.withColumn("open", F.sum("d").over(w)).withColumn("before", F.coalesce(F.lag("open").over(w), F.lit(0)))
-    bounds = edges.where("(open > 0) <> (before > 0)").withColumn("next", F.lead("t").over(w))
+    edges, bucket = _dealt(_edges(df, keys, start, stop, "d"), cell)
+    edges = running_sum(edges, keys, bucket, ["t"], F.col("d"), "open")
+    bounds = edges.where("(open > 0) <> (open - d > 0)")
+    bounds = following(bounds, keys, bucket, ["t"], F.col("t"), "next")
     return bounds.where("open > 0").select(*keys, F.col("t").alias(start), F.col("next").alias(stop))
 
 
-def subtract(df: DataFrame, holes: DataFrame, keys: list[str], start: str = "start", stop: str = "stop") -> DataFrame:
-    """The moments of each group's intervals that no hole covers, as the fewest intervals."""
-
-    def edges(x: DataFrame, what: str) -> DataFrame:
-        live = x.where(F.col(start) < F.col(stop))
-        other = "h" if what == "a" else "a"
-        both = live.select(*keys, F.col(start).alias("t"), F.lit(1).alias(what)).union(live.select(*keys, F.col(stop).alias("t"), F.lit(-1).alias(what)))
-        return both.withColumn(other, F.lit(0)).select(*keys, "t", "a", "h")
-
-    both = edges(df, "a").unionByName(edges(holes, "h")).groupBy(*keys, "t").agg(F.sum("a").alias("a"), F.sum("h").alias("h"))
-    w = Window.partitionBy(*keys).orderBy("t")
-    both = both.withColumn("in", (F.sum("a").over(w) > 0) & (F.sum("h").over(w) == 0))
-    both = both.withColumn("was", F.coalesce(F.lag("in").over(w), F.lit(False))).where(F.col("in") != F.col("was"))
-    both = both.withColumn("next", F.lead("t").over(w))
-    return both.where("in").select(*keys, F.col("t").alias(start), F.col("next").alias(stop))
+def subtract(df: DataFrame, holes: DataFrame, keys: list[str], start: str = "start", stop: str = "stop", cell: str | None = None) -> DataFrame:
+    """The moments of each group's intervals that no hole covers, as the fewest intervals; cell as in merge()."""
+    both = _edges(df, keys, start, stop, "a").unionByName(_edges(holes, keys, start, stop, "h"), allowMissingColumns=True)
+    both = both.groupBy(*keys, "t").agg(F.coalesce(F.sum("a"), F.lit(0)).alias("a"), F.coalesce(F.sum("h"), F.lit(0)).alias("h"))
+    both, bucket = _dealt(both, cell)
+    both = running_sum(running_sum(both, keys, bucket, ["t"], F.col("a"), "in_a"), keys, bucket, ["t"], F.col("h"), "in_h")
+    both = both.withColumn("now", F.expr("in_a > 0 and in_h = 0")).where("now <> (in_a - a > 0 and in_h - h = 0)")
+    both = following(both, keys, bucket, ["t"], F.col("t"), "next")
+    return both.where("now").select(*keys, F.col("t").alias(start), F.col("next").alias(stop))
 
 
 def intersect(a: DataFrame, b: DataFrame, keys: list[str], cell: str = "day", start: str = "start", stop: str = "stop") -> DataFrame:

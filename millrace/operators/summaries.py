@@ -11,20 +11,19 @@ from millrace.operators.running import beside
 from millrace.operators.series import asof_join, previous
 
 
-def resample(df: DataFrame, keys: list[str], time: str, tie: str, step: str, value: str) -> DataFrame:
+def resample(df: DataFrame, keys: list[str], time: str, tie: str, step: str, value: str, bucket: str | None = "day") -> DataFrame:
     """The last value at or before each point of a regular grid, from a key's first reading to its last.
 
     step is an interval such as '1 hour'; grid points are whole steps of the day.
     """
-    unit = step.split()[1].rstrip("s")
     span = df.groupBy(*keys).agg(F.min(time).alias("_a"), F.max(time).alias("_b"))
-    first = F.date_trunc(unit, F.col("_a")).cast("timestamp_ntz") + F.expr(f"interval {step}")
-    points = F.when(first <= F.col("_b"), F.sequence(first, F.col("_b"), F.expr(f"interval {step}")))
+    midnight = F.date_trunc("day", F.col("_a")).cast("timestamp_ntz")
+    points = F.filter(F.sequence(midnight, F.col("_b"), F.expr(f"interval {step}")), lambda t: t >= F.col("_a"))
     grid = span.select(*keys, F.explode(points).alias(time), F.lit(None).cast(df.schema[tie].dataType).alias(tie))
-    return asof_join(grid, df, keys, time, tie, F.date_trunc("day", time), [value]).drop(tie)
+    return asof_join(grid, df, keys, time, tie, None if bucket is None else F.date_trunc(bucket, time), [value]).drop(tie)
 
 
-def time_weighted_mean(df: DataFrame, keys: list[str], time: str, order: list[str], bucket: str, value: str) -> DataFrame:
+def time_weighted_mean(df: DataFrame, keys: list[str], time: str, order: list[str], bucket: str | None, value: str) -> DataFrame:
     """By key: seconds between first and last reading, and the mean of value over them, each reading holding until the next."""
     held = previous(df, keys, bucket, order, F.struct(F.col(time).alias("t"), F.col(value).alias("v")), "_p").where("_p is not null")
     held = held.withColumn("_s", seconds_between(F.col("_p.t"), F.col(time)))
@@ -32,11 +31,11 @@ def time_weighted_mean(df: DataFrame, keys: list[str], time: str, order: list[st
     return out.select(*keys, "seconds", F.when(F.col("seconds") > 0, F.col("_w") / F.col("seconds")).alias("mean"))
 
 
-def coverage(spans: DataFrame, gaps: DataFrame, keys: list[str], start: str = "start", stop: str = "stop") -> DataFrame:
+def coverage(spans: DataFrame, gaps: DataFrame, keys: list[str], start: str = "start", stop: str = "stop", cell: str | None = None) -> DataFrame:
     """By group: the seconds that its intervals cover, and the share of them that no gap takes."""
     total = lambda df, name: df.groupBy(*keys).agg(F.sum(seconds_between(F.col(start), F.col(stop))).alias(name))
-    all_ = total(intervals.merge(spans, keys, start, stop), "seconds")
-    left = total(intervals.subtract(spans, gaps, keys, start, stop), "_left")
+    all_ = total(intervals.merge(spans, keys, start, stop, cell), "seconds")
+    left = total(intervals.subtract(spans, gaps, keys, start, stop, cell), "_left")
     return beside(all_, left, keys).select(*keys, "seconds", (F.coalesce("_left", F.lit(0.0)) / F.col("seconds")).alias("share"))
 
 

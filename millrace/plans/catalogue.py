@@ -6,8 +6,6 @@ value the reading in hundredths (kept whole, so that sums are exact).
 
 from __future__ import annotations
 
-import functools
-import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
@@ -16,8 +14,9 @@ from pyspark.sql import functions as F
 from millrace.functions import power, thermal
 from millrace.functions.intervals import micros
 from millrace.functions.phasors import unbalance_percent
-from millrace.operators import intervals, series, summaries, transients
+from millrace.operators import intervals, running, series, summaries, transients
 from millrace.plans import config
+from millrace.sources import tables
 from millrace.streaming import flows
 
 FLAGSHIP = "zone_segments"
@@ -29,6 +28,13 @@ _E = "WITH e AS (SELECT event_id, ts, date_trunc('day', ts)::TIMESTAMP AS day, u
 KEYS, ORDER = ["user_id"], ["ts", "event_id"]
 
 
+def bucket(df: DataFrame) -> str | None:
+    """The day, if a device has more rows than a task should sort, else none."""
+    return running.bucket_for(df, KEYS, "day")
+
+
+
+
 def query(sql: str):
     def add(f):
         QUERIES[f.__name__], ORACLE_SQL[f.__name__] = f, sql
@@ -59,7 +65,7 @@ def daily_event_rollup(spark, sf_dir):
 SELECT event_id, user_id, CASE WHEN date_diff('microsecond', t, ts) <= 86400000000 THEN v END AS filled FROM f""")
 def forward_fill(spark, sf_dir):
     e = readings(spark, sf_dir).withColumn("paid", F.when(F.col("event_type") == "purchase", F.col("cents")))
-    out = series.forward_fill(e, KEYS, "ts", ORDER, "day", "paid", max_age=86400.0)
+    out = series.forward_fill(e, KEYS, "ts", ORDER, bucket(e), "paid", max_age=86400.0)
     return out.select("event_id", "user_id", "filled")
 
 
@@ -69,7 +75,8 @@ def asof_join(spark, sf_dir):
     e = readings(spark, sf_dir)
     errors = e.where("event_type = 'error'").select("event_id", "user_id", "ts")
     views = e.where("event_type = 'view'").select("event_id", "user_id", "ts", F.col("cents").alias("seen_cents"))
-    return series.asof_join(errors, views, KEYS, "ts", "event_id", F.date_trunc("day", "ts"), ["seen_cents"])
+    day = F.date_trunc("day", "ts") if bucket(e) else None
+    return series.asof_join(errors, views, KEYS, "ts", "event_id", day, ["seen_cents"])
 
 
 _STATE = f"""{_E}, d AS (
@@ -79,7 +86,8 @@ _STATE = f"""{_E}, d AS (
 
 @query(f"""{_STATE} SELECT event_id, user_id, "on" FROM d""")
 def hysteresis_state(spark, sf_dir):
-    return series.hysteresis(readings(spark, sf_dir), KEYS, ORDER, "day", "value", low=20.0, high=80.0).select("event_id", "user_id", "on")
+    e = readings(spark, sf_dir)
+    return series.hysteresis(e, KEYS, ORDER, bucket(e), "value", low=20.0, high=80.0).select("event_id", "user_id", "on")
 
 
 @query(f"""{_STATE}, b AS (SELECT *, CASE WHEN "on" IS DISTINCT FROM lag("on") OVER w OR row_number() OVER w = 1 THEN 1 ELSE 0 END AS new FROM d WINDOW w AS (PARTITION BY user_id ORDER BY ts, event_id)),
@@ -87,17 +95,21 @@ r AS (SELECT *, sum(new) OVER (PARTITION BY user_id ORDER BY ts, event_id ROWS U
 n AS (SELECT *, row_number() OVER (PARTITION BY user_id, run ORDER BY ts, event_id) AS nth FROM r)
 SELECT event_id, user_id, last_value(CASE WHEN nth >= 3 THEN CASE WHEN "on" THEN 'on' ELSE 'off' END END IGNORE NULLS) OVER (PARTITION BY user_id ORDER BY ts, event_id ROWS UNBOUNDED PRECEDING) AS stable FROM n""")
 def debounced_state(spark, sf_dir):
-    on = series.hysteresis(readings(spark, sf_dir), KEYS, ORDER, "day", "value", low=20.0, high=80.0)
+    e = readings(spark, sf_dir)
+    day = bucket(e)
+    on = series.hysteresis(e, KEYS, ORDER, day, "value", low=20.0, high=80.0)
     on = on.withColumn("state", F.when(F.col("on"), "on").otherwise("off"))
-    return series.debounce(on, KEYS, ORDER, "day", "state", 3).select("event_id", "user_id", "stable")
+    return series.debounce(on, KEYS, ORDER, day, "state", 3).select("event_id", "user_id", "stable")
 
 
 @query(f"""{_STATE}, b AS (SELECT *, CASE WHEN "on" IS DISTINCT FROM lag("on") OVER w OR row_number() OVER w = 1 THEN 1 ELSE 0 END AS new FROM d WINDOW w AS (PARTITION BY user_id ORDER BY ts, event_id)),
 r AS (SELECT *, sum(new) OVER (PARTITION BY user_id ORDER BY ts, event_id ROWS UNBOUNDED PRECEDING)::BIGINT AS run FROM b)
 SELECT user_id, run, any_value("on") AS "on", min(ts) AS start, max(ts) AS last_seen, count(*) AS n, median(cents)::DOUBLE AS median, min(cents) AS least, max(cents) AS greatest FROM r GROUP BY user_id, run""")
 def zone_segments(spark, sf_dir):
-    on = series.hysteresis(readings(spark, sf_dir), KEYS, ORDER, "day", "value", low=20.0, high=80.0)
-    out = series.runs(on, KEYS, ORDER, "day", "on")
+    e = readings(spark, sf_dir)
+    day = bucket(e)
+    on = series.hysteresis(e, KEYS, ORDER, day, "value", low=20.0, high=80.0)
+    out = series.runs(on, KEYS, ORDER, day, "on")
     return out.groupBy("user_id", "run").agg(F.first("on").alias("on"), F.min("ts").alias("start"), F.max("ts").alias("last_seen"), F.count("*").alias("n"), F.median("cents").alias("median"), F.min("cents").alias("least"), F.max("cents").alias("greatest"))
 
 
@@ -107,13 +119,14 @@ g AS (SELECT *, sum(new) OVER (PARTITION BY user_id ORDER BY ts, event_id ROWS U
 SELECT user_id, episode, min(ts) AS started, max(ts) AS ended, count(*) AS n FROM g GROUP BY user_id, episode""")
 def error_episodes(spark, sf_dir):
     errors = readings(spark, sf_dir).where("event_type = 'error'")
-    return series.episodes(errors, KEYS, "ts", ORDER, "day", max_gap=43200.0)
+    return series.episodes(errors, KEYS, "ts", ORDER, bucket(errors), max_gap=43200.0)
 
 
 @query(f"""{_E}, r AS (SELECT *, sum((event_type = 'signup')::INT) OVER (PARTITION BY user_id ORDER BY ts, event_id ROWS UNBOUNDED PRECEDING) AS era FROM e)
 SELECT event_id, user_id, sum(cents) OVER (PARTITION BY user_id, era ORDER BY ts, event_id ROWS UNBOUNDED PRECEDING)::BIGINT AS total FROM r""")
 def resettable_total(spark, sf_dir):
-    out = series.resettable_sum(readings(spark, sf_dir), KEYS, ORDER, "day", F.col("cents"), F.col("event_type") == "signup")
+    e = readings(spark, sf_dir)
+    out = series.resettable_sum(e, KEYS, ORDER, bucket(e), F.col("cents"), F.col("event_type") == "signup")
     return out.select("event_id", "user_id", "total")
 
 
@@ -122,7 +135,8 @@ SELECT event_id, user_id, (c - least(0, min(c) OVER (PARTITION BY user_id ORDER
 def clipped_decay_level(spark, sf_dir):
     error = F.col("event_type") == "error"
     gain, loss = F.when(error, F.col("cents")).otherwise(F.lit(0)), F.when(error, F.lit(0)).otherwise(F.lit(2000))
-    out = series.clipped_decay(readings(spark, sf_dir), KEYS, ORDER, "day", gain, loss)
+    e = readings(spark, sf_dir)
+    out = series.clipped_decay(e, KEYS, ORDER, bucket(e), gain, loss)
     return out.select("event_id", "user_id", "level")
 
 
@@ -130,12 +144,12 @@ def clipped_decay_level(spark, sf_dir):
 SELECT user_id, event_type, count(*) AS n, min(cents) AS least, max(cents) AS greatest, arg_min(cents, (ts, event_id)) AS first_value, arg_max(cents, (ts, event_id)) AS last_value,
        any_value(m.median) AS median, median(abs(cents - m.median))::DOUBLE AS mad FROM e JOIN m USING (user_id, event_type) GROUP BY ALL""")
 def robust_summary(spark, sf_dir):
-    return series.robust_summary(readings(spark, sf_dir), ["user_id", "event_type"], "ts", "event_id", "cents").drop("slope_per_hour")
+    return series.robust_summary(readings(spark, sf_dir), ["user_id", "event_type"], "ts", "event_id", "cents")
 
 
 @query(f"""{_E} SELECT event_type, round(regr_slope(cents, (epoch_us(ts) - epoch_us(TIMESTAMP '2024-01-01')) / 3.6e9), 4) AS slope FROM e GROUP BY event_type""")
 def signal_slope(spark, sf_dir):
-    out = series.robust_summary(readings(spark, sf_dir), ["event_type"], "ts", "event_id", "cents")
+    out = series.slopes(readings(spark, sf_dir), ["event_type"], "ts", "cents")
     return out.select("event_type", F.round("slope_per_hour", 4).alias("slope"))
 
 
@@ -143,7 +157,7 @@ def signal_slope(spark, sf_dir):
 SELECT event_id, user_id, ts, since FROM s WHERE event_type = 'purchase' AND date_diff('microsecond', since, ts) <= 21600000000""")
 def view_then_purchase(spark, sf_dir):
     e = readings(spark, sf_dir)
-    out = series.followed_by(e, KEYS, "ts", ORDER, "day", F.col("event_type") == "view", F.col("event_type") == "purchase", 21600.0)
+    out = series.followed_by(e, KEYS, "ts", ORDER, bucket(e), F.col("event_type") == "view", F.col("event_type") == "purchase", 21600.0)
     return out.select("event_id", "user_id", "ts", "since")
 
 
@@ -161,7 +175,8 @@ _MERGED = """{name} AS (
 
 @query("WITH " + _MERGED.format(name="a", hours=24, kind="view") + " SELECT * FROM a")
 def merged_intervals(spark, sf_dir):
-    return intervals.merge(_sessions(spark, sf_dir, "view", 24), KEYS)
+    views = _sessions(spark, sf_dir, "view", 24)
+    return intervals.merge(views, KEYS, cell=bucket(views))
 
 
 @query("WITH " + _MERGED.format(name="a", hours=24, kind="view") + ", " + _MERGED.format(name="h", hours=6, kind="error") + """,
@@ -171,7 +186,8 @@ q AS (SELECT p.user_id, p.t AS start, (SELECT min(x) FROM (SELECT c.e AS x FROM
       EXISTS (SELECT 1 FROM h WHERE h.user_id = p.user_id AND h.start <= p.t AND p.t < h.stop) AS covered FROM p)
 SELECT user_id, start, stop FROM q WHERE NOT covered""")
 def uncovered_intervals(spark, sf_dir):
-    return intervals.subtract(_sessions(spark, sf_dir, "view", 24), _sessions(spark, sf_dir, "error", 6), KEYS)
+    views, errors = _sessions(spark, sf_dir, "view", 24), _sessions(spark, sf_dir, "error", 6)
+    return intervals.subtract(views, errors, KEYS, cell=bucket(views.union(errors)))
 
 
 @query("""WITH a AS (SELECT user_id, ts AS s, ts + INTERVAL 24 HOUR AS e FROM events WHERE event_type = 'view'), b AS (SELECT user_id, ts AS s, ts + INTERVAL 6 HOUR AS e FROM events WHERE event_type = 'error')
@@ -183,7 +199,8 @@ def interval_overlaps(spark, sf_dir):
 @query("WITH " + _MERGED.format(name="a", hours=24, kind="view") + """, d AS (SELECT user_id, start, stop, unnest(generate_series(date_trunc('day', start)::TIMESTAMP, date_trunc('day', stop - INTERVAL 1 MICROSECOND)::TIMESTAMP, INTERVAL 1 DAY)) AS day FROM a)
 SELECT day, count(DISTINCT user_id) AS users, sum(date_diff('microsecond', greatest(start, day), least(stop, day + INTERVAL 1 DAY)))::BIGINT AS micros FROM d GROUP BY day""")
 def busy_time_by_day(spark, sf_dir):
-    days = intervals.cut_at_days(intervals.merge(_sessions(spark, sf_dir, "view", 24), KEYS))
+    views = _sessions(spark, sf_dir, "view", 24)
+    days = intervals.cut_at_days(intervals.merge(views, KEYS, cell=bucket(views)))
     length = micros(F.col("stop")) - micros(F.col("start"))
     return days.groupBy("day").agg(F.countDistinct("user_id").alias("users"), F.sum(length).alias("micros"))
 
@@ -242,13 +259,7 @@ def returned_revenue(spark, sf_dir):
 
 def _shared(spark: SparkSession, tag: str) -> str:
     """A new folder in the place that driver and executors share."""
-    return f"{spark.conf.get('spark.checkpoint.dir', None) or _own_folder()}/{tag}-{uuid.uuid4().hex}"
-
-
-@functools.lru_cache(maxsize=1)
-def _own_folder() -> str:
-    """For a session without spark.checkpoint.dir, as in a local test."""
-    return "file://" + tempfile.mkdtemp(prefix="millrace-")
+    return f"{tables.shared_folder(spark)}/{tag}-{uuid.uuid4().hex}"
 
 
 def _drain(stream_writer) -> None:
@@ -310,7 +321,7 @@ def time_in_zone(spark, sf_dir):
     e = readings(spark, sf_dir)
     zone = F.coalesce(power.band_of(F.col("value"), BANDS), F.lit("beyond"))
     here = F.struct(zone.alias("zone"), F.col("ts").alias("t"))
-    out = series.previous(e, KEYS, "day", ORDER, here, "before")
+    out = series.previous(e, KEYS, bucket(e), ORDER, here, "before")
     held = out.where("before is not null").select("user_id", F.col("before.zone").alias("zone"), (micros(F.col("ts")) - micros(F.col("before.t"))).alias("micros"))
     times = held.groupBy("user_id", "zone").agg(F.sum("micros").alias("micros"))
     counts = e.groupBy("user_id", zone.alias("zone")).agg(F.count("*").alias("n"))
@@ -334,16 +345,19 @@ def daily_asymptotes(spark, sf_dir):
     return out.select("user_id", "day", F.round(thermal.asymptote(F.col("a"), F.col("b"), F.col("c")), 2).alias("asymptote"))
 
 
-@query(f"""{_E}, g AS (SELECT user_id, unnest(generate_series(date_trunc('hour', min(ts)) + INTERVAL 6 HOUR, max(ts), INTERVAL 6 HOUR))::TIMESTAMP AS ts FROM e GROUP BY user_id)
+@query(f"""{_E}, s AS (SELECT user_id, min(ts) AS a, unnest(generate_series(date_trunc('day', min(ts))::TIMESTAMP, max(ts), INTERVAL 6 HOUR))::TIMESTAMP AS ts FROM e GROUP BY user_id),
+g AS (SELECT user_id, ts FROM s WHERE ts >= a)
 SELECT g.user_id, g.ts, e.cents FROM g ASOF JOIN e ON g.user_id = e.user_id AND g.ts >= e.ts""")
 def six_hour_grid(spark, sf_dir):
-    return summaries.resample(readings(spark, sf_dir), KEYS, "ts", "event_id", "6 hours", "cents")
+    e = readings(spark, sf_dir)
+    return summaries.resample(e, KEYS, "ts", "event_id", "6 hours", "cents", bucket(e))
 
 
 @query(f"""{_E}, p AS (SELECT user_id, cents, date_diff('microsecond', ts, lead(ts) OVER (PARTITION BY user_id ORDER BY ts, event_id)) / 1e6 AS s FROM e)
 SELECT user_id, round(sum(s), 4) AS seconds, round(sum(cents * s) / sum(s), 4) AS mean FROM p WHERE s IS NOT NULL GROUP BY user_id""")
 def time_weighted_mean(spark, sf_dir):
-    out = summaries.time_weighted_mean(readings(spark, sf_dir), KEYS, "ts", ORDER, "day", "cents")
+    e = readings(spark, sf_dir)
+    out = summaries.time_weighted_mean(e, KEYS, "ts", ORDER, bucket(e), "cents")
     return out.select("user_id", F.round("seconds", 4).alias("seconds"), F.round("mean", 4).alias("mean"))
 
 
@@ -354,7 +368,8 @@ _COVER = "WITH " + _MERGED.format(name="a", hours=24, kind="view") + ", " + _MER
 c AS (SELECT a.user_id, sum(date_diff('microsecond', greatest(a.start, h.start), least(a.stop, h.stop))) AS lost_us FROM a JOIN h ON a.user_id = h.user_id AND a.start < h.stop AND h.start < a.stop GROUP BY a.user_id)
 SELECT user_id, round(all_us / 1e6, 4) AS seconds, round(1 - coalesce(lost_us, 0) / all_us, 6) AS share FROM t LEFT JOIN c USING (user_id)""")
 def coverage_share(spark, sf_dir):
-    out = summaries.coverage(_sessions(spark, sf_dir, "view", 24), _sessions(spark, sf_dir, "error", 6), KEYS)
+    views, errors = _sessions(spark, sf_dir, "view", 24), _sessions(spark, sf_dir, "error", 6)
+    out = summaries.coverage(views, errors, KEYS, cell=bucket(views.union(errors)))
     return out.select("user_id", F.round("seconds", 4).alias("seconds"), F.round("share", 6).alias("share"))
 
 

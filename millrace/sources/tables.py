@@ -2,13 +2,27 @@
 
 from __future__ import annotations
 
-from functools import reduce
+import tempfile
+from functools import lru_cache, reduce
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 
+def shared_folder(spark: SparkSession) -> str:
+    """spark.checkpoint.dir, the folder that driver and executors share; a local session without it gets one of its own."""
+    folder = spark.conf.get("spark.checkpoint.dir", None)
+    if folder is None and not spark.sparkContext.master.startswith("local["):
+        raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
+    return folder or _own_folder()
+
+
+@lru_cache(maxsize=1)
+def _own_folder() -> str:
+    return "file://" + tempfile.mkdtemp(prefix="millrace-")
+
+
 def read_table(spark: SparkSession, path: str, schema: str | T.StructType | None = None, kind: str = "parquet", **options) -> DataFrame:
     """A table of parquet, csv or json files; csv and json need a schema, so no pass infers one."""
     if kind not in ("parquet", "csv", "json"):

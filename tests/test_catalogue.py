@@ -11,6 +11,7 @@ import numpy as np
 import pandas as pd
 import pytest
 
+from millrace.operators import running
 from millrace.plans import catalogue
 
 SF = "/root/testdata/sf0.001"
@@ -37,6 +38,25 @@ def test_same_rows_as_sql(spark, con, name):
     assert rows(got.toPandas()) == rows(want)
 
 
+SERIES = ["asof_join", "clipped_decay_level", "coverage_share", "debounced_state", "error_episodes", "forward_fill", "hysteresis_state", "merged_intervals", "resettable_total", "six_hour_grid", "time_in_zone", "time_weighted_mean", "uncovered_intervals", "view_then_purchase", "zone_segments"]
+
+
+@pytest.mark.parametrize("name", SERIES)
+def test_hot_series_are_spread_with_the_same_rows(spark, con, name, monkeypatch):
+    """As above, but every series counts as too long for one task."""
+    monkeypatch.setattr(running, "LONGEST", 0)
+    monkeypatch.setattr(running.bucket_for, "__defaults__", (0,))
+    got = catalogue.QUERIES[name](spark, SF)
+    assert rows(got.toPandas()) == rows(con.sql(catalogue.ORACLE_SQL[name]).df())
+
+
+@pytest.mark.parametrize("name, exchanges", [("debounced_state", 1), ("zone_segments", 2), ("clipped_decay_level", 1), ("resettable_total", 2), ("hysteresis_state", 1), ("uncovered_intervals", 4)])
+def test_plans_of_series_stay_linear(spark, name, exchanges):
+    """Exchanges and scans as planned, before any reuse."""
+    plan = catalogue.QUERIES[name](spark, SF)._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("Exchange ") <= exchanges and plan.count("Scan parquet") <= 2, plan
+
+
 def test_entry_point(spark):
     import __spark_entry__
 

@@ -34,6 +34,7 @@ def by_key(rows):
 
 
 ARGS = (["k"], ["ts", "id"], "day")
+WHOLE = (["k"], ["ts", "id"], None)
 
 
 def test_forward_fill(df, rows):
@@ -45,9 +46,10 @@ def test_forward_fill(df, rows):
             assert got[i] == (last[1] if last and t - last[0] <= timedelta(hours=3) else None)
 
 
-def test_hysteresis_runs_and_debounce(df, rows):
-    on = series.hysteresis(df, *ARGS, "v", 20, 70)
-    got = {r.id: r for r in series.debounce(series.runs(on, *ARGS, "on"), *ARGS, "on", 3).collect()}
+@pytest.mark.parametrize("args", [ARGS, WHOLE])
+def test_hysteresis_runs_and_debounce(df, rows, args):
+    on = series.hysteresis(df, *args, "v", 20, 70)
+    got = {r.id: r for r in series.debounce(series.runs(on, *args, "on"), *args, "on", 3).collect()}
     for own in by_key(rows).values():
         state, run, nth, before, stable = False, 0, 0, None, None
         for i, _, _, v in own:
