@@ -30,3 +30,9 @@ def unbalance_percent(a: Column, b: Column, c: Column) -> Column:
     zero = F.lit(0.0)
     _, positive, negative = symmetrical_components((a, zero), (b, zero - _TURN), (c, zero + _TURN))
     return F.when(positive > 0, 100 * negative / positive)
+
+
+def imbalance_percent(a: Column, b: Column, c: Column, least: float = 1e-6) -> Column:
+    """The greatest deviation of three magnitudes from their mean, in percent of it; null for a mean near 0."""
+    mean = (a + b + c) / 3
+    return F.when(mean > least, 100 * F.greatest(F.abs(a - mean), F.abs(b - mean), F.abs(c - mean)) / mean)

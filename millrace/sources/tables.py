@@ -62,3 +62,26 @@ def merge_snapshot(old: DataFrame, new: DataFrame, keys: list[str], version: str
 def union_all(frames: list[DataFrame]) -> DataFrame:
     """Tables one below the other by column name; a column that one lacks is null there."""
     return reduce(lambda a, b: a.unionByName(b, allowMissingColumns=True), frames)
+
+
+def _paired(old: DataFrame, new: DataFrame, keys: list[str], how: str) -> DataFrame:
+    side = lambda df, p: df.select(*[F.col(k).alias(p + k) for k in keys], F.struct(*[c for c in df.columns if c not in keys]).alias(p), F.lit(True).alias(p + "here"))
+    return side(old, "o_").join(side(new, "n_"), [F.col("o_" + k).eqNullSafe(F.col("n_" + k)) for k in keys], how)
+
+
+def fill_missing(old: DataFrame, new: DataFrame, keys: list[str]) -> DataFrame:
+    """old, with nulls filled from the new row of the same key, and the rows of new keys; one row a key on either side."""
+    both = _paired(old, new, keys, "full_outer")
+    names = [F.when(F.col("o_here"), F.col("o_" + k)).otherwise(F.col("n_" + k)).alias(k) for k in keys]
+    return both.select(*names, *[F.coalesce(F.col(f"o_.{c}"), F.col(f"n_.{c}")).alias(c) for c in old.columns if c not in keys])
+
+
+def insert_missing(old: DataFrame, new: DataFrame, keys: list[str]) -> DataFrame:
+    """old as it is, and the rows of new whose keys it lacks: values are set once."""
+    lacking = _paired(new, old, keys, "left_anti")
+    return old.unionByName(lacking.select(*[F.col("o_" + k).alias(k) for k in keys], "o_.*").select(*old.columns))
+
+
+def delete_keys(old: DataFrame, gone: DataFrame, keys: list[str]) -> DataFrame:
+    """The rows of old whose keys `gone` does not have; null is a key."""
+    return _paired(old, gone, keys, "left_anti").select(*[F.col("o_" + k).alias(k) for k in keys], "o_.*").select(*old.columns)
