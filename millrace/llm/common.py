@@ -3,8 +3,6 @@
 from __future__ import annotations
 
 import contextlib
-import functools
-import tempfile
 import uuid
 
 import numpy as np
@@ -13,6 +11,8 @@ import xxhash
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from millrace.sources.tables import shared_folder
+
 #: Words are maximal runs of anything but these six ASCII blanks.
 WORD = r"[^\x20\x09-\x0D]+"
 DOCUMENT_COLUMNS = ("doc_id", "text", "lang", "source", "n_chars")
@@ -35,19 +35,6 @@ def held_out(doc_id: Column) -> Column:
     return F.coalesce(fold(doc_id) == 0, F.lit(False))
 
 
-def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share: spark.checkpoint.dir.
-
-    Only a session without that setting (a local test) gets a folder of its own.
-    """
-    return spark.conf.get("spark.checkpoint.dir", None) or _own_folder()
-
-
-@functools.lru_cache(maxsize=1)
-def _own_folder() -> str:
-    return "file://" + tempfile.mkdtemp(prefix="millrace-")
-
-
 class Staging:
     """Intermediate tables in the shared folder.
 
@@ -61,7 +48,7 @@ class Staging:
 
     def __init__(self, spark: SparkSession, tag: str) -> None:
         self.spark = spark
-        self.base = f"{shared_dir(spark)}/{tag}-{uuid.uuid4().hex}"
+        self.base = f"{shared_folder(spark)}/{tag}-{uuid.uuid4().hex}"
         self.count = 0
         for scope in self.opened:
             scope.append(self)
@@ -70,6 +57,9 @@ class Staging:
         self.count += 1
         path = f"{self.base}/{self.count:03d}-{name}"
         df.write.parquet(path)
+        if self.count == 1:
+            base = self.spark._jvm.org.apache.hadoop.fs.Path(self.base)
+            base.getFileSystem(self.spark._jsc.hadoopConfiguration()).deleteOnExit(base)
         out = self.spark.read.schema(df.schema).parquet(path)
         out._staged_path = path
         return out

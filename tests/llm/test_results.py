@@ -185,6 +185,22 @@ def test_op3_round_trip(spark, documents):
     assert rows.sort_values(key).reset_index(drop=True).equals(again.sort_values(key).reset_index(drop=True))
 
 
+def test_same_ids_as_tokenizers_on_a_whole_table(spark):
+    import public_tokenizers
+    from tokenizers import Tokenizer
+
+    sf = "/root/testdata/sf0.01"
+    tokenizer = Tokenizer.from_file(public_tokenizers.path("byte_bpe_50k.json"))
+    tokenizer.encode_special_tokens = True
+    docs = pd.read_parquet(f"{sf}/documents.parquet")
+    want = Counter()
+    for i, e in zip(docs.doc_id, tokenizer.encode_batch([t or "" for t in docs.text], add_special_tokens=False)):
+        ids = np.append(e.ids, 1).astype("<u4")
+        want.update((i, s, zlib.crc32(ids[s : s + 2048].tobytes()), len(ids)) for s in range(0, len(ids), 2048))
+    got = queries.op3_pack_sequences(spark, sf).collect()
+    assert Counter((r.doc_id, r.start, r.ids_crc32, r.doc_tokens) for r in got) == want
+
+
 def test_same_ids_as_tokenizers(spark):
     import public_tokenizers
     from tokenizers import Tokenizer
