@@ -105,6 +105,13 @@ def is_empty(df: DataFrame) -> bool:
     return not df.limit(1).count()
 
 
+def slices(batches, rows: int = 1024):
+    """Batches in parts of so many rows: what a task makes of a part is gone before the next."""
+    for b in batches:
+        for lo in range(0, b.num_rows, rows):
+            yield b.slice(lo, rows)
+
+
 def whole_groups(batches):
     """Batches in order of their first column -> tables with all rows of each of its values that they have."""
     held: list[pa.RecordBatch] = []

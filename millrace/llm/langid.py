@@ -20,7 +20,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType, LongType, StringType, StructType
 
-from millrace.llm.common import fold, held_out
+from millrace.llm.common import fold, held_out, slices
 
 #: The sample: documents per language, and characters of labelled text per language.
 SAMPLE_DOCS, SAMPLE_CHARS = 400, 60_000
@@ -215,15 +215,17 @@ def _grids(seqs: list[np.ndarray], width: int):
 
 
 def _predict(sent, piece: int):
-    """Adds lang_pred, score and n_letters to rows whose first column is the text."""
+    """Rows (text, other columns...), or structs `row` with a text, -> the other columns or the struct, lang_pred, score, n_letters."""
 
     def run(batches):
         table = letter_table()
         langs = [r.lang for r in sent.value]
         models = [(symbols(np.frombuffer(r.letters, np.uint32)), np.frombuffer(r.steps, np.int32), r.scale) for r in sent.value]
-        for b in batches:
+        for b in slices(batches):
+            first = b.column(0)
+            carried = pa.types.is_struct(first.type)
             seqs, owner, size = [], [], np.zeros(b.num_rows, np.int64)
-            for i, t in enumerate(b.column(0)):
+            for i, t in enumerate(first.field("text") if carried else first):
                 x = squeezed(code_points(t.as_py() or ""), table)
                 size[i] = int((x != 0).sum())
                 if size[i]:
@@ -247,7 +249,8 @@ def _predict(sent, piece: int):
                 lang.append(langs[best])
                 others = np.delete(cost[i], best)
                 score[i] = 1.0 if not len(others) else 1.0 - cost[i, best] / max(others.min(), 1e-12)
-            yield pa.RecordBatch.from_arrays([*b.columns[1:], pa.array(lang, pa.string()), pa.array(np.clip(score, 0, 1)), pa.array(size)], names=[*b.schema.names[1:], "lang_pred", "score", "n_letters"])
+            kept = 0 if carried else 1
+            yield pa.RecordBatch.from_arrays([*b.columns[kept:], pa.array(lang, pa.string()), pa.array(np.clip(score, 0, 1)), pa.array(size)], names=[*b.schema.names[kept:], "lang_pred", "score", "n_letters"])
 
     return run
 
@@ -259,14 +262,18 @@ def predict(docs: DataFrame, model: list, piece: int = PIECE, carry: tuple[str,
     Null texts, and texts without a letter, are `und` with score 0; so is every
     text if no language was learned. Ties go to the language first by name.
     Repeated rows get equal results; null ids are not held out. Columns of docs
-    named in carry stand, as one struct `row`, in the place of doc_id and
+    named in carry, text among them, stand, as one struct `row`, in the place of doc_id and
     held_out; others are ignored. An empty table gives an empty one.
     """
     spark = docs.sparkSession
     sent = spark.sparkContext.broadcast(model)  # a bounded model a language
-    own = [F.struct(*carry).alias("row")] if carry else [F.col("doc_id").cast("long").alias("doc_id"), held_out(F.col("doc_id")).alias("held_out")]
-    rows = docs.select(F.col("text").cast("string").alias("text"), *own)
-    shape = StructType([*rows.schema.fields[1:], *_said.fields])
+    text = F.col("text").cast("string").alias("text")
+    if carry:
+        rows = docs.select(F.struct(*[text if c == "text" else c for c in carry]).alias("row"))
+        shape = StructType([*rows.schema.fields, *_said.fields])
+    else:
+        rows = docs.select(text, F.col("doc_id").cast("long").alias("doc_id"), held_out(F.col("doc_id")).alias("held_out"))
+        shape = StructType([*rows.schema.fields[1:], *_said.fields])
     return rows.mapInArrow(_predict(sent, piece), shape)
 
 

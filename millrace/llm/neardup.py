@@ -24,7 +24,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from millrace.llm.common import Staging, group_bounds, keyed_texts, mix64, text_of_classes, whole_groups, window_hashes, word_hashes
+from millrace.llm.common import Staging, group_bounds, keyed_texts, mix64, slices, text_of_classes, whole_groups, window_hashes, word_hashes
 from millrace.llm.components import connected_components
 
 #: 32 bands of 4: a pair at 0.8 is missed with probability (1 - 0.8**4)**32 < 1e-7.
@@ -74,7 +74,7 @@ def _sign(k: int, bands: int, rows: int):
     salt = mix64(np.arange(1, bands + 1, dtype=np.uint64))
 
     def run(batches):
-        for batch in batches:
+        for batch in slices(batches):
             ids, texts = batch.column(0), batch.column(1).cast(pa.binary())
             fps, sizes, codes, sigs = [], [], [None] * len(texts), [None] * len(texts)
             block: list[tuple[int, np.ndarray]] = []

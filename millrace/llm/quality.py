@@ -27,7 +27,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from millrace.llm.common import Staging, window_hashes, word_hashes
+from millrace.llm.common import Staging, slices, window_hashes, word_hashes
 
 ORDER = 5
 #: Stands before each text; no text has it, as runs of blanks become one space.
@@ -296,7 +296,7 @@ def _score_by(sent):
 
     def run(batches):
         model = {key: {slot: (np.frombuffer(k, np.int64), np.frombuffer(v, np.float32)) for slot, (k, v) in slots.items()} for key, slots in sent.value.items()}
-        for b in batches:
+        for b in slices(batches, 4096):
             yield pa.RecordBatch.from_arrays(_scored(b, lambda lang, half: model.get((lang, 1 - half))), names=["doc_id", "lang", *COUNTS, "log_perplexity"])
 
     return run

@@ -28,7 +28,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from millrace.llm.common import Staging, is_empty, keyed_texts, mix64, text_of_classes, window_hashes, word_hashes
+from millrace.llm.common import Staging, is_empty, keyed_texts, mix64, slices, text_of_classes, window_hashes, word_hashes
 
 
 def _levels(length: int) -> tuple[int, int]:
@@ -57,7 +57,7 @@ def _scan(length: int):
     quarter, _ = _levels(length)
 
     def run(batches):
-        for b in batches:
+        for b in slices(batches):
             fps, sizes, shas, hashes = [], [], [], []
             for t in b.column(1).cast(pa.binary()):
                 words = (t.as_py() or b"").split()
