@@ -20,12 +20,3 @@ def seconds_between(start: Column, stop: Column) -> Column:
 def overlaps(a_start: Column, a_stop: Column, b_start: Column, b_stop: Column) -> Column:
     """Do two intervals share a moment?"""
     return (a_stop.isNull() | (b_start < a_stop)) & (b_stop.isNull() | (a_start < b_stop))
-
-
-def clip_start(start: Column, low: Column) -> Column:
-    return F.greatest(start, low)
-
-
-def clip_stop(stop: Column, high: Column) -> Column:
-    """The earlier of two ends, an open one being the latest."""
-    return F.least(stop, high)

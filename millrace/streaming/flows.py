@@ -76,7 +76,8 @@ def snapshot_writer(path: str, keys: list[str], version: str):
     """For foreachBatch: merges each batch into a snapshot; each batch has a folder of its own, named by its number.
 
     A batch that is run again writes the same folder again, so the last
-    complete folder is always a whole snapshot.
+    complete folder is always a whole snapshot. Folders older than the one
+    that a batch may be run again from are deleted.
     """
 
     def write(batch: DataFrame, number: int) -> None:
@@ -86,6 +87,8 @@ def snapshot_writer(path: str, keys: list[str], version: str):
         else:
             merged = merge_snapshot(spark.read.parquet(f"{path}/{number - 1}"), batch, keys, version)
         merged.write.mode("overwrite").parquet(f"{path}/{number}")
+        old = spark._jvm.org.apache.hadoop.fs.Path(f"{path}/{number - 2}")
+        old.getFileSystem(spark._jsc.hadoopConfiguration()).delete(old, True)
 
     return write
 
