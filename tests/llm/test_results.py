@@ -318,6 +318,78 @@ def test_op4_held_out(spark):
     assert held[held.toxic == 0].predicted.mean() < 0.03
 
 
+def test_op4_by_brute_force(spark, documents):
+    """Weights and scores of every document against plain loops over words, without memory, sampling or Spark."""
+    import math
+
+    labels = pd.read_parquet(f"{SF}/labels.parquet")
+    docs = spark.read.parquet(f"{SF}/documents.parquet")
+    fitted = toxicity.fit(docs, spark.read.parquet(f"{SF}/labels.parquet"))
+    model = toxicity.Characters(*fitted["model"])
+    text = {i: t or "" for i, t in zip(documents.doc_id, documents.text)}
+
+    def evidence(t):  # feature -> in how many distinct words
+        n = Counter()
+        for word in set(toxicity.words_of(t)):
+            n.update({f for form in toxicity._forms(word, model) for f in toxicity._features(form)})
+        return n
+
+    found = {i: evidence(t) for i, t in text.items()}
+    marks = {r.doc_id: int(r.toxic) for r in labels.itertuples() if zlib.crc32(str(r.doc_id).encode()) % 5 and r.doc_id in text and not pd.isna(r.toxic)}
+    size = Counter(marks.values())
+    n: dict = {}
+    for i, y in marks.items():
+        for f, times in found[i].items():
+            for k in range(min(times, toxicity.TIMES)):
+                n.setdefault(f + k, [0, 0])[y] += 1
+    weights = {}
+    for f, (n0, n1) in n.items():
+        if n1:
+            expected = (n0 + n1) * size[1] / (size[0] + size[1])
+            g = n1 * math.log(n1 / expected) + (n0 * math.log(n0 / (n1 + n0 - expected)) if n0 else 0)
+            w = math.log((n1 + 0.5) / (size[1] + 1)) - math.log((n0 + 0.5) / (size[0] + 1)) - math.sqrt(1 / (n1 + 0.5) + 1 / (n0 + 0.5))
+            if g >= toxicity.UNLIKELY[(f & 15) // toxicity.TIMES] and w > 0:
+                weights[f] = w
+    assert set(weights) == set(fitted["weights"]) and all(abs(w - fitted["weights"][f]) < 1e-9 for f, w in weights.items()) and weights
+    got = {r.doc_id: r for r in toxicity.score(docs, fitted).collect()}
+    b0, b1, b2 = fitted["beta"]
+    for i, seen in found.items():
+        parts = [max((weights.get(f + k, 0.0) for k in range(min(times, toxicity.TIMES))), default=0.0) for f, times in seen.items()]
+        parts = [p for p in parts if p] or [0.0]
+        want = 1 / (1 + math.exp(-(b0 + b1 * max(parts) + b2 * math.log1p(max(0.0, sum(parts) - max(parts))))))
+        assert abs(got[i].score - want) < 1e-9 and got[i].predicted == (want >= 0.5)
+
+
+def test_op7_query_by_brute_force(spark, tmp_path):
+    """The table of sf0.01 with copies at all distances beside the threshold, in groups of one to sixty."""
+    table = pd.read_parquet("/root/testdata/sf0.01/embeddings.parquet")
+    rng, more = np.random.default_rng(2), []
+    for i, r in enumerate(table.head(40).itertuples()):
+        x = np.array(r.embedding, float)
+        for _ in range(60 if i % 10 == 0 else 1 + i % 5):
+            away = rng.normal(size=len(x)) * np.linalg.norm(x) / np.sqrt(len(x))
+            more.append((10**6 + len(more), (x + rng.choice([0, 0.1, 0.18, 0.2, 0.22]) * away).tolist(), r.label))
+    table = pd.concat([table[["vec_id", "embedding", "label"]], pd.DataFrame(more, columns=["vec_id", "embedding", "label"])], ignore_index=True)
+    table["embedding"] = [np.array(x, np.float64) for x in table.embedding]
+    table.to_parquet(tmp_path / "embeddings.parquet")
+    got = {r.vec_id: r for r in queries.op7_embedding_near_dedup(spark, str(tmp_path)).collect()}
+    assert len(got) == len(table)
+    links, n = [], Counter()
+    for _, part in table[table.label.notna() & table.embedding.notna()].groupby("label"):
+        ids = part.vec_id.to_numpy()
+        v = np.array([np.array(x, float) for x in part.embedding])
+        norm = np.linalg.norm(v, axis=1)
+        ok = np.isfinite(v).all(axis=1) & (norm > 0)
+        u, ids = v[ok] / norm[ok][:, None], ids[ok]
+        a, b = np.nonzero(np.triu(u @ u.T >= 0.98, 1))
+        links += list(zip(ids[a], ids[b]))
+    for a, b in links:
+        n.update((a, b))
+    want = roots(table.vec_id.tolist(), links)
+    assert len(links) > 1000 and sum(r.n_links for r in got.values()) >= 0.999 * sum(n.values()) and all(r.n_links <= n[i] for i, r in got.items())
+    assert {i: r.component_id for i, r in got.items()} == want and all(r.kept == (r.component_id == i) for i, r in got.items())
+
+
 def test_op7_by_brute_force(spark, monkeypatch):
     monkeypatch.setattr(embeddings, "CELL_BLOCK", 40)
     rng = np.random.default_rng(7)
