@@ -29,6 +29,8 @@ from millrace.llm.langid import code_points, letter_table
 SAMPLE = 4_000
 #: Features that a task counts up before it sends them on.
 SEND = 2_000_000
+#: Words, and beginnings of a kind, whose features a task remembers.
+MEMORY = 200_000
 #: Characters counted at once.
 CHUNK = 1_000_000
 #: Letters that have a symbol of their own in the character model, the most frequent ones; all others share one.
@@ -54,6 +56,7 @@ _edges = re.compile(r"^[^\w@$!|(€£¡+]+|[^\w@$|€£+]+$")
 _odd = re.compile(rf"[{_sign}{re.escape(FILLERS)}]|(.)\1")
 _meant = re.compile(rf"[^\W\d_]|[{_sign}]")
 _doubled, _tripled = re.compile(r"(.)\1"), re.compile(r"(.)\1\1")
+_MARKS = ".,;:!?\"'()-*_#$%&|"
 _plain = re.compile(r"^[\W_]+|[\W_]+$")
 
 
@@ -190,7 +193,9 @@ def _undoubled(word: str, model: Characters) -> str | None:
 
 def _forms(word: str, model: Characters) -> list[str]:
     """A lower-case word without what stands round it, and restored where it looks disguised."""
-    plain = _plain.sub("", word)
+    plain = word.strip(_MARKS)
+    if not (plain[:1].isalnum() and plain[-1:].isalnum()):
+        plain = _plain.sub("", plain)
     out = [plain] if plain else []
     if _odd.search(word) and _meant.search(word):
         core = _edges.sub("", word)
@@ -216,38 +221,65 @@ KINDS = len(BEGINNINGS) + 1
 TIMES = 3
 
 
-def _features(form: str) -> list[int]:
-    """64-bit ids of a form's features; the low 4 bits hold 3 * kind, and times - 1 is added to them later."""
-    parts = [(k, form[:n]) for k, n in enumerate(BEGINNINGS) if n <= len(form)] + [(KINDS - 1, form)]
-    return [(xxhash.xxh64_intdigest(f"{k}{p}") >> 5 << 4) + TIMES * k for k, p in parts]
+def _feature(kind: int, part: str) -> int:
+    """64-bit id of a feature; the low 4 bits hold 3 * kind, and times - 1 is added to them later."""
+    return (xxhash.xxh64_intdigest(f"{kind}{part}") >> 5 << 4) + TIMES * kind
 
 
-def _seen(words, of) -> dict[int, int]:
-    """How many of the distinct words have each feature."""
-    seen: dict[int, int] = {}
-    for w in words:
-        for f in of(w):
-            seen[f] = seen.get(f, 0) + 1
-    return seen
+def _features(form: str) -> list[int]:
+    return [_feature(k, form[:n]) for k, n in enumerate(BEGINNINGS) if n <= len(form)] + [_feature(KINDS - 1, form)]
 
 
 class _Reader:
-    """From words to features (of those wanted), with a bounded memory of words seen."""
+    """From words to features (of those wanted), with a bounded memory of words and beginnings seen."""
 
     def __init__(self, model: tuple[str, np.ndarray], wanted: set[int] | None = None) -> None:
         self.model = Characters(*model)
         self.wanted = wanted
+        self.room = MEMORY if wanted is None else 3 * MEMORY  # where features are wanted, few words have any
         self.known: dict[str, tuple] = {}
+        self.parts: list[dict[str, int | None]] = [{} for _ in BEGINNINGS]
+
+    def _of(self, form: str) -> list[int]:
+        out = []
+        for k, n in enumerate(BEGINNINGS):
+            if n > len(form):
+                break
+            part, memory = form[:n], self.parts[k]
+            f = memory.get(part, 0)
+            if f == 0:
+                f = _feature(k, part)
+                if self.wanted is not None and f not in self.wanted:
+                    f = None
+                if len(memory) > MEMORY:
+                    memory.clear()
+                memory[part] = f
+            if f is not None:
+                out.append(f)
+        f = _feature(KINDS - 1, form)
+        if self.wanted is None or f in self.wanted:
+            out.append(f)
+        return out
 
     def features(self, word: str) -> tuple[int, ...]:
         got = self.known.get(word)
         if got is None:
-            if len(self.known) > 200_000:
+            if len(self.known) > self.room:
                 self.known.clear()
-            found = {f for form in _forms(word, self.model) for f in _features(form)}
-            got = self.known[word] = tuple(found if self.wanted is None else found & self.wanted)
+            got = self.known[word] = tuple({f for form in _forms(word, self.model) for f in self._of(form)})
         return got
 
+    def seen(self, words) -> dict[int, int]:
+        """How many of the words, which differ, have each feature."""
+        known, out = self.known, {}
+        for w in words:
+            got = known.get(w)
+            if got is None:
+                got = self.features(w)
+            for f in got:
+                out[f] = out.get(f, 0) + 1
+        return out
+
 
 def _document_features(sent):
     """Labelled texts (toxic, text) -> counts (feature, toxic, n) of documents, summed by batch."""
@@ -265,7 +297,7 @@ def _document_features(sent):
 
         for b in batches:
             for y, t in zip(b.column(0).to_pylist(), b.column(1)):
-                seen = _seen(set(words_of(t.as_py() or "")), reader.features)
+                seen = reader.seen(set(words_of(t.as_py() or "")))
                 got = [f + i for f, n in seen.items() for i in range(min(n, TIMES))]
                 found[y].append(np.array(got, np.int64))
                 held += len(got)
@@ -291,7 +323,7 @@ def _evidence(sent_model, sent_weights):
         for b in batches:
             most, total = np.zeros(b.num_rows), np.zeros(b.num_rows)
             for i, t in enumerate(b.column(b.num_columns - 1)):
-                seen = _seen(set(words_of(t.as_py() or "")), reader.features)
+                seen = reader.seen(set(words_of(t.as_py() or "")))
                 got = [best[f][min(n, TIMES) - 1] for f, n in seen.items()]
                 if got:
                     most[i], total[i] = max(got), sum(got)
