@@ -78,13 +78,15 @@ def lattice_cells(units: np.ndarray, salt: np.ndarray, tables: int, probes: int,
             h = mix64(h * np.uint64(0x9E3779B97F4A7C15) + c)
         return h
 
+    loss = np.empty((n, 240 * BLOCKS), np.float32)
     for t in range(tables):
         turn = np.linalg.qr(rng.normal(size=(wide, wide)))[0][: 8 * BLOCKS] * np.sqrt(wide / 8)
         z = (x @ turn.T) * scale
         point = np.concatenate([nearest_e8(z[:, 8 * k : 8 * k + 8]) for k in range(BLOCKS)], axis=1)
-        gain = np.concatenate([(z - point)[:, 8 * k : 8 * k + 8] @ roots.T for k in range(BLOCKS)], axis=1)
+        for k in range(BLOCKS):
+            np.matmul((point - z)[:, 8 * k : 8 * k + 8].astype(np.float32), roots.T.astype(np.float32), out=loss[:, 240 * k : 240 * k + 240])
         own[:, t] = hashed(point, t)
-        steps = np.argsort(-gain, axis=1, kind="stable")[:, :probes]
+        steps = np.argpartition(loss, probes - 1, axis=1)[:, :probes]
         for p in range(probes):
             moved = point.copy()
             for k in range(BLOCKS):
