@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from millrace.functions.intervals import seconds_between
 from millrace.operators import intervals
-from millrace.operators.running import beside
+from millrace.operators.running import beside, following, running_sum
 from millrace.operators.series import asof_join, previous
 
 
@@ -61,3 +61,17 @@ def top_rows(df: DataFrame, keys: list[str], order: list[Column], k: int, name:
     """The first k rows of each group; each task passes on k rows a group at most (Spark pushes the rank below the exchange)."""
     ranked = df.withColumn(name, F.row_number().over(Window.partitionBy(*keys).orderBy(*order)))
     return ranked.where(F.col(name) <= k)
+
+
+def alarm_lifecycles(df: DataFrame, keys: list[str], time: str, order: list[str], alarm: Column, severity: Column, clear_after: int, bucket: str | None = None) -> DataFrame:
+    """Alarms by key: opened, closed (null while open), worst severity, n rows with an alarm.
+
+    An alarm is closed by clear_after rows without one in a row, as of the first of these.
+    """
+    rows = following(running_sum(df, keys, bucket, order, F.lit(1), "_i"), keys, bucket, order, F.col(time), "_miss")
+    all_ = df.groupBy(*keys).agg(F.count("*").alias("_all"))
+    on = following(beside(rows, all_, keys).where(alarm), keys, bucket, order, F.col("_i"), "_next")
+    on = on.withColumn("_ends", (F.coalesce("_next", F.col("_all") + 1) - F.col("_i") - 1 >= clear_after).cast("int"))
+    on = running_sum(on, keys, bucket, order, F.col("_ends"), "_e").withColumn("_e", F.col("_e") - F.col("_ends"))
+    out = on.groupBy(*keys, "_e").agg(F.min(time).alias("opened"), F.max(F.when(F.col("_ends") == 1, F.col("_miss"))).alias("closed"), F.max(severity).alias("worst"), F.count("*").alias("n"))
+    return out.drop("_e")

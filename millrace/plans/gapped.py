@@ -7,7 +7,8 @@ from pyspark.sql import functions as F
 from millrace.functions import phasors, power
 from millrace.functions.intervals import micros, seconds_between
 from millrace.operators import gaps, intervals, running, series, summaries
-from millrace.plans.catalogue import _E, _MERGED, KEYS, ORDER, _sessions, bucket, query, readings
+from millrace.plans.catalogue import _E, _MERGED, KEYS, ORDER, _drain, _sessions, _shared, bucket, query, readings
+from millrace.streaming import flows
 
 UNTIL = "2024-02-01"
 PAUSE = 172800.0
@@ -153,6 +154,29 @@ def zone_time_by_era(spark, sf_dir):
     return out.groupBy("user_id", "era", "zone").agg(F.coalesce(F.sum(micros(F.col("next")) - micros(F.col("ts"))), F.lit(0)).alias("micros"))
 
 
+_ALARMS = f"""{_E}, i AS (SELECT *, row_number() OVER w AS i, lead(ts) OVER w AS miss, count(*) OVER (PARTITION BY user_id) AS c FROM e WINDOW w AS (PARTITION BY user_id ORDER BY ts, event_id)),
+a AS (SELECT *, (coalesce(lead(i) OVER w, c + 1) - i - 1 >= 3)::INT AS ends FROM i WHERE value >= 80 WINDOW w AS (PARTITION BY user_id ORDER BY ts, event_id)),
+g AS (SELECT *, sum(ends) OVER (PARTITION BY user_id ORDER BY ts, event_id ROWS UNBOUNDED PRECEDING) - ends AS ep FROM a),
+r AS (SELECT user_id, min(ts) AS opened, max(CASE WHEN ends = 1 THEN miss END) AS closed, max(value) AS worst, count(*) AS n FROM g GROUP BY user_id, ep)"""
+
+
+@query(_ALARMS + """ SELECT user_id, opened, closed, worst, n FROM r""")
+def alarm_lifecycles(spark, sf_dir):
+    """Alarms from a reading of 80 or more until three in a row are below."""
+    e = readings(spark, sf_dir)
+    return summaries.alarm_lifecycles(e, KEYS, "ts", ORDER, F.col("value") >= 80, F.col("value"), 3, bucket(e))
+
+
+@query(_ALARMS + """ SELECT user_id, opened, closed, worst, n FROM r WHERE closed IS NOT NULL""")
+def streamed_alarms(spark, sf_dir):
+    """The same from the stream, as they close; its files are one batch, so that a device's readings are in order of time."""
+    home = _shared(spark, "alarms")
+    out = flows.closed_alarms(flows.read_readings(spark, f"{sf_dir}/events.parquet*", None), 80.0, 3)
+    _drain(out.writeStream.outputMode("append").format("parquet").option("path", f"{home}/rows").option("checkpointLocation", f"{home}/log"))
+    rows = spark.read.schema(flows.ALARMS).parquet(f"{home}/rows")
+    return rows.select("user_id", *[F.col(c).cast("timestamp_ntz").alias(c) for c in ("opened", "closed")], "worst", "n")
+
+
 _HOURS = """WITH h AS (SELECT date_trunc('hour', ts)::TIMESTAMP AS hour, date_trunc('day', ts)::TIMESTAMP AS day, sum(CASE event_type WHEN 'view' THEN round(value * 100) END) / 100 AS a, sum(CASE event_type WHEN 'click' THEN round(value * 100) END) / 100 AS b, sum(CASE event_type WHEN 'error' THEN round(value * 100) END) / 100 AS c FROM events GROUP BY 1, 2),
 q AS (SELECT *, (a + b + c) / 3 AS mean FROM h WHERE a IS NOT NULL AND b IS NOT NULL AND c IS NOT NULL)"""
 

@@ -100,3 +100,35 @@ def last_snapshot(spark: SparkSession, path: str) -> str | None:
     names = [f.getPath().getName() for f in fs.listStatus(home)] if fs.exists(home) else []
     done = [int(n) for n in names if n.isdigit() and fs.exists(spark._jvm.org.apache.hadoop.fs.Path(f"{path}/{n}/_SUCCESS"))]
     return f"{path}/{max(done)}" if done else None
+
+
+ALARMS = "user_id long, opened timestamp, closed timestamp, worst double, n long"
+_ALARM = "opened timestamp, worst double, n long, missed int, first_miss timestamp"
+
+
+def _alarms(level: float, clear_after: int):
+    def run(key: tuple, batches: Iterator[pd.DataFrame], state) -> Iterator[pd.DataFrame]:
+        opened, worst, n, missed, first_miss = state.get if state.exists else (None, 0.0, 0, 0, None)
+        closed = []
+        rows = pd.concat(list(batches)).sort_values(["ts", "event_id"])
+        for ts, value in zip(rows.ts, rows.value):
+            if not pd.isna(value) and value >= level:
+                opened, worst, n, missed, first_miss = opened or ts, max(worst, value), n + 1, 0, None
+            elif n:
+                missed, first_miss = missed + 1, first_miss or ts
+                if missed == clear_after:
+                    closed.append((key[0], opened, first_miss, worst, n))
+                    opened, worst, n, missed, first_miss = None, 0.0, 0, 0, None
+        state.update((opened, worst, n, missed, first_miss))
+        if closed:
+            yield pd.DataFrame(closed, columns=["user_id", "opened", "closed", "worst", "n"])
+
+    return run
+
+
+def closed_alarms(stream: DataFrame, level: float, clear_after: int) -> DataFrame:
+    """Alarms by device: open from a reading at level or above, closed by clear_after readings below it in a row, as of the first of these.
+
+    Sent out when they close; readings as in closed_segments().
+    """
+    return stream.groupBy("user_id").applyInPandasWithState(_alarms(level, clear_after), ALARMS, _ALARM, "append", "NoTimeout")

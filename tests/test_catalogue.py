@@ -38,7 +38,7 @@ def test_same_rows_as_sql(spark, con, name):
     assert rows(got.toPandas()) == rows(want)
 
 
-SERIES = ["asof_join", "clipped_decay_level", "coverage_share", "debounced_state", "error_episodes", "forward_fill", "hysteresis_state", "merged_intervals", "resettable_total", "six_hour_grid", "time_in_zone", "time_weighted_mean", "uncovered_intervals", "view_then_purchase", "zone_segments"]
+SERIES = ["alarm_lifecycles", "asof_join", "broken_pairs", "confirmed_levels", "cut_at_errors", "deadband_levels", "high_intervals", "readings_outside_gaps", "zone_time_by_era", "clipped_decay_level", "coverage_share", "debounced_state", "error_episodes", "forward_fill", "hysteresis_state", "merged_intervals", "resettable_total", "six_hour_grid", "time_in_zone", "time_weighted_mean", "uncovered_intervals", "view_then_purchase", "zone_segments"]
 
 
 @pytest.mark.parametrize("name", SERIES)
