@@ -13,7 +13,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from millrace.llm.common import Staging, n_words
+from millrace.llm.common import WORD, Staging, n_words
 
 #: Key ranges per source.
 RANGES = 4096
@@ -116,21 +116,19 @@ def mixed_rows(docs: DataFrame, quality: DataFrame | None = None, **options) ->
     Rows with the same id, text and source are one document, whose takings are
     summed up: nulls and ids that repeat with other texts make no difference.
     Null and blank texts are not in the mix. docs may have other columns of any
-    name;
+    name; the repeated row with the least of them stands for all.
     """
     same = ["id", "text_key", "name"]
     keys = lambda at: [F.coalesce(F.col(at + "doc_id").cast("long").cast("string"), F.lit("null")).alias("id"), F.coalesce(F.concat(F.lit("s"), F.col(at + "source").cast("string")), F.lit("null")).alias("name")]
     plan = mix_sources(docs, quality, **options).where("taken > 0").select(*keys(""), "text_key", "size", "taken")
-    plan = plan.groupBy(*same).agg(F.max("size").alias("size"), F.sum("taken").alias("taken"), F.count("*").alias("rows"))
-    row = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("d"))
+    plan = plan.groupBy(*same).agg(F.max("size").alias("size"), F.sum("taken").alias("taken"))
+    row = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("d")).where(F.col("d.text").cast("string").rlike(WORD))
     row = row.select("d", *keys("d."), F.xxhash64(F.col("d.text").cast("string")).alias("text_key"))
-    out = row.join(plan, same)
-    # where plan has one row for several of docs, the n-th of them takes its part
-    nth = F.row_number().over(Window.partitionBy(*same).orderBy(*[F.col(f"d.`{c}`") for c in docs.columns if c != "text" and docs.schema[c].dataType.simpleString() in _ORDERED]))
-    full, rest = F.floor(F.col("taken") / F.col("size")), F.col("taken") % F.col("size")
-    own = F.floor(full / F.col("rows")) + F.when(nth <= full % F.col("rows"), 1).otherwise(0)
-    out = out.select("d", own.cast("int").alias("own"), F.when(nth == 1, rest).otherwise(0).alias("rest"))
-    copies = F.concat(F.array_repeat(F.lit(-1).cast("long"), F.col("own")), F.when(F.col("rest") > 0, F.array("rest")).otherwise(F.array().cast("array<long>")))
+    # repeated rows come down to one before the exchange
+    least = F.struct(*[F.col(f"d.`{c}`") for c in docs.columns if c != "text" and docs.schema[c].dataType.simpleString() in _ORDERED])
+    out = row.groupBy(*same).agg(F.min_by("d", least).alias("d")).join(plan, same)
+    full, rest = F.floor(F.col("taken") / F.col("size")).cast("int"), F.col("taken") % F.col("size")
+    copies = F.concat(F.array_repeat(F.lit(-1).cast("long"), full), F.when(rest > 0, F.array(rest)).otherwise(F.array().cast("array<long>")))
     out = out.select("d", F.explode(copies).alias("cut"))
     text = F.when(F.col("cut") < 0, F.col("d.text")).otherwise(first_words(F.col("d.text"), F.col("cut")))
     return out.select(*[text.alias("text") if c == "text" else F.col(f"d.`{c}`") for c in docs.columns])
