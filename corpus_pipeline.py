@@ -17,10 +17,10 @@ left out whatever their names, and an empty table gives an empty one.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from millrace.llm.common import DOCUMENT_COLUMNS, Staging, staged_here, table
+from millrace.llm.common import DOCUMENT_COLUMNS, WORD, Staging, staged_here, table
 from millrace.llm.langid import identify
 from millrace.llm.mixing import mixed_rows
 from millrace.llm.neardup import near_duplicate_groups
@@ -57,14 +57,14 @@ def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     equal in id and text, that with the least other columns stays. Rows without
     words are in no group and stay.
     """
-    rows = near_duplicate_groups(docs)
+    rows = near_duplicate_groups(docs).where("root is not null")
     place = F.struct(F.col("doc_id").isNull().alias("no_id"), "doc_id", "key")
-    first = rows.where("root is not null").groupBy("root").agg(F.min(place).alias("p")).select(_id(F.col("p.doc_id")).alias("id"), F.col("p.key").alias("key"), F.lit(True).alias("one"))
-    wordless = rows.where("root is null").select(_id(F.col("doc_id")).alias("id"), "key", F.lit(False).alias("one")).distinct()
-    left = _keyed(docs).join(first.union(wordless), ["id", "key"])
-    # dealt by id and text already
-    nth = F.row_number().over(Window.partitionBy("id", "key").orderBy(*[F.col(f"d.{c}") for c in DOCUMENT_COLUMNS if c != "text"]))
-    return left.withColumn("nth", nth).where("not one or nth = 1").select("d.*")
+    first = rows.groupBy("root").agg(F.min(place).alias("p")).select(_id(F.col("p.doc_id")).alias("id"), F.col("p.key").alias("key"))
+    worded = F.coalesce(F.col("text").cast("string").rlike(WORD), F.lit(False))
+    # repeated rows come down to one before the exchange, which then serves the join too
+    rest = F.struct(*[F.col(f"d.{c}") for c in DOCUMENT_COLUMNS if c != "text"])
+    one = _keyed(docs.where(worded)).groupBy("id", "key").agg(F.min_by("d", rest).alias("d"))
+    return one.join(first, ["id", "key"]).select("d.*").unionByName(docs.where(~worded).select(*DOCUMENT_COLUMNS))
 
 
 def substring_dedup_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
