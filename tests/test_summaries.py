@@ -22,7 +22,9 @@ def df(spark):
 
 def test_resample(df):
     got = sorted((r.k, r.ts, r.v) for r in summaries.resample(df, ["k"], "ts", "id", "1 hour", "v").collect())
-    assert got == [("a", at(h), v) for h, v in ((1, 10.0), (2, 10.0), (3, 10.0), (4, 30.0), (5, 30.0), (6, None))]
+    assert got == [("a", at(h), v) for h, v in ((1, 10.0), (2, 10.0), (3, 10.0), (4, 30.0), (5, 30.0), (6, None))] + [("b", at(1), 7.0)]  # a reading on a grid point is its first
+    six = summaries.resample(df, ["k"], "ts", "id", "6 hours", "v", None).collect()
+    assert [(r.k, r.ts, r.v) for r in six] == [("a", at(6), None)]  # whole steps of the day, not of the first reading
 
 
 def test_time_weighted_mean(df):
