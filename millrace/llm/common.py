@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import contextlib
+import ctypes
 import uuid
 
 import numpy as np
@@ -112,6 +113,20 @@ def slices(batches, rows: int = 1024):
             yield b.slice(lo, rows)
 
 
+def trimmed(run):
+    """run(batches), after which a worker that waits for its next task gives freed memory back to the system."""
+
+    def out(batches):
+        yield from run(batches)
+        pa.default_memory_pool().release_unused()
+        try:
+            ctypes.CDLL(None).malloc_trim(0)
+        except (AttributeError, OSError):  # another C library
+            pass
+
+    return out
+
+
 def whole_groups(batches):
     """Batches in order of their first column -> tables with all rows of each of its values that they have."""
     held: list[pa.RecordBatch] = []

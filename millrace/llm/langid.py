@@ -20,7 +20,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType, LongType, StringType, StructType
 
-from millrace.llm.common import fold, held_out, slices
+from millrace.llm.common import fold, held_out, slices, trimmed
 
 #: The sample: documents per language, and characters of labelled text per language.
 SAMPLE_DOCS, SAMPLE_CHARS = 400, 60_000
@@ -274,7 +274,7 @@ def predict(docs: DataFrame, model: list, piece: int = PIECE, carry: tuple[str,
     else:
         rows = docs.select(text, F.col("doc_id").cast("long").alias("doc_id"), held_out(F.col("doc_id")).alias("held_out"))
         shape = StructType([*rows.schema.fields[1:], *_said.fields])
-    return rows.mapInArrow(_predict(sent, piece), shape)
+    return rows.mapInArrow(trimmed(_predict(sent, piece)), shape)
 
 
 def identify(docs: DataFrame, carry: tuple[str, ...] = (), **options) -> DataFrame:

@@ -24,7 +24,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from millrace.llm.common import Staging, group_bounds, keyed_texts, mix64, slices, text_of_classes, whole_groups, window_hashes, word_hashes
+from millrace.llm.common import Staging, group_bounds, keyed_texts, mix64, slices, text_of_classes, trimmed, whole_groups, window_hashes, word_hashes
 from millrace.llm.components import connected_components
 
 #: 32 bands of 4: a pair at 0.8 is missed with probability (1 - 0.8**4)**32 < 1e-7.
@@ -265,7 +265,7 @@ def near_duplicate_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str
     num, den = similarity
     st = Staging(spark, "neardup")
     docs = keyed_texts(docs, id_col, text_col)
-    signed = st.put(docs.mapInArrow(_sign(shingle, bands, rows), "doc_id long, key long, fp binary, n_shingles long, codes array<long>, sig binary"), "signed")
+    signed = st.put(docs.mapInArrow(trimmed(_sign(shingle, bands, rows)), "doc_id long, key long, fp binary, n_shingles long, codes array<long>, sig binary"), "signed")
     thin = signed.select("doc_id", "key", "fp", "n_shingles")
 
     codes = signed.where("n_shingles > 0").groupBy("fp").agg(*(F.first(c).alias(c) for c in ("codes", "n_shingles", "sig")))
@@ -279,15 +279,15 @@ def near_duplicate_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str
     members = members.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
     place = F.xxhash64("bucket", F.least("own", "other"), F.greatest("own", "other")).alias("place")
     members = members.select("fp", place).join(classes.select("fp", "n", "sig"), "fp").select("place", "fp", "n", "sig")
-    forest = members.repartition("place").sortWithinPartitions("place", "fp").mapInArrow(_forests(num, den), "a binary, b binary")
+    forest = members.repartition("place").sortWithinPartitions("place", "fp").mapInArrow(trimmed(_forests(num, den)), "a binary, b binary")
     forest = st.put(forest.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct(), "forest")
 
     linked = forest.select(F.col("a").alias("fp")).union(forest.select("b")).distinct()
     texts = text_of_classes(docs, signed.select("fp", "doc_id", "key").join(linked, "fp", "left_semi"))
-    texts = st.put(texts.mapInArrow(_matching_text(shingle), "fp binary, text string").dropDuplicates(["fp"]), "texts")
+    texts = st.put(texts.mapInArrow(trimmed(_matching_text(shingle)), "fp binary, text string").dropDuplicates(["fp"]), "texts")
     one, other = texts.toDF("a", "text_a"), texts.toDF("b", "text_b")
     pairs = forest.join(other, "b").join(one, "a").select("a", "b", "text_a", "text_b")
-    links = st.put(pairs.mapInArrow(_confirm(shingle, num, den), "a binary, b binary"), "links")
+    links = st.put(pairs.mapInArrow(trimmed(_confirm(shingle, num, den)), "a binary, b binary"), "links")
     roots = connected_components(links, st)
 
     # groups that forests join, where more than one component is left after that

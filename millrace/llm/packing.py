@@ -17,7 +17,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from millrace.llm.common import Staging
+from millrace.llm.common import Staging, trimmed
 
 WINDOW = 2048
 #: Pieces that one packing task holds (a few MB).
@@ -153,7 +153,7 @@ def pack_documents(docs: DataFrame, window: int = WINDOW, end_id: int = 1, files
     files = files or tokenizer_files()
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     shape = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long"
-    pieces = st.put(docs.mapInArrow(_pieces(files, window, end_id, False), shape), "pieces")
+    pieces = st.put(docs.mapInArrow(trimmed(_pieces(files, window, end_id, False)), shape), "pieces")
     groups = max(1, -(-pieces.count() // group))
     dealt = _numbered(pieces).withColumn("group", F.pmod(F.xxhash64("doc_id", "start", "length", "ids_crc32", "copy"), F.lit(groups))).drop("copy")
     return dealt.groupBy("group").applyInArrow(_pack(window), f"{shape}, sequence_id long, offset long")
@@ -168,7 +168,7 @@ def packed_sequences(docs: DataFrame, window: int = WINDOW, end_id: int = 1, pad
     packed = pack_documents(docs, window, end_id, files, group)
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     shape = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, ids array<int>"
-    tokens = docs.mapInArrow(_pieces(files, window, end_id, True), shape).select("doc_id", "start", "ids")
+    tokens = docs.mapInArrow(trimmed(_pieces(files, window, end_id, True)), shape).select("doc_id", "start", "ids")
     rows = packed.select("doc_id", "start", "length", "sequence_id", "offset").join(tokens, ["doc_id", "start"])
     parts = rows.groupBy("sequence_id").agg(F.array_sort(F.collect_list(F.struct("offset", "doc_id", "length", "ids"))).alias("p"))
     ids = F.flatten("p.ids")

@@ -27,7 +27,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from millrace.llm.common import Staging, slices, window_hashes, word_hashes
+from millrace.llm.common import Staging, slices, trimmed, window_hashes, word_hashes
 
 ORDER = 5
 #: Stands before each text; no text has it, as runs of blanks become one space.
@@ -347,7 +347,7 @@ def _score_batch(docs: pa.Table, answers: pa.Table) -> pa.Table:
 
 def scored_texts(docs: DataFrame, staging: Staging, send_bytes: int = SEND_BYTES, batch_bytes: int = BATCH) -> DataFrame:
     """Staged columns SCORED of all rows of docs(doc_id, lang, half, text)."""
-    counted = counted_grams(docs.select("lang", "half", "text").mapInArrow(_count, "lang string, half int, gram string, n long"), staging)
+    counted = counted_grams(docs.select("lang", "half", "text").mapInArrow(trimmed(_count), "lang string, half int, gram string, n long"), staging)
     entries = model_entries(counted).mapInArrow(_hashed, "lang string, half int, slot int, key long, value double")
     n = 2 * counted.count()  # contexts are no more than n-grams
     if n * ENTRY_BYTES <= send_bytes:
@@ -356,7 +356,7 @@ def scored_texts(docs: DataFrame, staging: Staging, send_bytes: int = SEND_BYTES
             parts.setdefault((r.lang, r.half), {}).setdefault(r.slot, []).append((r.keys, r.vals))
         model = {key: {slot: tuple(b"".join(c) for c in zip(*rows)) for slot, rows in slots.items()} for key, slots in parts.items()}
         sent = docs.sparkSession.sparkContext.broadcast(model)  # send_bytes at most
-        return staging.put(docs.mapInArrow(_score_by(sent), SCORED), "scored")
+        return staging.put(docs.mapInArrow(trimmed(_score_by(sent)), SCORED), "scored")
     entries = staging.put(entries, "entries")
     dealt = staging.put(docs.mapInArrow(_dealt(batch_bytes), "doc_id long, lang string, half int, text string, batch long"), "batches")
     asked = dealt.mapInArrow(_asked, "batch long, lang string, half int, slot int, key long").distinct()

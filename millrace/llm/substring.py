@@ -28,7 +28,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from millrace.llm.common import Staging, is_empty, keyed_texts, mix64, slices, text_of_classes, window_hashes, word_hashes
+from millrace.llm.common import Staging, is_empty, keyed_texts, mix64, slices, text_of_classes, trimmed, window_hashes, word_hashes
 
 
 def _levels(length: int) -> tuple[int, int]:
@@ -210,7 +210,7 @@ def substring_dedup(docs: DataFrame, length: int = 35, id_col: str = "doc_id", t
     st = Staging(spark, "substring")
     docs = keyed_texts(docs, id_col, text_col)
     empty = F.lit(hashlib.sha256(b"").hexdigest())
-    scanned = st.put(docs.mapInArrow(_scan(length), "doc_id long, key long, fp binary, n_words long, sha256 string, anchors array<long>"), "scanned")
+    scanned = st.put(docs.mapInArrow(trimmed(_scan(length)), "doc_id long, key long, fp binary, n_words long, sha256 string, anchors array<long>"), "scanned")
     classes = scanned.where(F.col("n_words") >= length).groupBy("fp").agg(F.count("*").alias("copies"), F.first("anchors").alias("anchors"))
     classes = st.put(classes, "classes")
 
@@ -220,22 +220,22 @@ def substring_dedup(docs: DataFrame, length: int = 35, id_col: str = "doc_id", t
     if not is_empty(known):
         # one text of each class that has candidates
         texts = text_of_classes(docs, scanned.join(known.select("fp"), "fp", "left_semi"))
-        texts = texts.mapInArrow(_same_words, "fp binary, text string").dropDuplicates(["fp"])
+        texts = texts.mapInArrow(trimmed(_same_words), "fp binary, text string").dropDuplicates(["fp"])
         texts = st.put(texts.join(known, "fp").select("fp", "text", "known"), "texts")
         st.drop(known)
         staged = texts
         # level 2: halves that repeat
-        halves = texts.mapInArrow(_halves(length), "fp binary, halves array<long>")
+        halves = texts.mapInArrow(trimmed(_halves(length)), "fp binary, halves array<long>")
         known = _survivors(st, halves.select("fp", F.explode("halves").alias("h")))
         if not is_empty(known):
             # the last level: whole windows that repeat; only texts that lose some, but not all, are cut
             once = classes.where("copies = 1").select("fp")
             texts = texts.select("fp", "text")
-            rows = texts.join(known, "fp").mapInArrow(_wholes(length), "fp binary, whole_1 long, whole_2 long, place int, sure boolean")
+            rows = texts.join(known, "fp").mapInArrow(trimmed(_wholes(length)), "fp binary, whole_1 long, whole_2 long, place int, sure boolean")
             rows = rows.repartition(F.col("whole_1")).sortWithinPartitions("whole_1", "whole_2")
-            hits = rows.mapInArrow(_repeated, "fp binary, place int").groupBy("fp").agg(F.collect_list("place").alias("places"))
+            hits = rows.mapInArrow(trimmed(_repeated), "fp binary, place int").groupBy("fp").agg(F.collect_list("place").alias("places"))
             hits = texts.join(hits.join(once, "fp", "left_semi"), "fp").select("fp", "text", "places")
-            cut = st.put(hits.mapInArrow(_cut(length), "fp binary, n_removed long, kept_sha256 string, kept_text string"), "cut")
+            cut = st.put(hits.mapInArrow(trimmed(_cut(length)), "fp binary, n_removed long, kept_sha256 string, kept_text string"), "cut")
             st.drop(staged, known)
 
     out = scanned.select("doc_id", "key", "fp", "n_words", "sha256").join(classes.where("copies > 1").select("fp", F.lit(True).alias("copied")), "fp", "left")
