@@ -1,4 +1,4 @@
-"""The registered queries of the ten operators and SQL for the same rows."""
+"""The registered queries of the operators and SQL for the same rows."""
 
 from __future__ import annotations
 
@@ -6,13 +6,16 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from millrace.llm import licenses
-from millrace.llm.common import table
+from millrace.llm.common import WORD, table
+from millrace.llm.credentials import KINDS, scan_secrets
 from millrace.llm.embeddings import near_duplicate_vectors
+from millrace.llm.fim import fill_in_middle, restored
 from millrace.llm.langid import identify
 from millrace.llm.mixing import mix_sources
 from millrace.llm.neardup import near_duplicates
 from millrace.llm.packing import pack_documents
 from millrace.llm.quality import quality_rules
+from millrace.llm.runs import find_runs
 from millrace.llm.substring import substring_dedup
 from millrace.llm.toxicity import fit as fit_toxicity
 from millrace.llm.toxicity import score as score_toxicity
@@ -98,6 +101,42 @@ def op10_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return licenses.scan_licenses(docs.select("doc_id", path.alias("path"), "text")).select("doc_id", "path", "own_license", "cosine", "license", "inherited_from")
 
 
+def op11_fill_in_middle(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = fill_in_middle(table(spark, sf_dir, "documents"), seed=7, rate=100, spm=50)
+    digests = [F.sha2(F.col("output").cast("binary"), 256).alias("output_sha256"), F.sha2(restored(F.col("output"), F.col("form")).cast("binary"), 256).alias("restored_sha256")]
+    return out.select("doc_id", "n", "form", "prefix_chars", "middle_chars", *digests)
+
+
+def op12_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = scan_secrets(table(spark, sf_dir, "documents"))
+    joined = lambda spans: F.array_join(F.transform(spans, lambda s: F.concat_ws(":", s.kind, s.start, s.stop)), ",")
+    of = lambda kind: F.filter("spans", lambda s: s.kind == kind)
+    base = F.filter("spans", lambda s: s.kind != KINDS[-1])
+    return found.select("doc_id", *[F.size(of(k)).cast("long").alias(f"n_{k}") for k in KINDS[:-1]], F.sha2(joined(base).cast("binary"), 256).alias("base_sha256"), joined(F.col("spans")).alias("spans"))
+
+
+def with_periods(docs: DataFrame) -> DataFrame:
+    """doc_id, text; one text in ten, picked by a hash of the id, is given a period from some word on."""
+    h = F.crc32(F.col("doc_id").cast("long").cast("string").cast("binary"))
+    words = F.when(F.col("h") % 10 == 0, F.regexp_extract_all("text", F.lit(WORD), F.lit(0)))
+    docs = docs.select("doc_id", "text", h.alias("h")).withColumn("g", F.floor(F.col("h") / 10)).withColumn("w", words).withColumn("n", F.size("w"))
+    docs = docs.withColumn("a", F.when(F.col("n") > 0, (F.col("g") % F.col("n")).cast("int")))
+    p = F.lit(1) + F.floor((F.col("n") - F.col("a")) / (3 + F.col("g") % 8)).cast("int")
+    left = F.col("n") - F.col("a")
+    again = F.slice(F.flatten(F.array_repeat(F.slice("w", F.col("a") + 1, p), F.ceil(left / p).cast("int"))), F.lit(1), left)
+    return docs.select("doc_id", F.when(F.col("n") > 0, F.array_join(F.concat(F.slice("w", F.lit(1), F.col("a")), again), " ")).otherwise(F.col("text")).alias("text"))
+
+
+def op13_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = find_runs(with_periods(table(spark, sf_dir, "documents")), shortest=12)
+    best = F.array_max(F.transform("runs", lambda r: F.struct(r.length.alias("length"), (-r.start).alias("start"), (-r.period).alias("period"))))
+    lines = F.array_join(F.transform("runs", lambda r: F.concat_ws(",", r.start, r.length, F.concat(r.period.cast("string"), F.lit("\n")))), "")
+    found = found.withColumn("best", best)
+    sha = lambda c: F.sha2(c.cast("binary"), 256)
+    places = [(-F.col("best.start")).alias("start"), F.col("best.length").alias("length"), (-F.col("best.period")).alias("period")]
+    return found.select("doc_id", F.size("runs").cast("long").alias("n_runs"), *places, F.floor(1000 * F.col("best.length") / -F.col("best.period")).alias("exponent_milli"), sha(lines).alias("runs_sha256"), sha(F.col("kept_text")).alias("collapsed_sha256"))
+
+
 QUERIES = {
     "op1_mix_sources": op1_mix_sources,
     "op2_substring_dedup": op2_substring_dedup,
@@ -109,6 +148,9 @@ QUERIES = {
     "op8_language_id": op8_language_id,
     "op9_quality_rules": op9_quality_rules,
     "op10_license_scan": op10_license_scan,
+    "op11_fill_in_middle": op11_fill_in_middle,
+    "op12_secret_scan": op12_secret_scan,
+    "op13_periodic_runs": op13_periodic_runs,
 }
 
 OP1_SQL = r"""
@@ -218,4 +260,20 @@ _forms = ", ".join(f"({i}, {_quoted(a)}, {_quoted(b)})" for i, (a, b) in enumera
 for _name, _text in (("term", licenses.TERM), ("no_text", licenses.NO_TEXT), ("comment", licenses.COMMENT), ("licence_file", licenses.LICENCE_FILE), ("forms", _forms)):
     OP10_SQL = OP10_SQL.replace("{" + _name + "}", _text)
 
-ORACLE_SQL = {"op1_mix_sources": OP1_SQL, "op6_url_filter": OP6_SQL, "op10_license_scan": OP10_SQL}
+OP11_SQL = r"""
+WITH d AS (SELECT doc_id, coalesce(text, '') AS t, string_split(coalesce(text, ''), chr(10)) AS parts, sha256('7:' || coalesce(doc_id::VARCHAR, '')) AS hex FROM documents),
+h AS (
+  SELECT *, len(parts) - (parts[-1] = '')::BIGINT AS n, [('0x' || substr(hex, 8 * i + 1, 8))::BIGINT FOR i IN range(4)] AS h,
+         t = '' OR contains(t, '<P>') OR contains(t, '<S>') OR contains(t, '<M>') AS stays FROM d),
+c AS (SELECT *, least(h[1] % (n + 1), h[2] % (n + 1)) AS a, greatest(h[1] % (n + 1), h[2] % (n + 1)) AS b, CASE WHEN stays OR h[3] % 100 >= 100 THEN 'plain' WHEN h[4] % 100 < 50 THEN 'spm' ELSE 'psm' END AS form FROM h),
+e AS (
+  SELECT *, CASE WHEN a = 0 THEN '' WHEN a = n THEN t ELSE array_to_string(parts[:a], chr(10)) || chr(10) END AS prefix,
+         CASE WHEN b = 0 THEN '' WHEN b = n THEN t ELSE array_to_string(parts[:b], chr(10)) || chr(10) END AS before FROM c),
+f AS (SELECT *, substr(before, length(prefix) + 1) AS middle, substr(t, length(before) + 1) AS suffix FROM e)
+SELECT doc_id, n::BIGINT AS n, form, CASE WHEN form <> 'plain' THEN length(prefix) END::BIGINT AS prefix_chars, CASE WHEN form <> 'plain' THEN length(middle) END::BIGINT AS middle_chars,
+       sha256(CASE form WHEN 'plain' THEN t WHEN 'psm' THEN '<P>' || prefix || '<S>' || suffix || '<M>' || middle ELSE '<S>' || suffix || '<P>' || prefix || '<M>' || middle END) AS output_sha256,
+       sha256(t) AS restored_sha256
+FROM f
+"""
+
+ORACLE_SQL = {"op1_mix_sources": OP1_SQL, "op6_url_filter": OP6_SQL, "op10_license_scan": OP10_SQL, "op11_fill_in_middle": OP11_SQL}
