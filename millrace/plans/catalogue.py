@@ -33,8 +33,6 @@ def bucket(df: DataFrame) -> str | None:
     return running.bucket_for(df, KEYS, "day")
 
 
-
-
 def query(sql: str):
     def add(f):
         QUERIES[f.__name__], ORACLE_SQL[f.__name__] = f, sql
