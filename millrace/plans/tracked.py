@@ -4,8 +4,10 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from millrace.operators import bands
-from millrace.plans.catalogue import KEYS, ORDER, query, readings
+from millrace.operators import bands, episodes
+from millrace.plans.catalogue import KEYS, ORDER, _drain, _shared, query, readings, table
+from millrace.sources import arrivals
+from millrace.streaming import flows, lifecycles
 
 #: Quarters of the scale; five below a band's lower edge still belong to it; two readings in a row confirm.
 TRACKER = bands.BandTracker((25.0, 50.0, 75.0), margin=5.0, n=2)
@@ -29,3 +31,69 @@ def tracked_bands(spark, sf_dir):
 def band_segments(spark, sf_dir):
     e = readings(spark, sf_dir).where("value is not null")
     return bands.band_segments(e, KEYS, "ts", ORDER, "day", "value", TRACKER)
+
+
+#: 60 or more raises an alarm, two readings below it end it, as do five days of silence; two days apart still cover.
+RULES = lifecycles.EpisodeRules(level=60.0, clear_after=2, silent=5 * 86400.0, pause=2 * 86400.0)
+
+_PIECES = """WITH w AS (SELECT date_trunc('millisecond', max(ts))::TIMESTAMP - INTERVAL 2 DAY AS w FROM events),
+r AS (SELECT user_id, event_type, event_id, ts, value, value >= 60 AS hit, lag(ts) OVER o AS p, row_number() OVER o AS i FROM events, w WHERE value IS NOT NULL AND ts < w WINDOW o AS (PARTITION BY user_id, event_type ORDER BY ts, event_id)),
+e AS (SELECT *, sum(CASE WHEN p IS NULL OR ts - p > INTERVAL 5 DAY THEN 1 ELSE 0 END) OVER (PARTITION BY user_id, event_type ORDER BY i) AS era FROM r),
+m AS (SELECT *, i - last_value(CASE WHEN hit THEN i END IGNORE NULLS) OVER (PARTITION BY user_id, event_type, era ORDER BY i ROWS UNBOUNDED PRECEDING) AS m, max(ts) OVER (PARTITION BY user_id, event_type, era) AS heard FROM e),
+g AS (SELECT *, sum((m IS NOT DISTINCT FROM 2)::INT) OVER (PARTITION BY user_id, event_type, era ORDER BY i ROWS UNBOUNDED PRECEDING) - (m IS NOT DISTINCT FROM 2)::INT AS ep FROM m),
+x AS (SELECT user_id, event_type, era, ep, min(ts) FILTER (hit) AS opened, max(ts) FILTER (hit) AS last, max(i) FILTER (hit) AS last_i, max(ts) FILTER (m = 1) AS miss, max(i) FILTER (m = 1) AS miss_i, bool_or(m IS NOT DISTINCT FROM 2) AS cleared, any_value(heard) AS heard FROM g GROUP BY ALL HAVING bool_or(hit)),
+y AS (SELECT *, CASE WHEN cleared THEN 'cleared' WHEN heard + INTERVAL 5 DAY < w THEN 'silent' END AS reason, CASE WHEN miss_i > last_i THEN miss ELSE last END AS stop FROM x, w),
+z AS (SELECT *, CASE WHEN reason IS NULL THEN last - INTERVAL 1 DAY WHEN stop = date_trunc('day', stop) AND last < stop THEN stop - INTERVAL 1 DAY ELSE stop END AS final FROM y),
+d AS (SELECT *, unnest(generate_series(date_trunc('day', opened)::TIMESTAMP, date_trunc('day', final)::TIMESTAMP, INTERVAL 1 DAY)) AS day FROM z),
+h AS (SELECT user_id, event_type, era, ep, date_trunc('day', ts)::TIMESTAMP AS day, max(value) AS worst, count(*) AS n FROM g WHERE hit GROUP BY ALL),
+n AS (SELECT g.user_id, g.event_type, g.era, g.ep, p, ts, unnest(generate_series(date_trunc('day', p)::TIMESTAMP, date_trunc('day', ts)::TIMESTAMP, INTERVAL 1 DAY)) AS day
+      FROM g JOIN y USING (user_id, event_type, era, ep) WHERE ts - p <= INTERVAL 2 DAY AND ts > opened AND ts <= CASE WHEN reason IS NULL THEN last ELSE stop END),
+c AS (SELECT user_id, event_type, era, ep, day, sum(date_diff('microsecond', greatest(p, day), least(ts, day + INTERVAL 1 DAY)))::BIGINT AS us FROM n GROUP BY ALL)
+SELECT user_id, event_type, opened, row_number() OVER k::INT AS part, greatest(opened, day) AS start,
+       CASE WHEN reason IS NOT NULL AND row_number() OVER b = 1 THEN stop ELSE day + INTERVAL 1 DAY END AS stop, CASE WHEN reason IS NOT NULL AND row_number() OVER b = 1 THEN reason ELSE 'day' END AS reason,
+       worst, coalesce(n, 0)::BIGINT AS n, coalesce(us, 0) / 1e6::DOUBLE AS covered
+FROM d LEFT JOIN h USING (user_id, event_type, era, ep, day) LEFT JOIN c USING (user_id, event_type, era, ep, day)
+WINDOW k AS (PARTITION BY user_id, event_type, era, ep ORDER BY day), b AS (PARTITION BY user_id, event_type, era, ep ORDER BY day DESC)"""
+
+
+@query(_PIECES)
+def episode_pieces(spark, sf_dir):
+    """Alarm episodes of each signal of a device, cut at midnights, as of two days before the last reading."""
+    e = readings(spark, sf_dir)
+    until = e.agg((F.date_trunc("millisecond", F.max("ts")).cast("timestamp_ntz") - F.expr("interval 2 days")).alias("until"))
+    rows = e.join(F.broadcast(until))  # one row
+    rules = (RULES.level, RULES.clear_after, RULES.silent, RULES.pause)
+    return episodes.episode_pieces(rows, ["user_id", "event_type"], "ts", ORDER, "value", *rules, F.col("until"))
+
+
+@query(_PIECES)
+def streamed_episode_pieces(spark, sf_dir):
+    """The same from the stream, whatever the order of its files within two days."""
+    home = _shared(spark, "episodes")
+    pieces = lifecycles.episode_pieces(flows.read_readings(spark, f"{sf_dir}/events.parquet*", None), RULES, "2 days")
+    with lifecycles.rocksdb_state(spark):
+        _drain(pieces.writeStream.outputMode("append").format("parquet").option("path", f"{home}/rows").option("checkpointLocation", f"{home}/log"))
+    rows = spark.read.schema(lifecycles.PIECES).parquet(f"{home}/rows")
+    return rows.select(*[F.col(c).cast("timestamp_ntz").alias(c) if c in ("opened", "start", "stop") else F.col(c) for c in rows.columns])
+
+
+@query("""WITH a AS (SELECT event_id, user_id, date_trunc('hour', ts)::TIMESTAMP + to_hours((user_id % 3)::INT) AS received_at FROM events)
+SELECT event_id, user_id, received_at FROM a WHERE received_at <= TIMESTAMP '2024-01-25 06:00:00'""")
+def replicated_readings(spark, sf_dir):
+    """events arrive in three deliveries, the hour of their time plus up to two; each is replicated as far as it has settled.
+
+    Many rows share an arrival time, also the one at which a run stops. The
+    second and third run go on from the log of the one before.
+    """
+    home = _shared(spark, "replica")
+    at = F.date_trunc("hour", "ts").cast("timestamp_ntz") + F.make_dt_interval(F.lit(0), (F.col("user_id") % 3).cast("int"))
+    rows = table(spark, sf_dir, "events").select("event_id", "user_id", at.alias("received_at"))
+    ends = ["2024-01-10 00:00:00", "2024-01-20 12:00:00", "2024-02-10 00:00:00"]
+    low = F.lit("1970-01-01").cast("timestamp_ntz")
+    for end, clock in zip(ends, ["2024-01-09T00:10:00", "2024-01-20T12:10:00", "2024-01-25T06:10:00"]):
+        high = F.lit(end).cast("timestamp_ntz")
+        rows.where((F.col("received_at") >= low) & (F.col("received_at") < high)).write.mode("append").parquet(f"{home}/in")
+        low = high
+        stream = arrivals.read_arrivals(spark, f"{home}/in", "event_id long, user_id long, received_at timestamp_ntz", "received_at", "event_id", clock=clock, settle=600)
+        arrivals.replicate(stream, f"{home}/rows", f"{home}/log")
+    return spark.read.parquet(f"{home}/rows")

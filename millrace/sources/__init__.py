@@ -1,0 +1,7 @@
+"""Sources and sinks. What runs in executors is pickled by value, so a cluster needs no copy of this package on its workers."""
+
+import sys
+
+from pyspark import cloudpickle
+
+cloudpickle.register_pickle_by_value(sys.modules[__name__])

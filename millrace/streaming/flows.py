@@ -108,17 +108,17 @@ _ALARM = "opened timestamp, worst double, n long, missed int, first_miss timesta
 
 def _alarms(level: float, clear_after: int):
     def run(key: tuple, batches: Iterator[pd.DataFrame], state) -> Iterator[pd.DataFrame]:
-        opened, worst, n, missed, first_miss = state.get if state.exists else (None, 0.0, 0, 0, None)
+        opened, worst, n, missed, first_miss = state.get if state.exists else (None, None, 0, 0, None)
         closed = []
         rows = pd.concat(list(batches)).sort_values(["ts", "event_id"])
         for ts, value in zip(rows.ts, rows.value):
             if not pd.isna(value) and value >= level:
-                opened, worst, n, missed, first_miss = opened or ts, max(worst, value), n + 1, 0, None
+                opened, worst, n, missed, first_miss = opened or ts, value if worst is None else max(worst, value), n + 1, 0, None
             elif n:
                 missed, first_miss = missed + 1, first_miss or ts
                 if missed == clear_after:
                     closed.append((key[0], opened, first_miss, worst, n))
-                    opened, worst, n, missed, first_miss = None, 0.0, 0, 0, None
+                    opened, worst, n, missed, first_miss = None, None, 0, 0, None
         state.update((opened, worst, n, missed, first_miss))
         if closed:
             yield pd.DataFrame(closed, columns=["user_id", "opened", "closed", "worst", "n"])
