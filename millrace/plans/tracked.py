@@ -6,8 +6,8 @@ from pyspark.sql import functions as F
 
 from millrace.operators import bands, episodes
 from millrace.plans.catalogue import KEYS, ORDER, _drain, _shared, query, readings, table
-from millrace.sources import arrivals
-from millrace.streaming import flows, lifecycles
+from millrace.sources import arrivals, tape
+from millrace.streaming import corrections, flows, lifecycles
 
 #: Quarters of the scale; five below a band's lower edge still belong to it; two readings in a row confirm.
 TRACKER = bands.BandTracker((25.0, 50.0, 75.0), margin=5.0, n=2)
@@ -97,3 +97,29 @@ def replicated_readings(spark, sf_dir):
         stream = arrivals.read_arrivals(spark, f"{home}/in", "event_id long, user_id long, received_at timestamp_ntz", "received_at", "event_id", clock=clock, settle=600)
         arrivals.replicate(stream, f"{home}/rows", f"{home}/log")
     return spark.read.parquet(f"{home}/rows")
+
+
+@query("""WITH e AS (SELECT user_id, ts, value FROM events QUALIFY row_number() OVER (PARTITION BY user_id, ts ORDER BY event_id DESC) = 1),
+s AS (SELECT user_id, ts, coalesce(last_value(CASE WHEN value >= 80 THEN true WHEN value <= 20 THEN false END IGNORE NULLS) OVER (PARTITION BY user_id ORDER BY ts ROWS UNBOUNDED PRECEDING), false) AS "on" FROM e),
+b AS (SELECT *, ("on" IS DISTINCT FROM lag("on") OVER (PARTITION BY user_id ORDER BY ts))::INT AS new FROM s),
+r AS (SELECT *, sum(new) OVER (PARTITION BY user_id ORDER BY ts ROWS UNBOUNDED PRECEDING) AS run FROM b),
+g AS (SELECT user_id, min(ts) AS start, max(ts) AS last_seen, any_value("on") AS "on", count(*) AS n FROM r GROUP BY user_id, run)
+SELECT *, lag(start) OVER w AS prev_start, lead(start) OVER w AS next_start FROM g WINDOW w AS (PARTITION BY user_id ORDER BY start)""")
+def corrected_tape(spark, sf_dir):
+    """events arrive up to 36 hours late, in two deliveries; each corrects the segments that it touches, and a tape takes the corrections."""
+    home = _shared(spark, "tape")
+    book = tape.SegmentTape(spark, f"{home}/rows", "user_id long", "last_seen timestamp_ntz, on boolean, n long", cell="month", buckets=8)
+    at = F.col("ts") + F.make_dt_interval(F.lit(0), (F.col("event_id") % 37).cast("int"))
+    table(spark, sf_dir, "events").select("event_id", "ts", "user_id", "value", at.alias("received_at")).write.parquet(f"{home}/in")
+
+    def take(batch, number):
+        batch.persist()
+        book.apply(batch)
+        batch.unpersist()
+
+    for clock in ("2024-01-16T00:00:00", "2030-01-01T00:00:00"):
+        stream = arrivals.read_arrivals(spark, f"{home}/in", "event_id long, ts timestamp_ntz, user_id long, value double, received_at timestamp_ntz", "received_at", "event_id", clock=clock)
+        changes = corrections.corrected_segments(stream.withColumn("ts", F.col("ts").cast("timestamp")), 20.0, 80.0, "2 days")
+        with lifecycles.rocksdb_state(spark):
+            _drain(changes.writeStream.outputMode("update").foreachBatch(take).option("checkpointLocation", f"{home}/log"))
+    return book.read()

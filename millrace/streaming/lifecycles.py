@@ -13,7 +13,7 @@ import contextlib
 from dataclasses import dataclass
 
 import pandas as pd
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.stateful_processor import StatefulProcessor
 
@@ -25,6 +25,14 @@ _WAITING = "at long, event_id long, event_type string, value double"
 _OPEN = "opened long, start long, part int, worst double, n long, covered long, hit long, missed array<long>"
 
 
+KEY = ["_none", "_id"]
+
+
+def known(name: str) -> list[Column]:
+    """A whole number as two columns that are never null: rows of a null key would each be a group of their own."""
+    return [F.col(name).isNull().alias(KEY[0]), F.coalesce(name, F.lit(0)).alias(KEY[1])]
+
+
 @contextlib.contextmanager
 def rocksdb_state(spark: SparkSession):
     """The state store that transformWithState needs, for queries started inside; the session's own setting comes back."""
@@ -155,7 +163,7 @@ class _Episodes(StatefulProcessor):
         if wakes:
             self.handle.registerTimer(min(wakes) // 1000 + 1)
         if out:
-            yield pd.DataFrame([(key[0], signal, *piece) for signal, piece in out], columns=_COLUMNS)
+            yield pd.DataFrame([(None if key[0] else key[1], signal, *piece) for signal, piece in out], columns=_COLUMNS)
 
     def close(self) -> None:
         pass
@@ -167,6 +175,6 @@ def episode_pieces(stream: DataFrame, rules: EpisodeRules, late: str = "2 days")
     Start the query within rocksdb_state(), in append mode. Readings that come
     later than the watermark are left out; all others may come in any order.
     """
-    rows = stream.withWatermark("ts", late).select("user_id", "ts", F.unix_micros("ts").alias("at"), "event_id", "event_type", F.nanvl(F.col("value").cast("double"), F.lit(None).cast("double")).alias("value"))
-    out = rows.groupBy("user_id").transformWithStateInPandas(_Episodes(rules), _OUT, "append", "eventtime")
+    rows = stream.withWatermark("ts", late).select(*known("user_id"), "ts", F.unix_micros("ts").alias("at"), "event_id", "event_type", F.nanvl(F.col("value").cast("double"), F.lit(None).cast("double")).alias("value"))
+    out = rows.groupBy(*KEY).transformWithStateInPandas(_Episodes(rules), _OUT, "append", "eventtime")
     return out.select(*[F.timestamp_micros(c).alias(c) if c in ("opened", "start", "stop") else F.col(c) for c in _COLUMNS])
