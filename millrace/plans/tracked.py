@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from millrace.operators import bands, episodes
+from millrace.operators import bands, dyadic, episodes
 from millrace.plans.catalogue import KEYS, ORDER, _drain, _shared, query, readings, table
 from millrace.sources import arrivals, tape
 from millrace.streaming import corrections, flows, lifecycles
@@ -123,3 +123,28 @@ def corrected_tape(spark, sf_dir):
         with lifecycles.rocksdb_state(spark):
             _drain(changes.writeStream.outputMode("update").foreachBatch(take).option("checkpointLocation", f"{home}/log"))
     return book.read()
+
+
+@query("""WITH a AS (SELECT user_id, event_id, ts AS start, CASE event_id % 5 WHEN 0 THEN TIMESTAMP '9999-01-01' WHEN 1 THEN ts + INTERVAL 3653 DAY ELSE ts + INTERVAL 2 HOUR END AS stop FROM events WHERE event_type = 'error'),
+b AS (SELECT user_id, event_id, ts AS start, ts + INTERVAL 1 DAY AS stop FROM events WHERE event_type = 'view')
+SELECT a.user_id, a.event_id AS error_id, b.event_id AS view_id, greatest(a.start, b.start) AS start, least(a.stop, b.stop) AS stop FROM a JOIN b ON a.user_id = b.user_id AND a.start < b.stop AND b.start < a.stop""")
+def open_ended_overlaps(spark, sf_dir):
+    """Errors that last two hours, ten years or for good, with the views of a day that they overlap."""
+    e = readings(spark, sf_dir)
+    day = F.expr("interval 1 day")
+    stop = F.when(F.col("event_id") % 5 == 0, F.lit("9999-01-01").cast("timestamp_ntz")).when(F.col("event_id") % 5 == 1, F.col("ts") + day * 3653).otherwise(F.col("ts") + F.expr("interval 2 hours"))
+    errors = e.where("event_type = 'error'").select("user_id", "event_id", F.col("ts").alias("start"), stop.alias("stop"))
+    views = e.where("event_type = 'view'").select("user_id", "event_id", F.col("ts").alias("start"), (F.col("ts") + day).alias("stop"))
+    out = dyadic.overlap_join(errors, views, KEYS)
+    return out.select("user_id", F.col("a.event_id").alias("error_id"), F.col("b.event_id").alias("view_id"), "start", "stop")
+
+
+@query("""WITH RECURSIVE p AS (SELECT p_partkey AS part, p_partkey - 1 - p_partkey % 7 AS before, round(p_retailprice * 100)::BIGINT AS cents FROM part),
+c AS (SELECT part, part AS origin, 0::BIGINT AS hops, cents AS total FROM p WHERE before NOT IN (SELECT part FROM p)
+  UNION ALL SELECT p.part, c.origin, c.hops + 1, c.total + p.cents FROM c JOIN p ON p.before = c.part)
+SELECT part, origin, hops, total FROM c""")
+def chain_totals(spark, sf_dir):
+    """Parts that each follow one up to seven numbers below: their chains' origins, lengths and sums."""
+    p = table(spark, sf_dir, "part")
+    links = p.select(F.col("p_partkey").alias("part"), (F.col("p_partkey") - 1 - F.col("p_partkey") % 7).alias("before"), F.round(F.col("p_retailprice") * 100).cast("long").alias("cents"))
+    return dyadic.chain_sums(spark, links, "part", "before", "cents").withColumnRenamed("node", "part")
