@@ -77,7 +77,8 @@ def test_entry_point_without_the_training_data_part(tmp_path, gone):
         shutil.rmtree(copy / g, ignore_errors=True)
         (copy / g).unlink(missing_ok=True)
     code = "import __spark_entry__ as e; print(len(e.queries()), len(e.oracle_sql()), any(q.startswith('op1_') for q in e.queries()), 'pipeline' in e.queries())"
-    out = subprocess.run([sys.executable, "-c", code], cwd=copy, capture_output=True, text=True, timeout=120)
+    env = {k: v for k, v in os.environ.items() if k != "PYTHONPATH"} | {"PYTHONPATH": str(copy)}  # the copy, not the repository
+    out = subprocess.run([sys.executable, "-c", code], cwd=copy, env=env, capture_output=True, text=True, timeout=120)
     assert out.returncode == 0, out.stderr
     n, sql, numbered, pipeline = out.stdout.split()
     assert int(n) >= len(catalogue.QUERIES) and int(sql) >= len(catalogue.ORACLE_SQL)
