@@ -6,8 +6,10 @@ that automaton plus the character that ends it; the fewer phrases, the better
 the language explains the text (Ziv and Merhav's cross-parsing). Phrase counts
 are normalised by log2 of the labelled text's length over the text's length.
 
-The automata come from a bounded sample (a fitted classifier), each in a task
-of its own and packed into one array; everything else covers whole texts.
+Symbols are letters, however many a script has; one that a language's sample
+lacks ends the phrase. The automata come from a bounded sample of whole texts (a
+fitted classifier), each in a task of its own and packed into one array;
+everything else covers whole texts.
 Inside a task many texts advance together: one numpy lookup per character place
 and language.
 """
@@ -22,12 +24,13 @@ from pyspark.sql.types import DoubleType, LongType, StringType, StructType
 
 from millrace.llm.common import fold, held_out, slices, trimmed
 
-#: The sample: documents per language, and characters of labelled text per language.
-SAMPLE_DOCS, SAMPLE_CHARS = 400, 60_000
-#: Letters that get a symbol of their own; the rest share one.
-LETTERS = 60
-#: Marks an empty place of a packed automaton; symbols are below it.
-NO_SYMBOL = 255
+#: Labelled characters to learn a language from: whole texts, as many as have so many together.
+SAMPLE_CHARS = 120_000
+#: Bytes of all languages' automata that are sent to tasks; more are refused.
+MODEL_BYTES = 1 << 30
+#: Bits of a step that hold its symbol; all of them set mark an empty place.
+BITS = 21
+NO_SYMBOL = (1 << BITS) - 1
 #: Texts are parsed in pieces of so many characters, each from a fresh phrase.
 PIECE = 2048
 _said = StructType().add("lang_pred", StringType()).add("score", DoubleType()).add("n_letters", LongType())
@@ -91,116 +94,103 @@ def packed(nxt: list[dict[int, int]]) -> np.ndarray:
     """An automaton as one array by row displacement; its first entry is the place of state 0.
 
     A state is its place, its step by symbol c stands at place + c, as the
-    place of the next state times 256, plus c. Places differ, so another
+    place of the next state times 2 ** BITS, plus c. Places differ, so another
     state's step, or none, never looks like one's own: its symbol is another.
+    The largest rows are placed first; all look for room by a fixed row of
+    pseudo-random places, however many symbols there are.
     """
-    steps = sum(map(len, nxt))
-    room = int(1.3 * steps) + 2 * NO_SYMBOL
+    steps, width = sum(map(len, nxt)), 2 + max((c for to in nxt for c in to), default=0)
+    room = int(1.5 * max(steps, len(nxt))) + 2 * width
     while True:
-        used, place, taken = bytearray(room + NO_SYMBOL), [-1] * len(nxt), set()
+        used, place, taken = bytearray(room + width), [-1] * len(nxt), bytearray(room)
         seed = 1
         for s in sorted(range(len(nxt)), key=lambda s: -len(nxt[s])):
-            if len(nxt[s]) < 2:
-                break
+            to = nxt[s]
             for _ in range(10_000):
                 seed = seed * 1103515245 + 12345 & 0x7FFFFFFF
                 at = 1 + seed % (room - 1)
-                if at not in taken and not any(used[at + c] for c in nxt[s]):
+                if not taken[at] and not any(used[at + c] for c in to):
                     break
             else:
                 break
-            place[s] = at
-            taken.add(at)
-            for c in nxt[s]:
+            place[s], taken[at] = at, 1
+            for c in to:
                 used[at + c] = 1
-        left: dict = {}  # by symbol: no place before this one will do
-        for s in range(len(nxt)):  # states of one step or none take what is free, from the left
-            if place[s] < 0 and len(nxt[s]) < 2:
-                c = next(iter(nxt[s]), None)
-                at = left.get(c, 1)
-                while at < room and (at in taken or c is not None and used[at + c]):
-                    at += 1
-                left[c] = at
-                if at == room:
-                    break
-                place[s] = at
-                taken.add(at)
-                if c is not None:
-                    used[at + c] = 1
         if min(place) > 0:
             break
         room *= 2
-    out = np.full(room + NO_SYMBOL, NO_SYMBOL, np.int32)
+    out = np.full(room + width, NO_SYMBOL, np.int64)
     out[0] = place[0]
     for s, to in enumerate(nxt):
         for c, t in to.items():
-            out[place[s] + c] = place[t] * 256 + c
+            out[place[s] + c] = (place[t] << BITS) + c
     return out
 
 
-def _learned(letters: int):
+def _learned(table: pa.Table) -> pa.Table:
     """The sampled texts of one language -> its letters, automaton and scale."""
-
-    def run(table: pa.Table) -> pa.Table:
-        lookup = letter_table()
-        x = np.concatenate([squeezed(code_points(t), lookup) for t in sorted(table.column("text").to_pylist())])
-        points, counts = np.unique(x[x != 0], return_counts=True)
-        own = points[np.lexsort((points, -counts))][:letters].astype(np.uint32)
-        auto = packed(suffix_automaton(symbols(own)[x].tolist()))
-        return pa.table({"lang": table.column("lang")[:1], "letters": [own.tobytes()], "steps": [auto.tobytes()], "scale": [float(np.log2(max(2, len(x))))]})
-
-    return run
+    lookup = letter_table()
+    x = np.concatenate([squeezed(code_points(t), lookup) for t in sorted(table.column("text").to_pylist())])
+    own = np.unique(x[x != 0]).astype(np.uint32)
+    auto = packed(suffix_automaton(symbols(own)[x].tolist()))
+    return pa.table({"lang": table.column("lang")[:1], "letters": [own.tobytes()], "steps": [auto.tobytes()], "scale": [float(np.log2(max(2, len(x))))]})
 
 
 def symbols(letters: np.ndarray) -> np.ndarray:
-    """By lower-case code point. 0: between words; 1 to n: the letters; n + 1: a letter without a symbol of its own."""
-    out = np.full(0x110000, len(letters) + 1, np.uint8)
+    """By lower-case code point. 0: between words; 1 to n: the letters; n + 1: a letter that the language's sample lacks, which no state has a step for."""
+    out = np.full(0x110000, len(letters) + 1, np.uint32)
     out[0] = 0
     out[letters] = np.arange(1, len(letters) + 1)
     return out
 
 
-def sample(docs: DataFrame, sample_docs: int = SAMPLE_DOCS, sample_chars: int = SAMPLE_CHARS) -> DataFrame:
-    """docs(doc_id, text, lang) -> (lang, text): stretches of labelled texts, fold not 0, about sample_chars a language.
+def sample(docs: DataFrame, sample_chars: int = SAMPLE_CHARS) -> DataFrame:
+    """docs(doc_id, text, lang) -> (lang, text): whole labelled texts, fold not 0, of sample_chars together in each language.
 
-    The same in every run: per language the sample_docs documents with the
-    least hash of the id, and of each as long a stretch as makes sample_chars
-    of all, from a place that a hash of the id picks. Languages are counted
-    first, so that only rows with a hash in the lowest share, a few times as
-    many as wanted, are ever sorted.
+    The same in every run: rows in order of a hash of their id, as long as
+    their lengths add up to sample_chars; texts that are longer than that are
+    passed over. A language that has only such gives its shortest one. Rows
+    are thinned by hash first, to a few times what is wanted, so that few are
+    sorted.
     """
     known = docs.select("doc_id", F.col("text").cast("string").alias("text"), F.col("lang").cast("string").alias("lang"))
     known = known.where((fold(F.col("doc_id")) != 0) & F.col("lang").isNotNull() & (F.length("text") > 0)).withColumn("h", F.pmod(F.xxhash64("doc_id"), F.lit(2**32)))
-    # one row a language, as in the model itself
-    share = known.groupBy("lang").agg((4.0 * sample_docs / F.count("*")).alias("share"), F.ceil(sample_chars / F.least(F.count("*"), F.lit(sample_docs))).alias("size"))
-    low = known.join(F.broadcast(share), "lang").where(F.col("h") < F.col("share") * 2**32)
+    known = known.withColumn("size", F.length("text")).withColumn("over", F.col("size") > sample_chars)
+    # one row a language, as in the model itself; 50 rows more than the mean size asks for, against odd luck
+    fit = F.when(~F.col("over"), F.col("size"))
+    share = known.groupBy("lang").agg((4.0 * (sample_chars / F.avg(fit) + 50) / F.count(fit)).alias("share"), F.min("size").alias("least"))
+    low = known.join(F.broadcast(share), "lang").where(F.when(F.col("share").isNull(), F.col("size") == F.col("least")).otherwise(~F.col("over") & (F.col("h") < F.col("share") * 2**32)))
     order = Window.partitionBy("lang").orderBy("h", "doc_id", F.xxhash64("text"))
-    picked = low.withColumn("i", F.row_number().over(order)).where(F.col("i") <= sample_docs)
-    begin = F.pmod(F.xxhash64("doc_id", F.lit("stretch")), F.greatest(F.length("text") - F.col("size"), F.lit(0)) + 1)
-    return picked.select("lang", F.substring("text", (begin + 1).cast("int"), F.col("size").cast("int")).alias("text"))
+    picked = low.withColumn("sum", F.sum("size").over(order.rowsBetween(Window.unboundedPreceding, 0))).withColumn("i", F.row_number().over(order))
+    return picked.where((F.col("sum") <= sample_chars) | (F.col("i") == 1)).select("lang", "text")
 
 
-def fit(docs: DataFrame, sample_docs: int = SAMPLE_DOCS, sample_chars: int = SAMPLE_CHARS, letters: int = LETTERS) -> list:
+def fit(docs: DataFrame, sample_chars: int = SAMPLE_CHARS) -> list:
     """Rows (lang, letters, steps, scale) of the model, by language; each is learned in a task of its own.
 
-    A language takes about 6 bytes a transition, of which there are at most 3 * sample_chars.
+    A language has at most 3 * sample_chars transitions, of about 12 bytes each
+    (about 3 MB in all). Models of more than MODEL_BYTES together raise an
+    error before they come to the driver: lang then holds something else than languages.
     """
-    learned = sample(docs, sample_docs, sample_chars).groupBy("lang").applyInArrow(_learned(letters), "lang string, letters binary, steps binary, scale double")
-    return sorted(learned.collect(), key=lambda r: r.lang)  # a bounded model a language
+    learned = sample(docs, sample_chars).groupBy("lang").applyInArrow(_learned, "lang string, letters binary, steps binary, scale double")
+    n = docs.select("lang").where("lang is not null").distinct().limit(MODEL_BYTES // (36 * sample_chars) + 1).count()
+    if n * 36 * sample_chars > MODEL_BYTES:
+        raise ValueError(f"more than {n - 1} languages: their models would not fit beside the tasks")
+    return sorted(learned.collect(), key=lambda r: r.lang)  # of bounded size, as just checked
 
 
 def phrase_counts(grid: np.ndarray, lengths: np.ndarray, steps: np.ndarray) -> np.ndarray:
     """Phrases of each sequence, a column of symbols in grid; sequences must fall in length."""
     root = steps[0]
-    state = np.full(len(lengths), root, np.int32)
+    state = np.full(len(lengths), root, np.int64)
     ended = np.zeros(len(lengths), np.int64)
     live = np.searchsorted(-lengths, -np.arange(1, len(grid) + 1), "right")  # sequences that reach each place
     for t in range(len(grid)):
         n = live[t]
         to = steps[state[:n] + grid[t, :n]]
-        miss = (to & 255) != grid[t, :n]  # no such step: it ends the phrase and leads to the start
+        miss = (to & NO_SYMBOL) != grid[t, :n]  # no such step: it ends the phrase and leads to the start
         ended[:n] += miss
-        state[:n] = np.where(miss, root, to >> 8)
+        state[:n] = np.where(miss, root, to >> BITS)
     return ended + (state != root)
 
 
@@ -220,7 +210,7 @@ def _predict(sent, piece: int):
     def run(batches):
         table = letter_table()
         langs = [r.lang for r in sent.value]
-        models = [(symbols(np.frombuffer(r.letters, np.uint32)), np.frombuffer(r.steps, np.int32), r.scale) for r in sent.value]
+        models = [(symbols(np.frombuffer(r.letters, np.uint32)), np.frombuffer(r.steps, np.int64), r.scale) for r in sent.value]
         for b in slices(batches):
             first = b.column(0)
             carried = pa.types.is_struct(first.type)
