@@ -4,8 +4,8 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from millrace.operators import bands, dyadic, episodes
-from millrace.plans.catalogue import KEYS, ORDER, _drain, _shared, query, readings, table
+from millrace.operators import anchored, bands, dyadic, episodes, ranks
+from millrace.plans.catalogue import _E, _MERGED, KEYS, ORDER, _drain, _sessions, _shared, query, readings, table
 from millrace.sources import arrivals, tape
 from millrace.streaming import corrections, flows, lifecycles
 
@@ -148,3 +148,25 @@ def chain_totals(spark, sf_dir):
     p = table(spark, sf_dir, "part")
     links = p.select(F.col("p_partkey").alias("part"), (F.col("p_partkey") - 1 - F.col("p_partkey") % 7).alias("before"), F.round(F.col("p_retailprice") * 100).cast("long").alias("cents"))
     return dyadic.chain_sums(spark, links, "part", "before", "cents").withColumnRenamed("node", "part")
+
+
+@query(_E + ", " + _MERGED.format(name="g", hours=12, kind="error") + """, p AS (SELECT * FROM e WHERE event_type = 'view'), s AS (SELECT user_id, ts, ts - INTERVAL 30 MINUTE AS early, event_id, cents FROM e WHERE event_type = 'purchase'),
+m AS (SELECT p.event_id, p.user_id, p.ts, s.ts AS t, s.cents FROM p LEFT JOIN s ON s.user_id = p.user_id AND s.early <= p.ts QUALIFY row_number() OVER (PARTITION BY p.event_id ORDER BY s.early DESC NULLS LAST, s.event_id DESC) = 1),
+f AS (SELECT m.*, g.stop FROM m LEFT JOIN g ON g.user_id = m.user_id AND g.start <= m.ts QUALIFY row_number() OVER (PARTITION BY m.event_id ORDER BY g.start DESC NULLS LAST) = 1),
+u AS (SELECT *, coalesce(stop > ts, false) AS in_gap, coalesce(date_diff('microsecond', t, ts) <= 259200000000 AND NOT coalesce(stop > t, false) AND NOT coalesce(stop > ts, false), false) AS ok FROM f)
+SELECT event_id, user_id, CASE WHEN ok THEN cents END AS filled, ok AND abs(date_diff('microsecond', t, ts)) > 1800000000 AS carried, in_gap FROM u""")
+def anchored_fill(spark, sf_dir):
+    """Views are packets, purchases samples of a value, and an error opens a gap of twelve hours."""
+    e = readings(spark, sf_dir)
+    views = e.where("event_type = 'view'").select("event_id", "user_id", "ts")
+    out = anchored.anchored_fill(views, e.where("event_type = 'purchase'"), _sessions(spark, sf_dir, "error", 12), KEYS, "ts", "event_id", "cents", 1800.0, 3 * 86400.0)
+    return out.select("event_id", "user_id", "filled", "carried", "in_gap")
+
+
+@query("""WITH l AS (SELECT l_returnflag, round(l_extendedprice * 100)::BIGINT AS cents FROM lineitem),
+m AS (SELECT l_returnflag, count(cents) AS n, median(cents)::DOUBLE AS median FROM l GROUP BY l_returnflag)
+SELECT l_returnflag, any_value(n) AS n, any_value(m.median) AS median, median(abs(cents - m.median))::DOUBLE AS mad FROM l JOIN m USING (l_returnflag) GROUP BY l_returnflag""")
+def price_spread(spark, sf_dir):
+    """Median and median absolute deviation where three groups have all rows."""
+    rows = table(spark, sf_dir, "lineitem").select("l_returnflag", F.round(F.col("l_extendedprice") * 100).cast("long").alias("cents"))
+    return ranks.exact_spread(spark, rows, ["l_returnflag"], "cents")
