@@ -77,6 +77,9 @@ def chain_sums(spark: SparkSession, links: DataFrame, node: str, before: str, va
         path = f"{home}/{i:02d}"
         state.write.parquet(path)
         state = spark.read.parquet(path)
+        if i:  # the round before is read no longer
+            old = spark._jvm.org.apache.hadoop.fs.Path(f"{home}/{i - 1:02d}")
+            old.getFileSystem(spark._jsc.hadoopConfiguration()).delete(old, True)
         going = state.where("at is not null")
         if not going.limit(1).count():
             return state.select("node", "origin", "hops", "total")

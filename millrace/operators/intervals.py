@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from millrace.functions.intervals import overlaps
+from millrace.functions.intervals import overlaps, seconds_between
 from millrace.operators.running import following, running_sum
 
 
@@ -76,3 +76,21 @@ def cut_at_days(df: DataFrame, start: str = "start", stop: str = "stop") -> Data
     days = F.sequence(F.date_trunc("day", start).cast("timestamp_ntz"), F.date_trunc("day", last).cast("timestamp_ntz"), F.expr("interval 1 day"))
     out = df.where(F.col(start) < F.col(stop)).withColumn("day", F.explode(days))
     return out.withColumn(start, F.greatest(start, "day")).withColumn(stop, F.least(F.col(stop), F.col("day") + F.expr("interval 1 day")))
+
+
+def cut_at_operating_days(df: DataFrame, zone: str | Column, hour: int, start: str = "start", stop: str = "stop") -> DataFrame:
+    """Intervals of UTC times cut where an operating day begins, at `hour` o'clock in a zone; with the local date of their day and its hours.
+
+    Days follow the zone's clock, so two a year have 23 or 25 hours. Pick an
+    hour that no change of the clock skips or repeats (4 to 23 are safe almost everywhere).
+    """
+    zone = F.lit(zone) if isinstance(zone, str) else zone
+    shift = F.make_dt_interval(F.lit(0), F.lit(hour))
+    local_day = lambda t: F.date_trunc("day", F.convert_timezone(F.lit("UTC"), zone, t) - shift).cast("timestamp_ntz")
+    begins = lambda day: F.convert_timezone(zone, F.lit("UTC"), day + shift)
+    one = F.expr("interval 1 day")
+    days = F.sequence(local_day(F.col(start)), local_day(F.col(stop) - F.expr("interval 1 microsecond")), one)
+    out = df.where(F.col(start) < F.col(stop)).withColumn("_day", F.explode(days))
+    low, high = begins(F.col("_day")), begins(F.col("_day") + one)
+    out = out.withColumn(start, F.greatest(F.col(start), low)).withColumn(stop, F.least(F.col(stop), high))
+    return out.withColumn("day", F.col("_day").cast("date")).withColumn("hours", (seconds_between(low, high) / 3600).cast("int")).drop("_day")

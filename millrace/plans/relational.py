@@ -58,11 +58,13 @@ def order_chains(spark, sf_dir):
 SELECT root, depth, count(*) AS parts FROM r GROUP BY ALL""")
 def parts_tree(spark, sf_dir):
     """A recursive query: each part's parent is the part of a fourth of its key; how many are how deep below which root."""
-    spark.conf.set("spark.sql.cteRecursionRowLimit", "-1")  # the limit is on rows of all levels; the tree has a row a part
-    table(spark, sf_dir, "part").select("p_partkey").createOrReplaceTempView("_tree_parts")
-    return spark.sql("""WITH RECURSIVE r AS (SELECT p_partkey, 0 AS depth, p_partkey AS root FROM _tree_parts WHERE p_partkey <= 3
-      UNION ALL SELECT p.p_partkey, r.depth + 1, r.root FROM _tree_parts p JOIN r ON p.p_partkey DIV 4 = r.p_partkey AND p.p_partkey > 3)
-    SELECT root, depth, count(*) AS parts FROM r GROUP BY root, depth""")
+    own = spark.newSession()  # so that the caller's settings stay as they are
+    for name in ("spark.sql.session.timeZone", "spark.sql.shuffle.partitions"):
+        own.conf.set(name, spark.conf.get(name))
+    own.conf.set("spark.sql.cteRecursionRowLimit", "-1")  # the limit is on rows of all levels; the tree has a row a part
+    return own.sql("""WITH RECURSIVE r AS (SELECT p_partkey, 0 AS depth, p_partkey AS root FROM {parts} WHERE p_partkey <= 3
+      UNION ALL SELECT p.p_partkey, r.depth + 1, r.root FROM {parts} p JOIN r ON p.p_partkey DIV 4 = r.p_partkey AND p.p_partkey > 3)
+    SELECT root, depth, count(*) AS parts FROM r GROUP BY root, depth""", parts=table(own, sf_dir, "part").select("p_partkey"))
 
 
 @query("""(SELECT user_id FROM events WHERE event_type = 'view' AND value > 90 INTERSECT SELECT user_id FROM events WHERE event_type = 'purchase' AND value > 80)

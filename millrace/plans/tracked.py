@@ -4,7 +4,8 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from millrace.operators import anchored, bands, dyadic, episodes, ranks
+from millrace.functions.intervals import micros
+from millrace.operators import anchored, bands, dyadic, episodes, intervals, ranks
 from millrace.plans.catalogue import _E, _MERGED, KEYS, ORDER, _drain, _sessions, _shared, query, readings, table
 from millrace.sources import arrivals, tape
 from millrace.streaming import corrections, flows, lifecycles
@@ -170,3 +171,28 @@ def price_spread(spark, sf_dir):
     """Median and median absolute deviation where three groups have all rows."""
     rows = table(spark, sf_dir, "lineitem").select("l_returnflag", F.round(F.col("l_extendedprice") * 100).cast("long").alias("cents"))
     return ranks.exact_spread(spark, rows, ["l_returnflag"], "cents")
+
+
+@query("""WITH o AS (SELECT o_orderkey, o_orderdate AS start, o_orderdate + to_hours((o_orderkey % 90 + 1)::INT) AS stop, zone FROM orders, (VALUES ('Europe/Berlin'), ('America/New_York')) z(zone)),
+d AS (SELECT *, unnest(generate_series(date_trunc('day', start AT TIME ZONE 'UTC' AT TIME ZONE zone - INTERVAL 6 HOUR)::TIMESTAMP, date_trunc('day', (stop - INTERVAL 1 MICROSECOND) AT TIME ZONE 'UTC' AT TIME ZONE zone - INTERVAL 6 HOUR)::TIMESTAMP, INTERVAL 1 DAY)) AS day FROM o),
+b AS (SELECT *, (day + INTERVAL 6 HOUR) AT TIME ZONE zone AT TIME ZONE 'UTC' AS low, (day + INTERVAL 30 HOUR) AT TIME ZONE zone AT TIME ZONE 'UTC' AS high FROM d)
+SELECT zone, day, (date_diff('second', low, high) // 3600)::INT AS hours, count(*) AS pieces, sum(date_diff('second', greatest(start, low), least(stop, high)))::BIGINT AS seconds FROM b GROUP BY ALL""")
+def operating_days(spark, sf_dir):
+    """Open orders by operating day, from six o'clock in two zones; days of 23 and 25 hours are among them."""
+    o = table(spark, sf_dir, "orders")
+    stop = F.col("o_orderdate") + F.make_dt_interval(F.lit(0), (F.col("o_orderkey") % 90 + 1).cast("int"))
+    both = o.select(F.col("o_orderdate").alias("start"), stop.alias("stop"), F.explode(F.array(F.lit("Europe/Berlin"), F.lit("America/New_York"))).alias("zone"))
+    cut = intervals.cut_at_operating_days(both, F.col("zone"), 6)
+    seconds = ((micros(F.col("stop")) - micros(F.col("start"))) / 10**6).cast("long")
+    return cut.groupBy("zone", F.col("day").cast("timestamp_ntz").alias("day"), "hours").agg(F.count("*").alias("pieces"), F.sum(seconds).alias("seconds"))
+
+
+@query("""WITH a AS (SELECT user_id, ts AS start, CASE WHEN event_id % 3 <> 0 THEN ts + INTERVAL 5 DAY END AS stop FROM events WHERE event_type = 'error')
+SELECT user_id, greatest(start, TIMESTAMP '2024-01-10') AS start, least(coalesce(stop, TIMESTAMP '2024-01-20'), TIMESTAMP '2024-01-20') AS stop FROM a
+WHERE greatest(start, TIMESTAMP '2024-01-10') < least(coalesce(stop, TIMESTAMP '2024-01-20'), TIMESTAMP '2024-01-20')""")
+def clipped_intervals(spark, sf_dir):
+    """Errors of five days, or without an end, clipped to ten days of January."""
+    e = readings(spark, sf_dir).where("event_type = 'error'")
+    spans = e.select("user_id", F.col("ts").alias("start"), F.when(F.col("event_id") % 3 != 0, F.col("ts") + F.expr("interval 5 days")).alias("stop"))
+    at = lambda day: F.lit(day).cast("timestamp_ntz")
+    return intervals.clip(spans, at("2024-01-10"), at("2024-01-20"))

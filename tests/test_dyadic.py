@@ -60,3 +60,19 @@ def test_trees_strangers_and_circles(spark):
     assert dyadic.chain_sums(spark, df.limit(0), "n", "b", "v").count() == 0
     with pytest.raises(ValueError):
         dyadic.chain_sums(spark, spark.createDataFrame([(1, 2, 0), (2, 1, 0)], "n long, b long, v long"), "n", "b", "v", most_rounds=5)
+
+
+def test_operating_days_of_23_and_25_hours(spark):
+    from millrace.operators import intervals
+
+    at = datetime.fromisoformat
+    df = spark.createDataFrame([(1, at("2024-03-30T00:00:00"), at("2024-04-01T12:00:00")), (2, at("2024-10-27T05:00:00"), at("2024-10-27T05:00:01")), (3, at("2024-10-26T04:00:00"), at("2024-10-27T05:00:00"))], "i long, start timestamp_ntz, stop timestamp_ntz")
+    got = sorted((r.i, str(r.day), r.hours, r.start.isoformat(), r.stop.isoformat()) for r in intervals.cut_at_operating_days(df, "Europe/Berlin", 6).collect())
+    assert got == [
+        (1, "2024-03-29", 24, "2024-03-30T00:00:00", "2024-03-30T05:00:00"),
+        (1, "2024-03-30", 23, "2024-03-30T05:00:00", "2024-03-31T04:00:00"),
+        (1, "2024-03-31", 24, "2024-03-31T04:00:00", "2024-04-01T04:00:00"),
+        (1, "2024-04-01", 24, "2024-04-01T04:00:00", "2024-04-01T12:00:00"),
+        (2, "2024-10-27", 24, "2024-10-27T05:00:00", "2024-10-27T05:00:01"),
+        (3, "2024-10-26", 25, "2024-10-26T04:00:00", "2024-10-27T05:00:00"),
+    ]
