@@ -167,6 +167,28 @@ def alarm_lifecycles(spark, sf_dir):
     return summaries.alarm_lifecycles(e, KEYS, "ts", ORDER, F.col("value") >= 80, F.col("value"), 3, bucket(e))
 
 
+@query(_ALARMS + """ SELECT user_id, opened, closed, worst, n FROM r WHERE opened < TIMESTAMP '2024-01-20' AND (opened >= TIMESTAMP '2024-01-10' OR closed IS NULL OR closed > TIMESTAMP '2024-01-10 06:00:00')""")
+def alarms_of_window(spark, sf_dir):
+    """Alarms that opened in ten days, or were open when these ended, or closed later than six hours after they began."""
+    at = lambda t: F.lit(t).cast("timestamp_ntz")
+    alive = F.col("closed").isNull() | (F.col("closed") > at("2024-01-10 06:00:00"))
+    return alarm_lifecycles(spark, sf_dir).where((F.col("opened") < at("2024-01-20")) & ((F.col("opened") >= at("2024-01-10")) | alive))
+
+
+@query(f"""{_E}, h AS (SELECT user_id, value, date_diff('microsecond', ts, lead(ts) OVER (PARTITION BY user_id ORDER BY ts, event_id)) AS us FROM e),
+t AS (SELECT user_id, coalesce(sum(us) FILTER (value < 25), 0)::BIGINT AS low_micros, coalesce(sum(us) FILTER (value >= 75), 0)::BIGINT AS high_micros FROM h GROUP BY user_id)
+SELECT *, CASE WHEN low_micros >= 864000000000 OR high_micros >= 691200000000 THEN 'red' WHEN low_micros >= 432000000000 OR high_micros >= 345600000000 THEN 'yellow' ELSE 'green' END AS level FROM t""")
+def wear_levels(spark, sf_dir):
+    """How long each device lay low and high, and the level of wear that this makes: half of ten low or eight high days is yellow, all of it red."""
+    e = readings(spark, sf_dir)
+    held = running.following(e, KEYS, bucket(e), ORDER, F.col("ts"), "next").withColumn("us", micros(F.col("next")) - micros(F.col("ts")))
+    total = lambda c: F.coalesce(F.sum(F.when(c, F.col("us"))), F.lit(0))
+    out = held.groupBy("user_id").agg(total(F.col("value") < 25).alias("low_micros"), total(F.col("value") >= 75).alias("high_micros"))
+    day = 86_400_000_000
+    beyond = lambda share: (F.col("low_micros") >= int(10 * day * share)) | (F.col("high_micros") >= int(8 * day * share))
+    return out.withColumn("level", F.when(beyond(1), "red").when(beyond(0.5), "yellow").otherwise("green"))
+
+
 @query(_ALARMS + """ SELECT user_id, opened, closed, worst, n FROM r WHERE closed IS NOT NULL""")
 def streamed_alarms(spark, sf_dir):
     """The same from the stream, as they close; its files are one batch, so that a device's readings are in order of time."""

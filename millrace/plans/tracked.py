@@ -121,7 +121,7 @@ def corrected_tape(spark, sf_dir):
     for clock in ("2024-01-16T00:00:00", "2030-01-01T00:00:00"):
         stream = arrivals.read_arrivals(spark, f"{home}/in", "event_id long, ts timestamp_ntz, user_id long, value double, received_at timestamp_ntz", "received_at", "event_id", clock=clock)
         changes = corrections.corrected_segments(stream.withColumn("ts", F.col("ts").cast("timestamp")), 20.0, 80.0, "2 days")
-        with lifecycles.rocksdb_state(spark):
+        with lifecycles.rocksdb_state(spark, idle_batches=False):
             _drain(changes.writeStream.outputMode("update").foreachBatch(take).option("checkpointLocation", f"{home}/log"))
     return book.read()
 

@@ -34,15 +34,20 @@ def known(name: str) -> list[Column]:
 
 
 @contextlib.contextmanager
-def rocksdb_state(spark: SparkSession):
-    """The state store that transformWithState needs, for queries started inside; the session's own setting comes back."""
-    key = "spark.sql.streaming.stateStore.providerClass"
-    before = spark.conf.get(key, None)
-    spark.conf.set(key, "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider")
+def rocksdb_state(spark: SparkSession, idle_batches: bool = True):
+    """The state store that transformWithState needs, for queries started inside; the session's own settings come back.
+
+    idle_batches: a batch without rows runs when the watermark has moved, which timers need.
+    """
+    wanted = {"spark.sql.streaming.stateStore.providerClass": "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider", "spark.sql.streaming.noDataMicroBatches.enabled": str(idle_batches).lower()}
+    before = {key: spark.conf.get(key, None) for key in wanted}
+    for key, value in wanted.items():
+        spark.conf.set(key, value)
     try:
         yield
     finally:
-        spark.conf.unset(key) if before is None else spark.conf.set(key, before)
+        for key, value in before.items():
+            spark.conf.unset(key) if value is None else spark.conf.set(key, value)
 
 
 @dataclass(frozen=True)

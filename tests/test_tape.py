@@ -79,7 +79,7 @@ def test_any_order_within_the_overlap_gives_the_same_tape(spark, tmp_path):
     for lo in range(0, 400, 100):  # a run a file, so each but the first is a restart
         spark.createDataFrame(late[lo : lo + 100], flows.READINGS).coalesce(1).write.mode("append").parquet(f"{tmp_path}/in")
         changes = corrections.corrected_segments(flows.read_readings(spark, f"{tmp_path}/in"), 20.0, 80.0, "2 days")
-        with lifecycles.rocksdb_state(spark):
+        with lifecycles.rocksdb_state(spark, idle_batches=False):
             q = changes.writeStream.outputMode("update").foreachBatch(keep).option("checkpointLocation", f"{tmp_path}/log").trigger(availableNow=True).start()
         q.awaitTermination()
         assert q.exception() is None
