@@ -27,8 +27,8 @@ from millrace.llm.common import Staging
 
 TERM = r"[a-z0-9]+(?:[.\-][a-z0-9]+)*"
 #: Lines of marks alone end a paragraph; lines that begin like this are comments.
-NO_TEXT = r"^[ \t\r#*/;%<>!-]*$"
-COMMENT = r"^[ \t]*(?:#|//|/\*|\*|;|%|--|<!--)"
+NO_TEXT = r"""^[ \t\r#*/;%<>!"'`-]*$"""
+COMMENT = r"""^[ \t]*(?:#|//|/\*|\*|;|%|--|<!--|[rRuU]?"{3}|[rRuU]?'{3})"""
 LICENCE_FILE = r"(?i)^(licen[sc]e|copying)"
 
 # Public licence names, their usual notices, and texts of the short ones.
@@ -46,6 +46,11 @@ TEMPLATES = [
     ("Apache-2.0", "Licensed under the Apache License, Version 2.0 (the \"License\"); you may not use this file except in compliance with the License. You may obtain a copy of the License at http://www.apache.org/licenses/LICENSE-2.0"),
     ("Apache-2.0", "Licensed under the Apache License, Version 2.0 (the \"License\"); you may not use this file except in compliance with the License. You may obtain a copy of the License at http://www.apache.org/licenses/LICENSE-2.0 Unless required by applicable law or agreed to in writing, software distributed under the License is distributed on an \"AS IS\" BASIS, WITHOUT WARRANTIES OR CONDITIONS OF ANY KIND, either express or implied. See the License for the specific language governing permissions and limitations under the License."),
     ("MIT", "Released under the MIT License"),
+    *[(i, f"This project is licensed under the terms of the {name} license") for i, name in (("MIT", "MIT"), ("Apache-2.0", "Apache 2.0"), ("BSD-3-Clause", "BSD 3-Clause"), ("ISC", "ISC"), ("MPL-2.0", "MPL 2.0"))],
+    ("EPL-2.0", "This program and the accompanying materials are made available under the terms of the Eclipse Public License 2.0 which is available at https://www.eclipse.org/legal/epl-2.0/"),
+    ("EPL-2.0", "Eclipse Public License - v 2.0"),
+    ("BSL-1.0", "Distributed under the Boost Software License, Version 1.0. (See accompanying file LICENSE_1_0.txt or copy at http://www.boost.org/LICENSE_1_0.txt)"),
+    ("BSL-1.0", "Boost Software License - Version 1.0 - August 17th, 2003"),
     ("MIT", "Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation files (the \"Software\"), to deal in the Software without restriction, including without limitation the rights to use, copy, modify, merge, publish, distribute, sublicense, and/or sell copies of the Software, and to permit persons to whom the Software is furnished to do so, subject to the following conditions:"),
     ("MIT", "MIT License Copyright (c) Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation files (the \"Software\"), to deal in the Software without restriction, including without limitation the rights to use, copy, modify, merge, publish, distribute, sublicense, and/or sell copies of the Software, and to permit persons to whom the Software is furnished to do so, subject to the following conditions: The above copyright notice and this permission notice shall be included in all copies or substantial portions of the Software. " + _AS_IS + " IN NO EVENT SHALL THE AUTHORS OR COPYRIGHT HOLDERS BE LIABLE FOR ANY CLAIM, DAMAGES OR OTHER LIABILITY, WHETHER IN AN ACTION OF CONTRACT, TORT OR OTHERWISE, ARISING FROM, OUT OF OR IN CONNECTION WITH THE SOFTWARE OR THE USE OR OTHER DEALINGS IN THE SOFTWARE."),
     ("ISC", "Permission to use, copy, modify, and/or distribute this software for any purpose with or without fee is hereby granted, provided that the above copyright notice and this permission notice appear in all copies."),
@@ -69,6 +74,8 @@ TEMPLATES = [
     ("Zlib", "This software is provided 'as-is', without any express or implied warranty. In no event will the authors be held liable for any damages arising from the use of this software. Permission is granted to anyone to use this software for any purpose, including commercial applications, and to alter it and redistribute it freely, subject to the following restrictions:"),
 ]
 TEMPLATES += [(i, f"SPDX-License-Identifier: {i}{tail}") for i in dict.fromkeys(i for i, _ in TEMPLATES) for tail in (("-only", "-or-later") if "GPL" in i else ("",))]
+#: A choice of two licences in an SPDX line counts as the choice; terms have no order, so the names are in that of the alphabet.
+TEMPLATES += [(f"{a} OR {b}", f"SPDX-License-Identifier: {a} OR {b}") for a, b in (("Apache-2.0", "BSD-3-Clause"), ("Apache-2.0", "MIT"), ("BSD-3-Clause", "MIT"), ("MIT", "Unlicense"))]
 
 _term, _no_text, _comment = re.compile(TERM), re.compile(NO_TEXT), re.compile(COMMENT)
 

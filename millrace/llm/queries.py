@@ -258,7 +258,7 @@ FROM files LEFT JOIN near USING (home)
 _quoted = lambda text: "'" + text.replace("'", "''") + "'"
 _forms = ", ".join(f"({i}, {_quoted(a)}, {_quoted(b)})" for i, (a, b) in enumerate(licenses.TEMPLATES))
 for _name, _text in (("term", licenses.TERM), ("no_text", licenses.NO_TEXT), ("comment", licenses.COMMENT), ("licence_file", licenses.LICENCE_FILE), ("forms", _forms)):
-    OP10_SQL = OP10_SQL.replace("{" + _name + "}", _text)
+    OP10_SQL = OP10_SQL.replace("{" + _name + "}", _text if _name == "forms" else _text.replace("'", "''"))
 
 OP11_SQL = r"""
 WITH d AS (SELECT doc_id, coalesce(text, '') AS t, string_split(coalesce(text, ''), chr(10)) AS parts, sha256('7:' || coalesce(doc_id::VARCHAR, '')) AS hex FROM documents),

@@ -777,6 +777,22 @@ import os
 }
 
 
+def test_docstrings_projects_and_choices_of_licences(spark):
+    mit = next(w for i, w in licenses.TEMPLATES if i == "MIT" and w.startswith("Permission"))
+    files = {
+        '"""\n' + mit.replace(", ", ",\n", 3) + '\n"""\nimport os\nx = 1\n': "MIT",
+        "# A project\n\nThis project is licensed under the terms of the MIT license.\n": "MIT",
+        "# SPDX-License-Identifier: MIT OR Apache-2.0\nint x;": "Apache-2.0 OR MIT",
+        "// SPDX-License-Identifier: MIT\nint x;": "MIT",
+        "// Distributed under the Boost Software License, Version 1.0.\n// (See accompanying file LICENSE_1_0.txt or copy at\n// http://www.boost.org/LICENSE_1_0.txt)\n": "BSL-1.0",
+        "Eclipse Public License - v 2.0": "EPL-2.0",
+        "plain text about the mit and a license to kill, with many words around": None,
+    }
+    docs = spark.createDataFrame([(i, f"{i}/x.py", t) for i, t in enumerate(files)], "doc_id long, path string, text string")
+    got = {r.doc_id: r.own_license for r in licenses.scan_licenses(docs).collect()}
+    assert [got[i] for i in range(len(files))] == list(files.values())
+
+
 def test_notices_as_they_stand_in_files_are_found(spark):
     sf = spark.read.parquet("/root/testdata/sf0.01/documents.parquet").selectExpr("doc_id + 1000 doc_id", "concat('corpus/', doc_id) path", "text")
     rng = random.Random(4)
