@@ -11,6 +11,14 @@ from millrace.sources import tape
 from millrace.streaming import corrections, flows, lifecycles
 
 T0 = datetime(2024, 1, 1)
+
+
+@pytest.fixture(autouse=True)
+def two_partitions(spark):
+    before = spark.conf.get("spark.sql.shuffle.partitions")
+    spark.conf.set("spark.sql.shuffle.partitions", "2")
+    yield
+    spark.conf.set("spark.sql.shuffle.partitions", before)
 SHAPE = "k long, start timestamp_ntz, v long, gone boolean"
 
 
