@@ -13,7 +13,6 @@ CHANGES = "user_id long, start long, last_seen long, on boolean, n long, gone bo
 _COLUMNS = [c.split()[0] for c in CHANGES.split(", ")]
 _READING = "at long, event_id long, value double"
 _OPEN = "start long, last_seen long, on boolean, n long"
-_SENT = "last_seen long, on boolean, n long"
 
 
 def fold(segment: tuple | None, rows: list[tuple], low: float, high: float) -> list[tuple]:
@@ -40,7 +39,7 @@ class _Corrected(StatefulProcessor):
     def init(self, handle) -> None:
         self.recent = handle.getListState("recent", _READING)
         self.settled = handle.getValueState("settled", _OPEN)
-        self.sent = handle.getMapState("sent", "start long", _SENT)
+        self.sent = handle.getListState("sent", _OPEN)
 
     def handleInputRows(self, key, rows, timerValues):
         """Folds the readings of the overlap again from the segment that was open before it, and tells how it differs from what was sent."""
@@ -48,7 +47,7 @@ class _Corrected(StatefulProcessor):
         recent = sorted([*self.recent.get(), *new], key=lambda r: r[:2])
         settled = self.settled.get() if self.settled.exists() else None
         segments = {s[0]: s[1:] for s in fold(settled, recent, self.low, self.high)}
-        sent = {k[0]: tuple(v) for k, v in self.sent.iterator()}
+        sent = {s[0]: tuple(s[1:]) for s in self.sent.get()}
         user = None if key[0] else key[1]
         out = [(user, start, *rest, False) for start, rest in segments.items() if sent.get(start) != rest]
         out += [(user, start, *rest, True) for start, rest in sent.items() if start not in segments]
@@ -62,11 +61,8 @@ class _Corrected(StatefulProcessor):
         keep = recent[len(passed) :]
         self.recent.put(keep) if keep else self.recent.clear()
         floor = settled[0] if settled else None
-        for start in set(sent) - set(segments) | {s for s in sent if floor is not None and s < floor}:
-            self.sent.removeKey((start,))
-        for start, rest in segments.items():
-            if (floor is None or start >= floor) and sent.get(start) != rest:
-                self.sent.updateValue((start,), rest)
+        last = [(start, *rest) for start, rest in segments.items() if floor is None or start >= floor]
+        self.sent.put(last) if last else self.sent.clear()
         if out:
             yield pd.DataFrame(out, columns=_COLUMNS)
 
