@@ -19,10 +19,10 @@ import re
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from millrace.llm.common import Staging, fold, held_out
+from millrace.llm.common import fold, held_out
 from millrace.llm.langid import code_points, letter_table
 
 #: Labelled rows of each class that the classifier is fitted on.
@@ -33,8 +33,11 @@ SEND = 2_000_000
 MEMORY = 200_000
 #: Characters counted at once.
 CHUNK = 1_000_000
-#: Letters that have a symbol of their own in the character model, the most frequent ones; all others share one.
-ALPHABET = 126
+#: The character model counts in two rows of 2 ** CELL_BITS cells, by products with these odd numbers.
+CELL_BITS = 21
+MULTIPLIERS = (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F)
+#: Letters that may yet come, by which the probability of a letter on its own is smoothed.
+UNSEEN = 128
 #: Beginnings of a word that count as features, in letters; the whole word is one more. Each is
 #: seen up to three times: in one, two, or three and more distinct words of a text.
 BEGINNINGS = (4, 5, 6, 8)
@@ -60,8 +63,21 @@ _MARKS = ".,;:!?\"'()-*_#$%&|"
 _plain = re.compile(r"^[\W_]+|[\W_]+$")
 
 
+def _cells(grams: np.ndarray) -> np.ndarray:
+    """The two cells (rows, grams) that count a gram; a gram has 21 bits for each letter plus one, so none is 0."""
+    return np.stack([1 + (grams.astype(np.uint64) * np.uint64(m) >> np.uint64(64 - CELL_BITS)).astype(np.int64) for m in MULTIPLIERS])
+
+
+def _cell(gram: int) -> tuple[int, int]:
+    """_cells() of one gram."""
+    return tuple(1 + ((gram * m & 2**64 - 1) >> 64 - CELL_BITS) for m in MULTIPLIERS)
+
+
 def _count_characters(batches):
-    """Character trigrams of the task's texts, as (code, n); a code has 21 bits for each lower-case letter, 0 between words."""
+    """Counts (cell, n) of the one to three letters at each place of the task's texts; lower-case letters, 0 between words.
+
+    Cells of the second row come after those of the first; cell 0 counts places.
+    """
     table = letter_table().astype(np.int64)
     for b in batches:
         texts = [t for t in b.column(0).to_pylist() if t]
@@ -71,65 +87,83 @@ def _count_characters(batches):
             size += len(t)
             if size < CHUNK and i < len(texts) - 1:
                 continue
-            x = table[code_points(" \n".join(parts))]
-            x = np.concatenate([np.zeros(2, np.int64), x, np.zeros(1, np.int64)])
-            code, n = np.unique(x[:-2] << 42 | x[1:-1] << 21 | x[2:], return_counts=True)
-            yield pa.RecordBatch.from_arrays([pa.array(code), pa.array(n)], names=["code", "n"])
+            x = np.concatenate([np.zeros(2, np.int64), table[code_points(" \n".join(parts))], np.zeros(2, np.int64)]) + 1
+            grams, n = np.unique(x[:-2] << 42 | x[1:-1] << 21 | x[2:], return_counts=True)
+            found = [(grams, n)]
+            for _ in range(2):  # by their first letters, which are sorted
+                grams = grams >> 21
+                first = np.flatnonzero(np.r_[True, grams[1:] != grams[:-1]])
+                grams, n = grams[first], np.add.reduceat(n, first)
+                found.append((grams, n))
+            cells = [_cells(g) + np.array([[0], [2**CELL_BITS]]) for g, _ in found]
+            cell, back = np.unique(np.concatenate([np.zeros(1, np.int64), *[c.ravel() for c in cells]]), return_inverse=True)
+            weight = np.concatenate([[n.sum()], *[np.tile(m, 2) for _, m in found]])
+            total = np.bincount(back, weight).astype(np.int64)
+            yield pa.RecordBatch.from_arrays([pa.array(cell), pa.array(total)], names=["cell", "n"])
             parts, size = [], 0
 
 
-def character_model(docs: DataFrame, alphabet: int = ALPHABET) -> tuple[str, np.ndarray]:
-    """The letters with symbols of their own, and log-probabilities of a symbol after two, from trigrams of all docs(text).
+def character_model(docs: DataFrame) -> tuple[float, np.ndarray]:
+    """How many places all docs(text) have, and counts of their runs of one to three letters in two rows of cells.
 
-    Symbols: 0 between words, 1 to n the letters, n + 1 any other letter.
+    Every letter of every script counts as itself. The cells bound what tasks
+    are sent: 2 * 2 ** CELL_BITS numbers, whatever the corpus. A run's count is the less of its two cells.
     """
-    counted = docs.select(F.col("text").cast("string")).mapInArrow(_count_characters, "code long, n long")
-    grams = Staging(docs.sparkSession, "toxicity").put(counted.groupBy("code").agg(F.sum("n").alias("n")), "grams")
-    last = F.col("code").bitwiseAND(2**21 - 1)
-    common = grams.groupBy(last.alias("c")).agg(F.sum("n").alias("n")).where("c > 0").orderBy(F.desc("n"), "c").limit(alphabet)
-    letters = "".join(chr(r.c) for r in common.collect())
-    size = len(letters) + 2
-    places = F.array(*[F.lit(ord(c)) for c in letters]) if letters else F.array().cast("array<int>")
-
-    def symbol(bits: int) -> Column:
-        c = F.shiftright("code", bits).bitwiseAND(2**21 - 1).cast("int")
-        at = F.array_position(places, c)
-        return F.when(c == 0, 0).when(at > 0, at).otherwise(size - 1)
-
-    n = np.zeros((size, size, size))
-    folded = grams.groupBy(symbol(42).alias("a"), symbol(21).alias("b"), symbol(0).alias("c")).agg(F.sum("n").alias("n"))
-    for r in folded.collect():  # at most size ** 3 rows
-        n[r.a, r.b, r.c] = r.n
-    one = (n.sum((0, 1)) + 1) / (n.sum() + size)
-    two = (n.sum(0) + 5 * one) / (n.sum((0, 2))[:, None] + 5)
-    return letters, np.log((n + 5 * two[None]) / (n.sum(2)[:, :, None] + 5)).astype(np.float32)
+    counted = docs.select(F.col("text").cast("string")).mapInArrow(_count_characters, "cell long, n long")
+    got = counted.groupBy("cell").agg(F.sum("n").alias("n")).toArrow()  # at most a row a cell
+    flat = np.zeros(1 + 2 * 2**CELL_BITS)
+    flat[got.column("cell").to_numpy()] = got.column("n").to_numpy()
+    return float(flat[0]), flat[1:].reshape(2, -1).astype(np.float32)
+
+
+class _Row(dict):
+    """Log-probabilities of letters after two given ones, reckoned when first asked for."""
+
+    __slots__ = ("after", "model")
+
+    def __missing__(self, c: int) -> float:
+        got = self[c] = self.model.logp(*self.after, c)
+        self.model.held += 1
+        return got
 
 
 class Characters:
-    """A character model as tasks use it: rows of log-probabilities as lists."""
+    """A character model as tasks use it: interpolated probabilities of a letter (0 between words) after two."""
+
+    def __init__(self, places: float, cells: np.ndarray) -> None:
+        self.places, self.cells = places, cells
+        self.rows: dict[tuple[int, int], _Row] = {}
+        self.held = 0
+
+    def count(self, gram: int) -> float:
+        i, j = _cell(gram)
+        return min(float(self.cells[0, i - 1]), float(self.cells[1, j - 1]))
 
-    def __init__(self, letters: str, logp: np.ndarray) -> None:
-        self.known = {c: i + 1 for i, c in enumerate(letters)}
-        self.other = len(letters) + 1
-        self.logp = logp
-        self.rows: dict[tuple[int, int], list[float]] = {}
+    def logp(self, a: int, b: int, c: int) -> float:
+        count, a, b, c = self.count, a + 1, b + 1, c + 1
+        one = (count(c) + 1) / (self.places + UNSEEN)
+        two = (count(b << 21 | c) + 5 * one) / (count(b) + 5)
+        return math.log((count(a << 42 | b << 21 | c) + 5 * two) / (count(a << 21 | b) + 5))
 
     def symbol(self, ch: str) -> int:
-        return self.known.get(ch, self.other)
+        return ord(ch)
 
-    def row(self, a: int, b: int) -> list[float]:
+    def row(self, a: int, b: int) -> _Row:
         got = self.rows.get((a, b))
         if got is None:
-            got = self.rows[a, b] = self.logp[a, b].tolist()
+            if self.held > MEMORY:
+                self.rows.clear()
+                self.held = 0
+            got = self.rows[a, b] = _Row()
+            got.after, got.model = (a, b), self
         return got
 
     def score(self, word: str) -> float:
         """Log-probability of a word as it stands, its end included."""
-        rows, known, other = self.rows, self.known, self.other
+        rows = self.rows
         a = b = 0
         total = 0.0
-        for ch in word:
-            s = known.get(ch, other)
+        for s in map(ord, word):
             total += (rows.get((a, b)) or self.row(a, b))[s]
             a, b = b, s
         return total + self.row(a, b)[0]
@@ -141,14 +175,14 @@ def restore(word: str, model: Characters, single: bool = True) -> str:
     Each place offers letters for its sign, or nothing for a filler; of a run
     of one letter or sign, all but the first may be dropped if single.
     """
-    rows, known, other = model.rows, model.known, model.other
+    rows = model.rows
     states = {(0, 0): (0.0, None)}  # last two symbols -> score, letters as a chain
     before = ""
     for ch in word:
         if ch.isalpha():
-            choices = [(ch, 0.0, known.get(ch, other))]
+            choices = [(ch, 0.0, ord(ch))]
         else:
-            choices = [(c, SIGN_COST, known.get(c, other)) for c in SIGNS.get(ch, "")]
+            choices = [(c, SIGN_COST, ord(c)) for c in SIGNS.get(ch, "")]
         nxt: dict = {}
         for (a, b), (score, chain) in states.items():
             row = rows.get((a, b)) or model.row(a, b)
@@ -233,7 +267,7 @@ def _features(form: str) -> list[int]:
 class _Reader:
     """From words to features (of those wanted), with a bounded memory of words and beginnings seen."""
 
-    def __init__(self, model: tuple[str, np.ndarray], wanted: set[int] | None = None) -> None:
+    def __init__(self, model: tuple[float, np.ndarray], wanted: set[int] | None = None) -> None:
         self.model = Characters(*model)
         self.wanted = wanted
         self.room = MEMORY if wanted is None else 3 * MEMORY  # where features are wanted, few words have any

@@ -1,6 +1,7 @@
 """Results against brute force, exact round trips, SQL and held-out accuracy."""
 
 import hashlib
+import math
 import os
 import random
 import zlib
@@ -255,13 +256,30 @@ def test_restored_words_of_another_script(spark):
     model = toxicity.Characters(*toxicity.character_model(frame(spark, [(1, text, "ru", "a"), (2, "the road was long and the dog slept " * 20, "en", "a")])))
     for written, meant in [("д0р0га", "дорога"), ("к@бан", "кабан"), ("к.а.б.а.н", "кабан"), ("р0ad", "рoad"), ("r0ad", "road"), ("3ной", "зной")]:
         assert meant in toxicity._forms(written, model), written
-    odd = toxicity.character_model(frame(spark, [(1, text, "ru", "a")]), alphabet=4)
-    assert len(odd[0]) == 4 and odd[1].shape == (6, 6, 6)
-    total = np.exp(model.logp.astype(float)).sum(axis=2)
-    assert np.allclose(total, 1, atol=1e-4)
     assert model.row(model.symbol("д"), model.symbol("о"))[model.symbol("р")] > model.row(model.symbol("д"), model.symbol("о"))[model.symbol("o")] + 1
 
 
+def test_character_model_counts_every_letter_of_a_large_script(spark):
+    """Probabilities against plain counts; 3,000 letters beside Latin ones, none of which share anything."""
+    rng = random.Random(5)
+    texts = ["".join(rng.choice([chr(0x4E00 + min(int(rng.expovariate(1 / 400)), 2999)), chr(0x4E00 + rng.randrange(3000)), " "]) for _ in range(400)) for _ in range(60)]
+    texts += ["the road was long and the dog slept", "", None]
+    places, cells = toxicity.character_model(frame(spark, [(i, t, "zh", "a") for i, t in enumerate(texts)]))
+    model = toxicity.Characters(places, cells)
+    x = [ord(c) if c.isalpha() else 0 for t in texts if t for c in t + "  "]
+    letters = Counter(x)
+    assert len(letters) > 2500  # of 3,000 drawn from
+    n3, n2 = Counter(zip(x, x[1:], x[2:])), Counter(zip(x, x[1:]))
+    off = 0
+    for a, b, c in rng.sample(sorted(n3), 3000):
+        one = (letters[c] + 1) / (sum(letters.values()) + toxicity.UNSEEN)
+        two = (n2[b, c] + 5 * one) / (letters[b] + 5)
+        want = math.log((n3[a, b, c] + 5 * two) / (n2[a, b] + 5))
+        off += abs(model.row(a, b)[c] - want) > (0.05 if 0 in (a, b) else 1e-3)
+    assert off <= 30  # the two cells of a run are both shared at times
+    assert model.row(0, ord("t"))[ord("h")] > model.row(0, ord("t"))[0x4E00] + 2
+
+
 def test_restore_by_brute_force(spark):
     """The Viterbi search against every path through the lattice."""
     import itertools
