@@ -5,10 +5,11 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from millrace.functions.intervals import micros
-from millrace.operators import anchored, bands, dyadic, episodes, intervals, ranks
+from millrace.operators import anchored, bands, dyadic, episodes, intervals, ranks, status
 from millrace.plans.catalogue import _E, _MERGED, KEYS, ORDER, _drain, _sessions, _shared, query, readings, table
 from millrace.sources import arrivals, tape
-from millrace.streaming import corrections, flows, lifecycles
+from millrace.streaming import corrections, flows, lifecycles, replay
+from millrace.streaming import status as watch
 
 #: Quarters of the scale; five below a band's lower edge still belong to it; two readings in a row confirm.
 TRACKER = bands.BandTracker((25.0, 50.0, 75.0), margin=5.0, n=2)
@@ -196,3 +197,53 @@ def clipped_intervals(spark, sf_dir):
     spans = e.select("user_id", F.col("ts").alias("start"), F.when(F.col("event_id") % 3 != 0, F.col("ts") + F.expr("interval 5 days")).alias("stop"))
     at = lambda day: F.lit(day).cast("timestamp_ntz")
     return intervals.clip(spans, at("2024-01-10"), at("2024-01-20"))
+
+
+#: 60 or more is high; a status stands for twelve hours before it is told; three days of silence are stale.
+STATUS = watch.StatusRules(level=60.0, hold=12 * 3600.0, stale_after=3 * 86400.0)
+
+_TOLD = """WITH u AS (SELECT date_trunc('millisecond', max(ts))::TIMESTAMP - INTERVAL 2 DAY AS u FROM events),
+r AS (SELECT user_id, event_id, ts, CASE WHEN value >= 60 AND NOT isnan(value) THEN 'high' WHEN value < 60 THEN 'normal' END AS named, lag(ts) OVER o AS p, lead(ts) OVER o AS n FROM events, u WHERE ts < u WINDOW o AS (PARTITION BY user_id ORDER BY ts, event_id)),
+e AS (SELECT *, sum(CASE WHEN p IS NULL OR ts - p >= INTERVAL 3 DAY THEN 1 ELSE 0 END) OVER (PARTITION BY user_id ORDER BY ts, event_id) AS era FROM r),
+s AS (SELECT *, lag(named) OVER (PARTITION BY user_id, era ORDER BY ts, event_id) AS before FROM e WHERE named IS NOT NULL),
+v AS (SELECT user_id, event_id, ts AS t, 1 AS kind, named AS status FROM s WHERE before IS DISTINCT FROM named UNION ALL SELECT user_id, event_id, ts + INTERVAL 3 DAY, 0, 'stale' FROM e WHERE n IS NULL OR n - ts >= INTERVAL 3 DAY),
+w AS (SELECT *, lead(t) OVER (PARTITION BY user_id ORDER BY t, kind, event_id) AS next, CASE kind WHEN 0 THEN t ELSE t + INTERVAL 12 HOUR END AS due FROM v),
+k AS (SELECT w.*, lag(status) OVER (PARTITION BY user_id ORDER BY t, kind, event_id) AS told FROM w, u WHERE due < u AND (kind = 0 OR next >= due)),
+c AS (SELECT user_id, due, status FROM k WHERE told IS DISTINCT FROM status)"""
+_CHANGES = _TOLD + """ SELECT user_id, due AS "at", status FROM c"""
+
+
+@query(_CHANGES)
+def status_changes(spark, sf_dir):
+    """What is told of each device: high or normal once it has stood, stale after silence."""
+    e = readings(spark, sf_dir)
+    until = e.agg(F.date_trunc("millisecond", F.max("ts")).cast("timestamp_ntz") - F.expr("interval 2 days")).scalar()  # where the stream's clock stands still
+    return status.status_changes(e, KEYS, "ts", ORDER, "value", STATUS.level, STATUS.hold, STATUS.stale_after, until, "day")
+
+
+@query(_CHANGES)
+def streamed_status(spark, sf_dir):
+    """The same from the stream, with the watermark as clock."""
+    home = _shared(spark, "status")
+    changes = watch.device_status(flows.read_readings(spark, f"{sf_dir}/events.parquet*", None), STATUS, "2 days")
+    with lifecycles.rocksdb_state(spark):
+        _drain(changes.writeStream.outputMode("append").format("parquet").option("path", f"{home}/rows").option("checkpointLocation", f"{home}/log"))
+    rows = spark.read.schema("user_id long, at timestamp, status string").parquet(f"{home}/rows")
+    return rows.withColumn("at", F.col("at").cast("timestamp_ntz"))
+
+
+@query(_TOLD + """ SELECT field, (SELECT count(*) FROM (SELECT DISTINCT * FROM c)) AS n, 0::BIGINT AS off, 0::DOUBLE AS worst FROM (VALUES ('rows'), ('at_us')) f(field)""")
+def replayed_status(spark, sf_dir):
+    """The stream over late deliveries with a restart, field by field against the whole table: nothing is off."""
+    home = _shared(spark, "replay")
+    readings(spark, sf_dir).select("event_id", "ts", "user_id", "event_type", "value", F.lit(None).cast("string").alias("props")).write.parquet(f"{home}/all")
+
+    def run(folder):
+        changes = watch.device_status(flows.read_readings(spark, folder, 8), STATUS, "2 days")
+        with lifecycles.rocksdb_state(spark, idle_batches=True):
+            _drain(changes.writeStream.outputMode("append").format("parquet").option("path", f"{home}/rows").option("checkpointLocation", f"{home}/log"))
+
+    replay.replay(spark.read.schema(flows.READINGS).parquet(f"{home}/all"), "ts", "event_id", 36 * 3600, 4, f"{home}/in", run)
+    got = spark.read.schema("user_id long, at timestamp, status string").parquet(f"{home}/rows").withColumn("at", F.col("at").cast("timestamp_ntz"))
+    tell = lambda df: df.select("user_id", "at", "status", micros(F.col("at")).alias("at_us"))
+    return replay.parity(tell(status_changes(spark, sf_dir)), tell(got), ["user_id", "at", "status"], 1e-9)
