@@ -5,10 +5,11 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from millrace.functions.intervals import micros
+from millrace.functions.mapping import mapped
 from millrace.operators import running
 from millrace.plans import catalogue
 from millrace.plans.catalogue import query, readings, table
-from millrace.sources import tables
+from millrace.sources import documents, tables
 
 
 @query("""SELECT c_custkey, c_name FROM customer WHERE NOT EXISTS (SELECT 1 FROM orders WHERE o_custkey = c_custkey AND o_totalprice > 300000)""")
@@ -115,6 +116,31 @@ def upsert_filling_nulls(spark, sf_dir):
     return tables.fill_missing(old, new, ["c_custkey"]).withColumn("c_acctbal", F.round("c_acctbal", 2))
 
 
+@query("""WITH old AS (SELECT c_custkey, c_name, c_acctbal, c_mktsegment FROM customer WHERE c_custkey % 4 <> 0), new AS (SELECT c_custkey, CASE WHEN c_custkey % 6 = 0 THEN NULL ELSE upper(c_name) END AS c_name, c_acctbal + 1 AS c_acctbal FROM customer WHERE c_custkey % 2 = 0)
+SELECT coalesce(old.c_custkey, new.c_custkey) AS c_custkey, coalesce(new.c_name, old.c_name) AS c_name, round(coalesce(new.c_acctbal, old.c_acctbal), 2) AS c_acctbal, c_mktsegment FROM old FULL JOIN new USING (c_custkey)""")
+def upsert_open_rows(spark, sf_dir):
+    """New values replace old ones where there are any; the old row's other columns stay."""
+    c = table(spark, sf_dir, "customer")
+    old = c.where("c_custkey % 4 <> 0").select("c_custkey", "c_name", "c_acctbal", "c_mktsegment")
+    new = c.where("c_custkey % 2 = 0").select("c_custkey", F.when(F.col("c_custkey") % 6 != 0, F.upper("c_name")).alias("c_name"), (F.col("c_acctbal") + 1).alias("c_acctbal"))
+    return tables.merge_open(old, new, ["c_custkey"]).withColumn("c_acctbal", F.round("c_acctbal", 2))
+
+
+@query("""WITH l AS (SELECT l_orderkey AS o_orderkey, count(*) AS lines, sum(round(l_extendedprice * 100))::BIGINT AS cents, count(DISTINCT l_partkey) AS parts, min(l_linenumber)::BIGINT AS first_line FROM lineitem GROUP BY 1)
+SELECT o_orderkey, o_orderdate, CASE WHEN o_orderpriority LIKE '1-%' THEN 'alert' WHEN o_orderpriority LIKE '2-%' THEN 'warning' ELSE 'info' END AS severity, coalesce(lines, 0) AS lines, coalesce(cents, 0) AS cents, coalesce(parts, 0) AS parts, first_line FROM orders LEFT JOIN l USING (o_orderkey)""")
+def order_documents(spark, sf_dir):
+    """Orders as nested JSON with their lines, read back from the text; the priority is mapped, with a default."""
+    o = table(spark, sf_dir, "orders").select("o_orderkey", "o_orderdate", "o_orderpriority")
+    lines = table(spark, sf_dir, "lineitem").select(F.col("l_orderkey").alias("o_orderkey"), "l_linenumber", "l_partkey", F.round(F.col("l_extendedprice") * 100).cast("long").alias("cents"))
+    made = documents.documents(o, lines, ["o_orderkey"], "lines", ["l_linenumber"])
+    shape = "o_orderkey long, o_orderdate timestamp_ntz, o_orderpriority string, lines array<struct<l_linenumber long, l_partkey long, cents long>>"
+    read, _ = documents.read_documents(made, "document", shape)
+    line = F.col("fields.lines")
+    severity = mapped(F.split("fields.o_orderpriority", "-")[0], {"1": "alert", "2": "warning"}, "info", "info")
+    total = F.aggregate(line, F.lit(0).cast("long"), lambda s, x: s + x["cents"])
+    return read.select("fields.o_orderkey", "fields.o_orderdate", severity.alias("severity"), F.size(line).cast("long").alias("lines"), total.alias("cents"), F.size(F.array_distinct(line["l_partkey"])).cast("long").alias("parts"), F.try_element_at(line, F.lit(1))["l_linenumber"].alias("first_line"))
+
+
 @query(_SIDES + """ SELECT c_custkey, c_name, round(c_acctbal, 2) AS c_acctbal FROM old UNION ALL SELECT c_custkey, c_name, round(c_acctbal, 2) FROM new WHERE NOT EXISTS (SELECT 1 FROM old WHERE old.c_custkey = new.c_custkey)""")
 def upsert_setting_once(spark, sf_dir):
     old, new = _sides(spark, sf_dir)

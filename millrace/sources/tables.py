@@ -76,6 +76,17 @@ def fill_missing(old: DataFrame, new: DataFrame, keys: list[str]) -> DataFrame:
     return both.select(*names, *[F.coalesce(F.col(f"o_.{c}"), F.col(f"n_.{c}")).alias(c) for c in old.columns if c not in keys])
 
 
+def merge_open(old: DataFrame, new: DataFrame, keys: list[str]) -> DataFrame:
+    """old, with what the new row of the same key has in place of it where that is not null, and the rows of new keys; one row a key on either side.
+
+    Columns that only old has are kept, and are null in rows of new keys; columns that only new has are left out.
+    """
+    both = _paired(old, new, keys, "full_outer")
+    names = [F.when(F.col("o_here"), F.col("o_" + k)).otherwise(F.col("n_" + k)).alias(k) for k in keys]
+    rest = [c for c in old.columns if c not in keys]
+    return both.select(*names, *[(F.coalesce(F.col(f"n_.{c}"), F.col(f"o_.{c}")) if c in new.columns else F.col(f"o_.{c}")).alias(c) for c in rest]).select(*old.columns)
+
+
 def insert_missing(old: DataFrame, new: DataFrame, keys: list[str]) -> DataFrame:
     """old as it is, and the rows of new whose keys it lacks: values are set once."""
     lacking = _paired(new, old, keys, "left_anti")
