@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from millrace.functions.intervals import micros
 from millrace.operators import anchored, bands, dyadic, episodes, intervals, ranks, status
-from millrace.plans.catalogue import _E, _MERGED, KEYS, ORDER, _drain, _sessions, _shared, query, readings, table
+from millrace.plans.catalogue import _E, _MERGED, KEYS, ORDER, _drain, _sessions, _shared, bucket, query, readings, table
 from millrace.sources import arrivals, tape
 from millrace.streaming import corrections, flows, lifecycles, replay
 from millrace.streaming import status as watch
@@ -218,7 +218,7 @@ def status_changes(spark, sf_dir):
     """What is told of each device: high or normal once it has stood, stale after silence."""
     e = readings(spark, sf_dir)
     until = e.agg(F.date_trunc("millisecond", F.max("ts")).cast("timestamp_ntz") - F.expr("interval 2 days")).scalar()  # where the stream's clock stands still
-    return status.status_changes(e, KEYS, "ts", ORDER, "value", STATUS.level, STATUS.hold, STATUS.stale_after, until, "day")
+    return status.status_changes(e, KEYS, "ts", ORDER, "value", STATUS.level, STATUS.hold, STATUS.stale_after, until, bucket(e))
 
 
 @query(_CHANGES)
