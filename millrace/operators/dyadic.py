@@ -65,12 +65,14 @@ def chain_sums(spark: SparkSession, links: DataFrame, node: str, before: str, va
     and share their predecessor. By pointer doubling: each round a node that
     points at p takes over what p points at and the sum that p has gathered, so
     a chain of n links takes log2(n) rounds, each an equi-join staged in the
-    shared folder. Chains that run in a circle raise an error.
+    shared folder. Both sides of a round grow with the table, so they are
+    shuffled: broadcasts would pass the table through the driver once a round.
+    Chains that run in a circle raise an error.
     """
     home = f"{shared_folder(spark)}/chains-{uuid.uuid4().hex}"
     nodes = links.select(F.col(node).alias("node"))
     first = links.select(F.col(node).alias("node"), F.col(before).alias("_b"), F.col(value).alias("total"))
-    here = first.join(nodes.select(F.col("node").alias("_b"), F.lit(True).alias("_known")), "_b", "left")
+    here = first.join(nodes.select(F.col("node").alias("_b"), F.lit(True).alias("_known")).hint("merge"), "_b", "left")
     state = here.select("node", F.when(F.col("_known"), F.col("_b")).alias("at"), F.lit(0).cast("long").alias("hops"), "total", F.col("node").alias("origin"))
     state = state.withColumn("hops", F.when(F.col("at").isNotNull(), 1).otherwise(0).cast("long")).withColumn("origin", F.coalesce("at", "origin"))
     for i in range(most_rounds):
@@ -84,6 +86,6 @@ def chain_sums(spark: SparkSession, links: DataFrame, node: str, before: str, va
         if not going.limit(1).count():
             return state.select("node", "origin", "hops", "total")
         ahead = state.select(F.col("node").alias("at"), F.col("at").alias("_at"), F.col("hops").alias("_hops"), F.col("total").alias("_total"), F.col("origin").alias("_origin"))
-        moved = going.join(ahead, "at").select("node", F.col("_at").alias("at"), (F.col("hops") + F.col("_hops")).alias("hops"), (F.col("total") + F.col("_total")).alias("total"), F.col("_origin").alias("origin"))
+        moved = going.join(ahead.hint("merge"), "at").select("node", F.col("_at").alias("at"), (F.col("hops") + F.col("_hops")).alias("hops"), (F.col("total") + F.col("_total")).alias("total"), F.col("_origin").alias("origin"))
         state = state.where("at is null").unionByName(moved)
     raise ValueError(f"chains of more than 2 ** {most_rounds} links, or in a circle")

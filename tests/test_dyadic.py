@@ -47,6 +47,16 @@ def test_a_chain_of_100_000_links(spark):
     assert out.where("origin = 0 and hops = node and total = 2 * (node + 1)").count() == 100_000
 
 
+def test_chains_send_no_tables_through_the_driver(spark):
+    spark.conf.set("spark.sql.maxBroadcastTableSize", "1k")  # a broadcast of more raises an error
+    try:
+        links = spark.range(3_000).select("id", (F.col("id") - 1).alias("b"), F.col("id").alias("v"))
+        out = dyadic.chain_sums(spark, links, "id", "b", "v")
+        assert out.where("origin = 0 and hops = node and total = node * (node + 1) / 2").count() == 3_000
+    finally:
+        spark.conf.unset("spark.sql.maxBroadcastTableSize")
+
+
 def test_trees_strangers_and_circles(spark):
     rows = [(i, None if i % 10 == 0 else random.Random(i).randrange(i // 10 * 10, i), i) for i in range(1, 60)] + [(100, 999, 5)]
     want, before = {}, {n: b for n, b, _ in rows}
