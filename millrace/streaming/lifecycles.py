@@ -10,6 +10,8 @@ other batches, give the same rows.
 from __future__ import annotations
 
 import contextlib
+from collections import defaultdict
+from collections.abc import Iterator
 from dataclasses import dataclass
 
 import pandas as pd
@@ -33,6 +35,48 @@ def known(name: str) -> list[Column]:
     return [F.col(name).isNull().alias(KEY[0]), F.coalesce(name, F.lit(0)).alias(KEY[1])]
 
 
+#: Devices share a state row by a hash of their number, for a call of Python and a row of state cost more than
+#: the readings of a device do. The number is part of the checkpoint; devices in a group, and so what a task holds at once, are 1 / GROUPS of all.
+GROUPS, GROUP = 2048, "_group"
+
+
+def grouped(rows: DataFrame) -> DataFrame:
+    """rows, which have known() columns, with the group of their device."""
+    return rows.withColumn(GROUP, F.pmod(F.xxhash64(*KEY), F.lit(GROUPS)))
+
+
+def held(state, *shapes: str) -> list[list[tuple]]:
+    """The rows of each table that a state holds, a column an array."""
+    widths = [len(s.split(", ")) for s in shapes]
+    columns = iter(state.get if state.exists else [[]] * sum(widths))
+    return [list(zip(*[next(columns) for _ in range(w)])) for w in widths]
+
+
+def keep(state, *tables: list[tuple] | str) -> None:
+    """Holds tables, each with its shape behind it, as held() reads them; a state of no rows is removed."""
+    pairs = list(zip(tables[::2], tables[1::2]))
+    if any(rows for rows, _ in pairs):
+        state.update(tuple(c for rows, shape in pairs for c in ([list(c) for c in zip(*rows)] or [[] for _ in shape.split(", ")])))
+    elif state.exists:
+        state.remove()
+
+
+def taken(frames: Iterator[pd.DataFrame], names: list[str], waiting: list[tuple] = ()) -> dict[int | None, list[tuple]]:
+    """Readings by device: those that waited (device, names), then those of the frames; of these there are none when a timeout woke the group."""
+    out = defaultdict(list)
+    for user, *rest in waiting:
+        out[user].append(tuple(rest))
+    for frame in frames:
+        for none, user, *rest in zip(*[frame[c].tolist() for c in [*KEY, *names]]):
+            out[None if none else user].append(tuple(rest))
+    return out
+
+
+def wake_at(state, at: int) -> None:
+    """A group is woken when the watermark has passed `at` (microseconds), which it has not yet."""
+    state.setTimeoutTimestamp(max(1, at // 1000))
+
+
 @contextlib.contextmanager
 def rocksdb_state(spark: SparkSession, idle_batches: bool = True):
     """The state store that transformWithState needs, for queries started inside; the session's own settings come back.

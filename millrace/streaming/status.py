@@ -8,18 +8,18 @@ equal those of operators.status.
 
 from __future__ import annotations
 
+from collections.abc import Iterator
 from dataclasses import dataclass
 
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.streaming.stateful_processor import StatefulProcessor
 
-from millrace.streaming.lifecycles import KEY, known
+from millrace.streaming.lifecycles import GROUP, grouped, held, keep, known, taken, wake_at
 
 _OUT = "user_id long, at long, status string"
-_WAITING = "at long, event_id long, value double"
-_STATUS = "reported string, candidate string, since long, heard long, wakes long"
+_DEVICES = "user_id array<long>, reported array<string>, candidate array<string>, since array<long>, heard array<long>"
+_WAITING = "of array<long>, at array<long>, event_id array<long>, value array<double>"
 
 
 @dataclass(frozen=True)
@@ -69,71 +69,34 @@ class Status:
         return out
 
 
-class _Watch(StatefulProcessor):
-    """One device; on_arrival: rows count when they arrive by the wall clock, else when the watermark has passed them."""
-
-    def __init__(self, rules: StatusRules, on_arrival: bool) -> None:
-        self.rules, self.on_arrival = rules, on_arrival
-
-    def init(self, handle) -> None:
-        self.handle = handle
-        self.status = handle.getValueState("status", _STATUS)
-        self.waiting = handle.getListState("waiting", _WAITING)
-
-    def _load(self) -> tuple[Status, int | None]:
-        if not self.status.exists():
-            return Status(self.rules), None
-        reported, candidate, since, heard, wakes = self.status.get()
-        return Status(self.rules, reported, candidate, since, heard), wakes
-
-    def _store(self, status: Status, wakes: int | None, first: int | None) -> None:
-        """Keeps the state, with the one timer it needs: when the next change is due or the first of the waiting rows."""
-        due = status.due()
-        times = [t for t in (due and due[0], first) if t is not None]
-        wake = min(times) // 1000 + 1 if times else None
-        if wakes is not None and wakes != wake:
-            self.handle.deleteTimer(wakes)
-        if wake is not None and wakes != wake:
-            self.handle.registerTimer(wake)
-        self.status.update((status.reported, status.candidate, status.since, status.heard, wake))
-
-    @staticmethod
-    def _rows(key, out):
+def _watch(rules: StatusRules, on_arrival: bool):
+    """The devices of a group; on_arrival: rows count when they arrive by the wall clock, else when the watermark has passed them."""
+
+    def run(key: tuple, frames: Iterator[pd.DataFrame], state) -> Iterator[pd.DataFrame]:
+        devices, waiting = held(state, _DEVICES, _WAITING)
+        known = {user: Status(rules, *rest) for user, *rest in devices}
+        rows = taken(frames, ["at", "event_id", "value"], waiting)
+        now = (state.getCurrentProcessingTimeMs() if on_arrival else state.getCurrentWatermarkMs()) * 1000
+        out, rest = [], []
+        for user in known.keys() | rows.keys():
+            status = known.setdefault(user, Status(rules))
+            mine = sorted(rows.get(user, ()), key=lambda r: r[:2])
+            due = mine if on_arrival else [r for r in mine if r[0] < now]
+            changes = [c for at, _, value in due for c in status.take(now if on_arrival else at, value)]
+            changes += status.advance(now if on_arrival else now - 1)
+            out += [(user, *c) for c in changes]
+            rest += [(user, *r) for r in mine[len(due) :]]
+        keep(state, [(user, s.reported, s.candidate, s.since, s.heard) for user, s in known.items()], _DEVICES, rest, _WAITING)
+        # the next change, or the first of the waiting rows, wakes the group
+        times = [r[1] for r in rest] + [d[0] for s in known.values() if (d := s.due())]
+        if times and on_arrival:
+            state.setTimeoutDuration(max(1, (min(times) - now) // 1000 + 1))
+        elif times:
+            wake_at(state, min(times))
         if out:
-            yield pd.DataFrame([(None if key[0] else key[1], at, what) for at, what in out], columns=["user_id", "at", "status"])
+            yield pd.DataFrame(out, columns=["user_id", "at", "status"])
 
-    def handleInputRows(self, key, rows, timerValues):
-        status, wakes = self._load()
-        new = [(int(at), int(i), None if pd.isna(v) else float(v)) for frame in rows for at, i, v in frame[["at", "event_id", "value"]].itertuples(index=False, name=None)]
-        out = []
-        if self.on_arrival:
-            now = timerValues.getCurrentProcessingTimeInMs() * 1000
-            for _, _, value in sorted(new, key=lambda r: r[:2]):
-                out += status.take(now, value)
-            self._store(status, wakes, None)
-        elif new:
-            self.waiting.appendList(new)
-            first = min(r[0] for r in new)
-            self._store(status, wakes, first if wakes is None else min(first, (wakes - 1) * 1000))
-        yield from self._rows(key, out)
-
-    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo):
-        status, _ = self._load()  # the timer that woke the device is gone
-        if self.on_arrival:
-            out, first = status.advance(timerValues.getCurrentProcessingTimeInMs() * 1000), None
-        else:
-            now = timerValues.getCurrentWatermarkInMs() * 1000
-            rows = sorted(self.waiting.get(), key=lambda r: r[:2])
-            due = [r for r in rows if r[0] < now]
-            out = [change for at, _, value in due for change in status.take(at, value)] + status.advance(now - 1)
-            if due:
-                self.waiting.put(rows[len(due) :]) if len(due) < len(rows) else self.waiting.clear()
-            first = rows[len(due)][0] if len(due) < len(rows) else None
-        self._store(status, None, first)
-        yield from self._rows(key, out)
-
-    def close(self) -> None:
-        pass
+    return run
 
 
 def device_status(stream: DataFrame, rules: StatusRules, late: str | None = None) -> DataFrame:
@@ -146,5 +109,6 @@ def device_status(stream: DataFrame, rules: StatusRules, late: str | None = None
     rows = stream.where("ts is not null")
     rows = rows if late is None else rows.withWatermark("ts", late)
     rows = rows.select(*known("user_id"), "ts", F.unix_micros("ts").alias("at"), F.coalesce("event_id", F.lit(0)).alias("event_id"), F.col("value").cast("double").alias("value"))
-    out = rows.groupBy(*KEY).transformWithStateInPandas(_Watch(rules, late is None), _OUT, "append", "processingtime" if late is None else "eventtime")
+    clock = "ProcessingTimeTimeout" if late is None else "EventTimeTimeout"
+    out = grouped(rows).groupBy(GROUP).applyInPandasWithState(_watch(rules, late is None), _OUT, f"{_DEVICES}, {_WAITING}", "append", clock)
     return out.select("user_id", F.timestamp_micros("at").alias("at"), "status")
