@@ -1,9 +1,9 @@
 """Alarm episodes over many batches: rows in any order within the watermark, open and closed pieces, cuts at midnight.
 
-Readings wait in a list state until the watermark has passed them, and an
-event-time timer wakes their device then; so they are taken in order of time,
-however files are shuffled. The open episodes of a device, one a signal, are a
-map state. What a batch sends out depends on the watermark alone: a restart, or
+Readings wait in the state until the watermark has passed them, and an
+event-time timeout wakes their group of devices then; so they are taken in order
+of time, however files are shuffled. The open episodes of a device, one a signal,
+wait beside them. What a batch sends out depends on the watermark alone: a restart, or
 other batches, give the same rows.
 """
 
@@ -17,14 +17,13 @@ from dataclasses import dataclass
 import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.streaming.stateful_processor import StatefulProcessor
 
 DAY = 86_400_000_000
 PIECES = "user_id long, event_type string, opened timestamp, part int, start timestamp, stop timestamp, reason string, worst double, n long, covered double"
 _OUT = "user_id long, event_type string, opened long, part int, start long, stop long, reason string, worst double, n long, covered double"
 _COLUMNS = [c.split()[0] for c in _OUT.split(", ")]
-_WAITING = "at long, event_id long, event_type string, value double"
-_OPEN = "opened long, start long, part int, worst double, n long, covered long, hit long, missed array<long>"
+_OPEN = "user_id array<long>, signal array<string>, opened array<long>, start array<long>, part array<int>, worst array<double>, n array<long>, covered array<long>, hit array<long>, missed array<array<long>>"
+_WAITING = "of array<long>, at array<long>, event_id array<long>, event_type array<string>, value array<double>"
 
 
 KEY = ["_none", "_id"]
@@ -79,9 +78,9 @@ def wake_at(state, at: int) -> None:
 
 @contextlib.contextmanager
 def rocksdb_state(spark: SparkSession, idle_batches: bool = True):
-    """The state store that transformWithState needs, for queries started inside; the session's own settings come back.
+    """State in RocksDB, outside the heap, for queries started inside; the session's own settings come back.
 
-    idle_batches: a batch without rows runs when the watermark has moved, which timers need.
+    idle_batches: a batch without rows runs when the watermark has moved, which timeouts need.
     """
     wanted = {"spark.sql.streaming.stateStore.providerClass": "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider", "spark.sql.streaming.noDataMicroBatches.enabled": str(idle_batches).lower()}
     before = {key: spark.conf.get(key, None) for key in wanted}
@@ -160,70 +159,53 @@ class Episode:
         return [*out, self._piece(stop, reason)]
 
 
-class _Episodes(StatefulProcessor):
-    def __init__(self, rules: EpisodeRules) -> None:
-        self.rules = rules
-
-    def init(self, handle) -> None:
-        self.handle = handle
-        self.waiting = handle.getListState("waiting", _WAITING)
-        self.open = handle.getMapState("open", "event_type string", _OPEN)
-
-    def handleInputRows(self, key, rows, timerValues):
-        soonest = None
-        for frame in rows:
-            frame = frame[frame["value"].notna()]
-            if len(frame):
-                self.waiting.appendList(list(frame[["at", "event_id", "event_type", "value"]].itertuples(index=False, name=None)))
-                first = int(frame["at"].min())
-                soonest = first if soonest is None else min(soonest, first)
-        if soonest is not None:
-            self.handle.registerTimer(soonest // 1000 + 1)
-        return iter(())
-
-    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo):
-        now = timerValues.getCurrentWatermarkInMs() * 1000
-        rows = sorted(self.waiting.get())
-        due = [r for r in rows if r[0] < now]
-        episodes = {k[0]: Episode(self.rules, *v) for k, v in self.open.iterator()}
-        before, out = set(episodes), []
-        silent = int(self.rules.silent * 1e6)
-        for at, _, signal, value in due:
-            episode = episodes.get(signal)
-            if episode and at - episode.last > silent:
-                out += [(signal, p) for p in episodes.pop(signal).close("silent")]
-                episode = None
-            if episode:
-                pieces, over = episode.take(at, value)
-                out += [(signal, p) for p in pieces]
-                if over:
-                    del episodes[signal]
-            elif value >= self.rules.level:
-                episodes[signal] = Episode.begun(self.rules, at, value)
-        for signal in [s for s, e in episodes.items() if e.last + silent < now]:
-            out += [(signal, p) for p in episodes.pop(signal).close("silent")]
-        if due:
-            self.waiting.put(rows[len(due) :]) if len(due) < len(rows) else self.waiting.clear()
-        for signal in before - set(episodes):
-            self.open.removeKey((signal,))
-        for signal, episode in episodes.items():
-            self.open.updateValue((signal,), episode.state())
-        wakes = [r[0] for r in rows[len(due) : len(due) + 1]] + [e.last + silent for e in episodes.values()]
-        if wakes:
-            self.handle.registerTimer(min(wakes) // 1000 + 1)
+def _episodes(rules: EpisodeRules):
+    """The devices of a group."""
+    silent = int(rules.silent * 1e6)
+
+    def run(key: tuple, frames: Iterator[pd.DataFrame], state) -> Iterator[pd.DataFrame]:
+        opened, waiting = held(state, _OPEN, _WAITING)
+        now = state.getCurrentWatermarkMs() * 1000
+        known = defaultdict(dict)
+        for user, signal, *rest in opened:
+            known[user][signal] = Episode(rules, *rest)
+        rows = taken(frames, ["at", "event_id", "event_type", "value"], waiting)
+        out, later = [], []
+        for user in known.keys() | rows.keys():
+            episodes, mine = known[user], sorted(r for r in rows.get(user, ()) if r[3] == r[3])  # null is NaN here
+            due = [r for r in mine if r[0] < now]
+            for at, _, signal, value in due:
+                episode = episodes.get(signal)
+                if episode and at - episode.last > silent:
+                    out += [(user, signal, *p) for p in episodes.pop(signal).close("silent")]
+                    episode = None
+                if episode:
+                    pieces, over = episode.take(at, value)
+                    out += [(user, signal, *p) for p in pieces]
+                    if over:
+                        del episodes[signal]
+                elif value >= rules.level:
+                    episodes[signal] = Episode.begun(rules, at, value)
+            for signal in [s for s, e in episodes.items() if e.last + silent < now]:
+                out += [(user, signal, *p) for p in episodes.pop(signal).close("silent")]
+            later += [(user, *r) for r in mine[len(due) :]]
+        still = [(user, signal, e) for user, episodes in known.items() for signal, e in episodes.items()]
+        keep(state, [(user, signal, *e.state()) for user, signal, e in still], _OPEN, later, _WAITING)
+        times = [r[1] for r in later] + [e.last + silent for _, _, e in still]
+        if times:
+            wake_at(state, min(times))
         if out:
-            yield pd.DataFrame([(None if key[0] else key[1], signal, *piece) for signal, piece in out], columns=_COLUMNS)
+            yield pd.DataFrame(out, columns=_COLUMNS)
 
-    def close(self) -> None:
-        pass
+    return run
 
 
 def episode_pieces(stream: DataFrame, rules: EpisodeRules, late: str = "2 days") -> DataFrame:
     """Pieces (PIECES) of the episodes of each signal of a device, sent out as the watermark, `late` behind the newest reading, passes what completes them.
 
-    Start the query within rocksdb_state(), in append mode. Readings that come
-    later than the watermark are left out; all others may come in any order.
+    Start the query within rocksdb_state(), in append mode. Readings without a time, or
+    later than the watermark, are left out; all others may come in any order.
     """
-    rows = stream.withWatermark("ts", late).select(*known("user_id"), "ts", F.unix_micros("ts").alias("at"), "event_id", "event_type", F.nanvl(F.col("value").cast("double"), F.lit(None).cast("double")).alias("value"))
-    out = rows.groupBy(*KEY).transformWithStateInPandas(_Episodes(rules), _OUT, "append", "eventtime")
+    rows = stream.where("ts is not null").withWatermark("ts", late).select(*known("user_id"), "ts", F.unix_micros("ts").alias("at"), F.coalesce("event_id", F.lit(0)).alias("event_id"), "event_type", F.nanvl(F.col("value").cast("double"), F.lit(None).cast("double")).alias("value"))
+    out = grouped(rows).groupBy(GROUP).applyInPandasWithState(_episodes(rules), _OUT, f"{_OPEN}, {_WAITING}", "append", "EventTimeTimeout")
     return out.select(*[F.timestamp_micros(c).alias(c) if c in ("opened", "start", "stop") else F.col(c) for c in _COLUMNS])

@@ -1,5 +1,6 @@
 """Devices that share a state row: as many rows of state as groups, however many devices, and the same results."""
 
+import test_lifecycles
 import test_status
 from pyspark.sql import functions as F
 from test_lifecycles import T0, two_partitions  # noqa: F401
@@ -32,6 +33,18 @@ def test_status_keeps_a_row_of_state_a_group(spark, tmp_path):
     assert {(r.status, r.n) for r in rows.groupBy("status").agg(F.count("*").alias("n")).collect()} == {("high", 6 * 2048), ("stale", 6 * 2048)}
 
 
+def test_episodes_keep_a_row_of_state_a_group(spark, tmp_path):
+    stream = many(spark, tmp_path, 3 * 2048)
+    rows, state = drained(spark, tmp_path, lifecycles.episode_pieces(stream, lifecycles.EpisodeRules(60.0, 2, 86400.0, 3600.0), "2 days"))
+    assert state <= 2048
+    assert {(r.reason, r.n) for r in rows.groupBy("reason").agg(F.count("*").alias("n")).collect()} == {("silent", 6 * 2048)}
+
+
 def test_status_of_devices_in_one_group(spark, tmp_path, monkeypatch):
     monkeypatch.setattr(lifecycles, "GROUPS", 1)
     test_status.test_replay_of_late_deliveries_with_a_restart(spark, tmp_path)
+
+
+def test_episodes_of_devices_in_one_group(spark, tmp_path, monkeypatch):
+    monkeypatch.setattr(lifecycles, "GROUPS", 1)
+    test_lifecycles.test_episodes_of_shuffled_files_with_a_restart(spark, tmp_path, lifecycles.EpisodeRules(60.0, 2, 2 * 86400.0, 86400.0))
