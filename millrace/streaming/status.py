@@ -11,15 +11,18 @@ from __future__ import annotations
 from collections.abc import Iterator
 from dataclasses import dataclass
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from millrace.streaming.lifecycles import GROUP, grouped, held, keep, known, taken, wake_at
+from millrace.streaming.lifecycles import GROUP, KEY, grouped, known, wake_at
 
 _OUT = "user_id long, at long, status string"
 _DEVICES = "user_id array<long>, reported array<string>, candidate array<string>, since array<long>, heard array<long>"
-_WAITING = "of array<long>, at array<long>, event_id array<long>, value array<double>"
+#: Readings that wait are numbers alone and stand in the state as one value: elements of arrays are turned one by one, each time a group is woken.
+_WAITING = "waiting binary"
+_READING = np.dtype([(KEY[0], "?"), (KEY[1], "<i8"), ("at", "<i8"), ("event_id", "<i8"), ("value", "<f8")])
 
 
 @dataclass(frozen=True)
@@ -69,26 +72,39 @@ class Status:
         return out
 
 
+def _readings(frame: pd.DataFrame) -> np.ndarray:
+    """A frame's rows as _READING; a null value is NaN."""
+    out = np.empty(len(frame), _READING)
+    for name in _READING.names:
+        out[name] = frame[name].to_numpy()
+    return out
+
+
 def _watch(rules: StatusRules, on_arrival: bool):
     """The devices of a group; on_arrival: rows count when they arrive by the wall clock, else when the watermark has passed them."""
 
     def run(key: tuple, frames: Iterator[pd.DataFrame], state) -> Iterator[pd.DataFrame]:
-        devices, waiting = held(state, _DEVICES, _WAITING)
-        known = {user: Status(rules, *rest) for user, *rest in devices}
-        rows = taken(frames, ["at", "event_id", "value"], waiting)
+        *devices, waiting = state.get if state.exists else ([], [], [], [], [], b"")
+        known = {user: Status(rules, *rest) for user, *rest in zip(*devices)}
+        rows = np.concatenate([np.frombuffer(waiting, _READING), *map(_readings, frames)])
         now = (state.getCurrentProcessingTimeMs() if on_arrival else state.getCurrentWatermarkMs()) * 1000
-        out, rest = [], []
-        for user in known.keys() | rows.keys():
-            status = known.setdefault(user, Status(rules))
-            mine = sorted(rows.get(user, ()), key=lambda r: r[:2])
-            due = mine if on_arrival else [r for r in mine if r[0] < now]
-            changes = [c for at, _, value in due for c in status.take(now if on_arrival else at, value)]
-            changes += status.advance(now if on_arrival else now - 1)
-            out += [(user, *c) for c in changes]
-            rest += [(user, *r) for r in mine[len(due) :]]
-        keep(state, [(user, s.reported, s.candidate, s.since, s.heard) for user, s in known.items()], _DEVICES, rest, _WAITING)
+        is_due = np.full(len(rows), True) if on_arrival else rows["at"] < now
+        due, rest = rows[is_due], rows[~is_due]
+        out = []
+        for none, user, at, _, value in due[np.lexsort((due["event_id"], due["at"], due[KEY[1]], due[KEY[0]]))].tolist():
+            user = None if none else user
+            if (status := known.get(user)) is None:
+                status = known[user] = Status(rules)
+            out += [(user, *c) for c in status.take(now if on_arrival else at, value)]
+        for user, status in known.items():
+            out += [(user, *c) for c in status.advance(now if on_arrival else now - 1)]
+        if known or len(rest):
+            columns = zip(*[(user, s.reported, s.candidate, s.since, s.heard) for user, s in known.items()])
+            state.update((*([list(c) for c in columns] or [[] for _ in devices]), rest.tobytes()))
+        elif state.exists:
+            state.remove()
         # the next change, or the first of the waiting rows, wakes the group
-        times = [r[1] for r in rest] + [d[0] for s in known.values() if (d := s.due())]
+        times = ([int(rest["at"].min())] if len(rest) else []) + [d[0] for s in known.values() if (d := s.due())]
         if times and on_arrival:
             state.setTimeoutDuration(max(1, (min(times) - now) // 1000 + 1))
         elif times:
